@@ -21,15 +21,19 @@ from pyspark.sql import functions as F
 from strophe.llm.common import written
 
 N = 10
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What lies between words.
+GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: More windows than this aren't broadcast; 500,000 windows of 10 words take about 100 MB.
 BROADCAST_WINDOWS = 500_000
+#: Stands for a document itself among its window hashes.
+HEAD = 0x5EED0000
 
 
 def words(text: Column) -> Column:
-    found = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    """The words in order. What splitting leaves before the first and after the last is removed."""
+    found = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP)
+    return F.array_remove(found, "")
 
 
 def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -42,18 +46,28 @@ def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 
 
 def hits(docs: DataFrame, grams: DataFrame, n: int = N) -> DataFrame:
-    """row_key, n_words, start, length, items of every window of ``docs`` that occurs in the
-    benchmark. ``docs`` has row_key and text."""
+    """row_key, doc_id, n_words, start, length, items of every window of ``docs`` that occurs
+    in the benchmark, and one head row for every document, with start -1 and no items.
+
+    Head rows come from the same pass over the texts: HEAD stands before a document's
+    window hashes, and among the benchmark's as a window of no words.
+    """
     total, short = grams.count(), [r[0] for r in grams.where(F.size("gram") < n).select(F.size("gram")).distinct().collect()]
-    table = F.broadcast(grams) if total <= BROADCAST_WINDOWS else grams
-    split = docs.select("row_key", words(F.col("text")).alias("w"))
+    head = grams.sparkSession.range(1).select(F.lit(HEAD).alias("gram_hash"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
+    table = grams.unionByName(head)
+    table = F.broadcast(table) if total <= BROADCAST_WINDOWS else table
+    split = docs.select("row_key", "doc_id", words(F.col("text")).alias("w"))
     found = None
     for length in [n, *sorted(short)]:
         places = F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - length + 1)).otherwise(F.array().cast("array<int>"))
         hashes = F.transform(places, lambda i: F.xxhash64(F.slice("w", i, length)))  # noqa: B023
-        each = split.select("row_key", "w", F.posexplode_outer(hashes).alias("start", "gram_hash"))
-        same = each.join(table, "gram_hash").where(F.slice("w", F.col("start") + 1, length) == F.col("gram"))
-        part = same.select("row_key", "start", F.lit(length).alias("length"), "items")
+        before = F.array(F.lit(HEAD)) if found is None else F.array(F.lit(HEAD + 1))
+        # hashes in a projection of their own: the generator then runs in generated code and
+        # doesn't copy the words to every window's row
+        each = split.select("row_key", "doc_id", "w", F.concat(before, hashes).alias("hashes")).select("row_key", "doc_id", "w", F.posexplode_outer("hashes").alias("place", "gram_hash"))
+        is_head = F.col("place") == 0
+        same = each.join(table, "gram_hash").where((is_head & (F.size("gram") == 0)) | (~is_head & (F.slice("w", F.greatest("place", F.lit(1)), length) == F.col("gram"))))
+        part = same.select("row_key", "doc_id", F.size("w").cast("long").alias("n_words"), (F.col("place") - 1).alias("start"), F.lit(length).alias("length"), "items")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -64,18 +78,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     ``spans`` lists the hit runs of words as (start, stop), stop excluded.
     """
     grams = written(item_windows(benchmark, n), "grams")
-    keyed = docs.select("doc_id", "text", row_key().alias("row_key"))
-    found = written(hits(keyed, grams, n), "hits")
+    found = written(hits(docs.select("doc_id", "text", row_key().alias("row_key")), grams, n), "hits")
+    windows = found.where("start >= 0")
     order = Window.partitionBy("row_key").orderBy("start", "length")
     reach = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spread = found.distinct().withColumn("stop", F.col("start") + F.col("length")).withColumn("reach", F.coalesce(reach, F.lit(0)))
+    spread = windows.select("row_key", "start", "length").distinct().withColumn("stop", F.col("start") + F.col("length")).withColumn("reach", F.coalesce(reach, F.lit(0)))
     spread = spread.withColumn("run", F.count_if(F.col("start") > F.col("reach")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = spread.groupBy("row_key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     spans = runs.groupBy("row_key").agg(F.sum(F.col("stop") - F.col("start")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    items = found.select("row_key", F.explode("items").alias("item_id")).distinct().groupBy("row_key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    verdicts = spans.join(items, "row_key")
-    rows = keyed.select("doc_id", "row_key", F.coalesce(F.regexp_count(F.translate("text", UPPER, LOWER), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    return rows.join(verdicts, "row_key", "left").select(
+    items = windows.select("row_key", F.explode("items").alias("item_id")).distinct().groupBy("row_key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    verdicts = written(spans.join(items, "row_key"), "verdicts")
+    return found.where("start = -1").join(verdicts, "row_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), "spans",
     )
@@ -90,5 +103,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFr
     """The rows of ``docs`` in which no benchmark window occurs."""
     grams = written(item_windows(benchmark, n), "grams")
     keyed = docs.withColumn("row_key", row_key())
-    dirty = written(hits(keyed, grams, n).select("row_key").distinct(), "dirty")
+    dirty = written(hits(keyed, grams, n).where("start >= 0").select("row_key").distinct(), "dirty")
     return keyed.join(dirty, "row_key", "left_anti").drop("row_key")
