@@ -9,6 +9,9 @@
 3. Classes of a leader that are not linked to it are compared with all others of that
    leader on full sets, in blocks of ``BLOCK`` by ``BLOCK`` (``rest``), so that no link is
    lost. Blocks report only links that join classes not joined yet: pairs are never emitted.
+   Joins that carry texts or sets are merge joins at every size, so a small run shows the
+   shuffles of a large one.
+
 4. Links become components by min-label propagation with written tables between rounds.
 
 Defined results: a null or wordless text has no shingles and is its own component. A null
@@ -65,7 +68,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     """(leader, doc_id) of classes that share a band with a smaller class; once each."""
     rows = written(classes.select("doc_id", F.explode("bands").alias("band")), "bands")
     leaders = rows.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = rows.join(written(leaders, "leaders"), "band").where("doc_id <> leader")
+    pairs = rows.join(written(leaders, "leaders").hint("merge"), "band").where("doc_id <> leader")
     return pairs.groupBy("leader", "doc_id").agg(F.lit(1).alias("_")).drop("_")
 
 
@@ -81,7 +84,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+    return docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -96,11 +99,11 @@ def stars(pairs: DataFrame, shingles: DataFrame, percent: int = PERCENT) -> Data
     A leader's set is sent once to each share of at most about BLOCK members, and a share
     is read as a stream: leader first, then its members.
     """
-    shares = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
+    shares = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("shares")), "shares")
     share = F.pmod(F.xxhash64("doc_id"), F.col("shares"))
     members = pairs.join(shares, "leader").select("leader", share.alias("share"), F.lit(1).alias("role"), "doc_id")
     firsts = shares.select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("leader").alias("doc_id"))
-    rows = members.unionByName(firsts).join(shingles, "doc_id").select("leader", "share", "role", "doc_id", "shingles")
+    rows = members.unionByName(firsts).join(shingles.hint("merge"), "doc_id").select("leader", "share", "role", "doc_id", "shingles")
     rows = rows.repartition("leader", "share").sortWithinPartitions("leader", "share", "role")
 
     def run(batches):
@@ -150,12 +153,12 @@ def rest(tested: DataFrame, shingles: DataFrame, percent: int = PERCENT) -> Data
     linked to the leader counting as joined.
     """
     groups = tested.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose")).where("loose > 0 and n > 1")
-    sized = tested.join(groups, "leader").withColumn("_i", F.ceil(F.col("loose") / BLOCK).cast("int")).withColumn("_j", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sized = tested.join(written(groups, "loose-groups"), "leader").withColumn("_i", F.ceil(F.col("loose") / BLOCK).cast("int")).withColumn("_j", F.ceil(F.col("n") / BLOCK).cast("int"))
     sized = written(sized, "loose")
     row, col = (F.pmod(F.xxhash64("doc_id"), F.col(x)).cast("int") for x in ("_i", "_j"))
     side = lambda df, role, i, j: df.select("leader", i.alias("i"), j.alias("j"), F.lit(role).alias("role"), "doc_id", "linked")
     cells = side(side_explode(sized.where(~F.col("linked")), "_j"), 0, row, F.col("_at")).unionByName(side(side_explode(sized, "_i"), 1, F.col("_at"), col))
-    rows = cells.join(shingles, "doc_id").select("leader", "i", "j", "role", "doc_id", "linked", "shingles")
+    rows = cells.join(shingles.hint("merge"), "doc_id").select("leader", "i", "j", "role", "doc_id", "linked", "shingles")
     rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "role", "doc_id")
 
     def compare(cell):
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     pairs = written(candidates(classes), "candidates")
     wanted = pairs.select("doc_id").union(pairs.select("leader")).distinct()
     shingles = written(shingle_table(docs, wanted, width), "shingles")
-    tested = written(stars(pairs, shingles, percent), "stars").groupBy("leader", "doc_id").agg(F.max("linked").alias("linked"))
+    tested = written(stars(pairs, shingles, percent).groupBy("leader", "doc_id").agg(F.max("linked").alias("linked")), "stars")
     links = tested.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).unionByName(rest(tested, shingles, percent))
     # rows that share an id share a component: an id in several classes links them by itself
     again = usable.groupBy("doc_id").agg(F.min("class_key").alias("k"), F.max("class_key").alias("l")).where("k <> l").select(F.col("doc_id").alias("own"))
