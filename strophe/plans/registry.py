@@ -1,6 +1,468 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries over the given tables and the SQL that checks them.
+
+Users stand for tracks, their events in time order for beats, ``value`` for loudness; an
+embedding is a quantum's vector, its label the track and vec_id the order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strophe.functions import columns as C
+from strophe.operators import cache, folds, graph, joins, summaries, timeline, walk
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_BEATS = """b AS (SELECT event_id, user_id, event_type, value, (epoch_us(ts) - 1704067200000000) / 1e6 AS start,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS which FROM events)"""
+_QUANTA = """q AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS which, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT label, count(*) AS n FROM q GROUP BY label)"""
+_PAIRS = _QUANTA + """,
+p AS (SELECT a.label, a.which AS src, b.which AS dst, 50 * list_distance(a.v, b.v) AS distance FROM q a JOIN q b ON a.label = b.label
+  AND a.which % 4 = b.which % 4 AND a.which <> b.which WHERE 50 * list_distance(a.v, b.v) < 80),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, src ORDER BY distance, dst - src DESC, dst) AS rank FROM p) WHERE rank <= 4)"""
+_EDGES = _PAIRS + """,
+c AS (SELECT label, x, count(*) AS c FROM (SELECT label, src, min(distance) AS d FROM k GROUP BY label, src), (SELECT unnest(range(10, 80, 5)) AS x) WHERE d <= x GROUP BY label, x),
+t AS (SELECT s.label, coalesce(min(x), 80) AS reported, coalesce(min(x), 75) AS applied FROM s LEFT JOIN c ON c.label = s.label AND c.c >= s.n / 6 GROUP BY s.label),
+e AS (SELECT label, src, dst, distance FROM k JOIN t USING (label) WHERE distance <= applied)"""
+_STEP = _EDGES + """,
+m AS (SELECT q.label, q.which, least(q.which, min(d.dst)) AS m FROM q LEFT JOIN e d ON d.label = q.label AND d.src >= q.which GROUP BY q.label, q.which),
+w AS (SELECT label, which, which AS pos FROM q UNION SELECT w.label, w.which, m.m FROM w JOIN m ON m.label = w.label AND m.which = w.pos),
+r AS (SELECT label, which, n, min(pos) AS earliest, n - min(pos) AS reach FROM w JOIN s USING (label) GROUP BY label, which, n)"""
+_LAST = _STEP + """,
+u AS (SELECT r.*, (reach - (n - which)) * 100.0 / n AS share FROM r WHERE EXISTS (SELECT 1 FROM e WHERE e.label = r.label AND e.src = r.which)),
+l AS (SELECT s.label, coalesce(max(which) FILTER (share >= 50 AND share > 0), arg_max(which, {'share': share, 'which': which}) FILTER (share > 0), 0) AS last
+  FROM s LEFT JOIN u USING (label) GROUP BY s.label)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def beats(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", C.seconds("ts").alias("start"))
+    return timeline.navigation(rows, "user_id", ["start", "event_id"], "start")
+
+
+def quanta(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    rows = timeline.navigation(rows.withColumn("at", F.col("vec_id").cast("double")), "label", ["vec_id"], "at")
+    return rows.withColumn("index_in_parent", F.col("which") % 4)
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def similarity_graph(spark, sf_dir: str):
+    """quanta, sizes, neighbours, thresholds and edges of the embeddings."""
+    q = quanta(spark, sf_dir)
+    near = graph.top_neighbours(graph.candidate_pairs(q, "label", "v", 50.0, 80.0), "label", 4).persist()
+    n = sizes(q)
+    thresholds = graph.threshold_sweep(near, n, "label")
+    return q, n, near, thresholds, graph.edges_at_threshold(near, thresholds, "label").persist()
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({x: F.round(x, 6) for x in names})
+
+
+@query(f"""WITH {_BEATS} SELECT event_id, which, CASE WHEN which > 0 THEN which - 1 END AS prev,
+  CASE WHEN lead(start) OVER w IS NOT NULL THEN which + 1 END AS next,
+  round(coalesce(CASE WHEN lead(start) OVER w - start > 0 THEN lead(start) OVER w - start END, CASE WHEN start - lag(start) OVER w > 0 THEN start - lag(start) OVER w END, 0.5), 6) AS duration
+  FROM b WINDOW w AS (PARTITION BY user_id ORDER BY start, event_id)""")
+def quantum_navigation(spark, sf_dir):
+    return rounded(beats(spark, sf_dir).select("event_id", "which", "prev", "next", "duration"), "duration")
+
+
+def purchase_spans(rows: DataFrame) -> DataFrame:
+    """Spans from one purchase of a user to the next, the last one open for an hour."""
+    own = timeline.navigation(rows.where("event_type = 'purchase'").select("user_id", "event_id", "start"), "user_id", ["start", "event_id"], "start", 3600.0)
+    end = F.coalesce(F.lead("start").over(timeline.Window.partitionBy("user_id").orderBy("which")), F.col("start") + 3600.0)
+    return own.select("user_id", "which", "start", end.alias("end"))
+
+
+_SPANS = """p AS (SELECT user_id, row_number() OVER w - 1 AS pw, start AS ps, coalesce(lead(start) OVER w, start + 3600.0) AS pe FROM b
+  WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY start, event_id))"""
+
+
+@query(f"""WITH {_BEATS}, {_SPANS} SELECT event_id, pw AS parent, CASE WHEN pw IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY b.user_id, pw ORDER BY start, which) - 1 END AS index_in_parent
+  FROM b LEFT JOIN p ON b.user_id = p.user_id AND start >= ps AND start < pe""")
+def containment_join(spark, sf_dir):
+    rows = beats(spark, sf_dir)
+    return joins.containment(rows.select("user_id", "event_id", "start", "which"), purchase_spans(rows), "user_id").select("event_id", "parent", "index_in_parent")
+
+
+@query(f"""WITH {_BEATS} SELECT l.event_id, (SELECT min(r.event_id) FROM b r WHERE r.user_id = l.user_id AND r.event_type = 'click' AND r.start =
+  (SELECT min(x.start) FROM b x WHERE x.user_id = l.user_id AND x.event_type = 'click' AND x.start >= l.start)) AS next_click FROM b l WHERE l.event_type = 'purchase'""")
+def asof_forward(spark, sf_dir):
+    rows = beats(spark, sf_dir).select("user_id", "event_id", "start", "event_type")
+    left, right = (rows.where(F.col("event_type") == x).drop("event_type") for x in ("purchase", "click"))
+    return joins.asof_forward(left, right, "user_id", "event_id", "next_click").select("event_id", "next_click")
+
+
+@query(f"""WITH {_BEATS}, {_SPANS}, g AS (SELECT user_id, which, start AS ss, coalesce(lead(start) OVER (PARTITION BY user_id ORDER BY which), start + 1.0) AS se FROM b),
+  o AS (SELECT p.user_id, pw, which FROM p JOIN g ON p.user_id = g.user_id AND se >= ps AND ss <= pe),
+  c AS (SELECT user_id, pw, coalesce(max(last) OVER (PARTITION BY user_id ORDER BY pw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor
+        FROM (SELECT user_id, pw, max(which) AS last FROM o GROUP BY user_id, pw))
+  SELECT user_id, pw AS quantum, which AS segment FROM o JOIN c USING (user_id, pw) WHERE which >= cursor""")
+def cursor_overlap_join(spark, sf_dir):
+    rows = beats(spark, sf_dir)
+    ahead = F.lead("start").over(timeline.Window.partitionBy("user_id").orderBy("which"))
+    segments = rows.withColumn("end", F.coalesce(ahead, F.col("start") + 1.0)).select("user_id", "which", "start", "end")
+    return joins.cursor_overlap(purchase_spans(rows), segments, "user_id")
+
+
+@query(f"""WITH {_BEATS}, x AS (SELECT l.event_id, r.which, abs(l.start - r.start) AS g FROM b l JOIN b r ON l.user_id = r.user_id AND l.event_type = 'error' AND r.event_type = 'view'),
+  y AS (SELECT event_id, arg_min(which, {{'g': g, 'which': which}}) AS w, min(g) AS g FROM x GROUP BY event_id)
+  SELECT b.event_id, CASE WHEN g <= 36000 THEN w END AS nearest, CASE WHEN g <= 36000 THEN round(g, 6) END AS gap FROM b LEFT JOIN y USING (event_id) WHERE event_type = 'error'""")
+def nearest_within_tolerance(spark, sf_dir):
+    rows = beats(spark, sf_dir).select("user_id", "event_id", "start", "which", "event_type")
+    left, right = (rows.where(F.col("event_type") == x).drop("event_type") for x in ("error", "view"))
+    return rounded(joins.nearest_within(left, right, "user_id", 36_000.0).select("event_id", "nearest", "gap"), "gap")
+
+
+@query(f"""WITH {_BEATS}, {_SPANS}, d AS (SELECT user_id, CAST(floor(start / 86400) AS BIGINT) AS win, floor(start / 86400) * 86400 AS ws FROM b GROUP BY ALL),
+  o AS (SELECT p.user_id, pw, win, least(pe, ws + 86400) - greatest(ps, ws) AS v FROM p JOIN d ON p.user_id = d.user_id AND least(pe, ws + 86400) - greatest(ps, ws) > 0)
+  SELECT user_id, pw AS span, arg_min(win, {{'v': -v, 'w': win}}) AS "window", round(max(v), 6) AS overlap FROM o GROUP BY user_id, pw""")
+def best_overlap_window(spark, sf_dir):
+    rows = beats(spark, sf_dir)
+    day = F.floor(F.col("start") / 86400)
+    days = rows.select("user_id", day.alias("which"), (day * 86400.0).alias("start"), (day * 86400.0 + 86400.0).alias("end")).distinct()
+    return rounded(joins.best_overlap(purchase_spans(rows), days, "user_id"), "overlap")
+
+
+@query(f"""WITH {_BEATS}, {_SPANS}, t AS (SELECT user_id, max(pw) AS top FROM p GROUP BY user_id),
+  x AS (SELECT b.event_id, b.user_id, b.start, max(pw) AS pw, arg_max(pe, pw) AS pe FROM b LEFT JOIN p ON p.user_id = b.user_id AND ps <= b.start GROUP BY ALL)
+  SELECT event_id, coalesce(CASE WHEN start < pe OR pw = top THEN pw END, 0) AS beat FROM x LEFT JOIN t USING (user_id)""")
+def point_lookup(spark, sf_dir):
+    rows = beats(spark, sf_dir)
+    return joins.point_lookup(rows.select("user_id", "event_id", F.col("start").alias("at")), purchase_spans(rows), "user_id").select("event_id", "beat")
+
+
+@query(f"WITH {_BEATS} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY which ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS mean FROM b")
+def moving_average(spark, sf_dir):
+    return rounded(timeline.moving_average(beats(spark, sf_dir), "user_id", "which", "value", 2, "mean").select("event_id", "mean"), "mean")
+
+
+@query(f"""WITH {_BEATS}, o AS (SELECT *, greatest(value, 0) AS a FROM b),
+  d AS (SELECT *, greatest(a - avg(a) OVER (PARTITION BY user_id ORDER BY which ROWS BETWEEN 14 PRECEDING AND 14 FOLLOWING), 0) AS c FROM o),
+  e AS (SELECT *, avg(c) OVER (PARTITION BY user_id ORDER BY which ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS f FROM d)
+  SELECT event_id, round(CASE WHEN max(f) OVER (PARTITION BY user_id) > 0 THEN f / max(f) OVER (PARTITION BY user_id) ELSE 0 END, 6) AS odf FROM e""")
+def onset_detection(spark, sf_dir):
+    return rounded(timeline.onset_detection(beats(spark, sf_dir), "user_id", "which", "value").select("event_id", "odf"), "odf")
+
+
+@query(f"""WITH {_BEATS} SELECT event_id, value FROM (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY which))
+  WHERE value >= p AND value > n AND value >= 1""")
+def local_peaks(spark, sf_dir):
+    return timeline.local_peaks(beats(spark, sf_dir), "user_id", "which", "value", 1.0).select("event_id", "value")
+
+
+@query(f"""WITH {_BEATS}, l AS (SELECT user_id, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.75, 0) AS INT) + 1] AS t FROM b GROUP BY user_id)
+  SELECT event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY which ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM b) JOIN l USING (user_id) WHERE value = m AND value >= t""")
+def window_peaks(spark, sf_dir):
+    return timeline.window_peaks(beats(spark, sf_dir), "user_id", "which", "value").select("event_id", "value")
+
+
+@query(f"WITH {_BEATS} SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY which ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS median FROM b")
+def windowed_median(spark, sf_dir):
+    return rounded(timeline.windowed_median(beats(spark, sf_dir), "user_id", "which", "value", 2, "median").select("event_id", "median"), "median")
+
+
+@query(f"""WITH {_QUANTA}, x AS (SELECT vec_id, label, unnest(range(0, len(v))) AS dim, unnest(v) AS x FROM q)
+  SELECT vec_id, dim, round((x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-4), 6) AS z FROM x WINDOW w AS (PARTITION BY label, dim)""")
+def zscore_dimensions(spark, sf_dir):
+    dims = timeline.exploded(quanta(spark, sf_dir), ["vec_id", "label"], "v")
+    return rounded(dims.select("vec_id", F.col("dim").cast("long").alias("dim"), timeline.zscore(dims, ["label", "dim"], "x").alias("z")), "z")
+
+
+@query(f"""WITH {_BEATS} SELECT event_id, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END, 6) AS share
+  FROM b WINDOW w AS (PARTITION BY user_id)""")
+def min_max_normalise(spark, sf_dir):
+    return rounded(beats(spark, sf_dir).select("event_id", timeline.min_max("user_id", "value").alias("share")), "share")
+
+
+@query(f"""WITH {_QUANTA}, x AS (SELECT label, which, unnest(range(0, len(v))) AS dim, unnest(v) AS x FROM q),
+  z AS (SELECT label, which, dim, (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-4) AS z FROM x WINDOW w AS (PARTITION BY label, dim)),
+  d AS (SELECT label, which, sqrt(coalesce(avg(d * d), 0)) AS raw FROM (SELECT *, z - lag(z) OVER (PARTITION BY label, dim ORDER BY which) AS d FROM z) GROUP BY label, which)
+  SELECT label, which, round(avg(raw) OVER (PARTITION BY label ORDER BY which ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS novelty FROM d""")
+def frame_novelty(spark, sf_dir):
+    return rounded(timeline.frame_novelty(quanta(spark, sf_dir), "label", "which", "v"), "novelty")
+
+
+@query("""WITH h AS (SELECT event_type, CAST(floor((epoch_us(ts) - 1704067200000000) / 1e6 / 3600) AS BIGINT) AS hour, sum(value) AS x FROM events GROUP BY ALL)
+  SELECT event_type, lag, round(r, 6) AS r, n, round(r * exp(-0.5 * pow(log2(60.0 * 2 / lag / 120.0), 2)), 6) AS weighted FROM
+  (SELECT a.event_type, b.hour - a.hour AS lag, avg(a.x * b.x) AS r, count(*) AS n FROM h a JOIN h b ON a.event_type = b.event_type AND b.hour - a.hour BETWEEN 1 AND 48 GROUP BY a.event_type, b.hour - a.hour)""")
+def autocorrelation_tempo(spark, sf_dir):
+    rows = beats(spark, sf_dir).groupBy("event_type", F.floor(F.col("start") / 3600).alias("hour")).agg(F.sum("value").alias("x"))
+    found = timeline.autocorrelation(rows, "event_type", "hour", "x", 1, 48)
+    found = found.withColumn("weighted", F.col("r") * timeline.tempo_weight(F.col("lag"), 2.0))
+    return rounded(found.withColumn("lag", F.col("lag").cast("long")), "r", "weighted")
+
+
+@query(f"""WITH {_BEATS} SELECT user_id, w AS "window", count(*) AS n, round(avg(value), 8) AS mean FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM b) b, (SELECT unnest(range(0, 1000)) AS w)
+  WHERE which >= w * 16 AND which < w * 16 + 32 AND w * 16 + 12 <= n GROUP BY user_id, w""")
+def hopping_windows(spark, sf_dir):
+    rows = timeline.hopping_windows(beats(spark, sf_dir), "user_id", "which")
+    return rows.groupBy("user_id", F.col("window").cast("long").alias("window")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"))
+
+
+@query(f"WITH {_PAIRS} SELECT label, src, dst, round(distance, 6) AS distance, rank FROM k")
+def knn_topk(spark, sf_dir):
+    return rounded(similarity_graph(spark, sf_dir)[2].withColumn("rank", F.col("rank").cast("long")), "distance")
+
+
+@query(f"WITH {_EDGES} SELECT label, src, dst, round(distance, 6) AS distance, CAST(reported AS BIGINT) AS reported, CAST(applied AS BIGINT) AS applied FROM e JOIN t USING (label)")
+def adaptive_threshold(spark, sf_dir):
+    _, _, _, thresholds, edges = similarity_graph(spark, sf_dir)
+    out = edges.join(thresholds, "label").withColumns({x: F.col(x).cast("long") for x in ("reported", "applied")})
+    return rounded(out, "distance")
+
+
+@query(f"""WITH {_QUANTA}, p AS (SELECT a.label, a.which AS src, b.which AS dst, 50 * list_distance(a.v, b.v) AS distance FROM q a JOIN q b ON a.label = b.label AND a.which % 4 = b.which % 4 AND a.which <> b.which
+    WHERE 50 * list_distance(a.v, b.v) <= 70)
+  SELECT p.label, p.src, p.dst, round(p.distance, 6) AS distance FROM p JOIN p x ON x.label = p.label AND x.src = p.src + 1 AND x.dst = p.dst + 1 JOIN p y ON y.label = p.label AND y.src = p.src + 2 AND y.dst = p.dst + 2""")
+def look_ahead_gate(spark, sf_dir):
+    q = quanta(spark, sf_dir)
+    pairs = graph.candidate_pairs(q, "label", "v", 50.0, 80.0)
+    fixed = sizes(q).select("label", F.lit(70).alias("applied"))
+    return rounded(graph.look_ahead(pairs, fixed, "label"), "distance")
+
+
+_SCORE = """x AS (SELECT e.*, n, abs(dst - src) AS j, src // 4 AS sb, dst // 4 AS db FROM e JOIN s USING (label)),
+  f AS (SELECT *, j < 16 AS sh, src % 4 = dst % 4 AS sp, sb // 8 <> db // 8 AS ch, sb % 8 IN (0, 7) OR db % 8 IN (0, 7) AS bo, j >= greatest(16, floor(n / 2)) AS ga FROM x),
+  g AS (SELECT *, sh AND NOT ch AND NOT bo AND NOT ga AS lo FROM f),
+  h AS (SELECT *, lo AND (sb // 4 = db // 4 OR sb // 8 = db // 8) AS lp FROM g),
+  i AS (SELECT *, CASE WHEN j < 4 THEN 35 WHEN sh THEN 18 ELSE 0 END + CASE WHEN sp THEN 0 WHEN sh THEN 18 ELSE 8 END + CASE WHEN sb % 4 <> db % 4 AND sh THEN 8 ELSE 0 END
+      + CASE WHEN lo THEN 28 ELSE 0 END + CASE WHEN lp THEN 18 ELSE 0 END AS p0,
+    CASE WHEN NOT sh AND j >= 32 THEN 12 ELSE 0 END + CASE WHEN sp AND sh THEN 4 WHEN sp THEN 8 ELSE 0 END + CASE WHEN sb % 4 = db % 4 THEN 3 ELSE 0 END + CASE WHEN sb % 8 = db % 8 THEN 3 ELSE 0 END
+      + CASE WHEN sb % 16 = db % 16 AND j >= 32 THEN 3 ELSE 0 END + CASE WHEN ch THEN 12 ELSE 0 END + CASE WHEN bo THEN 8 ELSE 0 END + CASE WHEN ga THEN 8 ELSE 0 END + CASE WHEN distance <= 8 THEN 4 ELSE 0 END AS b0,
+    (ch OR bo OR ga) AND sp AND NOT lp AS ev FROM h)"""
+
+
+@query(f"""WITH {_EDGES}, {_SCORE} SELECT label, src, dst, CAST(b0 AS DOUBLE) AS bonus, CAST(greatest(0, p0 - least(p0, b0)) AS DOUBLE) AS penalty, round(distance + greatest(0, p0 - least(p0, b0)), 6) AS score,
+  CASE WHEN (j < 4 AND NOT (ev AND distance <= 8)) OR (sh AND lo AND NOT ev) THEN 'rejected' ELSE 'accepted' END AS decision FROM i""")
+def structural_score(spark, sf_dir):
+    _, n, _, _, edges = similarity_graph(spark, sf_dir)
+    return rounded(graph.structural_score(edges, n, "label").select("label", "src", "dst", "bonus", "penalty", "score", "decision"), "score")
+
+
+@query(f"WITH RECURSIVE {_STEP} SELECT label, which, n, earliest, reach FROM r")
+def reachability(spark, sf_dir):
+    q, _, _, _, edges = similarity_graph(spark, sf_dir)
+    return graph.reachability(q, edges, "label")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, y AS (SELECT label, CAST(n // 4 AS BIGINT) AS p, 0 AS k FROM s UNION ALL
+  SELECT y.label, greatest(y.p, (SELECT max(src) FROM e WHERE e.label = y.label AND e.dst <= y.p)), k + 1 FROM y WHERE k < 6)
+  SELECT q.label, q.which, CAST(min(k) AS BIGINT) AS hops FROM q LEFT JOIN y ON y.label = q.label AND q.which <= y.p GROUP BY q.label, q.which""")
+def hop_cost(spark, sf_dir):
+    q, n, _, _, edges = similarity_graph(spark, sf_dir)
+    out = graph.hop_cost(q, edges, n.select("label", F.floor(F.col("n") / 4).alias("target")), "label")
+    return out.withColumn("hops", F.col("hops").cast("long"))
+
+
+def _routed(spark, sf_dir):
+    q, n, near, thresholds, edges = similarity_graph(spark, sf_dir)
+    reach = graph.reachability(q, edges, "label")
+    return q, n, edges, reach, graph.last_branch_point(reach, edges, "label")
+
+
+@query(f"WITH RECURSIVE {_LAST} SELECT label, last FROM l")
+def last_branch_point(spark, sf_dir):
+    return _routed(spark, sf_dir)[4]
+
+
+@query(f"""WITH RECURSIVE {_LAST} SELECT e.label, e.src, e.dst, round(e.distance, 6) AS distance FROM e JOIN l USING (label) WHERE src = 0 OR src = last
+  OR NOT EXISTS (SELECT 1 FROM e x WHERE x.label = e.label AND x.src = e.src - 1 AND x.dst - x.src = e.dst - e.src)""")
+def sequential_filter(spark, sf_dir):
+    _, _, edges, _, last = _routed(spark, sf_dir)
+    return rounded(graph.sequential_filter(edges, last, "label").select("label", "src", "dst", "distance"), "distance")
+
+
+@query(f"WITH RECURSIVE {_LAST} SELECT label, src, dst, round(distance, 6) AS distance FROM e JOIN l USING (label) WHERE src >= last OR dst < last")
+def bad_branch_filter(spark, sf_dir):
+    _, _, edges, _, last = _routed(spark, sf_dir)
+    return rounded(graph.bad_branch_filter(edges, last, "label").select("label", "src", "dst", "distance"), "distance")
+
+
+_PRUNED = """d AS (SELECT label, src, dst, distance, n, count(*) OVER c >= 2 AND (NOT bool_or(src % 16 = dst % 16) OVER c
+    OR row_number() OVER (PARTITION BY label, src // 8, dst // 8 ORDER BY src % 16 = dst % 16 DESC, distance, src, dst) > 1) AS deleted FROM e JOIN s USING (label) WINDOW c AS (PARTITION BY label, src // 8, dst // 8))"""
+
+
+@query(f"WITH {_EDGES}, {_PRUNED} SELECT label, src, dst, round(distance, 6) AS distance, deleted FROM d")
+def cluster_prune(spark, sf_dir):
+    _, _, _, _, edges = similarity_graph(spark, sf_dir)
+    same = F.col("src") % 16 == F.col("dst") % 16
+    return rounded(graph.prune_clusters(edges, "label", same), "distance").select("label", "src", "dst", "distance", "deleted")
+
+
+@query(f"""WITH {_EDGES}, {_PRUNED} SELECT label, count_if(NOT deleted) AS active, count_if(deleted) AS deleted, count_if(NOT deleted AND abs(dst - src) < 16) AS short,
+  count_if(NOT deleted AND abs(dst - src) < 4) AS very_short, round(coalesce(max((src - dst) * 100.0 / n) FILTER (NOT deleted), 0), 6) AS longest_back FROM d GROUP BY label""")
+def branch_counts(spark, sf_dir):
+    _, n, _, _, edges = similarity_graph(spark, sf_dir)
+    pruned = graph.prune_clusters(edges, "label", F.col("src") % 16 == F.col("dst") % 16)
+    return rounded(graph.branch_counts(pruned.join(n, "label"), "label"), "longest_back")
+
+
+@query(f"""WITH RECURSIVE {_STEP}, y AS (SELECT label, CAST(n // 4 AS BIGINT) AS p, 0 AS k FROM s UNION ALL
+  SELECT y.label, greatest(y.p, (SELECT max(src) FROM e WHERE e.label = y.label AND e.dst <= y.p)), k + 1 FROM y WHERE k < 6),
+  h AS (SELECT q.label, q.which, min(k) AS hops FROM q LEFT JOIN y ON y.label = q.label AND q.which <= y.p GROUP BY q.label, q.which),
+  z AS (SELECT e.*, hops, earliest, n, CASE WHEN src >= 0.66 * n AND dst <= 0.25 * n THEN 1 WHEN src >= 0.66 * n AND dst <= 0.5 * n THEN 2 ELSE 3 END AS tier
+    FROM e JOIN r ON r.label = e.label AND r.which = e.dst JOIN h ON h.label = e.label AND h.which = e.dst WHERE dst < src)
+  SELECT label, src, dst, round(distance, 6) AS distance, CAST(tier AS BIGINT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, hops NULLS LAST, earliest, distance, src - dst DESC, src DESC, dst) AS i FROM z) WHERE i = 1""")
+def late_anchor(spark, sf_dir):
+    q, n, edges, reach, _ = _routed(spark, sf_dir)
+    costs = graph.hop_cost(q, edges, n.select("label", F.floor(F.col("n") / 4).alias("target")), "label")
+    return rounded(graph.late_anchor(edges, reach, costs, "label").withColumn("tier", F.col("tier").cast("long")), "distance")
+
+
+@query(f"""WITH {_EDGES} SELECT label, src, dst, round(1 / (1 + distance), 6) AS weight, round(sum(1 / (1 + distance)) OVER (PARTITION BY label, src ORDER BY distance, dst) / sum(1 / (1 + distance)) OVER (PARTITION BY label, src), 6) AS cdf FROM e""")
+def weighted_choice_cdf(spark, sf_dir):
+    edges = similarity_graph(spark, sf_dir)[4]
+    return rounded(graph.choice_cdf(edges, "label").drop("distance"), "weight", "cdf")
+
+
+@query(f"""WITH {_QUANTA}, o AS (SELECT unnest(range(-4, 4)) AS o), c AS (SELECT a.o AS x, b.o AS y, sign((a.o + 0.5) * (b.o + 0.5)) * exp(-((a.o + 0.5) * (a.o + 0.5) + (b.o + 0.5) * (b.o + 0.5)) / 8.0) AS k FROM o a, o b)
+  SELECT q.label, q.which, round(greatest(0, sum(k * list_cosine_similarity(i.v, j.v))), 6) AS novelty FROM q, c JOIN q i ON i.label = q.label AND i.which = q.which + x JOIN q j ON j.label = q.label AND j.which = q.which + y GROUP BY q.label, q.which""")
+def self_similarity_novelty(spark, sf_dir):
+    return rounded(graph.self_similarity_novelty(quanta(spark, sf_dir), "label", "v"), "novelty")
+
+
+@query("""SELECT l_suppkey, arg_max(x, {'n': n, 'x': x}) AS mode, max(n) AS n FROM (SELECT l_suppkey, l_linenumber AS x, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey""")
+def mode_tiebreak(spark, sf_dir):
+    return summaries.mode(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_linenumber")
+
+
+@query("SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, count_if(value >= 10) AS n_above, "
+       + ", ".join(f"list_sort(list(value))[CAST(round_even((count(*) - 1) * {p / 100}, 0) AS INT) + 1] AS p{p}" for p in (50, 75, 90, 95, 99)) + " FROM events GROUP BY event_type")
+def activation_summary(spark, sf_dir):
+    return rounded(summaries.activation_summary(table(spark, sf_dir, "events"), "event_type", "value", 10.0), "mean")
+
+
+@query(f"WITH {_QUANTA} SELECT label, dim, round(median(x), 6) AS median FROM (SELECT label, unnest(range(0, len(v))) AS dim, unnest(v) AS x FROM q) GROUP BY label, dim")
+def vector_median(spark, sf_dir):
+    return rounded(summaries.vector_median(quanta(spark, sf_dir), "label", "v").withColumn("dim", F.col("dim").cast("long")), "median")
+
+
+_GRID = f"""{_BEATS}, g AS (SELECT user_id, lead(start) OVER (PARTITION BY user_id ORDER BY which) - start AS g FROM b),
+  a AS (SELECT user_id, count(*) AS n, median(g) FILTER (g > 0) AS m, stddev_pop(g) AS s, avg(g) AS v FROM g GROUP BY user_id),
+  f AS (SELECT user_id, any_value(n) AS n, any_value(m) AS m, any_value(s) AS s, any_value(v) AS v, median(abs(g - m)) AS mad, count_if(g > 1.65 * m) AS n_gaps, count_if(g < 0.45 * m) AS n_duplicates FROM g JOIN a USING (user_id) GROUP BY user_id)"""
+
+
+@query(f"WITH {_GRID} SELECT user_id, n, round(m, 6) AS median_interval, round(60 / m, 6) AS bpm, round(s / m, 6) AS std_ratio, round(s / v, 6) AS cv, round(mad, 6) AS mad, n_gaps, n_duplicates FROM f")
+def interval_quality(spark, sf_dir):
+    return rounded(summaries.grid_quality(beats(spark, sf_dir), "user_id"), "median_interval", "bpm", "std_ratio", "cv", "mad")
+
+
+@query(f"""WITH {_GRID} SELECT user_id, n, CASE WHEN n < 60 THEN 'too-few-beats' WHEN m IS NULL THEN 'no-interval' WHEN 60 / m < 0.001 OR 60 / m > 220 THEN 'tempo-out-of-range' WHEN s / m > 1.5 THEN 'unstable-intervals' END AS failure FROM f""")
+def guardrails(spark, sf_dir):
+    quality = summaries.grid_quality(beats(spark, sf_dir), "user_id")
+    return summaries.guardrails(quality, 60, 0.001, 220.0, 1.5).select("user_id", "n", "failure")
+
+
+@query("""SELECT user_id, string_agg(event_type, ',' ORDER BY n DESC, event_type) AS names FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM
+  (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE r <= 3 GROUP BY user_id""")
+def top_names(spark, sf_dir):
+    out = summaries.histogram_names(table(spark, sf_dir, "events"), "user_id", "event_type", 3)
+    return out.select("user_id", F.array_join("names", ",").alias("names"))
+
+
+@query("""WITH x AS (SELECT event_id, least(greatest(value / 100, 0.65), 0.95) AS s FROM events)
+  SELECT event_id, least(greatest(round_even(CASE WHEN s <= 0.86 THEN 95 + (s - 0.78) / 0.08 * -15 ELSE 80 + (s - 0.86) / 0.06 * -10 END, 0), 1), 100) AS threshold FROM x""")
+def similarity_threshold(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", C.similarity_threshold(F.col("value") / 100).alias("threshold"))
+
+
+@query("""WITH k AS (SELECT doc_id, sha256(concat_ws('|', doc_id, n_chars, lang)) AS analysis_key FROM documents), b AS (SELECT k.doc_id, analysis_key, sha256(concat_ws('|', analysis_key, source)) AS branch_key FROM k JOIN documents d ON d.doc_id = k.doc_id)
+  SELECT doc_id, analysis_key, branch_key, sha256(concat_ws('|', branch_key, doc_id % 7)) AS runtime_key FROM b""")
+def cache_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source", (F.col("doc_id") % 7).alias("option"))
+    return cache.cache_keys(rows, ["doc_id", "n_chars"], ["lang"], ["source"], ["option"]).select("doc_id", "analysis_key", "branch_key", "runtime_key")
+
+
+@query(f"""WITH {_BEATS} SELECT event_id, CASE WHEN pt IS DISTINCT FROM event_type THEN 'Analysis' WHEN floor(pv / 10) IS DISTINCT FROM floor(value / 10) THEN 'Branches' WHEN pv IS DISTINCT FROM value THEN 'RuntimeOnly' ELSE 'None' END AS impact
+  FROM (SELECT *, lag(event_type) OVER w AS pt, lag(value) OVER w AS pv FROM b WINDOW w AS (PARTITION BY user_id ORDER BY which))""")
+def impact_class(spark, sf_dir):
+    w = timeline.Window.partitionBy("user_id").orderBy("which")
+    own = F.struct("event_type", F.floor(F.col("value") / 10).alias("tens"), "value")
+    rows = beats(spark, sf_dir).withColumn("new", own).withColumn("old", F.lag("new").over(w))
+    return rows.select("event_id", cache.change_impact("old", "new", ["event_type"], ["tens"], ["value"]).alias("impact"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, lower(role) AS k, row_number() OVER (PARTITION BY lower(role), conv_id ORDER BY turn DESC) AS i FROM conversations)
+  SELECT conv_id, k AS role, turn FROM r WHERE i = 1""")
+def latest_by_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.lower("role").alias("role"), "turn").distinct()
+    return cache.latest(rows, F.col("role"), [F.desc("turn")], group="conv_id", n=100)
+
+
+@query("""WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS i FROM events),
+  n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS j FROM r WHERE i = 1) SELECT user_id, event_type, event_id FROM n WHERE j <= 3""")
+def recents_topn(spark, sf_dir):
+    return cache.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), F.lower("event_type"), [F.desc("event_id")], 3, "user_id")
+
+
+@query("""SELECT page_id, CASE WHEN s = '' THEN 'local-audio' ELSE s END AS slug FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(trim(regexp_extract(coalesce(html, ''), '<title>(.*?)</title>', 1))),
+  'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\s\\-_.]+', '-', 'g'), '[^a-z0-9\\-]', '', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM pages)""")
+def title_slug(spark, sf_dir):
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", C.slug(title).alias("slug"))
+
+
+@query("""SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NULL THEN '$.k missing' WHEN CAST(json_extract(props, '$.k') AS BIGINT) >= 50 THEN '$.k over 49' END AS violation
+  FROM events WHERE json_extract(props, '$.k') IS NULL OR CAST(json_extract(props, '$.k') AS BIGINT) >= 50""")
+def contract_violations(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    broken = F.when(k.isNull(), "$.k missing").when(k >= 50, "$.k over 49")
+    return table(spark, sf_dir, "events").select("event_id", broken.alias("violation")).where("violation is not null")
+
+
+@query()
+def greedy_suppression(spark, sf_dir):
+    rows = beats(spark, sf_dir).select("user_id", "event_id", "start", "value")
+    return folds.greedy_suppression(rows, "user_id", "start", "value", 40_000.0)
+
+
+@query()
+def segment_filter(spark, sf_dir):
+    rows = quanta(spark, sf_dir).select("label", "which", "duration", (F.pmod(F.col("which"), F.lit(5)) / 10.0).alias("confidence"), F.col("v").alias("timbre"))
+    return folds.segment_filter(rows, "label").drop("timbre")
+
+
+@query()
+def grid_agreement(spark, sf_dir):
+    rows = beats(spark, sf_dir)
+    left, right = (rows.where(F.col("event_type") == x).select("user_id", "start") for x in ("view", "click"))
+    return folds.greedy_match(left, right, "user_id", 20_000.0)
+
+
+@query()
+def beat_path(spark, sf_dir):
+    return folds.beat_path(beats(spark, sf_dir), "user_id", "start", "value", 40_000.0, 10.0)
+
+
+@query()
+def adaptive_tatums(spark, sf_dir):
+    rows = beats(spark, sf_dir)
+    spans = purchase_spans(rows).select("user_id", "which", "start", (F.col("end") - F.col("start")).alias("duration"))
+    return folds.adaptive_tatums(spans, rows.where("event_type = 'view'").select("user_id", "start"), "user_id")
+
+
+@query()
+def walk_simulation(spark, sf_dir):
+    q, _, _, _, edges = similarity_graph(spark, sf_dir)
+    return walk.simulate(q.select("label", "which", F.lit(0.5).alias("duration")), edges, "label", 200)
