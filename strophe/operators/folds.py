@@ -10,11 +10,17 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def sorted_starts(pdf: pd.DataFrame) -> np.ndarray:
-    """The starts in order; a track that one side lacks comes as a frame without columns."""
-    return np.sort(pdf["start"].to_numpy(float)) if len(pdf) else np.empty(0)
+    """The starts in order; none for a track that this side lacks."""
+    return np.sort(pdf["start"].to_numpy(float)) if "start" in pdf.columns else np.empty(0)
+
+
+def renewed(df: DataFrame) -> DataFrame:
+    """The same columns as new ones, so that both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
 def greedy_suppression(df: DataFrame, track: str, x: str, score: str, spacing: float) -> DataFrame:
@@ -69,11 +75,12 @@ def greedy_match(reference: DataFrame, candidate: DataFrame, track: str, toleran
                 best = min(free, key=lambda k: (abs(starts[k] - value), k))
                 used.add(best)
                 errors.append(abs(starts[best] - value))
-        n, p, r = len(errors), len(errors) / max(1, len(cand)), len(errors) / max(1, len(ref))
-        return pd.DataFrame([[key[0], len(ref), len(cand), n, p, r, 2 * p * r / (p + r) if n else 0.0, float(np.mean(errors)) if n else None]], columns=["k", "n_ref", "n_cand", "matched", "precision", "recall", "f1", "mean_error"])
+        n, m = len(errors), len(sorted_starts(cand))
+        p, r = n / max(1, m), n / max(1, len(starts))
+        return pd.DataFrame([[key[0], len(starts), m, n, p, r, 2 * p * r / (p + r) if n else 0.0, float(np.mean(errors)) if n else None]], columns=["k", "n_ref", "n_cand", "matched", "precision", "recall", "f1", "mean_error"])
 
     kind = reference.schema[track].dataType.simpleString()
-    out = reference.groupBy(track).cogroup(candidate.groupBy(track)).applyInPandas(match, f"k {kind}, n_ref long, n_cand long, matched long, precision double, recall double, f1 double, mean_error double")
+    out = reference.groupBy(track).cogroup(renewed(candidate).groupBy(track)).applyInPandas(match, f"k {kind}, n_ref long, n_cand long, matched long, precision double, recall double, f1 double, mean_error double")
     return out.withColumnRenamed("k", track)
 
 
@@ -114,7 +121,7 @@ def adaptive_tatums(beats: DataFrame, peaks: DataFrame, track: str, most: float
 
     def split(key, b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         marks, rows = sorted_starts(p), []
-        for n, (start, length) in enumerate(b.sort_values("which")[["start", "duration"]].to_numpy(float) if len(b) else [], 1):
+        for n, (start, length) in enumerate(b.sort_values("which")[["start", "duration"]].to_numpy(float) if "start" in b.columns else [], 1):
             inside = int(np.searchsorted(marks, start + 0.9 * length) - np.searchsorted(marks, start + 0.1 * length))
             parts = min(4, max(2, inside + 1))
             while parts > 2 and len(rows) + parts > most * n:
@@ -123,4 +130,4 @@ def adaptive_tatums(beats: DataFrame, peaks: DataFrame, track: str, most: float
         return pd.DataFrame(rows, columns=["k", "which", "start", "duration"])
 
     kind = beats.schema[track].dataType.simpleString()
-    return beats.groupBy(track).cogroup(peaks.groupBy(track)).applyInPandas(split, f"k {kind}, which long, start double, duration double").withColumnRenamed("k", track)
+    return beats.groupBy(track).cogroup(renewed(peaks).groupBy(track)).applyInPandas(split, f"k {kind}, which long, start double, duration double").withColumnRenamed("k", track)
