@@ -105,7 +105,7 @@ def _sequences(rows: DataFrame, n: int, key: int, seq_len: int, payload: bool) -
 def materialise(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, rows_per_shard: int = ROWS_PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Writes the shards under ``path`` and returns the index: doc_id, seq, n_tokens, slot,
     shard, row (in its shard). One driver value, the number of sequences, is read back."""
-    rows = written(encoded(docs, seq_len, vocabulary), "encoded")
+    rows = written(encoded(docs, seq_len, vocabulary), "encoded", "zstd")
     sizes = rows.groupBy("part").agg(F.sum(F.ceil(F.col("n_tokens") / seq_len)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = written(sizes.select("part", "n", before.alias("start")), "starts")
