@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import cache, folds, graph, joins, summaries, timeline, walk
+from strophe.operators import cache, folds, frames, graph, joins, summaries, timeline, walk
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -466,3 +466,61 @@ def adaptive_tatums(spark, sf_dir):
 def walk_simulation(spark, sf_dir):
     q, _, _, _, edges = similarity_graph(spark, sf_dir)
     return walk.simulate(q.select("label", "which", F.lit(0.5).alias("duration")), edges, "label", 200)
+
+
+FRAME, HOP, RATE = 16, 8, 22_050.0
+
+_FRAMES = _BEATS + """,
+n AS (SELECT user_id, count(*) AS n FROM b GROUP BY user_id),
+f AS (SELECT user_id, unnest(range(CASE WHEN n <= 16 THEN 1 ELSE 1 + CAST(ceil((n - 16) / 8.0) AS BIGINT) END)) AS frame FROM n),
+x AS (SELECT user_id, frame, which - 8 * frame AS i, value AS x FROM f JOIN b USING (user_id) WHERE which BETWEEN 8 * frame AND 8 * frame + 15),
+m AS (SELECT user_id, frame, dim, sqrt(power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 15)) * cos(2 * pi() * i * dim / 16)), 2)
+  + power(sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 15)) * sin(2 * pi() * i * dim / 16)), 2)) AS x
+  FROM x, (SELECT unnest(range(9)) AS dim) GROUP BY user_id, frame, dim)"""
+
+
+def framed(spark, sf_dir: str) -> DataFrame:
+    return frames.cut(beats(spark, sf_dir).select("user_id", "which", "value"), "user_id", "which", "value", FRAME, HOP)
+
+
+def spectra(spark, sf_dir: str) -> DataFrame:
+    return framed(spark, sf_dir).select("user_id", "frame", frames.magnitudes("samples").alias("spectrum"))
+
+
+@query(f"WITH {_FRAMES} SELECT user_id, frame, round(sqrt(sum(x * x) / 16), 6) AS rms FROM x GROUP BY user_id, frame")
+def frame_rms(spark, sf_dir):
+    return framed(spark, sf_dir).select("user_id", "frame", F.round(frames.rms(F.col("samples")), 6).alias("rms"))
+
+
+@query(f"""WITH {_FRAMES},
+t AS (SELECT user_id, frame, sum(x) AS t FROM m GROUP BY user_id, frame),
+s AS (SELECT m.user_id, m.frame, dim, CASE WHEN t > 1e-12 THEN x / t ELSE 0 END AS x FROM m JOIN t ON m.user_id = t.user_id AND m.frame = t.frame),
+g AS (SELECT user_id, frame, sum(g) AS g FROM (SELECT user_id, frame, greatest(x - coalesce(lag(x) OVER (PARTITION BY user_id, dim ORDER BY frame), x), 0) AS g FROM s) GROUP BY user_id, frame)
+SELECT user_id, frame, round(CASE WHEN max(g) OVER (PARTITION BY user_id) > 0 THEN g / max(g) OVER (PARTITION BY user_id) ELSE 0 END, 6) AS flux FROM g""")
+def spectral_flux(spark, sf_dir):
+    return frames.spectral_flux(spectra(spark, sf_dir), "user_id").select("user_id", "frame", F.round("flux", 6).alias("flux"))
+
+
+@query(f"""WITH {_FRAMES},
+h AS (SELECT *, median(x) OVER (PARTITION BY user_id, dim ORDER BY frame ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS h,
+  median(x) OVER (PARTITION BY user_id, frame ORDER BY dim ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) / 4 AS p FROM m)
+SELECT user_id, frame, CAST(dim AS INTEGER) AS dim, round(x * h / (h + p + 1e-12), 6) AS harmonic, round(x * p / (h + p + 1e-12), 6) AS percussive FROM h""")
+def harmonic_separation(spark, sf_dir):
+    out = frames.separate(spectra(spark, sf_dir), "user_id")
+    return out.select("user_id", "frame", "dim", F.round("harmonic", 6).alias("harmonic"), F.round("percussive", 6).alias("percussive"))
+
+
+@query()
+def onset_envelope(spark, sf_dir):
+    return frames.onset_envelope(spectra(spark, sf_dir), "user_id", RATE, FRAME).select("user_id", "frame", F.round("onset", 6).alias("onset"))
+
+
+@query()
+def frame_chroma(spark, sf_dir):
+    return frames.chroma(spectra(spark, sf_dir), "user_id", RATE, FRAME).select("user_id", "frame", F.transform("chroma", lambda x: F.round(x, 6)).alias("chroma"))
+
+
+@query()
+def frame_cepstrum(spark, sf_dir):
+    rows = spectra(spark, sf_dir).withColumn("cepstrum", frames.cepstrum(RATE, FRAME)("spectrum"))
+    return frames.with_deltas(rows, "user_id", "cepstrum").select("user_id", "frame", F.transform("cepstrum", lambda x: F.round(x, 6)).alias("cepstrum"))
