@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,14 +34,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy", **options) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, and a
     lost executor costs a reread. The files go when the cluster clears that folder."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path, compression=compression)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def releasing_shuffles(spark: SparkSession):
+    """Inside, the shuffle files of a finished write are deleted at once, not when the driver
+    happens to collect garbage. A write that is still running keeps what it may need again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and the fields of ``ddl`` after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -9,8 +9,9 @@ records in slot order, so a reader finds any slot by division and resumes anywhe
 A record is ``seq_len`` little-endian 16-bit ids and a 16-bit zero that ends it (the text
 writer's line separator), so a file maps to an array of shape (rows, seq_len + 1).
 
-Records are shuffled as zstandard frames, with a dictionary learned from the first sequences
-of DICTIONARY_RECORDS documents at most. It changes the shuffle's size only, never a shard.
+The shards are written in WAVES runs of consecutive shards. A wave reads the encoded table
+again, but shuffles its own records only, and its shuffle files go when its shards stand, so
+the disk never holds the whole shuffle.
 
 Scan order follows the input's partitions: the same files and settings give the same order.
 
@@ -26,12 +27,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import new_path, written
+from strophe.llm.common import new_path, releasing_shuffles, written
 
 SEQ_LEN = 512
 ROWS_PER_SHARD = 8_192
@@ -40,8 +40,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PAD = 50_256
 RECORD_END = "\u0000\u0000"
 ROUNDS = 6
-LEVEL = 6
-DICTIONARY_RECORDS, DICTIONARY_BYTES, DICTIONARY_PARTS = 2_000, 112_640, 16
+WAVES = 3
 
 
 def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -82,47 +81,14 @@ def encoded(docs: DataFrame, seq_len: int, vocabulary: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, first long, n_tokens long, tokens binary")
 
 
-def frame_dictionary(rows: DataFrame, docs: int, last: int, seq_len: int) -> bytes:
-    """A dictionary for the frames of single records, from hashed documents of partitions spread
-    evenly over 0..last. Empty where there is too little to learn from."""
-    parts = sorted({last * k // (DICTIONARY_PARTS - 1) for k in range(DICTIONARY_PARTS)})
-    step = max(1, docs * len(parts) // ((last + 1) * 2 * DICTIONARY_RECORDS))
-    picked = rows.where(F.col("part").isin(parts) & (F.col("n_tokens") > 0) & (F.pmod(F.xxhash64("part", "first"), F.lit(step)) == 0))
-    samples = [bytes(r[0]) for r in picked.select(F.substring("tokens", 1, 2 * seq_len)).limit(DICTIONARY_RECORDS).collect()]
-    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 10)
-    if size < 1_024:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
-
-
-def _frames(learned: bytes) -> dict:
-    return {"dict_data": zstandard.ZstdCompressionDict(learned)} if learned else {}
-
-
-def _expanded(rows: DataFrame, learned: bytes, seq_len: int) -> DataFrame:
-    """shard, slot, record: the frames of ``_sequences`` as padded records again."""
-
-    def run(batches):
-        expand, pad = zstandard.ZstdDecompressor(**_frames(learned)).decompress, struct.pack("<H", PAD) * seq_len
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                cut = batch.slice(at, 2_000)
-                records = [expand(x) for x in cut.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array([x + pad[len(x) :] for x in records], pa.binary())], names=["shard", "slot", "record"])
-
-    return rows.select("shard", "slot", "record").mapInArrow(run, "shard int, slot long, record binary")
-
-
-def _sequences(rows: DataFrame, n: int, key: int, seq_len: int, payload: bool, learned: bytes = b"") -> DataFrame:
-    """Index rows; with ``payload`` also each record as a zstandard frame, not padded."""
+def _sequences(rows: DataFrame, n: int, key: int, seq_len: int, slots_of: range | None = None) -> DataFrame:
+    """Index rows; with ``slots_of`` those of its slots only, each with its padded record."""
+    payload = slots_of is not None
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "seq", "n_tokens", "slot", *["record"] * payload]
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=LEVEL, **_frames(learned)).compress
+        pad = struct.pack("<H", PAD) * seq_len
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 cut = batch.slice(at, 200)
@@ -132,34 +98,39 @@ def _sequences(rows: DataFrame, n: int, key: int, seq_len: int, payload: bool, l
                 seq = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
                 sizes = np.minimum(seq_len, counts[owner] - seq * seq_len)
                 slots = feistel(cut.column(1).to_numpy()[owner] + seq, n, key)
+                if payload:
+                    mine = np.flatnonzero((slots >= slots_of.start) & (slots < slots_of.stop))
+                    owner, seq, sizes, slots = owner[mine], seq[mine], sizes[mine], slots[mine]
                 out = [cut.column(0).take(pa.array(owner)), pa.array(seq), pa.array(sizes), pa.array(slots)]
                 if payload:
                     tokens = cut.column(3).to_pylist()
                     cuts = [tokens[o][2 * seq_len * s : 2 * seq_len * (s + 1)] for o, s in zip(owner, seq, strict=True)]
-                    out.append(pa.array([squeeze(x) for x in cuts], pa.binary()))
+                    out.append(pa.array([x + pad[len(x) :] for x in cuts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     columns = ["doc_id", "number", "n_tokens", *["tokens"] * payload]
     return rows.select(*columns).mapInArrow(run, f"doc_id {kind}, seq long, n_tokens long, slot long" + ", record binary" * payload)
 
 
-def materialise(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, rows_per_shard: int = ROWS_PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+def materialise(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, rows_per_shard: int = ROWS_PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY, waves: int = WAVES) -> DataFrame:
     """Writes the shards under ``path`` and returns the index: doc_id, seq, n_tokens, slot,
-    shard, row (in its shard). The driver reads back three totals and the dictionary's samples."""
-    rows = written(encoded(docs, seq_len, vocabulary), "encoded", "zstd", **{"parquet.compression.codec.zstd.level": LEVEL})
-    sizes = rows.groupBy("part").agg(F.sum(F.ceil(F.col("n_tokens") / seq_len)).alias("n"), F.count("*").alias("docs"))
+    shard, row (in its shard). One driver value, the number of sequences, is read back."""
+    rows = written(encoded(docs, seq_len, vocabulary), "encoded", "zstd")
+    sizes = rows.groupBy("part").agg(F.sum(F.ceil(F.col("n_tokens") / seq_len)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(sizes.select("part", "n", "docs", before.alias("start")), "starts")
-    n, n_docs, last = starts.agg(F.sum("n"), F.sum("docs"), F.max("part")).first()
+    starts = written(sizes.select("part", "n", before.alias("start")), "starts")
+    n = starts.agg(F.sum("n")).first()[0] or 0
     numbered = rows.join(starts, "part").withColumn("number", F.col("start") + F.col("first"))
     shard = F.floor(F.col("slot") / rows_per_shard).cast("int")
-    if n:
-        learned = frame_dictionary(rows, n_docs, last, seq_len)
-        out = _sequences(numbered, n, key, seq_len, True, learned).select(shard.alias("shard"), "slot", "record")
-        out = out.repartitionById(-(-n // rows_per_shard), F.col("shard"))
-        out = _expanded(out, learned, seq_len).sortWithinPartitions("shard", "slot")
-        out.select(F.col("record").cast("string").alias("value"), "shard").write.option("lineSep", RECORD_END).partitionBy("shard").text(path)
-    return _sequences(numbered, n or 0, key, seq_len, False).select("*", shard.alias("shard"), (F.col("slot") % rows_per_shard).alias("row"))
+    n_shards = -(-n // rows_per_shard)
+    step = max(1, -(-n_shards // waves))
+    with releasing_shuffles(docs.sparkSession):
+        for first in range(0, n_shards, step):
+            last = min(first + step, n_shards)
+            out = _sequences(numbered, n, key, seq_len, range(first * rows_per_shard, last * rows_per_shard)).select(shard.alias("shard"), "slot", "record")
+            out = out.repartitionById(last - first, F.col("shard") - first).sortWithinPartitions("shard", "slot")
+            out.select(F.col("record").cast("string").alias("value"), "shard").write.mode("append").option("lineSep", RECORD_END).partitionBy("shard").text(path)
+    return _sequences(numbered, n, key, seq_len).select("*", shard.alias("shard"), (F.col("slot") % rows_per_shard).alias("row"))
 
 
 def read_records(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, rows_per_shard: int = ROWS_PER_SHARD, first_slot: int = 0) -> DataFrame:

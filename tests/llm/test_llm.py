@@ -158,13 +158,12 @@ def test_training_order_round_trip(spark, odd, none, tmp_path):
     assert ordering.ordered(none).count() == 0
 
 
-def test_training_order_with_a_learned_dictionary(spark, tmp_path):
+def test_training_order_in_waves_of_shards(spark, tmp_path):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
-    rows = ordering.encoded(docs, 512, ordering.VOCABULARY).persist()
-    assert len(ordering.frame_dictionary(rows, rows.count(), rows.agg({"part": "max"}).first()[0], 512)) > 1_024
     path = f"file://{tmp_path}/shards"
-    index = ordering.materialise(docs, path).collect()
-    data = {r.slot: np.frombuffer(r.tokens, np.uint16) for r in ordering.read_records(spark, path).collect()}
+    index = ordering.materialise(docs, path, rows_per_shard=100).collect()
+    assert max(r.shard for r in index) >= ordering.WAVES
+    data = {r.slot: np.frombuffer(r.tokens, np.uint16) for r in ordering.read_records(spark, path, rows_per_shard=100).collect()}
     assert sorted(data) == sorted(r.slot for r in index) == list(range(len(index)))
     encode, texts = tokencounts.encoding(ordering.VOCABULARY).encode_ordinary, {d.doc_id: d.text for d in docs.collect()}
     ids = {k: encode(t or "") for k, t in texts.items()}
