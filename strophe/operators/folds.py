@@ -62,19 +62,26 @@ def segment_filter(df: DataFrame, track: str, distance: float = 1.0, confidence:
     return df.groupBy(track).applyInPandas(merge, df.schema)
 
 
+def claim(starts: np.ndarray, values: np.ndarray, tolerance: float) -> list[float]:
+    """The errors of the values that, in order, take the nearest unused start within ``tolerance``."""
+    used, errors = set(), []
+    for value in values:
+        low, high = np.searchsorted(starts, [value - tolerance, value + tolerance + 1e-12])
+        free = [k for k in range(low, high) if k not in used and abs(starts[k] - value) <= tolerance]
+        if free:
+            best = min(free, key=lambda k: (abs(starts[k] - value), k))
+            used.add(best)
+            errors.append(abs(starts[best] - value))
+    return errors
+
+
 def greedy_match(reference: DataFrame, candidate: DataFrame, track: str, tolerance: float, offset: float = 0.0) -> DataFrame:
     """track, n_ref, n_cand, matched, precision, recall, f1, mean_error: candidates in order
     take the nearest unused reference within ``tolerance`` of their shifted start."""
 
     def match(key, ref: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
-        starts, used, errors = sorted_starts(ref), set(), []
-        for value in sorted_starts(cand) + offset:
-            low, high = np.searchsorted(starts, [value - tolerance, value + tolerance + 1e-12])
-            free = [k for k in range(low, high) if k not in used and abs(starts[k] - value) <= tolerance]
-            if free:
-                best = min(free, key=lambda k: (abs(starts[k] - value), k))
-                used.add(best)
-                errors.append(abs(starts[best] - value))
+        starts = sorted_starts(ref)
+        errors = claim(starts, sorted_starts(cand) + offset, tolerance)
         n, m = len(errors), len(sorted_starts(cand))
         p, r = n / max(1, m), n / max(1, len(starts))
         return pd.DataFrame([[key[0], len(starts), m, n, p, r, 2 * p * r / (p + r) if n else 0.0, float(np.mean(errors)) if n else None]], columns=["k", "n_ref", "n_cand", "matched", "precision", "recall", "f1", "mean_error"])

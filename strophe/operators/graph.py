@@ -6,6 +6,8 @@ keyed by track, so work spreads by track and no join leaves it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -273,3 +275,19 @@ def self_similarity_novelty(quanta: DataFrame, track: str, vector: str, r: int =
     kernel = F.signum(x * y) * F.exp(-(x * x + y * y) / (2.0 * (r / 2.0) ** 2))
     spread = spread.join(quanta.select(track, "which"), [track, "which"], "left_semi")
     return spread.groupBy(track, "which").agg(F.greatest(F.lit(0.0), F.sum(F.col("s") * kernel)).alias("novelty"))
+
+
+def layout(edges: DataFrame, sizes: DataFrame, track: str, most: int = 650, per_beat: int = 12) -> DataFrame:
+    """The edges to draw on a circle: the ``most`` best of a track by quality and id, with
+    src_angle, dst_angle, quality and highlighted (among ``per_beat`` best of their beat).
+
+    ``edges`` has track, id, src, dst, distance; ``sizes`` track, n.
+    """
+    quality = F.when(F.col("distance").isNull() | F.isnan("distance") | (F.abs("distance") == float("inf")), 0.35).when(F.col("distance") <= 0, 1.0).otherwise(1 / (1 + F.col("distance")))
+    rows = edges.where("src <> dst").withColumn("quality", F.greatest(F.lit(0.15), F.least(F.lit(1.0), quality)))
+    own = Window.partitionBy(track, "src").orderBy(F.desc("quality"), "dst", "id")
+    rows = rows.withColumn("highlighted", F.row_number().over(own) <= per_beat)
+    best = Window.partitionBy(track).orderBy(F.desc("quality"), "id")
+    rows = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).join(sizes, track)
+    angle = {f"{x}_angle": F.col(x) / F.col("n") * (2 * math.pi) - math.pi / 2 for x in ("src", "dst")}
+    return rows.withColumns(angle).drop("_r", "n")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import cache, folds, frames, graph, joins, summaries, timeline, walk
+from strophe.operators import cache, evidence, folds, frames, graph, grids, hierarchy, joins, summaries, timeline, walk
+from strophe.sources import exports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -524,3 +525,157 @@ def frame_chroma(spark, sf_dir):
 def frame_cepstrum(spark, sf_dir):
     rows = spectra(spark, sf_dir).withColumn("cepstrum", frames.cepstrum(RATE, FRAME)("spectrum"))
     return frames.with_deltas(rows, "user_id", "cepstrum").select("user_id", "frame", F.transform("cepstrum", lambda x: F.round(x, 6)).alias("cepstrum"))
+
+
+def confident(spark, sf_dir: str) -> DataFrame:
+    """Beats with a confidence, a loudness and peaks."""
+    columns = {"confidence": F.least(F.col("value") / 100, F.lit(1.0)), "loudness": F.col("event_id") % 7 / 7, "peak": F.col("event_type") == "purchase"}
+    return beats(spark, sf_dir).withColumns(columns)
+
+
+_CONFIDENT = _BEATS + """,
+d AS (SELECT *, least(value / 100, 1) AS confidence, coalesce(lead(start) OVER w - start, start - lag(start) OVER w, 0.5) AS duration FROM b WINDOW w AS (PARTITION BY user_id ORDER BY which))"""
+
+
+@query(f"""WITH {_CONFIDENT} SELECT user_id, (which - 1) // 4 AS bar, round(arg_min(start, which), 6) AS start, round(greatest(0, arg_max(start + duration, which) - arg_min(start, which)), 6) AS duration,
+  round(avg(confidence), 6) AS confidence FROM d WHERE which >= 1 GROUP BY user_id, (which - 1) // 4""")
+def bars(spark, sf_dir):
+    return rounded(hierarchy.bars(confident(spark, sf_dir), "user_id", 4, F.lit(1)), "start", "duration", "confidence")
+
+
+@query(f"""WITH {_CONFIDENT} SELECT user_id, 2 * which + k AS which, round(start + k * (duration / 2), 6) AS start, round(duration / 2, 6) AS duration, round(confidence, 6) AS confidence
+  FROM d, (SELECT unnest([0, 1]) AS k)""")
+def tatums(spark, sf_dir):
+    return rounded(hierarchy.tatums(confident(spark, sf_dir), "user_id"), "start", "duration", "confidence")
+
+
+@query(f"""WITH {_CONFIDENT},
+  a AS (SELECT user_id, least(greatest(confidence * 0.75 + event_id % 7 / 7 * 0.25, 0), 1) AS accent, which % 4 AS phase, which // 16 AS phrase, lead(start, 4) OVER w - start AS gap,
+    bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY which ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, event_type = 'purchase' AS peak FROM d WINDOW w AS (PARTITION BY user_id ORDER BY which)),
+  o AS (SELECT user_id, phase, count(*) AS n, sum(accent) AS s, stddev_pop(gap) AS sd, avg(gap) AS gap, count_if(near) AS hits, bool_or(peak) AS peak FROM a GROUP BY user_id, phase),
+  x AS (SELECT user_id, phase, phrase, avg(accent) AS x FROM a GROUP BY user_id, phase, phrase HAVING count(*) = 4),
+  c AS (SELECT user_id, phase, avg(change) AS change FROM (SELECT user_id, phase, abs(x - lag(x) OVER (PARTITION BY user_id, phase ORDER BY phrase)) AS change FROM x) GROUP BY user_id, phase),
+  t AS (SELECT user_id, sum(n) AS n, sum(s) AS s, bool_or(peak) AS peak FROM o GROUP BY user_id),
+  s AS (SELECT user_id, phase, t.n AS total, 0.35 * least(greatest(0.5 + o.s / o.n - CASE WHEN t.n > o.n THEN (t.s - o.s) / (t.n - o.n) ELSE 0 END, 0), 1)
+    + 0.20 * CASE WHEN o.n < 3 OR gap IS NULL THEN 0 ELSE least(greatest(1 - sd / greatest(1e-6, gap) / 0.08, 0), 1) END
+    + 0.20 * CASE WHEN o.n < 8 OR change IS NULL THEN 0.5 ELSE least(greatest(0.5 + change, 0), 1) END
+    + 0.25 * CASE WHEN t.peak THEN least(2 * hits / o.n, 1) ELSE 0.5 END AS score FROM o JOIN t USING (user_id) LEFT JOIN c USING (user_id, phase)),
+  f AS (SELECT user_id, any_value(total) AS total, arg_max(phase, {{'score': score, 'm': -phase}}) AS phase, max(score) AS top, max(score) FILTER (phase = 0) AS first FROM s GROUP BY user_id)
+  SELECT user_id, CASE WHEN total >= 16 AND top >= first + 0.05 THEN phase ELSE 0 END AS phase, round(CASE WHEN total >= 16 AND top >= first + 0.05 THEN top ELSE first END, 6) AS score, round(first, 6) AS first_score FROM f""")
+def bar_phase(spark, sf_dir):
+    return rounded(hierarchy.bar_phase(confident(spark, sf_dir), "user_id"), "score", "first_score")
+
+
+@query(f"""WITH {_CONFIDENT}, r AS (SELECT user_id, which // 4 AS bar, arg_min(start, which) AS start FROM d GROUP BY user_id, which // 4),
+  z AS (SELECT user_id, max(start + duration) AS whole, CASE WHEN max(start + duration) >= 2500000 THEN 3 ELSE 2 END AS step, max(which // 4) + 1 AS bars FROM d GROUP BY user_id),
+  f AS (SELECT user_id, bar, start, whole, lead(start) OVER (PARTITION BY user_id ORDER BY bar) AS nx FROM r JOIN z USING (user_id) WHERE whole > 60 AND bars >= 4 AND bar % step = 0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bar) - 1 AS which FROM (SELECT *, greatest(0, coalesce(nx, whole) - start) AS duration FROM f) WHERE duration >= 150000 OR nx IS NULL),
+  m AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM k WHERE which < 4),
+  y AS (SELECT user_id, which, start, CASE WHEN which = n - 1 AND start + duration < whole THEN whole - start ELSE duration END AS duration FROM m WHERE n >= 2)
+  SELECT user_id, which, round(start, 6) AS start, round(duration, 6) AS duration FROM y UNION ALL SELECT user_id, 0, 0.0, round(whole, 6) FROM z WHERE whole > 0 AND user_id NOT IN (SELECT user_id FROM y)""")
+def fixed_sections(spark, sf_dir):
+    rows = confident(spark, sf_dir)
+    ends = rows.groupBy("user_id").agg(F.max(F.col("start") + F.col("duration")).alias("duration"))
+    return rounded(hierarchy.sections(hierarchy.bars(rows, "user_id"), ends, "user_id", 2, 3, 2_500_000.0, 60.0, 150_000.0, 4), "start", "duration")
+
+
+_LAGS = """h AS (SELECT event_type, CAST(floor((epoch_us(ts) - 1704067200000000) / 1e6 / 3600) AS BIGINT) AS hour, sum(value) AS x FROM events GROUP BY ALL),
+p AS (SELECT a.event_type, b.hour - a.hour AS lag, avg(a.x * b.x) * exp(-0.5 * pow(log2(60.0 * 12 / (b.hour - a.hour) / 200.0), 2)) AS score
+  FROM h a JOIN h b ON a.event_type = b.event_type AND b.hour - a.hour BETWEEN 1 AND 48 GROUP BY a.event_type, b.hour - a.hour)"""
+
+
+def lag_scores(spark, sf_dir: str) -> DataFrame:
+    rows = beats(spark, sf_dir).groupBy("event_type", F.floor(F.col("start") / 3600).alias("hour")).agg(F.sum("value").alias("x"))
+    found = timeline.autocorrelation(rows, "event_type", "hour", "x", 1, 48)
+    return found.select("event_type", F.col("lag").cast("long").alias("lag"), (F.col("r") * timeline.tempo_weight(F.col("lag"), 12.0, 200.0)).alias("score"))
+
+
+@query(f"""WITH {_LAGS}, m AS (SELECT event_type, arg_max(lag, {{'score': score, 'm': -lag}}) AS lag, max(score) AS score FROM p GROUP BY event_type),
+  x AS (SELECT m.event_type, m.lag, 720.0 / m.lag AS bpm, 360.0 / m.lag AS slow, m.score, p.score AS other FROM m LEFT JOIN p ON p.event_type = m.event_type AND p.lag = 2 * m.lag),
+  y AS (SELECT *, coalesce(bpm >= 170 AND slow BETWEEN 75 AND 135 AND other >= score * CASE WHEN slow BETWEEN 90 AND 120 THEN 0.45 ELSE 0.6 END, false) AS halved FROM x)
+  SELECT event_type, CASE WHEN halved THEN 2 * lag ELSE lag END AS lag, round(720.0 / CASE WHEN halved THEN 2 * lag ELSE lag END, 6) AS bpm, halved FROM y""")
+def half_time_tempo(spark, sf_dir):
+    return rounded(hierarchy.half_time(lag_scores(spark, sf_dir), "event_type", 12.0), "bpm")
+
+
+@query(f"""WITH {_LAGS}, c AS (SELECT *, 720.0 / lag AS bpm FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, lag) AS i FROM p) WHERE i <= 3),
+  t AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest(['own', 'half', 'double', 'three-quarter', 'four-third']) AS origin, unnest([1.0::DOUBLE, 0.5, 2.0, 0.75, 4.0::DOUBLE / 3.0]) AS f),
+  x AS (SELECT event_type, bpm * f AS bpm, CASE WHEN k = 0 THEN lag ELSE greatest(1, CAST(round_even(lag * bpm / (bpm * f), 0) AS BIGINT)) END AS lag, score * CASE WHEN k = 0 THEN 1.0 ELSE 0.92 END AS score, origin, k FROM c, t WHERE k = 0 OR bpm * f BETWEEN 60 AND 200),
+  y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type, round_even(bpm, 3) ORDER BY score DESC, k, lag) AS i FROM x) WHERE i = 1)
+  SELECT event_type, rank, round(bpm, 6) AS bpm, lag, round(score, 6) AS score, origin FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, k, lag) AS rank FROM y) WHERE rank <= 5""")
+def harmonic_tempos(spark, sf_dir):
+    best = F.row_number().over(timeline.Window.partitionBy("event_type").orderBy(F.desc("score"), "lag"))
+    top = lag_scores(spark, sf_dir).withColumn("_i", best).where("_i <= 3").withColumn("bpm", 720.0 / F.col("lag"))
+    return rounded(hierarchy.harmonic_tempos(top, "event_type", 5), "bpm", "score")
+
+
+def _top(*names: str) -> str:
+    return ", ".join(f"greatest(1e-9, list_sort(list({x}))[CAST(round_even((count(*) - 1) * 0.95, 0) AS INT) + 1]) AS t_{x}" for x in names)
+
+
+def _scaled(*names: str) -> str:
+    return ", ".join(f"least(greatest({x} / t_{x}, 0), 1) AS {x}" for x in names)
+
+
+_FIRST, _SECOND = ("onset", "flux", "rms_delta", "mfcc_delta", "chroma_delta"), ("novelty", "low", "mid", "high")
+
+
+@query(f"""WITH {_QUANTA},
+  d AS (SELECT label, which, abs(v[26]) AS onset, abs(v[27]) AS flux, coalesce(greatest(0, abs(v[28]) - lag(abs(v[28])) OVER w), 0) AS rms_delta,
+    coalesce(list_distance(v[1:13], lag(v[1:13]) OVER w), 0) AS mfcc_delta, coalesce(list_distance(v[14:25], lag(v[14:25]) OVER w), 0) AS chroma_delta FROM q WINDOW w AS (PARTITION BY label ORDER BY which)),
+  p AS (SELECT label, {_top(*_FIRST)} FROM d GROUP BY label), n AS (SELECT label, which, {_scaled(*_FIRST)} FROM d JOIN p USING (label)),
+  g AS (SELECT *, (mfcc_delta + chroma_delta + rms_delta) / 3 AS novelty, avg(flux) OVER (PARTITION BY label ORDER BY which ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS low,
+    avg((flux + mfcc_delta) / 2) OVER (PARTITION BY label ORDER BY which ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS mid, greatest(0, onset - 0.35 * flux) AS high FROM n),
+  r AS (SELECT label, {_top(*_SECOND)} FROM g GROUP BY label), o AS (SELECT label, which, onset, rms_delta, mfcc_delta, chroma_delta, {_scaled(*_SECOND)} FROM g JOIN r USING (label))
+  SELECT label, which, round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high, round(novelty, 6) AS novelty,
+    round(least(0.35 * onset + 0.20 * low + 0.15 * mid + 0.10 * rms_delta + 0.10 * mfcc_delta + 0.05 * chroma_delta + 0.05 * novelty, 1), 6) AS evidence FROM o""")
+def composite_evidence(spark, sf_dir):
+    at = {x: F.abs(F.element_at("v", k)) for x, k in (("onset", 26), ("flux", 27), ("rms", 28))}
+    rows = quanta(spark, sf_dir).select("label", "which", *[c.alias(x) for x, c in at.items()], F.slice("v", 1, 13).alias("mfcc"), F.slice("v", 14, 12).alias("chroma"))
+    return rounded(evidence.composite(rows, "label", "which").select("label", "which", "low", "mid", "high", "novelty", "evidence"), "low", "mid", "high", "novelty", "evidence")
+
+
+_WAY = "src || ':' || dst || ':' || CASE WHEN dst < src THEN 'backward' ELSE 'forward' END, ',' ORDER BY src, dst"
+
+
+@query(f"""WITH {_EDGES}, x AS (SELECT label, count(*) AS n_candidates, string_agg({_WAY}) AS candidates FROM k GROUP BY label),
+  y AS (SELECT label, count(*) AS n_active, string_agg({_WAY}) AS active FROM e GROUP BY label)
+  SELECT label, active, candidates, coalesce(n_active, 0) AS n_active, n_candidates FROM x LEFT JOIN y USING (label)""")
+def branch_documents(spark, sf_dir):
+    _, _, near, _, edges = similarity_graph(spark, sf_dir)
+    text = {x: F.array_join(F.transform(x, lambda b: F.concat_ws(":", b["from_beat"], b["to_beat"], b["direction"])), ",") for x in ("active", "candidates")}
+    return exports.branch_documents(edges, near, "label").withColumns(text)
+
+
+@query(f"WITH {_BEATS} SELECT user_id, count(*) AS n_beats, CAST(ceil(count(*) / 4) AS BIGINT) AS n_bars, 2 * count(*) AS n_tatums FROM b GROUP BY user_id")
+def track_summary(spark, sf_dir):
+    rows = confident(spark, sf_dir)
+    return exports.summary({"beats": rows, "bars": hierarchy.bars(rows, "user_id"), "tatums": hierarchy.tatums(rows, "user_id")}, "user_id")
+
+
+@query(f"""WITH {_EDGES}, x AS (SELECT label, src * 100000 + dst AS id, src, dst, greatest(0.15, least(1, CASE WHEN distance <= 0 THEN 1 ELSE 1 / (1 + distance) END)) AS quality FROM e),
+  y AS (SELECT *, row_number() OVER (PARTITION BY label, src ORDER BY quality DESC, dst, id) <= 2 AS highlighted, row_number() OVER (PARTITION BY label ORDER BY quality DESC, id) AS r FROM x)
+  SELECT label, id, src, dst, round(quality, 6) AS quality, highlighted, round(src / n * (2 * pi()) - pi() / 2, 6) AS src_angle, round(dst / n * (2 * pi()) - pi() / 2, 6) AS dst_angle FROM y JOIN s USING (label) WHERE r <= 40""")
+def graph_layout(spark, sf_dir):
+    _, n, _, _, edges = similarity_graph(spark, sf_dir)
+    drawn = graph.layout(edges.select("label", (F.col("src").cast("long") * 100_000 + F.col("dst")).alias("id"), "src", "dst", "distance"), n, "label", 40, 2)
+    return rounded(drawn.drop("distance"), "quality", "src_angle", "dst_angle")
+
+
+def two_grids(spark, sf_dir: str):
+    """Two grids of a user, with 40,000 seconds taken for one."""
+    rows = beats(spark, sf_dir).select("user_id", (F.col("start") / 40_000).alias("start"), "event_type")
+    return rows.where("event_type <> 'click'").drop("event_type"), rows.where("event_type <> 'view'").drop("event_type")
+
+
+@query()
+def grid_alignment(spark, sf_dir):
+    left, right = two_grids(spark, sf_dir)
+    windows = grids.compared_windows(left, right, "user_id").persist()
+    return rounded(grids.alignment(left, right, windows, "user_id"), "count_ratio", "zero_f1", "best_f1")
+
+
+@query()
+def weak_windows(spark, sf_dir):
+    out = grids.weak_windows(grids.compared_windows(*two_grids(spark, sf_dir), "user_id"))
+    return rounded(out.drop("reference", "candidate").withColumn("reasons", F.array_join("reasons", ",")), "start", "end", "zero_f1", "best_f1", "weakness", "strength", "readiness")
