@@ -38,7 +38,19 @@ class Walk:
     def __init__(self, durations: list[float], out: dict[int, list[tuple[float, int]]], seed: int, options: WalkOptions = WalkOptions()):
         self.durations, self.out, self.options = durations, out, options
         self.random = random.Random(seed)
-        self.chance, self.since, self.passed, self.last = options.least_chance, options.cooldown, False, {}
+        self.reset()
+
+    def reset(self) -> None:
+        """As at the start, but for the random numbers already drawn."""
+        self.chance, self.since, self.passed, self.last = self.options.least_chance, self.options.cooldown, False, {}
+
+    def kept(self) -> tuple:
+        """What a later ``Walk`` over the same graph goes on from."""
+        return self.chance, self.since, self.passed, self.last, self.random.getstate()
+
+    def go_on(self, kept: tuple) -> None:
+        self.chance, self.since, self.passed, self.last, drawn = kept
+        self.random.setstate(drawn)
 
     def leads_out(self, beat: int, depth: int, seen: set) -> bool:
         """Whether a beat in the end zone has a way out: a jump within the next beats that
@@ -81,21 +93,31 @@ class Walk:
         return dst, seed, "jump" if seed < o.end_zone * n else "forced-in-end-zone"
 
 
+def track_graphs(quanta: DataFrame, edges: DataFrame, track: str) -> DataFrame:
+    """track, beats, graph: what a walk needs of a track in one row."""
+    beats = quanta.groupBy(track).agg(F.array_sort(F.collect_list(F.struct("which", "duration"))).alias("beats"))
+    graph = adjacency(edges, track).groupBy(track).agg(F.collect_list(F.struct("src", "out")).alias("graph"))
+    return beats.join(graph, track, "left")
+
+
+def walk_of(beats, graph, key: str, options: WalkOptions) -> Walk:
+    """The walk over a row of ``track_graphs``, its seed made from ``key``."""
+    out = {int(g["src"]): [(e["distance"], int(e["dst"])) for e in g["out"]] for g in (graph if graph is not None else [])}
+    return Walk([b["duration"] for b in beats], out, zlib.crc32(key.encode()), options)
+
+
 def simulate(quanta: DataFrame, edges: DataFrame, track: str, steps: int, seed: int = 7, options: WalkOptions = WalkOptions()) -> DataFrame:
     """track, step, beat, next, jump_from, reason for ``steps`` beats of every track.
 
     ``quanta`` has track, which, duration; the seed of a track is ``seed`` and its key.
     """
-    beats = quanta.groupBy(track).agg(F.array_sort(F.collect_list(F.struct("which", "duration"))).alias("beats"))
-    graph = adjacency(edges, track).groupBy(track).agg(F.collect_list(F.struct("src", "out")).alias("graph"))
-    rows = beats.join(graph, track, "left")
+    rows = track_graphs(quanta, edges, track)
     kind = quanta.schema[track].dataType.simpleString()
 
     def run(frames):
         for pdf in frames:
             for row in pdf.itertuples(index=False):
-                out = {int(g["src"]): [(e["distance"], int(e["dst"])) for e in g["out"]] for g in (row.graph if row.graph is not None else [])}
-                walk, beat, found = Walk([b["duration"] for b in row.beats], out, zlib.crc32(f"{seed}:{row[0]}".encode()), options), 0, []
+                walk, beat, found = walk_of(row.beats, row.graph, f"{seed}:{row[0]}", options), 0, []
                 for step in range(steps):
                     after, source, reason = walk.decide(beat)
                     found.append((row[0], step, beat, after, source, reason))

@@ -679,3 +679,11 @@ def grid_alignment(spark, sf_dir):
 def weak_windows(spark, sf_dir):
     out = grids.weak_windows(grids.compared_windows(*two_grids(spark, sf_dir), "user_id"))
     return rounded(out.drop("reference", "candidate").withColumn("reasons", F.array_join("reasons", ",")), "start", "end", "zero_f1", "best_f1", "weakness", "strength", "readiness")
+
+
+@query()
+def window_correction(spark, sf_dir):
+    left, right = two_grids(spark, sf_dir)
+    windows = grids.weak_windows(grids.compared_windows(left, right, "user_id")).persist()
+    out = grids.corrected(left, right, windows, "user_id")
+    return out.select("user_id", "n_reference", "n_windows", F.coalesce(F.size("corrected"), F.lit(0)).alias("n_corrected"), "reason")

@@ -73,3 +73,15 @@ def test_agreement_equals_claims_in_turn():
         a, b = (np.sort(rng.integers(0, 3_000, rng.integers(1, 30)).astype(float)) for _ in range(2))
         errors = claim(a, b + 15.0, 70.0)
         assert grids.agreement(a, b, 15.0) == (2 * len(errors) / (len(a) + len(b)), pytest.approx(sum(errors) / len(errors)) if errors else float("inf"))
+
+
+def test_corrected_takes_the_steadier_beats(spark):
+    uneven = [k * 0.5 + (0.2 if k % 2 and k >= 20 else 0.0) for k in range(36)]
+    reference, candidate = spark.createDataFrame([(1, x) for x in uneven], BEATS), grid(spark, 1, 36)
+    wanted = [(1, 0, 10.0, 17.7, "low", 0.9, 0.9, True, 16, 16, 0.0), (1, 1, 14.0, 17.7, "low", 0.8, 0.9, True, 8, 8, 40.0), (1, 2, 0.0, 9.5, "high", 0.9, 0.9, False, 16, 16, 0.0)]
+    windows = spark.createDataFrame(wanted, "t int, window int, start double, end double, risk string, readiness double, strength double, correctable boolean, n_reference int, n_candidate int, offset_ms double")
+    row = grids.corrected(reference, candidate, windows, "t").first()
+    want = [x for x in uneven if not 10.0 <= x <= 17.7] + [k * 0.5 for k in range(36) if 10.0 <= k * 0.5 < 14.0] + [k * 0.5 + 0.04 for k in range(36) if 14.0 <= k * 0.5 + 0.04 <= 17.7]
+    assert row.reason is None and row.n_windows == 2 and row.corrected == pytest.approx(sorted(want))
+    none = grids.corrected(reference, candidate, windows.where("window = 2"), "t").first()
+    assert (none.corrected, none.reason) == (None, "no-correction-windows-accepted")
