@@ -64,14 +64,14 @@ def segment_filter(df: DataFrame, track: str, distance: float = 1.0, confidence:
 
 def claim(starts: np.ndarray, values: np.ndarray, tolerance: float) -> list[float]:
     """The errors of the values that, in order, take the nearest unused start within ``tolerance``."""
-    used, errors = set(), []
-    for value in values:
-        low, high = np.searchsorted(starts, [value - tolerance, value + tolerance + 1e-12])
-        free = [k for k in range(low, high) if k not in used and abs(starts[k] - value) <= tolerance]
+    lows, highs = (np.searchsorted(starts, values + x).tolist() for x in (-tolerance, tolerance + 1e-12))
+    used, errors, starts = set(), [], starts.tolist()
+    for value, low, high in zip(values.tolist(), lows, highs, strict=True):
+        free = [(abs(starts[k] - value), k) for k in range(low, high) if k not in used and abs(starts[k] - value) <= tolerance]
         if free:
-            best = min(free, key=lambda k: (abs(starts[k] - value), k))
+            error, best = min(free)
             used.add(best)
-            errors.append(abs(starts[best] - value))
+            errors.append(error)
     return errors
 
 

@@ -39,16 +39,24 @@ def agreement(reference: np.ndarray, candidate: np.ndarray, offset: float, toler
 
 
 def search_offset(reference: np.ndarray, candidate: np.ndarray) -> tuple[float, float, float]:
-    """F1 unshifted, the best offset of OFFSETS (greatest F1, least error, nearest to 0), its F1."""
+    """F1 unshifted, the best offset of OFFSETS (greatest F1, least error, nearest to 0), its F1.
+
+    An offset whose candidates near any reference are too few for the unshifted F1 is left out.
+    """
     if not len(reference) or not len(candidate):
         return 0.0, 0.0, 0.0
+    zero_f1 = agreement(reference, candidate, 0.0)[0]
+    shifted = candidate + np.array(OFFSETS)[:, None]
+    after = np.searchsorted(reference, shifted)
+    gaps = np.minimum(np.abs(reference[np.maximum(after - 1, 0)] - shifted), np.abs(reference[np.minimum(after, len(reference) - 1)] - shifted))
+    most = 2 * (gaps <= TOLERANCE_MS).sum(axis=1) / (len(reference) + len(candidate))
     best, best_f1, best_error = 0.0, -1.0, float("inf")
-    for offset in OFFSETS:
+    for offset in np.array(OFFSETS)[most >= zero_f1 - 1e-6]:
         f1, error = agreement(reference, candidate, offset)
         level = abs(f1 - best_f1) < 1e-7
         if f1 > best_f1 or (level and error < best_error) or (level and abs(error - best_error) < 1e-7 and abs(offset) < abs(best)):
-            best, best_f1, best_error = offset, f1, error
-    return agreement(reference, candidate, 0.0)[0], best, best_f1
+            best, best_f1, best_error = float(offset), f1, error
+    return zero_f1, best, best_f1
 
 
 @F.pandas_udf(StructType([StructField(x, DoubleType()) for x in FOUND]))
@@ -57,6 +65,11 @@ def offsets(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=FOUND)
 
 
+def over_partitions(rows: DataFrame, track: str) -> DataFrame:
+    """Rows by track over all shuffle partitions: few bytes, but a long search for each."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), track)
+
+
 def starts() -> Column:
     return F.array_sort(F.collect_list("start"))
 
@@ -86,7 +99,7 @@ def compared_windows(reference: DataFrame, candidate: DataFrame, track: str, siz
     """track, window, start, end, reference, candidate (arrays), zero_f1, offset_ms, best_f1,
     reliable: hopping windows of the reference with the candidate's beats within ``slack``."""
     which = F.row_number().over(Window.partitionBy(track).orderBy("start")) - 1
-    rows = hopping_windows(reference.select(track, "start").withColumn("which", which), track, "which", size, hop, least)
+    rows = hopping_windows(over_partitions(reference.select(track, "start"), track).withColumn("which", which), track, "which", size, hop, least)
     cut = rows.groupBy(track, "window").agg(starts().alias("reference")).withColumns({"start": F.element_at("reference", 1), "end": F.element_at("reference", -1)})
     beats = candidate.select(F.col(track).alias("_t"), F.col("start").alias("_s"))
     inside = F.col("_s").between(F.col("start") - slack, F.col("end") + slack)
@@ -101,7 +114,7 @@ def alignment(reference: DataFrame, candidate: DataFrame, windows: DataFrame, tr
 
     A track that one grid lacks has the status not-available. Nothing is corrected.
     """
-    left, right = (x.groupBy(track).agg(starts().alias(name)) for x, name in ((reference, "reference"), (candidate, "candidate")))
+    left, right = (over_partitions(x.select(track, "start"), track).groupBy(track).agg(starts().alias(name)) for x, name in ((reference, "reference"), (candidate, "candidate")))
     whole = left.join(right, track, "full").withColumns({x: F.coalesce(x, F.array().cast("array<double>")) for x in ("reference", "candidate")})
     whole = whole.withColumn("_o", offsets("reference", "candidate"))
     good = windows.where("reliable").select(track, "offset_ms")

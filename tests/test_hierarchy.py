@@ -85,3 +85,17 @@ def test_corrected_takes_the_steadier_beats(spark):
     assert row.reason is None and row.n_windows == 2 and row.corrected == pytest.approx(sorted(want))
     none = grids.corrected(reference, candidate, windows.where("window = 2"), "t").first()
     assert (none.corrected, none.reason) == (None, "no-correction-windows-accepted")
+
+
+def test_offset_search_equals_all_offsets_tried():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a, b = (np.sort(rng.integers(0, 4_000, rng.integers(1, 25)).astype(float)) for _ in range(2))
+        best = (0.0, -1.0, float("inf"))
+        for offset in grids.OFFSETS:
+            errors = claim(a, b + offset, 70.0)
+            f1, error = 2 * len(errors) / (len(a) + len(b)), sum(errors) / len(errors) if errors else float("inf")
+            level = abs(f1 - best[1]) < 1e-7
+            if f1 > best[1] or level and (error < best[2] or abs(error - best[2]) < 1e-7 and abs(offset) < abs(best[0])):
+                best = (offset, f1, error)
+        assert grids.search_offset(a, b)[1:] == (best[0], pytest.approx(best[1]))
