@@ -18,8 +18,8 @@ OLD_SHARDS, NEW_SHARDS = 6, 8
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart stay; learned from those that may be learned from."""
-    samples = langid.dictionaries(docs.where(langid.learnable(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return langid.identify(docs.select(*COLUMNS), samples).where("not rejected").select(*COLUMNS)
+    samples, least = langid.learn(docs.where(langid.learnable(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select(*COLUMNS), samples, least).where("not rejected").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

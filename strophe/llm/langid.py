@@ -11,6 +11,11 @@ The sample is bounded: per language at most SAMPLE_DOCS labelled documents, thos
 smallest hash, and at most DICTIONARY bytes. So the broadcast is at most
 languages * DICTIONARY bytes.
 
+The margin under which a text is rejected is learned from the same labelled documents by
+``learn``: each half of them is scored with dictionaries of the other half, once with all
+languages and once without the text's own, and the margin is the one that tells the two
+apart best. Without three languages none can be left out, and MIN_SCORE holds.
+
 Defined results: a null, empty or letterless text is 'und' with score 0 and is rejected.
 Equal sizes go to the language first in code point order, score 0. Without any labelled
 row everything is 'und'.
@@ -19,6 +24,7 @@ row everything is 'und'.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -36,12 +42,55 @@ LEVEL = 6
 BETWEEN = re.compile(r"[\W\d_]+")
 #: A relative margin of this much or more scores 1.
 FULL_MARGIN = 0.25
-MIN_SCORE = 0.002
+#: The margin where none can be learned.
+MIN_SCORE = 0.05
 NONE = "und"
 
 
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """{lang: sample bytes} of rows doc_id, text, lang."""
+    return _joined(_picked(labelled))
+
+
+def learn(labelled: DataFrame) -> tuple[dict[str, bytes], float]:
+    """The dictionaries of rows doc_id, text, lang, and the margin learned from the same rows."""
+    texts = _picked(labelled)
+    return _joined(texts), margin(*scores(texts))
+
+
+def scores(texts: dict[str, list[bytes]]) -> tuple[list[float], list[float]]:
+    """Scores of the texts when their language is known, and when it is left out.
+
+    No text is scored with a dictionary that it is part of: the halves of a language's texts,
+    taken in turn, score each other.
+    """
+    known, unknown = [], []
+    for half in (0, 1):
+        made = {lang: _coder(sample) for lang, sample in _joined({lang: found[1 - half :: 2] for lang, found in texts.items() if found[1 - half :: 2]}).items()}
+        if len(made) < 3:
+            return [], []
+        for lang in sorted(made):
+            others = [coder for x, coder in sorted(made.items()) if x != lang]
+            for text in texts[lang][half::2]:
+                if text.strip():
+                    known.append(_closest(text, [made[x] for x in sorted(made)])[1])
+                    unknown.append(_closest(text, others)[1])
+    return known, unknown
+
+
+def margin(known: list[float], unknown: list[float]) -> float:
+    """The least score to accept: with it the shares of known texts rejected and of unknown
+    ones accepted have the least sum. It lies midway between the scores next to it."""
+    if not known:
+        return MIN_SCORE
+    cuts = sorted({0.0, *known, *unknown, 1.0})
+    known, unknown = sorted(known), sorted(unknown)
+    cost = [bisect_left(known, x) / len(known) + 1 - bisect_left(unknown, x) / len(unknown) for x in cuts]
+    k = cost.index(min(cost))
+    return (cuts[max(k - 1, 0)] + cuts[k]) / 2
+
+
+def _picked(labelled: DataFrame) -> dict[str, list[bytes]]:
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     cut = usable.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
@@ -49,6 +98,10 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     texts: dict[str, list] = {}
     for row in picked.orderBy("lang", "_n").collect():
         texts.setdefault(row["lang"], []).append(normalised(row["text"]))
+    return texts
+
+
+def _joined(texts: dict[str, list[bytes]]) -> dict[str, bytes]:
     out = {}
     for lang, found in texts.items():
         share = max(64, DICTIONARY // len(found))
@@ -61,7 +114,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], min_score: float = MIN_
     langs = sorted(samples)
 
     def run(batches):
-        coders = [zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(samples[x]), write_checksum=False, write_content_size=False, write_dict_id=False) for x in langs]
+        coders = [_coder(samples[x]) for x in langs]
         for batch in batches:
             found = [_best(text, coders) for text in batch.column(place).to_pylist()]
             preds = pa.array([langs[k] if k is not None else NONE for k, _ in found], pa.string())
@@ -79,6 +132,10 @@ def _dictionary(sample: bytes) -> zstandard.ZstdCompressionDict:
     return made
 
 
+def _coder(sample: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(sample), write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
 def normalised(text: str) -> bytes:
     return BETWEEN.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
@@ -86,7 +143,10 @@ def normalised(text: str) -> bytes:
 def _best(text: str | None, coders: list) -> tuple[int | None, float]:
     if not text or not coders or not any(map(str.isalpha, text)):
         return None, 0.0
-    data = normalised(text)
+    return _closest(normalised(text), coders)
+
+
+def _closest(data: bytes, coders: list) -> tuple[int, float]:
     sizes = [0] * len(coders)
     for at in range(0, len(data), PIECE):
         piece = data[at : at + PIECE]

@@ -52,8 +52,8 @@ def op7_training_order(spark, sf_dir):
 
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    samples = langid.dictionaries(docs.where(langid.learnable(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    out = langid.identify(docs.select("doc_id", "text"), samples)
+    samples, least = langid.learn(docs.where(langid.learnable(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), samples, least)
     return out.select("doc_id", (~langid.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
 
 

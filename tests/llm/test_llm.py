@@ -183,6 +183,23 @@ def test_language_id_held_out_accuracy(spark, odd, none):
     assert langid.identify(none, samples).count() == 0 and langid.identify(odd, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_rejects_what_it_has_not_learned(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [r for r in docs.collect() if r.text and any(map(str.isalpha, r.text)) and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    labelled = docs.where(langid.learnable(F.col("doc_id"))).select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    noise = [(k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(1200))) for k in range(50)]
+    samples, least = langid.learn(labelled)
+    assert langid.identify(spark.createDataFrame(noise, "doc_id long, text string"), samples, least).where("not rejected").count() == 0
+    held = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    assert langid.identify(held, samples, least).where("rejected").count() <= 0.03 * len(rows)
+    for lang in ("de", "fr"):
+        samples, least = langid.learn(labelled.where(F.col("lang") != lang))
+        unlearned = spark.createDataFrame([(r.doc_id, r.text) for r in rows if r.lang == lang], "doc_id long, text string")
+        assert langid.identify(unlearned, samples, least).where("rejected").count() >= 0.9 * unlearned.count()
+    assert langid.learn(labelled.where("lang in ('de', 'en')"))[1] == langid.MIN_SCORE and langid.learn(labelled.where("false")) == ({}, langid.MIN_SCORE)
+
+
 def test_decontamination_short_items_and_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "ONE Two"), (2, None), (3, " ".join(f"w{k}" for k in range(50, 64))), (10, "one, two")], "item_id long, text string")
     rows = decontam.contamination(odd, bench).collect()
