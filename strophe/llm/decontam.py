@@ -9,7 +9,8 @@ same result. A window's items are held together, so a passage that many document
 costs each of them one lookup and no shuffle.
 
 Defined results: null texts and texts without words have no words and no hits; an item
-without words never occurs; items that repeat an item_id count once. Documents are told
+without words never occurs; items that repeat an item_id count once. Items with a null id hit
+like others; together they count as one in n_items and aren't listed in item_ids. Documents are told
 apart by row, so repeated rows each get their own result. Empty tables give no hits.
 """
 
@@ -37,11 +38,15 @@ def words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """gram_hash, gram (the words), items: one row per distinct window of the benchmark."""
-    items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """gram_hash, gram (the words), items: one row per distinct window of the benchmark.
+
+    ``items`` ends with a null if the window is of an item with a null id.
+    """
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
     grams = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("gram"))
-    grams = grams.groupBy("gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    nameless = F.when(F.bool_or(F.col("item_id").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    grams = grams.groupBy("gram").agg(F.concat(F.collect_set(F.col("item_id").cast("string")), nameless).alias("items"))
     return grams.select(F.xxhash64("gram").alias("gram_hash"), "gram", "items")
 
 
@@ -86,10 +91,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     spread = spread.withColumn("run", F.count_if(F.col("start") > F.col("reach")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = spread.groupBy("row_key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     spans = runs.groupBy("row_key").agg(F.sum(F.col("stop") - F.col("start")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    items = windows.select("row_key", F.explode("items").alias("item_id")).distinct().groupBy("row_key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    items = windows.select("row_key", F.explode("items").alias("item_id")).distinct().groupBy("row_key").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     verdicts = written(spans.join(items, "row_key"), "verdicts")
     return found.where("start = -1").join(verdicts, "row_key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), "spans",
     )
 

@@ -209,6 +209,18 @@ def test_decontamination_short_items_and_odd_rows(spark, odd, none):
     assert decontam.contamination(none, bench).count() == 0 and decontam.contamination(odd, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_counts_items_without_an_id(spark, odd, tmp_path):
+    passage = " ".join(f"w{k}" for k in range(50, 64))
+    bench = spark.createDataFrame([(None, passage), (None, "one two"), (7, "one two"), (None, "five six")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in decontam.contamination(odd, bench).collect()}
+    assert got[6] == (14, 1, [], True) and got[3] == (2, 2, ["7"], True) and got[None] == (4, 2, ["7"], True)
+    assert [r.doc_id for r in decontam.clean_documents(odd, bench).orderBy("doc_id").collect()] == [1, 2, 8, 9]
+    odd.where("doc_id < 6 or doc_id > 7").dropDuplicates(["doc_id"]).toPandas().to_parquet(tmp_path / "documents.parquet")
+    bench.toPandas().astype({"item_id": "Int64"}).to_parquet(tmp_path / "benchmark.parquet")
+    ours, theirs = both(spark, queries.QUERIES["op9_decontamination"], queries.ORACLE_SQL["op9_decontamination"], str(tmp_path))
+    assert ours == theirs
+
+
 def test_host_rules_measures_and_verdicts(spark, odd, none):
     assert hostrules.measure("a b c a b c\n\na b c a b c") == (12, 12, 0, 1, 12) and hostrules.measure(None) == (0,) * 5
     rows = hostrules.judged(odd).collect()
