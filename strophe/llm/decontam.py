@@ -4,8 +4,8 @@ Words are the runs ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-
 10 consecutive words of a benchmark item are a window; an item of fewer words is one
 window. The windows' hashes are broadcast, after a check of their number, and every window
 of a document is looked up as it is made; what the hash finds is verified word for word.
-Beyond BROADCAST_WINDOWS the same join runs without the broadcast, by shuffle, with the
-same result. A window's items are held together, so a passage that many documents share
+Beyond BROADCAST_WINDOWS the join runs by shuffle, with the same result: there a window's row
+carries its own words only, and head rows are made without the join. A window's items are held together, so a passage that many documents share
 costs each of them one lookup and no shuffle.
 
 Defined results: null texts and texts without words have no words and no hits; an item
@@ -54,14 +54,15 @@ def hits(docs: DataFrame, grams: DataFrame, n: int = N) -> DataFrame:
     """row_key, doc_id, n_words, start, length, items of every window of ``docs`` that occurs
     in the benchmark, and one head row for every document, with start -1 and no items.
 
-    Head rows come from the same pass over the texts: HEAD stands before a document's
-    window hashes, and among the benchmark's as a window of no words.
+    With a broadcast, head rows come from the same pass over the texts: HEAD stands before a
+    document's window hashes, and among the benchmark's as a window of no words.
     """
     total, short = grams.count(), [r[0] for r in grams.where(F.size("gram") < n).select(F.size("gram")).distinct().collect()]
-    head = grams.sparkSession.range(1).select(F.lit(HEAD).alias("gram_hash"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
-    table = grams.unionByName(head)
-    table = F.broadcast(table) if total <= BROADCAST_WINDOWS else table
     split = docs.select("row_key", "doc_id", words(F.col("text")).alias("w"))
+    if total > BROADCAST_WINDOWS:
+        return _hits_by_shuffle(split, grams, [n, *sorted(short)])
+    head = grams.sparkSession.range(1).select(F.lit(HEAD).alias("gram_hash"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
+    table = F.broadcast(grams.unionByName(head))
     found = None
     for length in [n, *sorted(short)]:
         places = F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - length + 1)).otherwise(F.array().cast("array<int>"))
@@ -77,6 +78,23 @@ def hits(docs: DataFrame, grams: DataFrame, n: int = N) -> DataFrame:
     return found
 
 
+def _hits_by_shuffle(split: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """``hits`` without a broadcast. A document's words stay in the task that splits them."""
+    size = F.size("w")
+    found = split.select("row_key", "doc_id", size.cast("long").alias("n_words"), F.lit(-1).alias("start"), F.lit(lengths[0]).alias("length"), F.array().cast("array<string>").alias("items"))
+    for length in lengths:
+        places = F.when(size >= length, F.sequence(F.lit(1), size - length + 1)).otherwise(F.array().cast("array<int>"))
+        # windows in a projection of their own, so rows don't copy the words; outer, or a filter that
+        # Spark infers from the generator would split the text again for every window
+        own = F.transform(places, lambda i: F.slice("w", i, length))  # noqa: B023
+        each = split.select("row_key", "doc_id", size.cast("long").alias("n_words"), own.alias("_grams")).select("row_key", "doc_id", "n_words", F.posexplode_outer("_grams").alias("start", "_gram"))
+        each = each.withColumn("length", F.lit(length))
+        each = each.withColumn("gram_hash", F.xxhash64("_gram"))
+        same = each.join(grams.where(F.size("gram") == length), "gram_hash").where(F.col("_gram") == F.col("gram"))
+        found = found.unionByName(same.select(*found.columns))
+    return found
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids, contaminated, spans.
 

@@ -221,6 +221,22 @@ def test_decontamination_counts_items_without_an_id(spark, odd, tmp_path):
     assert ours == theirs
 
 
+def test_decontamination_by_shuffle_carries_single_windows(spark, odd, monkeypatch):
+    bench = spark.createDataFrame([(1, "ONE Two"), (2, None), (3, " ".join(f"w{k}" for k in range(50, 64))), (None, "w7 w8 w9")], "item_id long, text string")
+    want = sorted(map(repr, decontam.contamination(odd, bench).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(repr, decontam.contamination(odd, bench).collect())) == want
+    plan = decontam.hits(odd.withColumn("row_key", decontam.row_key()), decontam.item_windows(bench))._jdf.queryExecution().optimizedPlan()
+
+    def below_joins(node):
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        own = [c.output().apply(k).name() for c in children for k in range(c.output().size())] if node.nodeName() == "Join" else []
+        return own + [x for c in children for x in below_joins(c)]
+
+    carried = set(below_joins(plan))
+    assert "_gram" in carried and not carried & {"w", "text", "hashes"}
+
+
 def test_host_rules_measures_and_verdicts(spark, odd, none):
     assert hostrules.measure("a b c a b c\n\na b c a b c") == (12, 12, 0, 1, 12) and hostrules.measure(None) == (0,) * 5
     rows = hostrules.judged(odd).collect()
