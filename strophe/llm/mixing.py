@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document gets the key -ln(u) / quality, u being a hash of its id. Within a source,
+Every document gets the key -ln(u) / quality, u being a hash of its id, or of its text where
+the id is null. Within a source,
 documents in key order are a weighted random order without replacement; their sizes are
 prefix-summed against the source's token budget. A budget of several source sizes takes
 that many complete epochs first, and the rest by key order.
@@ -60,14 +61,16 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
     return rows.withColumn("target", F.round(target, 6)).drop("_n", "_w", "_limit", "_level", "_full")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, carry: tuple = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, and
+    what columns ``carry`` names.
 
     ``copies`` says how often the mix repeats the whole document (0: left out) and
     ``taken`` is copies * size.
     """
-    key = -F.log(uniform(F.col("doc_id"), F.lit(20240501))) / quality(F.col("text"))
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key"), F.crc32("text").alias("_tie"))
+    u = F.when(F.col("doc_id").isNull(), uniform(F.col("text"), F.lit(20240501))).otherwise(uniform(F.col("doc_id"), F.lit(20240501)))
+    key = -F.log(u) / quality(F.col("text"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key"), F.crc32("text").alias("_tie"), *carry)
     rows = written(rows, "mix-rows")
     cells = max(1, -(-rows.count() // CELL_ROWS))
     place = F.floor((1.0 - F.exp(-F.col("_key") * 0.9)) * cells).cast("long").alias("_bucket")
@@ -91,16 +94,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS)
         rows = rows.withColumn("_extra", F.col("_extra") | F.col("_new")).drop("_new", "_sum")
     copies = F.when(F.col("size") > 0, F.col("_epochs") + F.col("_extra").cast("long")).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("copies", copies)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: whole rows of ``docs``, each repeated ``copies`` times.
 
-    Copies go by doc_id; of rows that share a doc_id each takes its own share. Rows with a
-    null doc_id can't be addressed and are left out.
+    Copies go by row: rows are numbered in a written table, so those with a null or a shared
+    doc_id get their own copies like all others.
     """
-    plan = mix(docs.where(F.col("doc_id").isNotNull()), weights, max_epochs).where("copies > 0")
-    plan = plan.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    repeated = docs.join(plan, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs", "zstd")
+    plan = mix(numbered, weights, max_epochs, carry=("_row",)).where("copies > 0").select("_row", "copies")
+    repeated = numbered.join(plan, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*docs.columns)

@@ -70,6 +70,19 @@ def test_mixing_odd_rows(odd, none):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixed_documents_repeat_each_row_by_its_own_copies(spark):
+    rows = [(None if k % 3 == 0 else k % 7, " ".join([f"t{k}"] * (3 + k % 5)), "en", "abc"[k % 3 if k % 2 else 0], 9, "x") for k in range(90)]
+    docs = spark.createDataFrame(rows, DOC)
+    want = {}
+    for r in mixing.mix(docs.withColumn("name", F.col("text")), carry=("name",)).collect():
+        want[r.doc_id, r.name] = r.copies
+    got = [(r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect()]
+    assert {x: got.count(x) for x in want} == want and any(n for (k, _), n in want.items() if k is None)
+    source = {t: s for _, t, _, s, _, _ in rows}
+    limits = {r.source: r.target for r in mixing.mix(docs).collect()}
+    assert all(sum(len(t.split()) for _, t in got if source[t] == s) <= limits[s] + 1e-6 for s in limits)
+
+
 def test_line_dedup_odd_pages(spark):
     pages = spark.createDataFrame([(k, "http://h.x/a", f"<p>Menu</p><p>text {k}</p>") for k in range(8)] + [(90, None, None), (91, "nonsense", "")], "page_id long, url string, html string")
     rows = {r.page_id: r for r in linededup.drop_boilerplate(pages).collect()}
