@@ -38,9 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with the shard and slot that the cheapest resharding gives it."""
-    plan = resharding.reshard(docs, resharding.source_shard(OLD_SHARDS), OLD_SHARDS, NEW_SHARDS)
-    return resharding.placed(docs.select(*COLUMNS), plan)
+    """Every row with its shard and slot, read from the files that the cheapest resharding writes."""
+    out = resharding.resharded(docs.select(*COLUMNS), resharding.source_shard(OLD_SHARDS), OLD_SHARDS, NEW_SHARDS)
+    return out.select(*COLUMNS, "shard", "slot")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]

@@ -32,8 +32,9 @@ def op3_warc(spark, sf_dir):
 
 
 def op4_resharding(spark, sf_dir):
-    out = resharding.reshard(table(spark, sf_dir, "documents"), resharding.source_shard(OLD_SHARDS), OLD_SHARDS, NEW_SHARDS)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    out = resharding.resharded(table(spark, sf_dir, "documents"), resharding.source_shard(OLD_SHARDS), OLD_SHARDS, NEW_SHARDS)
+    size, crc = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1, F.coalesce(F.crc32("text"), F.lit(0))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op5_token_counts(spark, sf_dir):

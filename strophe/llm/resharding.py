@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import running_total, written
+from strophe.llm.common import new_path, releasing_shuffles, running_total, written
 
 CELL_ROWS = 20_000
 ROUNDS = 3
+#: Old shards are rewritten in so many goes, so that only a part of the texts is shuffled at once.
+WAVES = 3
 
 
 def min_cost_flow(supply: dict, demand: dict, cost) -> dict:
@@ -79,14 +81,15 @@ def _cuts(flows: dict, shard: Column, middle: Column) -> Column:
     return out
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, cost=lambda i, j: int(i != j)) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot.
+def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, cost=lambda i, j: int(i != j), old_slot: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, old_shard, old_slot, shard, slot.
 
     ``old_shard`` gives each row of ``docs`` (doc_id, text) its present shard below n_old.
-    New shards get equal bytes.
+    New shards get equal bytes. Slots follow hash order, but a shard that no document enters
+    or leaves keeps its slots where ``old_slot`` gives them.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"))
+    rows = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"), (F.lit(None) if old_slot is None else old_slot).cast("long").alias("old_slot"))
     rows = written(rows.withColumn("_hash", F.xxhash64("doc_id", "text_crc32")), "shard-rows")
     cells = max(1, -(-rows.count() // CELL_ROWS))
     # hash order, and the hash's cell in that order
@@ -114,7 +117,14 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, cost=lam
             new = F.when(moves, _cuts(flows, F.col("shard"), F.col("_sum") - F.col("size") / 2)).otherwise(F.col("shard"))
         rows = written(placed.withColumn("_new", new.cast("int")).drop("_sum", "shard").withColumnRenamed("_new", "shard"), f"shard-round{k}")
     ranked = running_total(rows, ["shard"], "_bucket", order, F.lit(1), "_rank")
-    return ranked.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("_rank") - 1).cast("long").alias("slot"))
+    slot = F.when(F.col("shard").isin(_moved(rows)), F.lit(None)).otherwise(F.col("old_slot"))
+    return ranked.select("doc_id", "size", "text_crc32", "old_shard", "old_slot", "shard", F.coalesce(slot, F.col("_rank") - 1).cast("long").alias("slot"))
+
+
+def _moved(plan: DataFrame) -> list[int]:
+    """The shards that any document enters or leaves."""
+    ends = F.explode(F.array("shard", "old_shard")).alias("shard")
+    return sorted(r["shard"] for r in plan.where("shard <> old_shard").select(ends).distinct().collect())
 
 
 def source_shard(n_old: int) -> Column:
@@ -136,15 +146,44 @@ def placed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(numbered, match).select(*[rows[c] for c in docs.columns], "shard", "slot")
 
 
-def write_shards(docs: DataFrame, plan: DataFrame, path: str, affected_only: bool = False) -> None:
-    """Writes the documents into ``path/shard=K``, sorted by slot.
+def write_layout(docs: DataFrame, old_shard: Column, path: str) -> DataFrame:
+    """Writes ``docs`` into ``path/shard=K``, with their slots, and reads them back."""
+    rows = docs.withColumn("_shard", F.coalesce(old_shard, F.lit(0)).cast("int")).withColumn("_hash", F.xxhash64("doc_id", "text"))
+    cells = max(1, -(-docs.count() // CELL_ROWS))
+    rows = rows.withColumn("_bucket", F.floor((F.col("_hash") / float(2**64) + 0.5) * cells).cast("long"))
+    rows = running_total(rows, ["_shard"], "_bucket", [F.col("_hash"), F.col("doc_id")], F.lit(1), "_rank")
+    out = rows.select(*docs.columns, (F.col("_rank") - 1).cast("long").alias("slot"), F.col("_shard").alias("shard"))
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression="zstd")
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def write_shards(layout: DataFrame, plan: DataFrame, path: str) -> list[int]:
+    """Rewrites the affected shards of ``layout`` into ``path/shard=K`` and returns their numbers.
 
-    ``affected_only``: only shards that any document enters or leaves; the files of the
-    others are right as they are.
+    Affected are the shards that any document enters or leaves; the files of the others are
+    right as they are and stay. Each file is sorted by slot. A row's address is its old
+    shard and slot.
     """
-    rows = placed(docs, plan)
-    if affected_only:
-        moved = plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-        rows = rows.join(moved, "shard", "left_semi")
-    rows = rows.withColumn("_block", F.floor(F.col("slot") / CELL_ROWS)).repartition("shard", "_block").sortWithinPartitions("shard", "slot")
-    rows.drop("_block").write.partitionBy("shard").parquet(path)
+    moved = _moved(plan)
+    old = layout.withColumnsRenamed({"shard": "old_shard", "slot": "old_slot"})
+    for k in range(WAVES):
+        wave = F.col("old_shard").isin(moved[k::WAVES])
+        goes = plan.where(wave).select("old_shard", "old_slot", "shard", "slot")
+        rows = old.where(wave).join(goes, ["old_shard", "old_slot"]).drop("old_slot").withColumn("_block", F.floor(F.col("slot") / CELL_ROWS))
+        rows = rows.repartition("shard", "_block").sortWithinPartitions("shard", "slot").drop("_block")
+        rows.write.partitionBy("shard").parquet(path, mode="append", compression="zstd")
+    return moved
+
+
+def resharded(docs: DataFrame, old_shard: Column, n_old: int, n_new: int) -> DataFrame:
+    """``docs`` with old_shard, slot and shard, as read from the files of the new layout: the
+    old layout is written, and its affected shards are rewritten."""
+    spark = docs.sparkSession
+    with releasing_shuffles(spark):
+        layout = write_layout(docs, old_shard, new_path(spark, "old-shards"))
+        plan = written(reshard(layout, F.col("shard"), n_old, n_new, old_slot=F.col("slot")), "shard-plan")
+        path = new_path(spark, "new-shards")
+        moved = write_shards(layout, plan, path)
+    columns = [*docs.columns, "old_shard", "slot", "shard"]
+    kept = layout.where(~F.col("shard").isin(moved)).withColumn("old_shard", F.col("shard")).select(*columns)
+    return spark.read.schema(kept.schema).parquet(path).select(*columns).unionByName(kept)

@@ -121,6 +121,23 @@ def test_resharding_balance_and_slots(spark, odd, none):
     assert resharding.placed(odd, plan).count() == len(ODD) and resharding.reshard(none, resharding.source_shard(6), 6, 8).count() == 0
 
 
+def test_resharding_rewrites_affected_shards_only(spark, odd, none, tmp_path):
+    rows = [(k, "x" * 9, 0, k) for k in range(10)] + [(20 + k, "x" * 9, 1, 4 - k) for k in range(5)]
+    old, new = f"{tmp_path}/old", f"{tmp_path}/new"
+    schema = "doc_id long, text string, shard int, slot long"
+    spark.createDataFrame(rows, schema).write.partitionBy("shard").parquet(old)
+    layout = spark.read.schema(schema).parquet(old)
+    plan = resharding.reshard(layout, F.col("shard"), 2, 3, old_slot=F.col("slot"))
+    before = {p: p.read_bytes() for p in (tmp_path / "old/shard=1").iterdir()}
+    assert resharding.write_shards(layout, plan, new) == [0, 2] and before == {p: p.read_bytes() for p in (tmp_path / "old/shard=1").iterdir()}
+    assert not (tmp_path / "new/shard=1").exists()
+    assert {r.doc_id: r.slot for r in plan.where("shard = 1").collect()} == {20 + k: 4 - k for k in range(5)}
+    found = {(r.doc_id, r.shard, r.slot) for r in spark.read.parquet(new).collect()}
+    assert found == {(r.doc_id, r.shard, r.slot) for r in plan.where("shard <> 1").collect()} and len(found) == 10
+    back = resharding.resharded(odd, resharding.source_shard(6), 6, 8).collect()
+    assert sorted(repr((r.doc_id, r.text)) for r in back) == sorted(repr((x[0], x[1])) for x in ODD) and resharding.resharded(none, resharding.source_shard(6), 6, 8).count() == 0
+
+
 def test_edits_count_as_a_full_count(spark, odd, none):
     encode = tokencounts.encoding(tokencounts.VOCABULARY).encode_ordinary
     counts, rng = tokencounts.PieceCounts(tokencounts.VOCABULARY), random.Random(5)
