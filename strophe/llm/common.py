@@ -60,6 +60,28 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, size: str, share_rows: int = 50_000) -> DataFrame:
+    """``rows`` joined with the one row that ``table`` has for their ``key``.
+
+    Column ``size`` of ``table`` counts the rows of a key. Keys with more than ``share_rows`` are
+    split into shares, so no task gets a whole hot key. The list of those keys is broadcast;
+    it has at most len(rows) / share_rows rows, whatever the keys are.
+    """
+    shares = F.ceil(F.col(size) / share_rows).cast("int")
+    hot = table.where(F.col(size) > share_rows).select(key, shares.alias("_shares"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_share", F.when(F.col("_shares").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_shares"))).cast("int")).drop("_shares")
+    spread = table.withColumn("_share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
+    return marked.join(spread, [key, "_share"]).drop("_share")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

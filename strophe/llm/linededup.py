@@ -2,14 +2,16 @@
 
 Pages are grouped by host. The pages of a host that contain a line, divided by the host's
 page total, give the line's ratio; lines above the boilerplate ratio are dropped from every
-page of the host, provided the host has ``min_pages`` pages.
+page of the host. ``min_pages`` is a parameter: on a host with fewer pages nothing is dropped, for
+there every line of a single page could be above the ratio. With 1 the ratio alone decides.
 
 At most (distinct lines of an average page) / ratio lines of a host can exceed the ratio,
 so the list of a host's boilerplate is short however large the host is; it rides along
-with the host's total in one row.
+with the host's total in one row. Joins by host are spread over shares of a hot host's rows.
 
 Defined results: a null url or one without a host has host '' (such pages form one group).
-A null html has no lines. Blank lines are not lines. Repeated rows count as pages of
+A null html has no lines. Lines are trimmed of space, tab, VT, FF and CR; what is empty then is
+no line. Repeated rows count as pages of
 their own. An empty table gives an empty result.
 """
 
@@ -18,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import written
+from strophe.llm.common import spread_join, written
 
 RATIO = 0.3
 MIN_PAGES = 5
+BLANKS = " \t\n\v\f\r"
 #: What never shows, then the tags that end a line, then every other tag.
 HIDDEN = r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->"
 BREAKS = r"(?i)</?(p|div|li|ul|nav|h1|h2|h3|article|br|title|tr|td|table|footer|header|body|head|html)\b[^>]*>"
@@ -38,7 +41,7 @@ def host(url: Column) -> Column:
 def lines(html: Column) -> Column:
     """The trimmed, nonblank lines of a page's text."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, "\n"), BREAKS, "\n"), TAGS, "")
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -47,9 +50,9 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     ``pages`` has host and lines. Each page gives a line once, so counts by (host, line)
     are page counts and are summed before they are shuffled.
     """
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    totals = written(pages.groupBy("host").agg(F.count("*").alias("host_pages")), "host-pages")
     counts = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    common = counts.where(F.col("n") > 1).join(totals, "host").where((F.col("host_pages") >= min_pages) & (F.col("n") > ratio * F.col("host_pages")))
+    common = spread_join(counts, totals, "host", "host_pages").where((F.col("host_pages") >= min_pages) & (F.col("n") > ratio * F.col("host_pages")))
     common = common.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
     return totals.join(common, "host", "left").select("host", "host_pages", F.coalesce("boilerplate", F.array().cast("array<string>")).alias("boilerplate"))
 
@@ -59,7 +62,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     split = pages.select("page_id", host(F.col("url")).alias("host"), lines(F.col("html")).alias("lines"))
     split = written(split, "page-lines")
     table = written(boilerplate(split, ratio, min_pages), "host-lines")
-    joined = split.join(table, "host")
+    joined = spread_join(split, table, "host", "host_pages")
     kept = joined.select("page_id", "host", "host_pages", "lines", F.filter("lines", lambda x: ~F.array_contains(F.col("boilerplate"), x)).alias("kept"))
     return kept.select(
         "page_id", "host", "host_pages", F.size("lines").cast("long").alias("n_lines"),

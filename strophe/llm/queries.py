@@ -81,7 +81,7 @@ WITH p AS (
     list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
       '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', chr(10), 'g'),
       '(?i)</?(p|div|li|ul|nav|h1|h2|h3|article|br|title|tr|td|table|footer|header|body|head|html)\b[^>]*>', chr(10), 'g'),
-      '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+      '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines
   FROM pages),
 h AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
 c AS (SELECT host, line, count(*) AS n FROM (SELECT rid, host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
@@ -139,8 +139,8 @@ h AS (SELECT source, count(*) AS n, count_if(base_failed) AS bad FROM f GROUP BY
 s AS (SELECT avg(bad / n) AS m, coalesce(var_samp(bad / n), 0) AS v, avg(1 / n) AS inv FROM h),
 q AS (SELECT m, CASE WHEN v <= 0 THEN 2.0 WHEN v - m * (1 - m) * inv <= 0 THEN 1000.0
         ELSE least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 2.0), 1000.0) END AS weight FROM s),
-j AS (SELECT source, round((bad + m * weight) / (n + weight), 9) AS host_rate FROM h, q)
-SELECT f.*, host_rate, NOT base_failed AND NOT host_rate > 0.8 AS kept FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
+j AS (SELECT source, round((bad + m * weight) / (n + weight), 9) AS host_rate, round(least(0.8, m + 3 * sqrt(m * (1 - m) / (weight + 1))), 9) AS host_limit FROM h, q)
+SELECT f.*, host_rate, host_limit, NOT base_failed AND NOT host_rate > host_limit AS kept FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
 """
 
 ORACLE_SQL = {"op2_line_dedup": _OP2, "op6_near_duplicates": _OP6, "op9_decontamination": _OP9, "op10_host_rules": _OP10}
