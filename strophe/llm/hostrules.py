@@ -3,8 +3,10 @@
 Each document is measured and fails or passes the base rules. Failures are summed by domain
 (``source``), and each domain's failure rate is shrunk towards what all domains show: a beta
 prior is fitted to the domains' rates by their mean and variance, and a domain of n documents
-and f failures gets (f + a) / (n + a + b). A domain over MAX_RATE is bad and takes its passing
-documents with it, for what passes there by luck is of the same make.
+and f failures gets (f + a) / (n + a + b). A domain is bad if that is over what the prior lets
+expect of a domain, mean + DEVIATIONS of its standard deviations, or over MAX_RATE where that
+is less. A bad domain takes its passing documents with it, for what passes there by luck is
+of the same make. Where domains differ by no more than chance, none is bad.
 
 Defined results: a null or empty text has no words and fails; a null domain is a domain of
 its own; repeated rows count each. With one domain, or rates that don't vary, the prior is
@@ -13,6 +15,8 @@ mean * PRIOR_ROWS failures of PRIOR_ROWS. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +27,8 @@ from strophe.llm.common import written
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_RATE = 0.8
+#: How far above the prior's mean, in its standard deviations, a domain is an outlier.
+DEVIATIONS = 3.0
 #: Weight of the prior in documents: fitted, but between these.
 PRIOR_ROWS, MAX_PRIOR_ROWS = 2.0, 1000.0
 SPACES = "\t\n\v\f\r "
@@ -69,14 +75,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def host_verdicts(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """source, host_docs, host_failed, host_rate, host_bad of ``rows`` (source, base_failed)."""
+def host_verdicts(rows: DataFrame, max_rate: float = MAX_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """source, host_docs, host_failed, host_rate, host_limit, host_bad of ``rows`` (source, base_failed)."""
     hosts = written(rows.groupBy("source").agg(F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failed")), "host-sums")
     rate = F.col("host_failed") / F.col("host_docs")
     m, v, inverse = hosts.agg(F.avg(rate), F.coalesce(F.var_samp(rate), F.lit(0.0)), F.avg(1 / F.col("host_docs"))).first()
     a, weight = beta_prior(m or 0.0, v, inverse or 0.0)
     shrunk = F.round((F.col("host_failed") + a) / (F.col("host_docs") + weight), 9)
-    return hosts.select("source", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_bad"))
+    limit = round(min(max_rate, (m or 0.0) + deviations * beta_deviation(a, weight)), 9)
+    return hosts.select("source", "host_docs", "host_failed", shrunk.alias("host_rate"), F.lit(limit).alias("host_limit"), (shrunk > limit).alias("host_bad"))
 
 
 def beta_prior(mean: float, variance: float, inverse: float) -> tuple[float, float]:
@@ -92,9 +99,15 @@ def beta_prior(mean: float, variance: float, inverse: float) -> tuple[float, flo
     return mean * weight, weight
 
 
-def judged(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """One row per document: doc_id, source, the measures, base_failed, host_rate, kept."""
+def beta_deviation(a: float, weight: float) -> float:
+    """The standard deviation of the beta distribution of a and a + b = weight."""
+    mean = a / weight
+    return sqrt(mean * (1 - mean) / (weight + 1))
+
+
+def judged(docs: DataFrame, max_rate: float = MAX_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """One row per document: doc_id, source, the measures, base_failed, host_rate, host_limit, kept."""
     rows = written(measured(docs).withColumn("base_failed", base_failed()), "measured")
-    hosts = written(host_verdicts(rows, max_rate), "hosts").withColumnRenamed("source", "_source")
+    hosts = written(host_verdicts(rows, max_rate, deviations), "hosts").withColumnRenamed("source", "_source")
     joined = rows.join(hosts, rows["source"].eqNullSafe(hosts["_source"]))
-    return joined.select("doc_id", "source", *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & ~F.col("host_bad")).alias("kept"))
+    return joined.select("doc_id", "source", *MEASURES, "base_failed", "host_rate", "host_limit", (~F.col("base_failed") & ~F.col("host_bad")).alias("kept"))

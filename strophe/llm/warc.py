@@ -6,9 +6,10 @@ line separator writes the archive as it stands, payload bytes included, to any s
 Pages with equal payloads: the one with the smallest page_id is a response, the others
 are revisits that carry the payload's digest and the reference, not the payload.
 
-Reading: archives are read whole, one file at a time (``rows_per_file`` bounds a file when
-writing), split by Content-Length, and request, response and metadata are joined through
-the concurrent-to identifiers to one nested row per capture.
+Reading: archives are read whole, one file at a time, split by Content-Length, and request,
+response and metadata are joined through the concurrent-to identifiers to one nested row per
+capture. Writing bounds a file by records and by bytes: pages are written by size class, larger
+ones with fewer records to a file, about FILE_BYTES at most or a single page.
 
 Defined results: a null html is an empty payload; equal pages with one page_id are all
 responses; a null page_id never becomes the referred page, so where no page of a group has
@@ -25,47 +26,49 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm.common import new_path, written
 
 END = "\r\n\r\n"
 ROWS_PER_FILE = 5_000
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+FILE_BYTES = 128 << 20
+#: Payloads up to SMALL << 3k bytes are of class k.
+SMALL = 48 << 10
+#: The digits of base 32 that Spark counts in, and those of RFC 4648.
+DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def base32_sha1(payload) -> F.Column:
-    """Bare upper-case base32 of the SHA-1: 160 bits, five to a character."""
-    bits = F.lpad(F.conv(F.substring(F.sha1(payload), 1, 10), 16, 2), 40, "0")
-    for k in range(1, 4):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(F.sha1(payload), 10 * k + 1, 10), 16, 2), 40, "0"))
-    letters = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.substring(F.lit(BASE32), F.conv(F.substr(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.array_join(letters, "")
+def base32(hexes: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: 160 bits in four runs of 40."""
+    runs = [F.lpad(F.conv(F.substring(hexes, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*runs), DIGITS, BASE32)
 
 
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Adds payload, payload_bytes, payload_digest, record_type and refers_to to ``pages``."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    # the hash in a projection of its own: what uses it several times then computes it once
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("_same"))
+    rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("_sha1"), F.sha2("payload", 256).alias("_same"))
     same = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("_same", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n"))
     same = written(same.where("_n > 1 and refers_to is not null").drop("_n"), "warc-same")
     rows = rows.join(same, ["_same", "payload_bytes"], "left")
     again = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return rows.select(
-        "page_id", "url", "payload", "payload_bytes", base32_sha1(F.col("payload")).alias("payload_digest"),
+        "page_id", "url", "payload", "payload_bytes", base32(F.col("_sha1")).alias("payload_digest"),
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("refers_to")).alias("refers_to"),
     )
 
 
-def _head(kind: str, record_id, length, *more) -> F.Column:
+def _head(kind: str, record_id, length, *more) -> Column:
     parts = [F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Date: {DATE}\r\nWARC-Record-ID: "), record_id, *more]
     return F.concat(*parts, F.lit("\r\nContent-Length: "), length.cast("string"), F.lit(END))
 
 
-def _field(name: str, value) -> F.Column:
+def _field(name: str, value) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"\r\n{name}: "), value)).otherwise("")
 
 
@@ -90,10 +93,20 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(request, first, metadata)).alias("record"))
 
 
-def write_archives(rows: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Writes the records as .warc text files; a file holds at most 3 * rows_per_file records."""
-    lines = records(rows).select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", 3 * rows_per_file).text(path)
+def write_archives(rows: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the records as .warc text files, one folder for each size class of pages.
+
+    A file holds at most 3 * rows_per_file records, and so few that they fit ``file_bytes`` or
+    belong to one page. ``rows`` are scanned once for each class that occurs.
+    """
+    size = F.col("payload_bytes")
+    kind = F.when(size <= SMALL, 0).otherwise(F.ceil(F.log2(size / float(SMALL)) / 3)).cast("int")
+    found = sorted(r[0] for r in rows.select(kind.alias("kind")).distinct().collect())
+    for k in found:
+        most = max(1, min(rows_per_file, file_bytes // (SMALL << 3 * k)))
+        own = rows.where(kind == k) if len(found) > 1 else rows
+        lines = records(own).select(F.col("record").cast("string").alias("value"))
+        lines.write.option("lineSep", END).option("maxRecordsPerFile", 3 * most).text(f"{path}/size{k}")
 
 
 def split_records(data: bytes) -> Iterator[tuple[dict, memoryview]]:
@@ -149,7 +162,8 @@ def assemble(found: DataFrame) -> DataFrame:
     """One nested row per response or revisit record: capture_id, request, response, metadata.
 
     Requests and metadata are reduced to one row for each record they are concurrent to
-    before the joins, so the joins never multiply rows.
+    before the joins, so the joins never multiply rows. ``found`` should be a written table:
+    it is read three times.
     """
     main = found.where(F.col("type").isin("response", "revisit"))
     response = F.struct("type", "target_uri", "refers_to", "stated_digest", "http", "body_bytes", "digest", "body").alias("response")
@@ -170,7 +184,8 @@ def archived(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> D
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(captures(pages, min_bytes), path)
-    rows = assemble(read_archives(spark, path, with_body=False))
+    found = written(read_archives(spark, path, with_body=False), "warc-records")
+    rows = assemble(found)
     notes = F.decode("metadata.body", "UTF-8")
     note = lambda name: F.nullif(F.regexp_extract(notes, rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
     length = F.regexp_extract("response.http", r"(?i)content-length: ([0-9]+)", 1).cast("long")
