@@ -6,6 +6,10 @@ documents in key order are a weighted random order without replacement; their si
 prefix-summed against the source's token budget. A budget of several source sizes takes
 that many complete epochs first, and the rest by key order.
 
+A source is ordered in cells of about CELL_ROWS rows. The key of quality q is exponential with
+rate q, so the cell of a key is read off the source's mixture of exponentials, one for each of
+LEVELS steps of quality: at most STEP times the mean falls into a cell, whatever the qualities.
+
 Defined results: null and wordless texts have size 0 and are never taken. A null source is
 a source of its own, ordered last. Equal rows get equal keys; which of them a budget ends
 at makes no difference. An empty table gives an empty result.
@@ -13,26 +17,41 @@ at makes no difference. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import n_words, running_total, written
+from strophe.llm.common import free_name, n_words, running_total, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: Characters whose share lowers a document's quality.
 SYMBOLS = "#*$%&|<>"
 #: Rows of a source that one task orders, on average over its cells.
-CELL_ROWS = 20_000
+CELL_ROWS = 5_000
+LEAST, STEP, LEVELS = 0.1, 1.25, 11
 #: Passes of taking what still fits a budget; each leaves less than one document's size.
 PASSES = 3
 
 
 def quality(text: Column) -> Column:
-    """From 1 (no symbols) down to 0.1 (a tenth of all characters or more are symbols)."""
+    """From 1 (no symbols) down to LEAST (a tenth of all characters or more are symbols)."""
     n = F.length(text)
     symbols = n - F.length(F.translate(text, SYMBOLS, ""))
-    return F.when(n > 0, F.greatest(F.lit(0.1), 1.0 - 9.0 * symbols / n)).otherwise(F.lit(0.1))
+    return F.when(n > 0, F.greatest(F.lit(LEAST), 1.0 - 9.0 * symbols / n)).otherwise(F.lit(LEAST))
+
+
+def level(q: Column) -> Column:
+    """The step of quality that q lies in, the lowest being 0."""
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(F.log(q / LEAST) / log(STEP) + 1e-9))).cast("int")
+
+
+def cell(key: Column, shares: list[Column], cells: Column) -> Column:
+    """The cell of a key, rising with it. ``shares`` are those of the levels among a source's rows;
+    each level counts with its least rate, so that the rows of no level crowd into a cell."""
+    before = sum((share * (1.0 - F.exp(-LEAST * STEP**k * key)) for k, share in enumerate(shares)), F.lit(0.0))
+    return F.least(F.floor(before * cells), cells - 1).cast("long")
 
 
 def uniform(*columns: Column) -> Column:
@@ -69,16 +88,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     ``taken`` is copies * size.
     """
     u = F.when(F.col("doc_id").isNull(), uniform(F.col("text"), F.lit(20240501))).otherwise(uniform(F.col("doc_id"), F.lit(20240501)))
-    key = -F.log(u) / quality(F.col("text"))
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key"), F.crc32("text").alias("_tie"), *carry)
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), u.alias("_u"), quality(F.col("text")).alias("_q"), F.crc32("text").alias("_tie"), *carry)
+    rows = rows.withColumn("_key", -F.log("_u") / F.col("_q")).withColumn("_level", level(F.col("_q"))).drop("_u", "_q")
     rows = written(rows, "mix-rows")
-    cells = max(1, -(-rows.count() // CELL_ROWS))
-    place = F.floor((1.0 - F.exp(-F.col("_key") * 0.9)) * cells).cast("long").alias("_bucket")
-    sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    counts = [(F.count_if(F.col("_level") == k) / F.count("*")).alias(f"_share{k}") for k in range(LEVELS)]
+    sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / CELL_ROWS).alias("_cells"), *counts), weights, max_epochs)
     sources = written(sources.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")), "mix-sources")
     named = sources.withColumnRenamed("source", "_source")
     rows = rows.join(named, rows["source"].eqNullSafe(named["_source"])).drop("_source").withColumn("_left", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    rows = rows.select("*", place, F.lit(False).alias("_extra"))
+    place = cell(F.col("_key"), [F.col(f"_share{k}") for k in range(LEVELS)], F.col("_cells"))
+    rows = rows.select("*", place.alias("_bucket"), F.lit(False).alias("_extra")).drop("_level", "_cells", *[f"_share{k}" for k in range(LEVELS)])
     order = [F.col("_key"), F.col("doc_id"), F.col("_tie"), F.col("size")]
     for k in range(PASSES):
         rows = written(rows, f"mix-pass{k}")
@@ -101,9 +120,10 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
     """The mix itself: whole rows of ``docs``, each repeated ``copies`` times.
 
     Copies go by row: rows are numbered in a written table, so those with a null or a shared
-    doc_id get their own copies like all others.
+    doc_id get their own copies like all others. ``docs`` may have any further columns.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs", "zstd")
-    plan = mix(numbered, weights, max_epochs, carry=("_row",)).where("copies > 0").select("_row", "copies")
-    repeated = numbered.join(plan, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    row = free_name(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs", "zstd")
+    plan = mix(numbered.select("doc_id", "source", "text", F.col(row).alias("_row")), weights, max_epochs, carry=("_row",)).where("copies > 0")
+    plan = plan.select(F.col("_row").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(row)
+    return numbered.join(plan, row).select(*docs.columns)

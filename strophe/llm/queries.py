@@ -39,7 +39,7 @@ def op4_resharding(spark, sf_dir):
 
 def op5_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", tokencounts.sample_edits().alias("edits"))
-    out = tokencounts.apply_edits(tokencounts.token_index(docs))
+    out = tokencounts.edited(docs)
     return out.select("doc_id", "tokens_before", "tokens_after", "pieces_encoded", "nodes_updated", F.crc32("text").alias("edited_crc32"))
 
 

@@ -4,8 +4,9 @@ Old shard sizes and new capacities are the ends of a flow network: a byte that s
 nothing, a byte that changes shards costs one (or what a cost matrix says). The cheapest
 flow says how many bytes each old shard sends to each new one; documents of an old shard,
 in hash order, are then cut into runs of those lengths. Only shards that lose or gain
-documents need rewriting. The flow is solved on the driver over shards, never documents:
-its size is old shards times new shards.
+documents are rewritten. The flow is solved on the driver over shards, never documents:
+its matrix is old shards times new shards (a thousand by a thousand take half a second, with costs that
+differ everywhere half a minute).
 
 Cuts fall between documents, so a second and third flow over what each shard has too much
 or too little moves small documents until shards are equal to within a small document.
@@ -16,7 +17,8 @@ equal rows may take each other's slots; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.llm.common import new_path, releasing_shuffles, running_total, written
@@ -28,37 +30,59 @@ WAVES = 3
 
 
 def min_cost_flow(supply: dict, demand: dict, cost) -> dict:
-    """{(old, new): bytes} of least total cost, by successive cheapest augmenting paths.
+    """{(old, new): bytes} of least total cost; supplies and demands have equal sums.
 
-    Supplies and demands must have equal sums. Paths are found by Bellman-Ford over the
-    shards, residual arcs included.
+    Primal-dual: prices make the reduced cost of every arc nonnegative, and bytes flow over
+    arcs of reduced cost 0 only. First straight from shards with bytes left to shards with room;
+    where that ends, a search over such arcs, back along flows too, finds the next path, and
+    when it is stuck, prices rise by the least reduced cost that leads on. Every step works on
+    whole rows of the matrix, and paths number about as many as shards.
     """
-    flow: dict = {}
-    left, room = dict(supply), dict(demand)
-    while any(left.values()):
-        best = {("old", i): (0, None) for i, x in left.items() if x}
-        changed = True
-        while changed:
-            changed = False
-            for i in supply:
-                for j in demand:
-                    for a, b, c in ((("old", i), ("new", j), cost(i, j)), (("new", j), ("old", i), -cost(i, j) if flow.get((i, j)) else None)):
-                        if c is not None and a in best and (b not in best or best[a][0] + c < best[b][0]):
-                            best[b], changed = (best[a][0] + c, a), True
-        end = min((best[("new", j)][0], str(j), j) for j, x in room.items() if x and ("new", j) in best)[2]
-        path, at = [], ("new", end)
-        while best[at][1] is not None:
-            path.append((best[at][1], at))
-            at = best[at][1]
-        amount = min([left[at[1]], room[end], *(flow[b[1], a[1]] for a, b in path if a[0] == "new")])
-        for a, b in path:
-            if a[0] == "old":
-                flow[a[1], b[1]] = flow.get((a[1], b[1]), 0) + amount
-            else:
-                flow[b[1], a[1]] -= amount
-        left[at[1]] -= amount
-        room[end] -= amount
-    return {k: v for k, v in flow.items() if v}
+    olds, news = list(supply), list(demand)
+    left, room = (np.array([x[k] for k in names], np.int64) for x, names in ((supply, olds), (demand, news)))
+    if not left.any():
+        return {}
+    reduced = np.array([[cost(i, j) for j in news] for i in olds], np.float64)
+    reduced -= reduced.min(axis=1, keepdims=True)
+    flow = np.zeros(reduced.shape, np.int64)
+    while True:
+        for i in np.flatnonzero(left):
+            for j in np.flatnonzero((reduced[i] == 0) & (room > 0)):
+                amount = min(left[i], room[j])
+                flow[i, j] += amount
+                left[i] -= amount
+                room[j] -= amount
+        if not left.any():
+            return {(olds[i], news[j]): int(flow[i, j]) for i, j in zip(*np.nonzero(flow), strict=True)}
+        seen, reached = left > 0, np.zeros(len(news), bool)
+        least, above = reduced[seen].min(axis=0), np.flatnonzero(seen)[reduced[seen].argmin(axis=0)]
+        below = np.full(len(olds), -1)
+        while not (reached & (room > 0)).any():
+            step = least[~reached].min()
+            if step > 0:
+                reduced[seen] -= step
+                reduced[:, reached] += step
+                least[~reached] -= step
+            new = ~reached & (least <= 0)
+            reached |= new
+            for i in np.flatnonzero(~seen & (flow[:, new] > 0).any(axis=1)):
+                seen[i] = True
+                below[i] = np.flatnonzero(new)[(flow[i, new] > 0).argmax()]
+                nearer = ~reached & (reduced[i] < least)
+                least[nearer], above[nearer] = reduced[i, nearer], i
+        at = np.flatnonzero(reached & (room > 0))[0]
+        path = [(above[at], at)]
+        while below[path[-1][0]] >= 0:
+            at = below[path[-1][0]]
+            path.append((above[at], at))
+        back = [(a[0], b[1]) for a, b in zip(path[:-1], path[1:], strict=True)]
+        amount = min([left[path[-1][0]], room[path[0][1]], *(flow[x] for x in back)])
+        for x in path:
+            flow[x] += amount
+        for x in back:
+            flow[x] -= amount
+        left[path[-1][0]] -= amount
+        room[path[0][1]] -= amount
 
 
 def capacities(total: int, n: int) -> dict:
@@ -66,19 +90,24 @@ def capacities(total: int, n: int) -> dict:
     return {j: total // n + (j < total % n) for j in range(n)}
 
 
-def _cuts(flows: dict, shard: Column, middle: Column) -> Column:
-    """The new shard of a document of ``shard`` whose middle byte lies at ``middle``."""
-    out = shard.cast("int")
+def _runs(spark: SparkSession, flows: dict) -> DataFrame:
+    """One row per old shard: shard, stops (where its runs of bytes end) and news (whose they are).
+
+    A cheapest flow has fewer arcs than there are shards, old and new, so the table is broadcast.
+    """
+    rows = []
     for i in sorted({i for i, _ in flows}):
-        runs, at = [], 0
-        for j in sorted((j for a, j in flows if a == i), key=lambda j: (j != i, j)):
-            at += flows[i, j]
-            runs.append((at, j))
-        inside = F.lit(runs[-1][1])
-        for stop, j in reversed(runs[:-1]):
-            inside = F.when(middle < stop, F.lit(j)).otherwise(inside)
-        out = F.when(shard == i, inside).otherwise(out)
-    return out
+        news = sorted((j for a, j in flows if a == i), key=lambda j: (j != i, j))
+        rows.append((i, np.cumsum([flows[i, j] for j in news]).tolist(), news))
+    return spark.createDataFrame(rows, "shard int, stops array<long>, news array<int>")
+
+
+def _cut(placed: DataFrame, flows: dict, moves: Column) -> DataFrame:
+    """``placed`` with _new: the shard in whose run the middle byte of a document lies, if it moves."""
+    middle = F.col("_sum") - F.col("size") / 2
+    run = F.least(F.size(F.filter("stops", lambda stop: stop <= middle)) + 1, F.size("stops"))
+    new = F.when(moves & F.col("stops").isNotNull(), F.element_at("news", run)).otherwise(F.col("shard"))
+    return placed.join(F.broadcast(_runs(placed.sparkSession, flows)), "shard", "left").withColumn("_new", new.cast("int")).drop("stops", "news")
 
 
 def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, cost=lambda i, j: int(i != j), old_slot: Column | None = None) -> DataFrame:
@@ -88,6 +117,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, cost=lam
     New shards get equal bytes. Slots follow hash order, but a shard that no document enters
     or leaves keeps its slots where ``old_slot`` gives them.
     """
+    spark = docs.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     rows = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"), (F.lit(None) if old_slot is None else old_slot).cast("long").alias("old_slot"))
     rows = written(rows.withColumn("_hash", F.xxhash64("doc_id", "text_crc32")), "shard-rows")
@@ -103,19 +133,19 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, cost=lam
         target = target or capacities(sum(have.values()), n_new)
         if k == 0:
             flows = min_cost_flow({i: have.get(i, 0) for i in range(n_old)}, target, cost)
-            placed = running_total(rows, ["shard"], "_bucket", order, F.col("size"), "_sum")
-            new = _cuts(flows, F.col("shard"), F.col("_sum") - F.col("size") / 2)
+            placed, moves = running_total(rows, ["shard"], "_bucket", order, F.col("size"), "_sum"), F.lit(True)
         else:
             over = {j: have.get(j, 0) - target[j] for j in target}
             flows = min_cost_flow({j: x for j, x in over.items() if x > 0}, {j: -x for j, x in over.items() if x < 0}, cost)
             if not flows:
                 break
-            gives = F.coalesce(*[F.when(F.col("shard") == j, F.lit(x)) for j, x in over.items() if x > 0], F.lit(0))
+            surplus = spark.createDataFrame([(j, x) for j, x in over.items() if x > 0], "shard int, _gives long")
+            rows = rows.join(F.broadcast(surplus), "shard", "left")
+            gives = F.coalesce("_gives", F.lit(0))
             amount = F.when(F.col("size") <= gives, F.col("size")).otherwise(0)
             placed = running_total(rows, ["shard"], "_bucket", order, amount, "_sum")
             moves = (F.col("size") <= gives) & (F.col("_sum") <= gives)
-            new = F.when(moves, _cuts(flows, F.col("shard"), F.col("_sum") - F.col("size") / 2)).otherwise(F.col("shard"))
-        rows = written(placed.withColumn("_new", new.cast("int")).drop("_sum", "shard").withColumnRenamed("_new", "shard"), f"shard-round{k}")
+        rows = written(_cut(placed, flows, moves).drop("_sum", "shard", "_gives").withColumnRenamed("_new", "shard"), f"shard-round{k}")
     ranked = running_total(rows, ["shard"], "_bucket", order, F.lit(1), "_rank")
     slot = F.when(F.col("shard").isin(_moved(rows)), F.lit(None)).otherwise(F.col("old_slot"))
     return ranked.select("doc_id", "size", "text_crc32", "old_shard", "old_slot", "shard", F.coalesce(slot, F.col("_rank") - 1).cast("long").alias("slot"))
@@ -136,23 +166,27 @@ def placed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their shard and slot.
 
     Rows and plan meet by doc_id and text checksum; the copies of a row share these and take
-    the group's slots in turn, by number.
+    the group's slots in turn, by number. Columns shard and slot of ``docs`` are replaced.
     """
     keys = ["doc_id", "text_crc32"]
-    numbered = plan.select(*keys, "shard", "slot", F.row_number().over(Window.partitionBy(*keys).orderBy("shard", "slot")).alias("_copy"))
-    rows = docs.withColumn("text_crc32", F.coalesce(F.crc32("text"), F.lit(0)))
+    numbered = plan.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot", F.row_number().over(Window.partitionBy(*keys).orderBy("shard", "slot")).alias("_n"))
+    rows = docs.drop("shard", "slot").select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"))
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    match = (rows["doc_id"].eqNullSafe(numbered["doc_id"])) & (rows["text_crc32"] == numbered["text_crc32"]) & (rows["_copy"] == numbered["_copy"])
-    return rows.join(numbered, match).select(*[rows[c] for c in docs.columns], "shard", "slot")
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_crc32") == F.col("_crc")) & (F.col("_copy") == F.col("_n"))
+    return rows.join(numbered, match).select("row.*", "shard", "slot")
 
 
 def write_layout(docs: DataFrame, old_shard: Column, path: str) -> DataFrame:
-    """Writes ``docs`` into ``path/shard=K``, with their slots, and reads them back."""
-    rows = docs.withColumn("_shard", F.coalesce(old_shard, F.lit(0)).cast("int")).withColumn("_hash", F.xxhash64("doc_id", "text"))
+    """Writes ``docs`` into ``path/shard=K``, with their slots, and reads them back.
+
+    Columns shard and slot of ``docs`` are replaced, after ``old_shard`` has been taken.
+    """
+    inner = F.struct(*[c for c in docs.columns if c.lower() not in ("shard", "slot")])
+    rows = docs.select(inner.alias("row"), "doc_id", F.coalesce(old_shard, F.lit(0)).cast("int").alias("_shard"), F.xxhash64("doc_id", "text").alias("_hash"))
     cells = max(1, -(-docs.count() // CELL_ROWS))
     rows = rows.withColumn("_bucket", F.floor((F.col("_hash") / float(2**64) + 0.5) * cells).cast("long"))
     rows = running_total(rows, ["_shard"], "_bucket", [F.col("_hash"), F.col("doc_id")], F.lit(1), "_rank")
-    out = rows.select(*docs.columns, (F.col("_rank") - 1).cast("long").alias("slot"), F.col("_shard").alias("shard"))
+    out = rows.select("row.*", (F.col("_rank") - 1).cast("long").alias("slot"), F.col("_shard").alias("shard"))
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression="zstd")
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
@@ -177,13 +211,15 @@ def write_shards(layout: DataFrame, plan: DataFrame, path: str) -> list[int]:
 
 def resharded(docs: DataFrame, old_shard: Column, n_old: int, n_new: int) -> DataFrame:
     """``docs`` with old_shard, slot and shard, as read from the files of the new layout: the
-    old layout is written, and its affected shards are rewritten."""
+    old layout is written, and its affected shards are rewritten. Columns of these names are
+    replaced, and so is old_slot."""
     spark = docs.sparkSession
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot", "old_shard", "old_slot")]
     with releasing_shuffles(spark):
-        layout = write_layout(docs, old_shard, new_path(spark, "old-shards"))
+        layout = write_layout(docs.select(*names, F.coalesce(old_shard, F.lit(0)).cast("int").alias("shard")), F.col("shard"), new_path(spark, "old-shards"))
         plan = written(reshard(layout, F.col("shard"), n_old, n_new, old_slot=F.col("slot")), "shard-plan")
         path = new_path(spark, "new-shards")
         moved = write_shards(layout, plan, path)
-    columns = [*docs.columns, "old_shard", "slot", "shard"]
+    columns = [*names, "old_shard", "slot", "shard"]
     kept = layout.where(~F.col("shard").isin(moved)).withColumn("old_shard", F.col("shard")).select(*columns)
     return spark.read.schema(kept.schema).parquet(path).select(*columns).unionByName(kept)

@@ -2,10 +2,12 @@
 
 The index keeps, for each document, a segment tree over its pre-tokens: leaves are runs of
 LEAF pre-tokens with their characters and tokens, every inner node has the sums of its two
-children. An edit (start, stop, text) finds its leaf by walking down the character sums.
-From two leaves before the edit, the text is cut into pre-tokens anew until a boundary behind
-the edit falls on the end of a leaf; only those pre-tokens are encoded again, and the sums
-on the way from the changed leaves to the root are updated.
+children. All nodes are stored, so loading a tree sums nothing. An edit (start, stop, text)
+finds its leaf by walking down the character sums. From two leaves before the edit, the text
+is cut into pre-tokens anew until a boundary behind the edit falls on the end of a leaf; only
+those pre-tokens are encoded again. They are dealt to the leaves they cover, and the sums on
+the way from these to the root are updated. Where they would need leaves of over 2 * LEAF
+pre-tokens, new leaves are put in and the nodes are summed anew, encoding nothing more.
 
 Cutting looks one character past a pre-token at most (a run of white space gives its last
 character to what follows), so starting that early and stopping at a boundary that was one
@@ -29,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import with_fields
+from strophe.llm.common import with_fields, written
 
 LEAF = 16
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,7 +39,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = regex.compile(PATTERN)
 CACHE = 500_000
-INDEX = "leaf_chars array<int>, leaf_tokens array<int>"
+INDEX = "node_chars array<int>, node_tokens array<int>"
+MADE = "tokens_before long, tokens_after long, pieces_encoded long, nodes_updated long"
 EDIT = "array<struct<start:int,stop:int,text:string>>"
 
 
@@ -73,14 +76,23 @@ def leaves(pieces: list[str], counts: PieceCounts) -> tuple[list[int], list[int]
 
 
 class Tree:
-    """Sums of characters and tokens over leaves: node k has the children 2k and 2k + 1."""
+    """Sums of characters and tokens over leaves: node k has the children 2k and 2k + 1.
 
-    def __init__(self, chars: list[int], tokens: list[int]):
-        self.width = 1 << max(0, len(chars) - 1).bit_length()
-        self.chars, self.tokens = ([0] * self.width + list(x) + [0] * (self.width - len(x)) for x in (chars, tokens))
+    ``Tree(*nodes)`` takes stored nodes as they are, ``Tree.over`` sums leaves.
+    """
+
+    def __init__(self, chars: list[int] = (), tokens: list[int] = ()):
+        self.chars, self.tokens = list(chars) or [0, 0], list(tokens) or [0, 0]
+        self.width = len(self.chars) // 2
         self.touched = 0
-        for k in range(self.width - 1, 0, -1):
-            self._sum(k)
+
+    @classmethod
+    def over(cls, chars: list[int], tokens: list[int]) -> Tree:
+        width = 1 << max(0, len(chars) - 1).bit_length()
+        tree = cls(*([0] * width + list(x) + [0] * (width - len(x)) for x in (chars, tokens)))
+        for k in range(width - 1, 0, -1):
+            tree._sum(k)
+        return tree
 
     def _sum(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -108,8 +120,8 @@ class Tree:
 def apply_edit(text: str, tree: Tree, edit: tuple, counts: PieceCounts) -> tuple[str, int]:
     """The text after an edit and the number of pre-tokens encoded again; updates the tree.
 
-    Cutting starts two leaves early and stops at the end of a leaf. What was cut goes to the
-    first of the leaves it covers and the others become empty, so no other leaf moves.
+    Cutting starts two leaves early and stops at the end of a leaf, so other leaves keep
+    their characters and tokens.
     """
     start, stop, new = edit
     start = min(max(0, start), len(text))
@@ -126,10 +138,9 @@ def apply_edit(text: str, tree: Tree, edit: tuple, counts: PieceCounts) -> tuple
                 break
     last, last_at = tree.leaf_at(stop)
     end = last_at + tree.chars[last + tree.width]
-    tokens = pieces = 0
+    pieces = []
     for m in CUT.finditer(edited, at):
-        tokens += counts[m.group()]
-        pieces += 1
+        pieces.append(m.group())
         place = m.end() - shift
         while place > end and last + 1 < tree.width:
             last += 1
@@ -137,36 +148,52 @@ def apply_edit(text: str, tree: Tree, edit: tuple, counts: PieceCounts) -> tuple
         if place == end and place >= stop:
             break
     else:
-        last, end = tree.width - 1, len(text)
-    for leaf in range(first + 1, last + 1):
-        if tree.chars[leaf + tree.width]:
-            tree.put(leaf, 0, 0)
-    tree.put(first, end + shift - at, tokens)
-    return edited, pieces
+        last = tree.width - 1
+    slots = last + 1 - first
+    if len(pieces) > 2 * LEAF * slots:
+        own, made = tree.width, list(zip(*leaves(pieces, counts), strict=True))
+        old = list(zip(tree.chars[own:], tree.tokens[own:], strict=True))
+        grown = Tree.over(*zip(*(x for x in old[:first] + made + old[last + 1 :] if x[0]), strict=True))
+        tree.chars, tree.tokens, tree.width, tree.touched = grown.chars, grown.tokens, grown.width, tree.touched + grown.width
+        return edited, len(pieces)
+    per = max(LEAF, -(-len(pieces) // slots))
+    for k in range(slots):
+        held = pieces[k * per : (k + 1) * per]
+        if held or tree.chars[first + k + tree.width]:
+            tree.put(first + k, sum(map(len, held)), sum(map(counts.__getitem__, held)))
+    return edited, len(pieces)
 
 
 def token_index(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds the leaves of the segment tree to ``docs``: leaf_chars and leaf_tokens."""
+    """Adds the nodes of the segment tree to ``docs``: node_chars and node_tokens, which replace
+    columns of these names. Written as a table, it is the index that edits are applied to.
+
+    The file ``vocabulary`` must lie at that path on every executor.
+    """
+    docs = docs.drop("node_chars", "node_tokens")
     place = docs.columns.index("text")
 
     def run(batches):
         counts = PieceCounts(vocabulary)
         for batch in batches:
-            made = [leaves(CUT.findall(x or ""), counts) for x in batch.column(place).to_pylist()]
-            more = [pa.array([x[k] for x in made], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "leaf_chars", "leaf_tokens"])
+            made = [Tree.over(*leaves(CUT.findall(x or ""), counts)) for x in batch.column(place).to_pylist()]
+            more = [pa.array([getattr(x, k) for x in made], pa.list_(pa.int32())) for k in ("chars", "tokens")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "node_chars", "node_tokens"])
 
     return docs.mapInArrow(run, with_fields(docs, INDEX))
 
 
 def apply_edits(index: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Applies the column ``edits`` of an index table to its texts and leaves.
+    """Applies the column ``edits`` of an index table to its texts and trees.
 
     ``edits`` is an array of structs start, stop (characters), text. Adds tokens_before,
-    tokens_after, pieces_encoded and nodes_updated, and replaces text, leaf_chars and leaf_tokens.
+    tokens_after, pieces_encoded and nodes_updated, which replace columns of these names, and
+    updates text, node_chars and node_tokens.
     """
-    at = {c: index.columns.index(c) for c in ("text", "edits", "leaf_chars", "leaf_tokens")}
-    names = [*index.columns, "tokens_before", "tokens_after", "pieces_encoded", "nodes_updated"]
+    added = [x.split()[0] for x in MADE.split(", ")]
+    index = index.drop(*added)
+    at = {c: index.columns.index(c) for c in ("text", "edits", "node_chars", "node_tokens")}
+    names = [*index.columns, *added]
 
     def run(batches):
         counts = PieceCounts(vocabulary)
@@ -179,14 +206,18 @@ def apply_edits(index: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     if edit and edit["start"] is not None and edit["stop"] is not None:
                         text, n = apply_edit(text, tree, (edit["start"], edit["stop"], edit["text"] or ""), counts)
                         pieces += n
-                size = tree.width
-                out.append((text, tree.chars[size:], tree.tokens[size:], before, tree.tokens[1], pieces, tree.touched))
+                out.append((text, tree.chars, tree.tokens, before, tree.tokens[1], pieces, tree.touched))
             text, chars, tokens, *sums = zip(*out, strict=True) if out else ([],) * 7
             columns[at["text"]] = pa.array(text, pa.string())
-            columns[at["leaf_chars"]], columns[at["leaf_tokens"]] = (pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens))
+            columns[at["node_chars"]], columns[at["node_tokens"]] = (pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens))
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in sums)], names=names)
 
-    return index.mapInArrow(run, with_fields(index, "tokens_before long, tokens_after long, pieces_encoded long, nodes_updated long"))
+    return index.mapInArrow(run, with_fields(index, MADE))
+
+
+def edited(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``apply_edits`` of ``docs`` (text, edits) by an index that is written and read back."""
+    return apply_edits(written(token_index(docs, vocabulary), "token-index", "zstd"), vocabulary)
 
 
 def sample_edits() -> F.Column:

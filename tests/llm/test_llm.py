@@ -144,14 +144,22 @@ def test_edits_count_as_a_full_count(spark, odd, none):
     signs = ["a", "b ", "  ", "\n", "\n\n", "'s", "12", "!", "é", "\t", " "]
     for _ in range(1500):
         text = "".join(rng.choice(signs) for _ in range(rng.choice([0, 3, 60, 300])))
-        tree = tokencounts.Tree(*tokencounts.leaves(tokencounts.CUT.findall(text), counts))
+        tree = tokencounts.Tree.over(*tokencounts.leaves(tokencounts.CUT.findall(text), counts))
         for _ in range(3):
             start = rng.randint(-2, len(text) + 2)
             text, _ = tokencounts.apply_edit(text, tree, (start, start + rng.choice([0, 2, 50]), "".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 20])))), counts)
             assert tree.tokens[1] == len(encode(text)) and tree.chars[1] == len(text)
+            assert all(x[k] == x[2 * k] + x[2 * k + 1] for x in (tree.chars, tree.tokens) for k in range(1, tree.width))
+    text = "word " * 2000
+    tree = tokencounts.Tree.over(*tokencounts.leaves(tokencounts.CUT.findall(text), counts))
+    for k in range(600):  # leaves that grow are split, so an edit stays cheap
+        text, pieces = tokencounts.apply_edit(text, tree, (5 * (k % 7), 5 * (k % 7), "more and more words "), counts)
+        assert pieces <= 10 * tokencounts.LEAF
+    assert tree.tokens[1] == len(encode(text))
     docs = odd.withColumn("edits", tokencounts.sample_edits())
-    for r in tokencounts.apply_edits(tokencounts.token_index(docs)).collect():
-        assert r.tokens_after == len(encode(r.text))
+    for r in tokencounts.edited(docs).collect():
+        assert r.tokens_after == r.node_tokens[1] == len(encode(r.text)) and r.tokens_before == len(encode(dict((d[0], d[1]) for d in ODD)[r.doc_id] or ""))
+        assert r.pieces_encoded < 500 and r.nodes_updated <= max(40 * 3 * 5, 2 * len(r.node_tokens))
     assert tokencounts.apply_edits(tokencounts.token_index(none.withColumn("edits", tokencounts.sample_edits()))).count() == 0
 
 
