@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import written
+from strophe.llm.common import free_name, written
 
 N = 10
 #: What lies between words.
@@ -123,8 +123,8 @@ def row_key() -> Column:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
-    grams = written(item_windows(benchmark, n), "grams")
-    keyed = docs.withColumn("row_key", row_key())
-    dirty = written(hits(keyed, grams, n).where("start >= 0").select("row_key").distinct(), "dirty")
-    return keyed.join(dirty, "row_key", "left_anti").drop("row_key")
+    """The rows of ``docs``, with all their columns, in which no benchmark window occurs."""
+    grams, key = written(item_windows(benchmark, n), "grams"), free_name(docs, "row_key")
+    found = hits(docs.select("doc_id", "text", row_key().alias("row_key")), grams, n).where("start >= 0")
+    dirty = written(found.select(F.col("row_key").alias(key)).distinct(), "dirty")
+    return docs.withColumn(key, row_key()).join(dirty, key, "left_anti").drop(key)

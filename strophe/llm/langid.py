@@ -5,11 +5,13 @@ case and with what isn't letters as single spaces, is cut into pieces of ``PIECE
 language whose sizes add up to least is chosen. Pieces, rather than one long stream, keep
 a long text from being its own dictionary. The score is the margin to the second
 language, relative to the second's size and scaled to 0..1; where it is under
-``min_score`` the answer counts as rejected.
+``min_score`` the answer counts as rejected. Texts to identify are read whole.
 
-The sample is bounded: per language at most SAMPLE_DOCS labelled documents, those of
-smallest hash, and at most DICTIONARY bytes. So the broadcast is at most
-languages * DICTIONARY bytes.
+The sample to learn from is bounded: per language at most SAMPLE_DOCS labelled documents, those
+of smallest hash, which share DICTIONARY bytes evenly. Of each, the first 2 * DICTIONARY /
+(documents found) characters are read, twice its share, since the halves of a sample that ``learn``
+compares fill whole dictionaries too. So what reaches the driver is at most languages * 2 *
+DICTIONARY characters.
 
 The margin under which a text is rejected is learned from the same labelled documents by
 ``learn``: each half of them is scored with dictionaries of the other half, once with all
@@ -34,7 +36,6 @@ from pyspark.sql import functions as F
 from strophe.llm.common import with_fields
 
 SAMPLE_DOCS = 100
-SAMPLE_CHARS = 1_000
 DICTIONARY = 64 << 10
 PIECE = 512
 LEVEL = 6
@@ -92,9 +93,11 @@ def margin(known: list[float], unknown: list[float]) -> float:
 
 def _picked(labelled: DataFrame) -> dict[str, list[bytes]]:
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    cut = usable.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    cut = usable.select("lang", "doc_id", F.substring("text", 1, 2 * DICTIONARY).alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     picked = cut.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_DOCS)
+    share = F.floor(2 * DICTIONARY / F.count("*").over(Window.partitionBy("lang"))).cast("int")
+    picked = picked.select("lang", "_n", F.substr("text", F.lit(1), share).alias("text"))
     texts: dict[str, list] = {}
     for row in picked.orderBy("lang", "_n").collect():
         texts.setdefault(row["lang"], []).append(normalised(row["text"]))
@@ -110,8 +113,9 @@ def _joined(texts: dict[str, list[bytes]]) -> dict[str, bytes]:
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], min_score: float = MIN_SCORE) -> DataFrame:
-    """Adds lang_pred, score and rejected to ``docs``, which has a text column."""
-    langs = sorted(samples)
+    """Adds lang_pred, score and rejected to ``docs``, which has a text column; columns of these
+    names are replaced."""
+    langs, docs = sorted(samples), docs.drop("lang_pred", "score", "rejected")
 
     def run(batches):
         coders = [_coder(samples[x]) for x in langs]

@@ -255,8 +255,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that represent their component, one for each.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id all stay.
+    Rows that share a doc_id are versions of one document: of them the one with the least text,
+    null before all, stays (of equal texts any), on every run the same. Rows with a null doc_id all stay.
     """
     kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     once = docs.where("doc_id is not null").join(written(kept, "kept"), "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    first = once.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("_row"))
+    return first.select("_row.*").unionByName(docs.where("doc_id is null"))

@@ -92,6 +92,15 @@ SELECT page_id, host, host_pages, CAST(len(lines) AS BIGINT) AS n_lines, CAST(le
   sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256 FROM k
 """
 
+#: Base32 of the SHA-1: 20 bits, five hex digits, make four letters.
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first, count(*) OVER (PARTITION BY page_id, payload) AS n FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, n AS n_requests, n AS n_metadata FROM m
+"""
+
 _OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text'))} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
@@ -143,4 +152,4 @@ j AS (SELECT source, round((bad + m * weight) / (n + weight), 9) AS host_rate, r
 SELECT f.*, host_rate, host_limit, NOT base_failed AND NOT host_rate > host_limit AS kept FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
 """
 
-ORACLE_SQL = {"op2_line_dedup": _OP2, "op6_near_duplicates": _OP6, "op9_decontamination": _OP9, "op10_host_rules": _OP10}
+ORACLE_SQL = {"op2_line_dedup": _OP2, "op3_warc": _OP3, "op6_near_duplicates": _OP6, "op9_decontamination": _OP9, "op10_host_rules": _OP10}

@@ -101,7 +101,7 @@ def write_archives(rows: DataFrame, path: str, rows_per_file: int = ROWS_PER_FIL
     """
     size = F.col("payload_bytes")
     kind = F.when(size <= SMALL, 0).otherwise(F.ceil(F.log2(size / float(SMALL)) / 3)).cast("int")
-    found = sorted(r[0] for r in rows.select(kind.alias("kind")).distinct().collect())
+    found = sorted(r[0] for r in rows.select(kind.alias("kind")).distinct().collect()) or [0]
     for k in found:
         most = max(1, min(rows_per_file, file_bytes // (SMALL << 3 * k)))
         own = rows.where(kind == k) if len(found) > 1 else rows
