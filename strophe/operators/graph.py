@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,35 @@ def candidate_pairs(quanta: DataFrame, track: str, vector: str, scale: float, ma
     return rows.select(track, "src", "dst", (scale * l2(F.col("_a"), F.col("_b")) + penalty).alias("distance")).where(F.col("distance") < max_distance)
 
 
-def top_neighbours(pairs: DataFrame, track: str, k: int) -> DataFrame:
-    """The k nearest destinations of a source: distance, then the longer way ahead, then dst."""
-    order = Window.partitionBy(track, "src").orderBy("distance", (F.col("dst") - F.col("src")).desc(), "dst")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def top_neighbours(scored: DataFrame, track: str, k: int) -> DataFrame:
+    """The k best accepted destinations of a source: distance, penalty, no local loop, no short
+    local jump, the longer jump, dst. ``scored`` is what ``structural_score`` gives."""
+    jump = F.abs(F.col("dst") - F.col("src"))
+    order = Window.partitionBy(track, "src").orderBy("distance", "penalty", "local_loop", "short_local", jump.desc(), "dst")
+    return scored.where("decision = 'accepted'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def by_score(edges: DataFrame, track: str) -> DataFrame:
+    """Adds score_rank: the place among a source's edges by score, distance, longer jump, dst."""
+    order = Window.partitionBy(track, "src").orderBy("score", "distance", F.abs(F.col("dst") - F.col("src")).desc(), "dst")
+    return edges.withColumn("score_rank", F.row_number().over(order))
+
+
+def best_backward(edges: DataFrame, sizes: DataFrame, track: str, max_distance: float) -> DataFrame:
+    """The edge of a track that leads back furthest: track, src, dst, distance, percent.
+
+    Ties go by distance, score, dst and src.
+    """
+    back = edges.where((F.col("dst") < F.col("src")) & (F.col("distance") < max_distance)).join(sizes, track)
+    rows = back.withColumn("percent", (F.col("src") - F.col("dst")) * 100.0 / F.col("n"))
+    order = Window.partitionBy(track).orderBy(F.desc("percent"), "distance", "score", "dst", "src")
+    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(track, "src", "dst", "distance", "percent")
+
+
+def delete_edges(edges: DataFrame, listed: DataFrame, track: str) -> DataFrame:
+    """Adds deleted: whether an edge (track, src, dst) is in ``listed``."""
+    gone = listed.select(track, "src", "dst").distinct().withColumn("_gone", F.lit(True))
+    return edges.join(gone, [track, "src", "dst"], "left").withColumn("deleted", F.coalesce("_gone", F.lit(False))).drop("_gone")
 
 
 def threshold_sweep(pairs: DataFrame, sizes: DataFrame, track: str, first: int = 10, step: int = 5, limit: int = 80) -> DataFrame:
@@ -78,12 +105,15 @@ def threshold_sweep(pairs: DataFrame, sizes: DataFrame, track: str, first: int =
 
 
 def edges_at_threshold(pairs: DataFrame, thresholds: DataFrame, track: str) -> DataFrame:
-    return pairs.join(thresholds, track).where(F.col("distance") <= F.col("applied")).select(track, "src", "dst", "distance")
+    """The pairs, with all their columns, within their track's threshold."""
+    return pairs.join(thresholds, track).where(F.col("distance") <= F.col("applied")).select(*pairs.columns)
 
 
 def look_ahead(pairs: DataFrame, thresholds: DataFrame, track: str, depth: int = 3) -> DataFrame:
     """Pairs of which every (src + o, dst + o), o below ``depth``, is within the threshold too."""
     near = pairs.join(thresholds, track).where(F.col("distance") <= F.col("applied")).select(track, "src", "dst", "distance")
+    if depth < 2:
+        return near
     ahead = near.select(track, "src", "dst", F.explode(F.sequence(F.lit(1), F.lit(depth - 1))).alias("o"))
     shifted = near.select(track, F.col("src").alias("_s"), F.col("dst").alias("_d"))
     met = ahead.withColumn("_s", F.col("src") + F.col("o")).withColumn("_d", F.col("dst") + F.col("o")).join(shifted, [track, "_s", "_d"])
@@ -92,7 +122,8 @@ def look_ahead(pairs: DataFrame, thresholds: DataFrame, track: str, depth: int =
 
 
 def structural_score(edges: DataFrame, sizes: DataFrame, track: str, beats_per_bar: int = 4, section_bars: int = 8, very_short_bars: int = 1, short_bars: int = 4, phrase_bars: int = 8, boundary_bars: int = 1) -> DataFrame:
-    """Adds penalty, bonus, score, reasons and decision to edges (track, src, dst, distance).
+    """Adds penalty, bonus, score, reasons, decision and the flags short_local, local_loop,
+    section_change and boundary to edges (track, src, dst, distance).
 
     Bars, phrases and sections follow from the beat's number. The bonus pays off the penalty
     and no more; short jumps without structural evidence are rejected.
@@ -138,7 +169,7 @@ def structural_score(edges: DataFrame, sizes: DataFrame, track: str, beats_per_b
     bad_short = ~bad_very & is_short & local & ~evidence
     names = [F.when(c, F.lit(name)) for c, name, _, _ in rules] + [F.when(bad_very, F.lit("rejected-very-short-local")), F.when(bad_short, F.lit("rejected-short-local"))]
     total = lambda k: sum((F.when(r[0], float(r[k])).otherwise(0.0) for r in rules if r[k]), F.lit(0.0))
-    rows = rows.select("*", total(2).alias("_p"), total(3).alias("bonus"), F.array_compact(F.array(*names)).alias("reasons"), F.when(bad_very | bad_short, "rejected").otherwise("accepted").alias("decision"))
+    rows = rows.select("*", local.alias("short_local"), loop.alias("local_loop"), change.alias("section_change"), boundary.alias("boundary"), total(2).alias("_p"), total(3).alias("bonus"), F.array_compact(F.array(*names)).alias("reasons"), F.when(bad_very | bad_short, "rejected").otherwise("accepted").alias("decision"))
     penalty = F.greatest(F.lit(0.0), F.col("_p") - F.least("_p", "bonus"))
     return rows.withColumn("penalty", penalty).withColumn("score", F.col("distance") + penalty).drop("_p", "n")
 
@@ -160,23 +191,51 @@ def reachability(quanta: DataFrame, edges: DataFrame, track: str) -> DataFrame:
     return step.select(track, "which", "n", fixed.alias("earliest")).withColumn("reach", F.col("n") - F.col("earliest"))
 
 
-def hop_cost(quanta: DataFrame, edges: DataFrame, targets: DataFrame, track: str, max_hops: int = 6) -> DataFrame:
+def hop_cost(quanta: DataFrame, edges: DataFrame, targets: DataFrame, track: str) -> DataFrame:
     """track, which, hops: jumps needed to come to or before ``target`` (one per track).
 
     Playing on is free, so k jumps serve every quantum up to P(k): P(0) is the target and
-    P(k+1) the larger of P(k) and the last source with a destination up to P(k). Null beyond
-    ``max_hops``.
+    P(k+1) the larger of P(k) and the last source with a destination up to P(k). The layers of
+    a track are followed until they stop growing; what none of them serves has null.
     """
-    layers = targets.select(track, F.array("target").alias("p"))
-    for _ in range(max_hops):
-        last = F.element_at("p", -1)
-        far = F.max(F.when(F.col("dst") <= last, F.col("src")))
-        layers = layers.join(edges.select(track, "src", "dst"), track, "left").groupBy(track, "p").agg(far.alias("_s")).select(track, F.concat("p", F.array(F.greatest(last, "_s"))).alias("p"))
-    rows = quanta.select(track, "which").join(layers, track, "left")
+
+    def layers(key, pdf: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
+        if target.empty:
+            return pd.DataFrame([], columns=["k", "p"])
+        pdf = pdf.sort_values("dst") if len(pdf) else pd.DataFrame({"src": [], "dst": []})
+        ends, reach = pdf["dst"].to_numpy(), np.maximum.accumulate(pdf["src"].to_numpy())
+        found = [int(target["target"].iloc[0])]
+        while (at := np.searchsorted(ends, found[-1], "right")) and reach[at - 1] > found[-1]:
+            found.append(int(reach[at - 1]))
+        return pd.DataFrame([(key[0], found)], columns=["k", "p"])
+
+    kind = targets.schema[track].dataType.simpleString()
+    own = edges.select(track, "src", "dst").groupBy(track).cogroup(targets.select(F.col(track).alias(track), "target").groupBy(track))
+    found = own.applyInPandas(layers, f"k {kind}, p array<long>").withColumnRenamed("k", track)
+    rows = quanta.select(track, "which").join(found, track, "left")
     first = F.array_position(F.transform("p", lambda x: x >= F.col("which")), True)
     return rows.select(track, "which", F.when(first > 0, first - 1).alias("hops"))
 
 
+def percent_index(n: Column, percent: int) -> Column:
+    """The quantum at a percentage of a track's n."""
+    return F.greatest(F.lit(0), F.least(F.floor(n * (percent / 100.0)), n - 1))
+
+
+def early_target(edges: DataFrame, sizes: DataFrame, track: str, percent: int = 25) -> DataFrame:
+    """track, target: the quantum that counts as early enough to come back to.
+
+    The mark at ``percent``, or the first destination of a way back if that is later, or the
+    first one from the last third, which counts up to the mark at 55 percent.
+    """
+    rows = sizes.join(edges.where("dst < src").select(track, "src", "dst"), track, "left").groupBy(track, "n")
+    late = F.min(F.when(F.col("src") >= percent_index(F.col("n"), 66), F.col("dst")))
+    rows = rows.agg(F.min("dst").alias("first"), late.alias("late"))
+    hint = F.when(F.col("late").isNull(), F.col("first")).otherwise(F.least("late", percent_index(F.col("n"), 55)))
+    mark = percent_index(F.col("n"), percent)
+    return rows.select(track, F.when(F.col("first").isNull(), mark).otherwise(F.least(F.greatest(mark, F.col("first"), hint), F.col("n") - 1)).cast("long").alias("target"))
+
+
 def last_branch_point(reach: DataFrame, edges: DataFrame, track: str) -> DataFrame:
     """track, last: of quanta with edges, the latest that reaches half the track, else the one
     that reaches most (the later wins ties), else 0."""
@@ -202,29 +261,64 @@ def bad_branch_filter(edges: DataFrame, last: DataFrame, track: str) -> DataFram
     return edges.join(last, track).where((F.col("src") >= F.col("last")) | (F.col("dst") < F.col("last"))).drop("last")
 
 
-def prune_clusters(edges: DataFrame, track: str, evidence: Column, window: int = 8, keep: int = 1, least: int = 2) -> DataFrame:
-    """Adds deleted: in clusters of edges between the same two windows of ``window`` beats, all
-    go if none has evidence, else all but the best ``keep`` (distance, src, dst)."""
-    key = [track, "_sw", "_dw"]
-    rows = edges.withColumn("_sw", F.floor(F.col("src") / window)).withColumn("_dw", F.floor(F.col("dst") / window)).withColumn("_e", evidence)
-    whole = Window.partitionBy(*key)
-    rank = F.row_number().over(whole.orderBy(F.desc("_e"), "distance", "src", "dst"))
-    gone = (F.count("*").over(whole) >= least) & (~F.max("_e").over(whole) | (rank > keep))
-    return rows.withColumn("deleted", gone).drop("_sw", "_dw", "_e")
+def prune_clusters(edges: DataFrame, track: str, window: int = 32, short: int = 16, keep: int = 1) -> DataFrame:
+    """Adds deleted: in clusters of two and more short local edges between the same two phrases of
+    ``window`` beats, all go if none is at a structural boundary, else all but the best ``keep``
+    (score, longer jump, dst, src).
+
+    Short local are edges under ``short`` beats inside a section that are a local risk or stay in a
+    phrase. ``edges`` has what ``structural_score`` gives; other edges are never deleted.
+    """
+    at = {x: F.floor(F.col(x) / window) for x in ("src", "dst")}
+    jump = F.abs(F.col("dst") - F.col("src"))
+    local = (jump < short) & ~F.col("section_change") & (F.col("short_local") | F.col("local_loop") | (at["src"] == at["dst"]))
+    rows = edges.withColumn("_sw", at["src"]).withColumn("_dw", at["dst"]).withColumn("_local", local)
+    whole = Window.partitionBy(track, "_sw", "_dw", "_local")
+    rank = F.row_number().over(whole.orderBy("score", jump.desc(), "dst", "src"))
+    gone = F.col("_local") & (F.count("*").over(whole) >= 2) & (~F.max("boundary").over(whole) | (rank > keep))
+    return rows.withColumn("deleted", gone).drop("_sw", "_dw", "_local")
+
+
+#: Least ways back of the tiers as shares of a long branch, and what the late choice may give
+#: up against the best one (fixed values).
+TIERS = (1.0, 0.5, 0.25)
+LATE = {"hops": 1, "back": 0.60, "slack": 0.02, "least_slack": 4, "landing": 0.50, "near": 4, "near_back": 0.80}
 
 
-def late_anchor(edges: DataFrame, reach: DataFrame, costs: DataFrame, track: str, from_share: float = 0.66, to_share: float = 0.25) -> DataFrame:
-    """The best late edge back to a track's early part: track, src, dst, distance, tier.
+def late_anchor(edges: DataFrame, reach: DataFrame, costs: DataFrame, targets: DataFrame, track: str, min_long: Column | None = None, first_percent: int = 66, late_percent: int = 80) -> DataFrame:
+    """The late edge back to a track's early part: track, src, dst, distance, hops, tier.
 
-    Tier 1: from behind ``from_share`` to before ``to_share``; tier 2: to before the middle;
-    tier 3: any way back. Inside a tier: fewest jumps, earliest reach, distance, longest way
-    back, latest source.
+    A source stands with its best way back (fewest jumps from there to the target, earliest
+    reach, distance, longest way). Tier k allows k jumps and asks for a way back of ``min_long``
+    (a fifth of the track), a half and a quarter of it; in each, sources from ``late_percent`` on
+    come before those from ``first_percent`` on. In the first tier with any, the latest
+    source is taken that gives up no more than LATE against the best. Where no tier has any,
+    tier 4 is the best edge that needs no further jump.
     """
-    rows = edges.where("dst < src").join(reach.select(track, F.col("which").alias("dst"), "n", "earliest"), [track, "dst"]).join(costs.select(track, F.col("which").alias("dst"), "hops"), [track, "dst"])
-    late = F.col("src") >= from_share * F.col("n")
-    tier = F.when(late & (F.col("dst") <= to_share * F.col("n")), 1).when(late & (F.col("dst") <= 0.5 * F.col("n")), 2).otherwise(3)
-    order = Window.partitionBy(track).orderBy("tier", F.col("hops").asc_nulls_last(), "earliest", "distance", (F.col("src") - F.col("dst")).desc(), F.desc("src"), "dst")
-    return rows.withColumn("tier", tier).withColumn("_r", F.row_number().over(order)).where("_r = 1").select(track, "src", "dst", "distance", "tier")
+    cost = ["hops", "earliest", "distance", F.desc("back"), F.desc("src")]
+    long = F.greatest(F.lit(1), F.floor(F.col("n") / 5 if min_long is None else min_long))
+    ends = reach.select(track, F.col("which").alias("dst"), "n", "earliest").join(costs.select(track, F.col("which").alias("dst"), "hops"), [track, "dst"])
+    rows = edges.where("dst < src").select(track, "src", "dst", "distance").join(ends, [track, "dst"]).where("hops is not null").withColumn("back", F.col("src") - F.col("dst"))
+    own = Window.partitionBy(track, "src").orderBy("hops", "earliest", "distance", F.desc("back"))
+    rows = rows.withColumn("_r", F.row_number().over(own)).where("_r = 1").drop("_r").join(targets, track)
+    needs = F.array(*[F.greatest(F.lit(x), F.floor(long * share)).cast("long") for x, share in zip((1, 2, 1), TIERS, strict=True)])
+    rows = rows.withColumn("_late", F.col("src") >= F.greatest(percent_index(F.col("n"), first_percent), percent_index(F.col("n"), late_percent)))
+    rows = rows.where(F.col("src") >= percent_index(F.col("n"), first_percent)).select("*", F.posexplode(needs).alias("_t", "need"))
+    tiered = rows.where((F.col("hops") <= F.col("_t") + 1) & (F.col("earliest") <= F.col("target")) & (F.col("back") >= F.col("need"))).withColumn("_g", 2 * F.col("_t") + F.when(F.col("_late"), 0).otherwise(1))
+    direct = rows.where("_t = 0 and hops = 0").withColumn("_g", F.lit(6))
+    picked = tiered.unionByName(direct).withColumn("_first", F.min("_g").over(Window.partitionBy(track))).where("_g = _first")
+    best = F.first(F.struct("hops", "earliest", "back", "src")).over(Window.partitionBy(track).orderBy(*cost))
+    picked = picked.withColumn("b", best)
+    slack = F.greatest(F.lit(LATE["least_slack"]), F.floor(F.col("n") * LATE["slack"]))
+    fine = (F.col("hops") <= F.col("b.hops") + LATE["hops"]) & (F.col("earliest") <= F.col("b.earliest") + slack) & (F.col("back") >= F.greatest("need", F.floor(F.col("b.back") * LATE["back"])))
+    fine = fine & ((F.col("hops") <= F.col("b.hops")) | (F.col("dst") <= F.floor(F.col("n") * LATE["landing"])))
+    is_best = F.col("src") == F.col("b.src")
+    latest = Window.partitionBy(track).orderBy(F.desc("_fine"), F.desc("src"))
+    picked = picked.withColumn("_fine", F.when(F.col("_g") < 6, fine | is_best).otherwise(is_best)).withColumn("_r", F.row_number().over(latest))
+    near = (F.abs(F.col("src") - F.col("b.src")) <= LATE["near"]) & (F.col("hops") > F.col("b.hops")) & (F.col("back") < F.col("b.back") * LATE["near_back"])
+    picked = picked.withColumn("_back", F.max((F.col("_r") == 1) & near).over(Window.partitionBy(track)))
+    chosen = picked.where((F.col("_back") & is_best) | (~F.col("_back") & (F.col("_r") == 1)))
+    return chosen.select(track, "src", "dst", "distance", "hops", (F.floor(F.col("_g") / 2) + 1).alias("tier"))
 
 
 def valid_edges(edges: DataFrame, quanta: DataFrame, track: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
 from strophe.operators import cache, evidence, folds, frames, graph, grids, hierarchy, joins, summaries, timeline, walk
+from strophe.plans.tables import settled
 from strophe.sources import exports
 
 QUERIES: dict = {}
@@ -20,14 +21,30 @@ _BEATS = """b AS (SELECT event_id, user_id, event_type, value, (epoch_us(ts) - 1
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS which FROM events)"""
 _QUANTA = """q AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS which, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT label, count(*) AS n FROM q GROUP BY label)"""
-_PAIRS = _QUANTA + """,
+_RAW = _QUANTA + """,
 p AS (SELECT a.label, a.which AS src, b.which AS dst, 50 * list_distance(a.v, b.v) AS distance FROM q a JOIN q b ON a.label = b.label
-  AND a.which % 4 = b.which % 4 AND a.which <> b.which WHERE 50 * list_distance(a.v, b.v) < 80),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, src ORDER BY distance, dst - src DESC, dst) AS rank FROM p) WHERE rank <= 4)"""
+  AND a.which % 4 = b.which % 4 AND a.which <> b.which WHERE 50 * list_distance(a.v, b.v) < 80)"""
+#: Structural marks of every pair: j the jump, sh short, sp same place in the bar, ch section change, bo boundary,
+#: ga reach gain, lo short local risk, lp local loop risk, p0 penalty, b0 bonus, ev evidence.
+_SCORED = _RAW + """,
+sx AS (SELECT p.*, n, abs(dst - src) AS j, src // 4 AS sb, dst // 4 AS db FROM p JOIN s USING (label)),
+sf AS (SELECT *, j < 16 AS sh, src % 4 = dst % 4 AS sp, sb // 8 <> db // 8 AS ch, sb % 8 IN (0, 7) OR db % 8 IN (0, 7) AS bo, j >= greatest(16, floor(n / 2)) AS ga FROM sx),
+sg AS (SELECT *, sh AND NOT ch AND NOT bo AND NOT ga AS lo FROM sf),
+sh_ AS (SELECT *, lo AND (sb // 4 = db // 4 OR sb // 8 = db // 8) AS lp FROM sg),
+si AS (SELECT *, CASE WHEN j < 4 THEN 35 WHEN sh THEN 18 ELSE 0 END + CASE WHEN sp THEN 0 WHEN sh THEN 18 ELSE 8 END + CASE WHEN sb % 4 <> db % 4 AND sh THEN 8 ELSE 0 END
+    + CASE WHEN lo THEN 28 ELSE 0 END + CASE WHEN lp THEN 18 ELSE 0 END AS p0,
+  CASE WHEN NOT sh AND j >= 32 THEN 12 ELSE 0 END + CASE WHEN sp AND sh THEN 4 WHEN sp THEN 8 ELSE 0 END + CASE WHEN sb % 4 = db % 4 THEN 3 ELSE 0 END + CASE WHEN sb % 8 = db % 8 THEN 3 ELSE 0 END
+    + CASE WHEN sb % 16 = db % 16 AND j >= 32 THEN 3 ELSE 0 END + CASE WHEN ch THEN 12 ELSE 0 END + CASE WHEN bo THEN 8 ELSE 0 END + CASE WHEN ga THEN 8 ELSE 0 END + CASE WHEN distance <= 8 THEN 4 ELSE 0 END AS b0,
+  (ch OR bo OR ga) AND sp AND NOT lp AS ev FROM sh_),
+sc AS (SELECT *, greatest(0, p0 - least(p0, b0)) AS penalty, distance + greatest(0, p0 - least(p0, b0)) AS score,
+  (j < 4 AND NOT (ev AND distance <= 8)) OR (j >= 4 AND sh AND lo AND NOT ev) AS rejected FROM si)"""
+_PAIRS = _SCORED + """,
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, src ORDER BY distance, penalty, lp, lo, j DESC, dst) AS rank FROM sc
+  WHERE NOT rejected AND EXISTS (SELECT 1 FROM p y WHERE y.label = sc.label AND y.src = sc.src + 1 AND y.dst = sc.dst + 1)) WHERE rank <= 4)"""
 _EDGES = _PAIRS + """,
 c AS (SELECT label, x, count(*) AS c FROM (SELECT label, src, min(distance) AS d FROM k GROUP BY label, src), (SELECT unnest(range(10, 80, 5)) AS x) WHERE d <= x GROUP BY label, x),
 t AS (SELECT s.label, coalesce(min(x), 80) AS reported, coalesce(min(x), 75) AS applied FROM s LEFT JOIN c ON c.label = s.label AND c.c >= s.n / 6 GROUP BY s.label),
-e AS (SELECT label, src, dst, distance FROM k JOIN t USING (label) WHERE distance <= applied)"""
+e AS (SELECT label, src, dst, distance, score, ch, bo, lo, lp FROM k JOIN t USING (label) WHERE distance <= applied)"""
 _STEP = _EDGES + """,
 m AS (SELECT q.label, q.which, least(q.which, min(d.dst)) AS m FROM q LEFT JOIN e d ON d.label = q.label AND d.src >= q.which GROUP BY q.label, q.which),
 w AS (SELECT label, which, which AS pos FROM q UNION SELECT w.label, w.which, m.m FROM w JOIN m ON m.label = w.label AND m.which = w.pos),
@@ -70,10 +87,13 @@ def sizes(rows: DataFrame) -> DataFrame:
 def similarity_graph(spark, sf_dir: str):
     """quanta, sizes, neighbours, thresholds and edges of the embeddings."""
     q = quanta(spark, sf_dir)
-    near = graph.top_neighbours(graph.candidate_pairs(q, "label", "v", 50.0, 80.0), "label", 4).persist()
     n = sizes(q)
-    thresholds = graph.threshold_sweep(near, n, "label")
-    return q, n, near, thresholds, graph.edges_at_threshold(near, thresholds, "label").persist()
+    pairs = graph.candidate_pairs(q, "label", "v", 50.0, 80.0)
+    ahead = graph.look_ahead(pairs, n.select("label", F.lit(80.0).alias("applied")), "label", 2).select("label", "src", "dst")
+    scored = graph.structural_score(pairs, n, "label").join(ahead, ["label", "src", "dst"], "left_semi")
+    near = settled(graph.top_neighbours(scored, "label", 4), "neighbours")
+    thresholds = settled(graph.threshold_sweep(near, n, "label"), "thresholds")
+    return q, n, near, thresholds, graph.edges_at_threshold(near, thresholds, "label")
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -223,13 +243,14 @@ def hopping_windows(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT label, src, dst, round(distance, 6) AS distance, rank FROM k")
 def knn_topk(spark, sf_dir):
-    return rounded(similarity_graph(spark, sf_dir)[2].withColumn("rank", F.col("rank").cast("long")), "distance")
+    near = similarity_graph(spark, sf_dir)[2].select("label", "src", "dst", "distance", F.col("rank").cast("long").alias("rank"))
+    return rounded(near, "distance")
 
 
 @query(f"WITH {_EDGES} SELECT label, src, dst, round(distance, 6) AS distance, CAST(reported AS BIGINT) AS reported, CAST(applied AS BIGINT) AS applied FROM e JOIN t USING (label)")
 def adaptive_threshold(spark, sf_dir):
     _, _, _, thresholds, edges = similarity_graph(spark, sf_dir)
-    out = edges.join(thresholds, "label").withColumns({x: F.col(x).cast("long") for x in ("reported", "applied")})
+    out = edges.select("label", "src", "dst", "distance").join(thresholds, "label").withColumns({x: F.col(x).cast("long") for x in ("reported", "applied")})
     return rounded(out, "distance")
 
 
@@ -243,22 +264,42 @@ def look_ahead_gate(spark, sf_dir):
     return rounded(graph.look_ahead(pairs, fixed, "label"), "distance")
 
 
-_SCORE = """x AS (SELECT e.*, n, abs(dst - src) AS j, src // 4 AS sb, dst // 4 AS db FROM e JOIN s USING (label)),
-  f AS (SELECT *, j < 16 AS sh, src % 4 = dst % 4 AS sp, sb // 8 <> db // 8 AS ch, sb % 8 IN (0, 7) OR db % 8 IN (0, 7) AS bo, j >= greatest(16, floor(n / 2)) AS ga FROM x),
-  g AS (SELECT *, sh AND NOT ch AND NOT bo AND NOT ga AS lo FROM f),
-  h AS (SELECT *, lo AND (sb // 4 = db // 4 OR sb // 8 = db // 8) AS lp FROM g),
-  i AS (SELECT *, CASE WHEN j < 4 THEN 35 WHEN sh THEN 18 ELSE 0 END + CASE WHEN sp THEN 0 WHEN sh THEN 18 ELSE 8 END + CASE WHEN sb % 4 <> db % 4 AND sh THEN 8 ELSE 0 END
-      + CASE WHEN lo THEN 28 ELSE 0 END + CASE WHEN lp THEN 18 ELSE 0 END AS p0,
-    CASE WHEN NOT sh AND j >= 32 THEN 12 ELSE 0 END + CASE WHEN sp AND sh THEN 4 WHEN sp THEN 8 ELSE 0 END + CASE WHEN sb % 4 = db % 4 THEN 3 ELSE 0 END + CASE WHEN sb % 8 = db % 8 THEN 3 ELSE 0 END
-      + CASE WHEN sb % 16 = db % 16 AND j >= 32 THEN 3 ELSE 0 END + CASE WHEN ch THEN 12 ELSE 0 END + CASE WHEN bo THEN 8 ELSE 0 END + CASE WHEN ga THEN 8 ELSE 0 END + CASE WHEN distance <= 8 THEN 4 ELSE 0 END AS b0,
-    (ch OR bo OR ga) AND sp AND NOT lp AS ev FROM h)"""
+@query(f"""WITH {_SCORED} SELECT label, src, dst, CAST(b0 AS DOUBLE) AS bonus, CAST(penalty AS DOUBLE) AS penalty, round(score, 6) AS score, CASE WHEN rejected THEN 'rejected' ELSE 'accepted' END AS decision,
+  array_to_string(list_filter([CASE WHEN j < 4 THEN 'very-short-jump' END, CASE WHEN j >= 4 AND sh THEN 'short-jump' END, CASE WHEN NOT sh AND j >= 32 THEN 'long-jump' END, CASE WHEN NOT sh AND j < 32 THEN 'medium-jump' END,
+    CASE WHEN sp THEN 'same-bar-phase' ELSE 'bar-phase-mismatch' END, CASE WHEN sb % 4 = db % 4 THEN 'same-phrase4-phase' WHEN sh THEN 'phrase4-phase-mismatch' END, CASE WHEN sb % 8 = db % 8 THEN 'same-phrase8-phase' END,
+    CASE WHEN sb % 16 = db % 16 AND j >= 32 THEN 'same-phrase16-phase' END, CASE WHEN ch THEN 'section-change' END, CASE WHEN bo THEN 'structural-boundary' END, CASE WHEN ga THEN 'reach-gain' END,
+    CASE WHEN lo THEN 'short-local-risk' END, CASE WHEN lp THEN 'local-loop-risk' END, CASE WHEN distance <= 8 THEN 'exceptional-acoustic-match' END,
+    CASE WHEN rejected AND j < 4 THEN 'rejected-very-short-local' WHEN rejected THEN 'rejected-short-local' END], lambda y: y IS NOT NULL), ',') AS reasons FROM sc""")
+def structural_score(spark, sf_dir):
+    q = quanta(spark, sf_dir)
+    scored = graph.structural_score(graph.candidate_pairs(q, "label", "v", 50.0, 80.0), sizes(q), "label")
+    return rounded(scored.withColumn("reasons", F.array_join("reasons", ",")).select("label", "src", "dst", "bonus", "penalty", "score", "decision", "reasons"), "score")
 
 
-@query(f"""WITH {_EDGES}, {_SCORE} SELECT label, src, dst, CAST(b0 AS DOUBLE) AS bonus, CAST(greatest(0, p0 - least(p0, b0)) AS DOUBLE) AS penalty, round(distance + greatest(0, p0 - least(p0, b0)), 6) AS score,
-  CASE WHEN (j < 4 AND NOT (ev AND distance <= 8)) OR (sh AND lo AND NOT ev) THEN 'rejected' ELSE 'accepted' END AS decision FROM i""")
-def structural_score(spark, sf_dir):
-    _, n, _, _, edges = similarity_graph(spark, sf_dir)
-    return rounded(graph.structural_score(edges, n, "label").select("label", "src", "dst", "bonus", "penalty", "score", "decision"), "score")
+@query(f"WITH {_PAIRS} SELECT label, src, dst, round(score, 6) AS score, row_number() OVER (PARTITION BY label, src ORDER BY score, distance, j DESC, dst) AS score_rank FROM k")
+def score_order(spark, sf_dir):
+    out = graph.by_score(similarity_graph(spark, sf_dir)[2], "label").withColumn("score_rank", F.col("score_rank").cast("long"))
+    return rounded(out.select("label", "src", "dst", "score", "score_rank"), "score")
+
+
+@query(f"""WITH {_PAIRS} SELECT label, src, dst, round(distance, 6) AS distance, round((src - dst) * 100.0 / n, 6) AS percent FROM
+  (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (src - dst) * 100.0 / n DESC, distance, score, dst, src) AS i FROM k WHERE dst < src AND distance < 78) WHERE i = 1""")
+def best_backward(spark, sf_dir):
+    _, n, near, _, _ = similarity_graph(spark, sf_dir)
+    return rounded(graph.best_backward(near, n, "label", 78.0), "distance", "percent")
+
+
+@query(f"WITH {_EDGES} SELECT e.label, e.src, e.dst, EXISTS (SELECT 1 FROM events v WHERE v.user_id % 10 = e.label AND v.event_id % 50 = e.src) AS deleted FROM e")
+def delete_edges(spark, sf_dir):
+    edges = similarity_graph(spark, sf_dir)[4]
+    marks = table(spark, sf_dir, "events").select((F.col("user_id") % 10).cast("int").alias("label"), (F.col("event_id") % 50).alias("src")).distinct()
+    listed = edges.join(marks, ["label", "src"], "left_semi")
+    return graph.delete_edges(edges, listed, "label").select("label", "src", "dst", "deleted")
+
+
+@query(f"WITH {_EDGES} SELECT label, src, list(dst ORDER BY distance, dst) AS out FROM e GROUP BY label, src")
+def adjacency(spark, sf_dir):
+    return graph.adjacency(similarity_graph(spark, sf_dir)[4], "label").select("label", "src", F.transform("out", lambda x: x["dst"]).alias("out"))
 
 
 @query(f"WITH RECURSIVE {_STEP} SELECT label, which, n, earliest, reach FROM r")
@@ -267,18 +308,30 @@ def reachability(spark, sf_dir):
     return graph.reachability(q, edges, "label")
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, y AS (SELECT label, CAST(n // 4 AS BIGINT) AS p, 0 AS k FROM s UNION ALL
-  SELECT y.label, greatest(y.p, (SELECT max(src) FROM e WHERE e.label = y.label AND e.dst <= y.p)), k + 1 FROM y WHERE k < 6)
-  SELECT q.label, q.which, CAST(min(k) AS BIGINT) AS hops FROM q LEFT JOIN y ON y.label = q.label AND q.which <= y.p GROUP BY q.label, q.which""")
+_TARGET = """mk AS (SELECT s.label, n, least(floor(n * 0.25), n - 1) AS mark, least(floor(n * 0.55), n - 1) AS cap, min(dst) AS first, min(dst) FILTER (src >= least(floor(n * 0.66), n - 1)) AS late
+  FROM s LEFT JOIN (SELECT * FROM e WHERE dst < src) b ON b.label = s.label GROUP BY s.label, n),
+tg AS (SELECT label, CAST(CASE WHEN first IS NULL THEN mark ELSE least(greatest(mark, first, CASE WHEN late IS NULL THEN first ELSE least(late, cap) END), n - 1) END AS BIGINT) AS target FROM mk),
+y AS (SELECT label, target AS p, 0 AS k FROM tg UNION ALL
+  SELECT y.label, (SELECT max(src) FROM e WHERE e.label = y.label AND e.dst <= y.p), k + 1 FROM y WHERE (SELECT max(src) FROM e WHERE e.label = y.label AND e.dst <= y.p) > y.p),
+hp AS (SELECT q.label, q.which, CAST(min(k) AS BIGINT) AS hops FROM q LEFT JOIN y ON y.label = q.label AND q.which <= y.p GROUP BY q.label, q.which)"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_TARGET} SELECT label, target FROM tg")
+def early_target(spark, sf_dir):
+    _, n, _, _, edges = similarity_graph(spark, sf_dir)
+    return graph.early_target(edges, n, "label")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_TARGET} SELECT label, which, hops FROM hp")
 def hop_cost(spark, sf_dir):
     q, n, _, _, edges = similarity_graph(spark, sf_dir)
-    out = graph.hop_cost(q, edges, n.select("label", F.floor(F.col("n") / 4).alias("target")), "label")
+    out = graph.hop_cost(q, edges, graph.early_target(edges, n, "label"), "label")
     return out.withColumn("hops", F.col("hops").cast("long"))
 
 
 def _routed(spark, sf_dir):
     q, n, near, thresholds, edges = similarity_graph(spark, sf_dir)
-    reach = graph.reachability(q, edges, "label")
+    reach = settled(graph.reachability(q, edges, "label"), "reach")
     return q, n, edges, reach, graph.last_branch_point(reach, edges, "label")
 
 
@@ -300,41 +353,50 @@ def bad_branch_filter(spark, sf_dir):
     return rounded(graph.bad_branch_filter(edges, last, "label").select("label", "src", "dst", "distance"), "distance")
 
 
-_PRUNED = """d AS (SELECT label, src, dst, distance, n, count(*) OVER c >= 2 AND (NOT bool_or(src % 16 = dst % 16) OVER c
-    OR row_number() OVER (PARTITION BY label, src // 8, dst // 8 ORDER BY src % 16 = dst % 16 DESC, distance, src, dst) > 1) AS deleted FROM e JOIN s USING (label) WINDOW c AS (PARTITION BY label, src // 8, dst // 8))"""
+_PRUNED = """z AS (SELECT *, abs(dst - src) < 16 AND NOT ch AND (lo OR lp OR src // 32 = dst // 32) AS loc FROM e JOIN s USING (label)),
+d AS (SELECT label, src, dst, distance, n, loc AND count(*) OVER c >= 2 AND (NOT bool_or(bo) OVER c
+    OR row_number() OVER (PARTITION BY label, src // 32, dst // 32, loc ORDER BY score, abs(dst - src) DESC, dst, src) > 1) AS deleted FROM z WINDOW c AS (PARTITION BY label, src // 32, dst // 32, loc))"""
 
 
 @query(f"WITH {_EDGES}, {_PRUNED} SELECT label, src, dst, round(distance, 6) AS distance, deleted FROM d")
 def cluster_prune(spark, sf_dir):
     _, _, _, _, edges = similarity_graph(spark, sf_dir)
-    same = F.col("src") % 16 == F.col("dst") % 16
-    return rounded(graph.prune_clusters(edges, "label", same), "distance").select("label", "src", "dst", "distance", "deleted")
+    return rounded(graph.prune_clusters(edges, "label"), "distance").select("label", "src", "dst", "distance", "deleted")
 
 
 @query(f"""WITH {_EDGES}, {_PRUNED} SELECT label, count_if(NOT deleted) AS active, count_if(deleted) AS deleted, count_if(NOT deleted AND abs(dst - src) < 16) AS short,
   count_if(NOT deleted AND abs(dst - src) < 4) AS very_short, round(coalesce(max((src - dst) * 100.0 / n) FILTER (NOT deleted), 0), 6) AS longest_back FROM d GROUP BY label""")
 def branch_counts(spark, sf_dir):
     _, n, _, _, edges = similarity_graph(spark, sf_dir)
-    pruned = graph.prune_clusters(edges, "label", F.col("src") % 16 == F.col("dst") % 16)
+    pruned = graph.prune_clusters(edges, "label")
     return rounded(graph.branch_counts(pruned.join(n, "label"), "label"), "longest_back")
 
 
-@query(f"""WITH RECURSIVE {_STEP}, y AS (SELECT label, CAST(n // 4 AS BIGINT) AS p, 0 AS k FROM s UNION ALL
-  SELECT y.label, greatest(y.p, (SELECT max(src) FROM e WHERE e.label = y.label AND e.dst <= y.p)), k + 1 FROM y WHERE k < 6),
-  h AS (SELECT q.label, q.which, min(k) AS hops FROM q LEFT JOIN y ON y.label = q.label AND q.which <= y.p GROUP BY q.label, q.which),
-  z AS (SELECT e.*, hops, earliest, n, CASE WHEN src >= 0.66 * n AND dst <= 0.25 * n THEN 1 WHEN src >= 0.66 * n AND dst <= 0.5 * n THEN 2 ELSE 3 END AS tier
-    FROM e JOIN r ON r.label = e.label AND r.which = e.dst JOIN h ON h.label = e.label AND h.which = e.dst WHERE dst < src)
-  SELECT label, src, dst, round(distance, 6) AS distance, CAST(tier AS BIGINT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, hops NULLS LAST, earliest, distance, src - dst DESC, src DESC, dst) AS i FROM z) WHERE i = 1""")
+@query(f"""WITH RECURSIVE {_STEP}, {_TARGET},
+  z AS (SELECT e.label, src, dst, distance, hops, earliest, r.n, target, src - dst AS back, greatest(1, floor(r.n / 5)) AS lng, least(floor(r.n * 0.66), r.n - 1) AS lo66, least(floor(r.n * 0.8), r.n - 1) AS lo80
+    FROM e JOIN r ON r.label = e.label AND r.which = e.dst JOIN hp ON hp.label = e.label AND hp.which = e.dst JOIN tg ON tg.label = e.label WHERE dst < src AND hops IS NOT NULL),
+  o AS (SELECT *, CASE WHEN src >= greatest(lo66, lo80) THEN 0 ELSE 1 END AS range FROM (SELECT *, row_number() OVER (PARTITION BY label, src ORDER BY hops, earliest, distance, back DESC) AS i FROM z) WHERE i = 1 AND src >= lo66),
+  ru AS (SELECT unnest([1, 2, 3]) AS tier, unnest([1.0, 0.5, 0.25]) AS share, unnest([1, 2, 1]) AS floor_),
+  ca AS (SELECT o.*, tier, 2 * tier + range AS g, greatest(floor_, floor(lng * share)) AS need FROM o, ru WHERE hops <= tier AND earliest <= target AND back >= greatest(floor_, floor(lng * share))
+    UNION ALL SELECT o.*, 4, 8, 0 FROM o WHERE hops = 0),
+  fi AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hops, earliest, distance, back DESC, src DESC) AS q FROM (SELECT *, min(g) OVER (PARTITION BY label) AS gm FROM ca) WHERE g = gm),
+  be AS (SELECT label, hops AS bh, earliest AS bea, back AS bb, src AS bs FROM fi WHERE q = 1),
+  la AS (SELECT fi.*, bh, bb, bs, row_number() OVER (PARTITION BY label ORDER BY src DESC) AS v FROM fi JOIN be USING (label) WHERE q = 1 OR tier < 4 AND hops <= bh + 1 AND earliest <= bea + greatest(4, floor(n * 0.02))
+    AND back >= greatest(need, floor(bb * 0.6)) AND (hops <= bh OR dst <= floor(n * 0.5))),
+  ch AS (SELECT *, bool_or(v = 1 AND abs(src - bs) <= 4 AND hops > bh AND back < bb * 0.8) OVER (PARTITION BY label) AS home FROM la)
+  SELECT label, src, dst, round(distance, 6) AS distance, hops, CAST(tier AS BIGINT) AS tier FROM ch WHERE CASE WHEN home THEN q = 1 ELSE v = 1 END""")
 def late_anchor(spark, sf_dir):
     q, n, edges, reach, _ = _routed(spark, sf_dir)
-    costs = graph.hop_cost(q, edges, n.select("label", F.floor(F.col("n") / 4).alias("target")), "label")
-    return rounded(graph.late_anchor(edges, reach, costs, "label").withColumn("tier", F.col("tier").cast("long")), "distance")
+    targets = settled(graph.early_target(edges, n, "label"), "targets")
+    costs = graph.hop_cost(q, edges, targets, "label")
+    out = graph.late_anchor(edges, reach, costs, targets, "label")
+    return rounded(out.withColumns({x: F.col(x).cast("long") for x in ("hops", "tier")}), "distance")
 
 
 @query(f"""WITH {_EDGES} SELECT label, src, dst, round(1 / (1 + distance), 6) AS weight, round(sum(1 / (1 + distance)) OVER (PARTITION BY label, src ORDER BY distance, dst) / sum(1 / (1 + distance)) OVER (PARTITION BY label, src), 6) AS cdf FROM e""")
 def weighted_choice_cdf(spark, sf_dir):
     edges = similarity_graph(spark, sf_dir)[4]
-    return rounded(graph.choice_cdf(edges, "label").drop("distance"), "weight", "cdf")
+    return rounded(graph.choice_cdf(edges, "label").select("label", "src", "dst", "weight", "cdf"), "weight", "cdf")
 
 
 @query(f"""WITH {_QUANTA}, o AS (SELECT unnest(range(-4, 4)) AS o), c AS (SELECT a.o AS x, b.o AS y, sign((a.o + 0.5) * (b.o + 0.5)) * exp(-((a.o + 0.5) * (a.o + 0.5) + (b.o + 0.5) * (b.o + 0.5)) / 8.0) AS k FROM o a, o b)
