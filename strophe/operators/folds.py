@@ -120,21 +120,47 @@ def beat_path(df: DataFrame, track: str, x: str, score: str, period: float, tigh
     return df.groupBy(track).applyInPandas(best, f"k {kind}, which long, start double, total double").withColumnRenamed("k", track)
 
 
-def adaptive_tatums(beats: DataFrame, peaks: DataFrame, track: str, most: float = 2.6) -> DataFrame:
-    """Two to four parts per beat by the peaks inside it, at most ``most`` per beat so far.
+#: The share of the greatest onset that makes a peak, and tatums per beat at most (fixed values).
+PEAK, CROWDED = 0.35, 2.6
 
-    ``beats`` has track, which, start, duration; ``peaks`` has track, start.
+
+def adaptive_tatums(beats: DataFrame, onsets: DataFrame, track: str, per_second: float) -> DataFrame:
+    """track, which, start, duration, confidence: two to four tatums a beat, begun by the beat and
+    the onset peaks inside it.
+
+    ``beats`` has track, which, start, duration; ``onsets`` track, frame from 0 on, onset. Beyond
+    two parts the peaks in order begin them; where that would make over CROWDED times all beats,
+    or with one peak, the peak next to the middle does. A track without onsets, or with too many
+    tatums in the end, gets halves.
     """
 
-    def split(key, b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        marks, rows = sorted_starts(p), []
-        for n, (start, length) in enumerate(b.sort_values("which")[["start", "duration"]].to_numpy(float) if "start" in b.columns else [], 1):
-            inside = int(np.searchsorted(marks, start + 0.9 * length) - np.searchsorted(marks, start + 0.1 * length))
-            parts = min(4, max(2, inside + 1))
-            while parts > 2 and len(rows) + parts > most * n:
-                parts -= 1
-            rows += [(key[0], len(rows) + k, start + k * length / parts, length / parts) for k in range(parts)]
-        return pd.DataFrame(rows, columns=["k", "which", "start", "duration"])
+    def split(key, b: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        b = b.sort_values("which") if "start" in b.columns else pd.DataFrame({"start": [], "duration": []})
+        starts, lengths = b["start"].to_numpy(float), b["duration"].to_numpy(float)
+        x = o.sort_values("frame")["onset"].to_numpy(float) if "onset" in o.columns else np.empty(0)
+        until = np.append(starts[1:], starts[-1:] + lengths[-1:])
+        lengths = np.maximum(lengths, until - starts) if len(x) else np.where(until > starts, until - starts, lengths)
+        top = max(1e-9, x.max()) if len(x) else 1.0
+        inner = np.flatnonzero((x[1:-1] >= PEAK * top) & (x[1:-1] >= x[:-2]) & (x[1:-1] > x[2:])) + 1 if len(x) > 2 else np.empty(0, int)
+        for start, long in zip(starts, lengths, strict=True) if len(x) else ():
+            low = int(np.clip(np.rint(start * per_second), 0, len(x) - 1))
+            high = int(np.clip(np.rint((start + long) * per_second), low + 1, len(x)))
+            own = inner[(inner > low) & (inner < high - 1)]
+            parts = int(np.clip(len(own) + 1, 2, 4))
+            if parts > 2 and len(out) + parts > CROWDED * len(starts):
+                parts = 2
+            middle = own[np.argsort(np.abs(own - (low + high) / 2), kind="stable")]
+            marks = [start, *((middle if parts == 2 else own)[: parts - 1] / per_second)]
+            marks += [start + long * k / parts for k in range(len(marks), parts)]
+            marks = sorted({round(m, 6): m for m in reversed(np.clip(marks, start, start + long).tolist())}.values())
+            marks = sorted([*marks, start + long / 2]) if len(marks) < 2 else marks
+            for m, end in zip(marks, [*marks[1:], start + long], strict=True):
+                out.append((key[0], len(out), m, max(1e-6, end - m), float(np.clip(x[int(np.clip(np.rint(m * per_second), 0, len(x) - 1))] / top, 0, 1))))
+        if not len(x) or len(out) > CROWDED * len(starts):
+            out = [(key[0], 2 * k + h, s + h * d / 2, d / 2, None) for k, (s, d) in enumerate(zip(starts, lengths, strict=True)) for h in (0, 1)]
+        return pd.DataFrame(out, columns=["k", "which", "start", "duration", "confidence"])
 
     kind = beats.schema[track].dataType.simpleString()
-    return beats.groupBy(track).cogroup(renewed(peaks).groupBy(track)).applyInPandas(split, f"k {kind}, which long, start double, duration double").withColumnRenamed("k", track)
+    both = beats.select(track, "which", "start", "duration").groupBy(track).cogroup(renewed(onsets.select(track, "frame", "onset")).groupBy(track))
+    return both.applyInPandas(split, f"k {kind}, which long, start double, duration double, confidence double").withColumnRenamed("k", track)

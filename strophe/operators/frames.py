@@ -7,6 +7,8 @@ in frame order, and transforms work on Arrow batches of frames.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,3 +170,16 @@ def separate(df: DataFrame, track: str, spectrum: str = "spectrum", r: int = 8,
     h, p = F.col("_h") / harmonic_margin, F.col("_p") / percussive_margin
     whole = h + p + SILENCE
     return bins.select(track, "frame", "dim", "x", (F.col("x") * h / whole).alias("harmonic"), (F.col("x") * p / whole).alias("percussive"))
+
+
+def spectral_rms(rows: DataFrame, track: str) -> DataFrame:
+    """track, frame, rms: the root of a spectrum's mean power over the track's greatest."""
+    power = F.aggregate(F.transform("spectrum", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    own = rows.select(track, "frame", F.sqrt(power / F.greatest(F.lit(1), F.size("spectrum"))).alias("_r"))
+    top = F.max("_r").over(Window.partitionBy(track))
+    return own.select(track, "frame", F.when((top > 0) & (top < float("inf")), F.least(F.lit(1.0), F.col("_r") / top)).otherwise(F.col("_r")).alias("rms"))
+
+
+def assembled(track: str, *parts: DataFrame) -> DataFrame:
+    """One row per frame that every part (track, frame, features) has: the matrix of features."""
+    return reduce(lambda a, b: a.join(b, [track, "frame"]), parts)

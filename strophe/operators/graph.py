@@ -32,15 +32,17 @@ def segment_distance(a: str, b: str) -> Column:
 
 def positional_distance(pairs: DataFrame, segments: DataFrame, track: str) -> DataFrame:
     """track, src, dst, distance: the mean over the source's segments of the distance to the
-    destination's segment at the same place; a missing or the very same segment counts 100.
+    destination's segment at the same place; a missing or the very same segment counts 100. A
+    source without segments is infinitely far from everything.
 
     ``segments`` has track, quantum, place, segment (an id) and the struct ``s``. The distance
     is driven by the source, so it isn't symmetric.
     """
     a = segments.select(track, F.col("quantum").alias("src"), "place", F.col("segment").alias("_ia"), F.col("s").alias("a"))
     b = segments.select(track, F.col("quantum").alias("dst"), "place", F.col("segment").alias("_ib"), F.col("s").alias("b"))
-    rows = pairs.join(a, [track, "src"]).join(b, [track, "dst", "place"], "left")
+    rows = pairs.join(a, [track, "src"], "left").join(b, [track, "dst", "place"], "left")
     d = F.when(F.col("_ib").isNull() | (F.col("_ia") == F.col("_ib")), F.lit(MISSING_PENALTY)).otherwise(segment_distance("a", "b"))
+    d = F.when(F.col("_ia").isNull(), float("inf")).otherwise(d)
     return rows.withColumn("d", d).groupBy(track, "src", "dst").agg(F.avg("d").alias("distance"))
 
 

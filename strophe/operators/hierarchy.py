@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.columns import clamp
+from strophe.operators.joins import nearest_within
 
 
 def bars(beats: DataFrame, track: str, per_bar: int = 4, phase: Column | None = None) -> DataFrame:
@@ -22,6 +24,98 @@ def bars(beats: DataFrame, track: str, per_bar: int = 4, phase: Column | None =
     return out.select(track, "bar", "start", F.greatest(F.lit(0.0), F.col("_end") - F.col("start")).alias("duration"), "confidence")
 
 
+def bar_position(beats: DataFrame, per_bar: int = 4) -> DataFrame:
+    """Adds bar_sin and bar_cos: the place of a beat in its bar on a circle."""
+    angle = F.pmod(F.col("which"), F.lit(per_bar)) * (2 * math.pi / per_bar)
+    return beats.withColumn("bar_sin", F.sin(angle)).withColumn("bar_cos", F.cos(angle))
+
+
+def median_interval(beats: DataFrame, track: str) -> DataFrame:
+    """track, interval: the median of the positive gaps between beats, else the first beat's
+    duration, else half a second."""
+    w = Window.partitionBy(track).orderBy("which")
+    rows = beats.select(track, "which", "duration", (F.lead("start").over(w) - F.col("start")).alias("gap"))
+    found = rows.groupBy(track).agg(F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("m"), F.min_by("duration", "which").alias("d"))
+    return found.select(track, F.coalesce("m", F.when(F.col("d") > 0, F.col("d")), F.lit(0.5)).alias("interval"))
+
+
+#: The least and greatest distance, in seconds, at which a downbeat belongs to a beat (fixed values).
+NEAREST, FARTHEST, SNAP = 0.080, 0.180, 0.18
+
+
+def matched_downbeats(beats: DataFrame, downbeats: DataFrame, track: str) -> DataFrame:
+    """track, which: the beats that downbeats (track, start) fall on, each once.
+
+    A downbeat inside the track takes its nearest beat, the earlier of two, if that is within
+    0.3 of the median interval, held to 80 to 180 milliseconds.
+    """
+    last = beats.groupBy(track).agg(F.min("start").alias("_first"), F.max("start").alias("_last"), F.max_by("duration", "which").alias("_d"))
+    bounds = last.join(median_interval(beats, track), track)
+    limit = F.greatest(F.lit(NEAREST), F.least(F.lit(FARTHEST), 0.30 * F.col("interval")))
+    bounds = bounds.select(track, "_first", (F.col("_last") + F.greatest("_d", "interval")).alias("_end"), limit.alias("_limit"))
+    inside = downbeats.select(track, "start").join(bounds, track).where((F.col("start") >= F.col("_first")) & (F.col("start") <= F.col("_end")))
+    return nearest_within(inside, beats.select(track, "start", "which"), track, F.col("_limit")).where("nearest is not null").select(track, F.col("nearest").alias("which")).distinct()
+
+
+def bars_from_downbeats(beats: DataFrame, downbeats: DataFrame, track: str, per_bar: int = 4) -> DataFrame:
+    """track, bar, start, duration, confidence: bars from one matched downbeat to the next, the
+    last of ``per_bar`` beats. Tracks without a match have none."""
+    w = Window.partitionBy(track).orderBy("which")
+    n = F.count("*").over(Window.partitionBy(track))
+    grid = beats.select(track, "which", "start", "duration", clamp(F.col("confidence"), 0.0, 1.0).alias("confidence"), n.alias("_n"))
+    found = matched_downbeats(beats, downbeats, track)
+    spans = found.join(grid.select(track, "which", "start", "duration", "_n"), [track, "which"])
+    stop = F.coalesce(F.lead("which").over(w), F.least(F.col("_n"), F.col("which") + per_bar))
+    spans = spans.select(track, "which", "start", F.col("duration").alias("_own"), "_n", stop.alias("stop"), (F.row_number().over(w) - 1).alias("bar"))
+    until = F.when(F.col("stop") < F.col("_n"), F.col("stop")).otherwise(F.least(F.col("_n"), F.col("which") + per_bar) - 1)
+    ends = grid.select(track, F.col("which").alias("_at"), F.col("start").alias("_s"), F.col("duration").alias("_d"))
+    spans = spans.withColumn("_at", until).join(ends, [track, "_at"])
+    length = F.when(F.col("stop") < F.col("_n"), F.col("_s") - F.col("start")).otherwise(F.col("_s") + F.col("_d") - F.col("start"))
+    length = F.greatest(F.lit(1e-6), F.when((F.col("stop") < F.col("_n")) | (length > 0), length).otherwise(F.col("_own")))
+    rows = spans.select(track, "bar", "start", length.alias("duration"), F.explode(F.sequence("which", F.greatest(F.col("stop") - 1, "which"))).alias("which"))
+    rows = rows.join(grid.select(track, "which", "confidence"), [track, "which"])
+    return rows.groupBy(track, "bar").agg(F.first("start").alias("start"), F.first("duration").alias("duration"), F.avg("confidence").alias("confidence"))
+
+
+def snapped_downbeats(beats: DataFrame, downbeats: DataFrame, track: str, within: float = SNAP) -> DataFrame:
+    """track, which, start: beats that are the nearest of a downbeat ``within`` seconds; each beat once."""
+    grid = beats.select(track, "start", "which")
+    found = nearest_within(downbeats.select(track, "start"), grid, track, within).where("nearest is not null").select(track, F.col("nearest").alias("which")).distinct()
+    return found.join(grid, [track, "which"])
+
+
+def meter(downbeats: DataFrame, track: str, default: int = 4, allowed: tuple = (3, 4, 6)) -> DataFrame:
+    """track, meter: the commonest gap of two beats or more between downbeats (track, which) that is
+    a meter, nearest to ``default`` on a tie, else the meter nearest to the upper median gap."""
+    w = Window.partitionBy(track).orderBy("which")
+    gaps = downbeats.select(track, (F.lead("which").over(w) - F.col("which")).alias("gap"))
+    counts = gaps.groupBy(track, "gap").agg(F.count("*").alias("c"))
+    big = F.when(F.col("gap") > 1, F.col("gap"))
+    best = F.max_by(F.col("gap"), F.when(F.col("gap").isin(*allowed), F.struct("c", -F.abs(F.col("gap") - default), -F.col("gap"))))
+    middle = Window.partitionBy(track).orderBy("gap")
+    ranked = gaps.where("gap > 1").select(track, "gap", F.row_number().over(middle).alias("_r"), F.count("*").over(Window.partitionBy(track)).alias("_n"))
+    median = ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(track, F.col("gap").alias("_m"))
+    rows = counts.groupBy(track).agg(best.alias("best"), F.max(big).alias("any")).join(median, track, "left")
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col("_m") - x).alias("a"), F.lit(abs(x - default)).alias("b"), F.lit(x).cast("long").alias("x")) for x in sorted(allowed)]))["x"]
+    return rows.select(track, F.coalesce(F.col("best").cast("long"), F.when(F.col("any").isNotNull(), near), F.lit(default).cast("long")).alias("meter"))
+
+
+def sane_downbeats(beats: DataFrame, downbeats: DataFrame, track: str, within: float) -> DataFrame:
+    """track, n, kept, max_distance, reason: a track's downbeats (track, place, start) stand or go
+    together. ``place`` is their order. They go, for the first reason that holds, if one isn't
+    finite, if they don't rise, without beats, or if one is further than ``within`` from its beat."""
+    w = Window.partitionBy(track).orderBy("place")
+    odd = F.isnan("start") | (F.abs("start") == float("inf")) | F.col("start").isNull()
+    rows = downbeats.withColumn("_odd", odd).withColumn("_fall", F.col("start") <= F.lag("start").over(w))
+    grid = beats.select(track, "start", "which")
+    near = nearest_within(rows.where("not _odd"), grid, track, float("inf")).groupBy(track).agg(F.max("gap").alias("max_distance"))
+    has = grid.select(track).distinct().withColumn("_has", F.lit(True))
+    out = rows.groupBy(track).agg(F.count("*").alias("n"), F.max("_odd").alias("_odd"), F.max("_fall").alias("_fall")).join(has, track, "left").join(near, track, "left")
+    reason = F.when(F.col("_odd"), "downbeats-not-finite").when(F.col("_fall"), "downbeats-not-strictly-increasing").when(F.col("_has").isNull(), "beats-missing").when(F.col("max_distance") > within, "downbeat-not-aligned-to-beat")
+    out = out.withColumn("reason", reason)
+    return out.select(track, "n", F.when(F.col("reason").isNull(), F.col("n")).otherwise(0).alias("kept"), "max_distance", "reason")
+
+
 def tatums(beats: DataFrame, track: str) -> DataFrame:
     """track, which, start, duration, confidence: two halves of the way to the next beat."""
     w = Window.partitionBy(track).orderBy("which")

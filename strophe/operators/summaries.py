@@ -51,3 +51,22 @@ def histogram_names(df: DataFrame, key: str, name: str, top: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_n"), name))
     held = counts.withColumn("_r", rank).where(F.col("_r") <= top).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_r", F.col(name).alias("name")))).alias("_h"))
     return held.select(key, F.transform("_h", lambda x: x["name"]).alias("names"))
+
+
+def beat_features(beats: DataFrame, frames: DataFrame, track: str, vector: str, rms: str, per_second: float) -> DataFrame:
+    """track, which, vector (median in every dimension), loudness (first, maximum, mean) of the
+    frames floor(start * fps) to ceil(end * fps) - 1 of a beat, held to the frames there are.
+
+    ``frames`` has track, frame from 0 on, the vector and ``rms``. Each beat names its frames, so the
+    join is by equal frame and grows with the frames that beats cover.
+    """
+    n = frames.groupBy(track).agg((F.max("frame") + 1).alias("_n"))
+    first = F.floor(F.col("start") * per_second)
+    last = F.greatest(first, F.ceil((F.col("start") + F.col("duration")) * per_second) - 1)
+    held = lambda x: F.greatest(F.lit(0), F.least(x, F.col("_n") - 1))
+    spans = beats.join(n, track).select(track, "which", F.explode(F.sequence(held(first), held(last))).alias("frame"))
+    rows = spans.join(frames.select(track, "frame", vector, rms), [track, "frame"])
+    loud = rows.groupBy(track, "which").agg(F.array(F.min_by(rms, "frame"), F.max(rms), F.avg(rms)).alias("loudness"))
+    dims = rows.select(track, "which", F.posexplode(vector).alias("_d", "_x")).groupBy(track, "which", "_d").agg(F.median("_x").alias("_m"))
+    vectors = dims.groupBy(track, "which").agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda x: x["_m"]).alias(vector))
+    return vectors.join(loud, [track, "which"])

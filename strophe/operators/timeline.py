@@ -48,6 +48,60 @@ def local_peaks(df: DataFrame, track: str, order: str, x: str, threshold: float
     return rows.where((F.col(x) >= F.col("_p")) & (F.col(x) > F.col("_n")) & (F.col(x) >= threshold)).drop("_p", "_n")
 
 
+def candidate_peaks(df: DataFrame, track: str, order: str, x: str, share: float = 0.15, energy: float = 1e-9) -> DataFrame:
+    """Local peaks that reach ``share`` of the track's maximum; the last row counts if it rises
+    above the one before, a single row always. Tracks without ``energy`` have none."""
+    w = Window.partitionBy(track).orderBy(order)
+    top, n = F.max(x).over(Window.partitionBy(track)), F.count("*").over(Window.partitionBy(track))
+    rows = df.withColumns({"_p": F.lag(x).over(w), "_n": F.lead(x).over(w), "_top": top, "_k": n})
+    inner = (F.col(x) >= F.col("_p")) & (F.col(x) > F.col("_n"))
+    last = F.col("_n").isNull() & (F.col(x) > F.col("_p"))
+    held = (F.col("_top") > energy) & (F.col(x) >= share * F.col("_top")) & (inner | last | (F.col("_k") == 1))
+    return rows.where(held).drop("_p", "_n", "_top", "_k")
+
+
+def plateau_peaks(df: DataFrame, track: str, order: str, x: str, threshold: float | None = None) -> DataFrame:
+    """Rows not below either neighbour, the ends having one neighbour, nor ``threshold``."""
+    w = Window.partitionBy(track).orderBy(order)
+    low = F.lit(float("-inf"))
+    rows = df.withColumn("_m", F.greatest(F.coalesce(F.lag(x).over(w), low), F.coalesce(F.lead(x).over(w), low)))
+    return rows.where((F.col(x) >= F.col("_m")) & (F.lit(True) if threshold is None else F.col(x) >= threshold)).drop("_m")
+
+
+def refined_period(df: DataFrame, track: str, order: str, x: str, lag: float, energy: float = 1e-9) -> DataFrame:
+    """track, period: the mean distance of peaks of half the maximum, of those within 0.75 to 1.5
+    of ``lag``; null with fewer than three peaks or none in range."""
+    w = Window.partitionBy(track).orderBy(order)
+    low = F.lit(float("-inf"))
+    rows = df.withColumns({"_p": F.coalesce(F.lag(x).over(w), low), "_n": F.coalesce(F.lead(x).over(w), low), "_top": F.max(x).over(Window.partitionBy(track))})
+    peak = (F.col("_top") > energy) & (F.col(x) >= 0.5 * F.col("_top")) & (F.col(x) >= F.col("_p")) & (F.col(x) > F.col("_n"))
+    held = rows.where(peak).select(track, (F.col(order) - F.lag(order).over(w)).alias("_g"))
+    found = held.groupBy(track).agg(F.count("*").alias("_k"), F.avg(F.when(F.col("_g").between(0.75 * lag, 1.5 * lag), F.col("_g"))).alias("_m"))
+    return df.select(track).distinct().join(found, track, "left").select(track, F.when(F.col("_k") >= 3, F.col("_m")).alias("period"))
+
+
+def frame_times(beats: DataFrame, frames: DataFrame, durations: DataFrame, track: str, x: str, hop: float, energy: float = 1e-9) -> DataFrame:
+    """track, frame, time, confidence of distinct beat frames (track, frame) inside the track: the
+    maximum of ``x`` over two frames to either side, over the track's maximum."""
+    local = F.max(x).over(Window.partitionBy(track).orderBy("frame").rangeBetween(-2, 2))
+    top = F.greatest(F.lit(energy), F.max(x).over(Window.partitionBy(track)))
+    strength = frames.select(track, "frame", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), local) / top)).alias("confidence"))
+    rows = beats.select(track, "frame").distinct().withColumn("time", F.col("frame") * hop).join(durations.select(track, F.col("duration").alias("_d")), track)
+    rows = rows.where((F.col("time") >= 0) & (F.col("time") <= F.col("_d"))).join(strength, [track, "frame"], "left")
+    return rows.select(track, "frame", "time", F.coalesce("confidence", F.lit(FALLBACK_CONFIDENCE)).alias("confidence"))
+
+
+#: Tempo and confidence of a grid without evidence (fixed values).
+FALLBACK_BPM, FALLBACK_CONFIDENCE = 120.0, 0.35
+
+
+def regular_grid(durations: DataFrame, track: str, bpm: float = FALLBACK_BPM) -> DataFrame:
+    """track, which, start, confidence: beats at an even tempo from 0 to the track's duration."""
+    step = 60.0 / bpm
+    rows = durations.where("duration > 0").select(track, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("duration") / step))).alias("which"))
+    return rows.select(track, "which", (F.col("which") * step).alias("start"), F.lit(FALLBACK_CONFIDENCE).alias("confidence"))
+
+
 def window_peaks(df: DataFrame, track: str, order: str, x: str, r: int = 3, p: float = 0.75) -> DataFrame:
     """Rows that are the maximum of r rows to either side and reach the track's p-quantile."""
     limits = df.groupBy(track).agg(nearest_rank(F.sort_array(F.collect_list(x)), p).alias("_limit"))

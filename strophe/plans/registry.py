@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import cache, evidence, folds, frames, graph, grids, hierarchy, joins, summaries, timeline, walk
+from strophe.operators import cache, evidence, folds, frames, graph, grids, hierarchy, joins, segments, summaries, timeline, walk
 from strophe.plans.tables import settled
 from strophe.sources import exports
 
@@ -518,13 +518,6 @@ def beat_path(spark, sf_dir):
     return folds.beat_path(beats(spark, sf_dir), "user_id", "start", "value", 40_000.0, 10.0)
 
 
-@query()
-def adaptive_tatums(spark, sf_dir):
-    rows = beats(spark, sf_dir)
-    spans = purchase_spans(rows).select("user_id", "which", "start", (F.col("end") - F.col("start")).alias("duration"))
-    return folds.adaptive_tatums(spans, rows.where("event_type = 'view'").select("user_id", "start"), "user_id")
-
-
 @query()
 def walk_simulation(spark, sf_dir):
     q, _, _, _, edges = similarity_graph(spark, sf_dir)
@@ -749,3 +742,209 @@ def window_correction(spark, sf_dir):
     windows = grids.weak_windows(grids.compared_windows(left, right, "user_id")).persist()
     out = grids.corrected(left, right, windows, "user_id")
     return out.select("user_id", "n_reference", "n_windows", F.coalesce(F.size("corrected"), F.lit(0)).alias("n_corrected"), "reason")
+
+
+#: Days squeezed into beats: a hundred thousand seconds count as one.
+SQUEEZE = 100_000.0
+
+
+def paced(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Beats (every event but purchases) and downbeats (purchases) at the pace of music."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", (C.seconds("ts") / SQUEEZE).alias("start"))
+    grid = timeline.navigation(rows.where("event_type <> 'purchase'"), "user_id", ["start", "event_id"], "start").withColumn("confidence", F.col("value") / 100)
+    return grid, rows.where("event_type = 'purchase'").select("user_id", "event_id", "start")
+
+
+_PACED = """ev AS (SELECT event_id, user_id, event_type, value, (epoch_us(ts) - 1704067200000000) / 1e6 / 100000 AS start FROM events),
+b AS (SELECT *, row_number() OVER w - 1 AS which, lead(start) OVER w AS nx, coalesce(CASE WHEN lead(start) OVER w > start THEN lead(start) OVER w - start END, CASE WHEN start > lag(start) OVER w THEN start - lag(start) OVER w END, 0.5) AS duration,
+  least(greatest(value / 100, 0), 1) AS confidence FROM ev WHERE event_type <> 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY start, event_id)),
+d AS (SELECT user_id, event_id, start AS t FROM ev WHERE event_type = 'purchase'),
+iv AS (SELECT user_id, coalesce(median(nx - start) FILTER (nx > start), 0.5) AS iv, count(*) AS n, min(start) AS s0, max(start) + greatest(arg_max(duration, which), coalesce(median(nx - start) FILTER (nx > start), 0.5)) AS s1 FROM b GROUP BY user_id),
+nr AS (SELECT d.user_id, d.event_id, d.t, arg_min(which, {'g': abs(b.start - t), 'w': which}) AS which, min(abs(b.start - t)) AS g FROM d JOIN b ON b.user_id = d.user_id GROUP BY d.user_id, d.event_id, d.t)"""
+
+
+@query(f"""WITH {_PACED}, m AS (SELECT DISTINCT user_id, which FROM nr JOIN iv USING (user_id) WHERE t >= s0 AND t <= s1 AND g <= greatest(0.08, least(0.18, 0.3 * iv))),
+  sp AS (SELECT user_id, which, n, row_number() OVER w - 1 AS bar, coalesce(lead(which) OVER w, least(n, which + 4)) AS stop FROM m JOIN iv USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY which)),
+  z AS (SELECT sp.*, b.start, b.duration AS own, CASE WHEN stop < n THEN e.start - b.start ELSE e.start + e.duration - b.start END AS raw FROM sp JOIN b ON b.user_id = sp.user_id AND b.which = sp.which
+    JOIN b e ON e.user_id = sp.user_id AND e.which = CASE WHEN stop < n THEN stop ELSE least(n, sp.which + 4) - 1 END)
+  SELECT z.user_id, bar, round(z.start, 6) AS start, round(greatest(1e-6, CASE WHEN stop < n OR raw > 0 THEN raw ELSE own END), 6) AS duration,
+    round((SELECT avg(confidence) FROM b c WHERE c.user_id = z.user_id AND c.which >= z.which AND c.which < greatest(z.which + 1, stop)), 8) AS confidence FROM z""")
+def bars_from_downbeats(spark, sf_dir):
+    grid, down = paced(spark, sf_dir)
+    out = hierarchy.bars_from_downbeats(grid, down, "user_id").withColumn("bar", F.col("bar").cast("long"))
+    return rounded(out, "start", "duration").withColumn("confidence", F.round("confidence", 8))
+
+
+@query(f"WITH {_PACED} SELECT DISTINCT nr.user_id, nr.which, round(b.start, 6) AS start FROM nr JOIN b ON b.user_id = nr.user_id AND b.which = nr.which WHERE g <= 0.18")
+def snapped_downbeats(spark, sf_dir):
+    grid, down = paced(spark, sf_dir)
+    return rounded(hierarchy.snapped_downbeats(grid, down, "user_id"), "start")
+
+
+@query(f"""WITH {_PACED}, m AS (SELECT DISTINCT user_id, which FROM nr WHERE g <= 0.18), g AS (SELECT user_id, lead(which) OVER (PARTITION BY user_id ORDER BY which) - which AS g FROM m),
+  c AS (SELECT user_id, arg_min(g, {{'n': -n, 'a': abs(g - 4), 'g': g}}) AS best FROM (SELECT user_id, g, count(*) AS n FROM g WHERE g IN (3, 4, 6) GROUP BY ALL) GROUP BY user_id),
+  u AS (SELECT user_id, list_sort(list(g))[count(*) // 2 + 1] AS mid FROM g WHERE g > 1 GROUP BY user_id)
+  SELECT user_id, CAST(coalesce(best, CASE WHEN mid IS NULL THEN 4 WHEN mid <= 3 THEN 3 WHEN mid <= 5 THEN 4 ELSE 6 END) AS BIGINT) AS meter FROM (SELECT DISTINCT user_id FROM m) LEFT JOIN c USING (user_id) LEFT JOIN u USING (user_id)""")
+def meter(spark, sf_dir):
+    grid, down = paced(spark, sf_dir)
+    return hierarchy.meter(hierarchy.snapped_downbeats(grid, down, "user_id"), "user_id")
+
+
+@query(f"""WITH {_PACED}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM nr), y AS (SELECT *, coalesce(t <= lag(t) OVER (PARTITION BY user_id ORDER BY place), false) AS fall FROM x),
+  z AS (SELECT user_id, count(*) AS n, bool_or(fall) AS fall, max(g) AS mx FROM y GROUP BY user_id)
+  SELECT user_id, n, CASE WHEN fall OR mx > 1.2 THEN 0 ELSE n END AS kept, round(mx, 6) AS max_distance, CASE WHEN fall THEN 'downbeats-not-strictly-increasing' WHEN mx > 1.2 THEN 'downbeat-not-aligned-to-beat' END AS reason FROM z""")
+def sane_downbeats(spark, sf_dir):
+    grid, down = paced(spark, sf_dir)
+    return rounded(hierarchy.sane_downbeats(grid, down.withColumn("place", F.col("event_id")), "user_id", 1.2), "max_distance")
+
+
+@query(f"WITH {_BEATS} SELECT event_id, round(sin(2 * pi() * (which % 4) / 4), 6) + 0 AS bar_sin, round(cos(2 * pi() * (which % 4) / 4), 6) + 0 AS bar_cos FROM b")
+def bar_position(spark, sf_dir):
+    out = hierarchy.bar_position(beats(spark, sf_dir))
+    return out.select("event_id", (F.round("bar_sin", 6) + 0).alias("bar_sin"), (F.round("bar_cos", 6) + 0).alias("bar_cos"))
+
+
+_PEAK = _BEATS + """, x AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS nx, max(value) OVER (PARTITION BY user_id) AS top, count(*) OVER (PARTITION BY user_id) AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY which))"""
+
+
+@query(f"WITH {_PEAK} SELECT event_id, value FROM x WHERE top > 1e-9 AND value >= 0.15 * top AND (n = 1 OR value >= p AND value > nx OR nx IS NULL AND value > p)")
+def candidate_peaks(spark, sf_dir):
+    return timeline.candidate_peaks(beats(spark, sf_dir), "user_id", "which", "value").select("event_id", "value")
+
+
+@query(f"WITH {_PEAK} SELECT event_id, value FROM x WHERE value >= 1 AND (p IS NULL OR value >= p) AND (nx IS NULL OR value >= nx)")
+def plateau_peaks(spark, sf_dir):
+    return timeline.plateau_peaks(beats(spark, sf_dir), "user_id", "which", "value", 1.0).select("event_id", "value")
+
+
+@query(f"""WITH {_PEAK}, y AS (SELECT user_id, which - lag(which) OVER (PARTITION BY user_id ORDER BY which) AS g FROM x WHERE top > 1e-9 AND value >= 0.5 * top AND (p IS NULL OR value >= p) AND (nx IS NULL OR value > nx))
+  SELECT u.user_id, CASE WHEN count(y.user_id) >= 3 THEN round(avg(g) FILTER (g BETWEEN 6 AND 12), 6) END AS period FROM (SELECT DISTINCT user_id FROM b) u LEFT JOIN y USING (user_id) GROUP BY u.user_id""")
+def refined_period(spark, sf_dir):
+    return rounded(timeline.refined_period(beats(spark, sf_dir), "user_id", "which", "value", 8.0), "period")
+
+
+@query(f"""WITH {_BEATS}, f AS (SELECT DISTINCT user_id, which AS frame FROM b WHERE event_type = 'click' AND which * 0.02 <= 1.0)
+  SELECT f.user_id, frame, round(CAST(frame * 0.02 AS DOUBLE), 6) AS time, round(least(1, greatest(0, (SELECT max(value) FROM b x WHERE x.user_id = f.user_id AND x.which BETWEEN frame - 2 AND frame + 2)) / greatest(1e-9, (SELECT max(value) FROM b y WHERE y.user_id = f.user_id))), 6) AS confidence FROM f""")
+def frame_times(spark, sf_dir):
+    rows = beats(spark, sf_dir)
+    clicks = rows.where("event_type = 'click'").select("user_id", F.col("which").alias("frame"))
+    lengths = rows.select("user_id").distinct().withColumn("duration", F.lit(1.0))
+    return rounded(timeline.frame_times(clicks, rows.withColumn("frame", F.col("which")), lengths, "user_id", "value", 0.02), "time", "confidence")
+
+
+@query(f"WITH {_BEATS}, s AS (SELECT user_id, max(start) / 100000 AS d FROM b GROUP BY user_id) SELECT user_id, which, round(CAST(which * 0.5 AS DOUBLE), 6) AS start, CAST(0.35 AS DOUBLE) AS confidence FROM (SELECT user_id, unnest(range(0, CAST(floor(d / 0.5) AS BIGINT) + 1)) AS which FROM s WHERE d > 0)")
+def regular_grid(spark, sf_dir):
+    lengths = beats(spark, sf_dir).groupBy("user_id").agg((F.max("start") / SQUEEZE).alias("duration"))
+    return rounded(timeline.regular_grid(lengths, "user_id"), "start")
+
+
+def feature_frames(spark, sf_dir: str) -> DataFrame:
+    """Events as frames of a track, with vectors made from their values."""
+    rows = beats(spark, sf_dir).withColumn("frame", F.col("which"))
+    return rows.select("user_id", "frame", F.col("value").alias("rms"), F.array(F.col("value"), F.col("event_id") % 7.0).alias("timbre"), F.array(F.col("value") / 2, F.col("event_id") % 5.0, F.lit(1.0)).alias("pitches"), (F.col("value") / 100).alias("novelty"), F.least(F.lit(1.0), F.col("value") / 100).alias("onset"))
+
+
+@query(f"""WITH {_BEATS}, n AS (SELECT user_id, count(*) AS n FROM b GROUP BY user_id), s AS (SELECT user_id, n, unnest(range(0, CAST(ceil(n / 5.0) AS BIGINT))) AS which FROM n),
+  f AS (SELECT s.user_id, s.which, b.which AS frame, value, event_id % 7 AS y FROM s JOIN b ON b.user_id = s.user_id AND b.which BETWEEN least(n - 1, s.which * 5) AND least(n - 1, s.which * 5 + 7))
+  SELECT user_id, which, round(median(value), 6) AS a, round(median(y), 6) AS b, round(arg_min(value, frame), 6) AS first, round(max(value), 6) AS top, round(avg(value), 6) AS mean FROM f GROUP BY user_id, which""")
+def beat_features(spark, sf_dir):
+    rows = feature_frames(spark, sf_dir)
+    grid = rows.where("frame % 5 = 0").select("user_id", (F.col("frame") / 5).cast("long").alias("which"), (F.col("frame") / 5 * 0.25).alias("start"), F.lit(0.375).alias("duration"))
+    out = summaries.beat_features(grid, rows, "user_id", "timbre", "rms", 20.0)
+    return rounded(out.select("user_id", "which", F.col("timbre")[0].alias("a"), F.col("timbre")[1].alias("b"), F.col("loudness")[0].alias("first"), F.col("loudness")[1].alias("top"), F.col("loudness")[2].alias("mean")), "a", "b", "first", "top", "mean")
+
+
+@query(f"""WITH {_BEATS}, f AS (SELECT user_id, which // 22 AS segment, which AS frame, value, event_id % 7 AS y, value / 2 AS h, event_id % 5 AS i, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM b),
+  g AS (SELECT user_id, segment, min(frame) AS f0, max(frame) AS f1, arg_min(value, frame) AS v0, max(value) AS top, arg_max(frame, {{'v': value, 'f': -frame}}) AS ft, avg(value) AS ta, avg(y) AS tb, avg(h) AS pa, avg(i) AS pb, any_value(lo) AS lo, any_value(hi) AS hi FROM f GROUP BY user_id, segment)
+  SELECT user_id, segment, round(CAST(f0 * 0.01 AS DOUBLE), 6) AS start, round(CAST((f1 - f0) * 0.01 + 0.02 AS DOUBLE), 6) AS duration, round(CASE WHEN segment = 0 THEN 0.5 WHEN hi > lo THEN (v0 - lo) / (hi - lo) ELSE 0 END, 6) AS confidence, round(v0, 6) AS loudness_start, round(top, 6) AS loudness_max, round(CAST((ft - f0) * 0.01 AS DOUBLE), 6) AS loudness_max_time,
+    round(ta, 6) AS timbre_a, round(tb, 6) AS timbre_b, round(pa / greatest(pa, pb, 1), 6) AS pitch_a, round(1 / greatest(pa, pb, 1), 6) AS pitch_c FROM g""")
+def temporal_segments(spark, sf_dir):
+    rows = feature_frames(spark, sf_dir)
+    return flat_segments(segments.segments(rows, segments.temporal_boundaries(rows, "user_id", 0.01, 0.02), "user_id", 0.01, 0.02))
+
+
+def flat_segments(out: DataFrame) -> DataFrame:
+    vectors = {"timbre_a": F.col("timbre")[0], "timbre_b": F.col("timbre")[1], "pitch_a": F.col("pitches")[0], "pitch_c": F.col("pitches")[2]}
+    names = ["start", "duration", "confidence", "loudness_start", "loudness_max", "loudness_max_time", *vectors]
+    return rounded(out.withColumns(vectors).withColumn("segment", F.col("segment").cast("long")).select("user_id", "segment", *names), *names)
+
+
+@query()
+def novelty_segments(spark, sf_dir):
+    rows = feature_frames(spark, sf_dir)
+    found = segments.novelty_boundaries(rows, "user_id", 0.02).where("mode = 'novelty'")
+    return flat_segments(segments.segments(rows, found, "user_id", 0.02, 0.04))
+
+
+@query()
+def boundary_ratio(spark, sf_dir):
+    rows = feature_frames(spark, sf_dir)
+    return rounded(segments.boundary_ratio(rows, segments.novelty_boundaries(rows, "user_id", 0.02), "user_id"), "ratio")
+
+
+@query(f"""WITH {_BEATS}, n AS (SELECT user_id, count(*) AS n FROM b GROUP BY user_id), sg AS (SELECT *, which // 3 AS quantum, which % 3 AS place, [value, event_id % 7] AS tm, [event_id % 5, 1] AS pt FROM b WHERE which % 13 <> 5),
+  qa AS (SELECT DISTINCT user_id, which // 3 AS quantum FROM b), pr AS (SELECT x.user_id, x.quantum AS src, y.quantum AS dst FROM qa x JOIN qa y ON x.user_id = y.user_id AND y.quantum - x.quantum BETWEEN 1 AND 3),
+  z AS (SELECT pr.*, CASE WHEN a.which IS NULL THEN 'inf'::DOUBLE WHEN c.which IS NULL THEN 100 ELSE list_distance(a.tm::DOUBLE[], c.tm::DOUBLE[]) + 10 * list_distance(a.pt::DOUBLE[], c.pt::DOUBLE[]) + abs(a.value - c.value) + abs(a.value / 2 - c.value / 2)
+    + 100 * abs(a.event_id % 3 - c.event_id % 3) + abs(a.event_id % 2 - c.event_id % 2) END AS d FROM pr LEFT JOIN sg a ON a.user_id = pr.user_id AND a.quantum = src LEFT JOIN sg c ON c.user_id = pr.user_id AND c.quantum = dst AND c.place = a.place)
+  SELECT user_id, src, dst, CASE WHEN isinf(avg(d)) THEN -1 ELSE round(avg(d), 6) END AS distance FROM z GROUP BY user_id, src, dst""")
+def positional_distance(spark, sf_dir):
+    rows = beats(spark, sf_dir).withColumn("quantum", F.floor(F.col("which") / 3))
+    body = F.struct(F.array(F.col("value"), F.col("event_id") % 7.0).alias("timbre"), F.array(F.col("event_id") % 5.0, F.lit(1.0)).alias("pitches"), F.col("value").alias("loudness_start"), (F.col("value") / 2).alias("loudness_max"), (F.col("event_id") % 3).alias("duration"), (F.col("event_id") % 2).alias("confidence"))
+    held = rows.where("which % 13 <> 5").select("user_id", "quantum", (F.col("which") % 3).alias("place"), F.col("which").alias("segment"), body.alias("s"))
+    own = rows.groupBy("user_id").agg(F.max("quantum").alias("top"))
+    pairs = own.select("user_id", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("src")).select("user_id", "top", "src", F.explode(F.array(*[F.col("src") + k for k in (1, 2, 3)])).alias("dst")).where("dst <= top")
+    out = graph.positional_distance(pairs.select("user_id", "src", "dst"), held, "user_id")
+    return out.withColumn("distance", F.when(F.col("distance") == float("inf"), -1.0).otherwise(F.round("distance", 6)))
+
+
+@query()
+def adaptive_tatums(spark, sf_dir):
+    grid, _ = paced(spark, sf_dir)
+    onsets = feature_frames(spark, sf_dir).select("user_id", "frame", "onset")
+    return rounded(folds.adaptive_tatums(grid, onsets, "user_id", 2.5), "start", "duration", "confidence")
+
+
+def vector_bars(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bars of the embeddings, two seconds a bar, and their tracks' durations."""
+    bars_ = segments.bar_vectors(quanta(spark, sf_dir).select("label", "which", "v"), "label", "v", 2)
+    bars_ = bars_.select("label", "bar", (F.col("bar") * 6.0).alias("start"), F.col("v").alias("vector"))
+    return bars_, bars_.groupBy("label").agg((F.max("start") + 6.0).alias("duration"))
+
+
+@query(f"""WITH {_QUANTA}, x AS (SELECT label, which // 2 AS bar, unnest(range(0, len(v))) AS dim, unnest(v) AS x FROM q) SELECT label, bar, dim, round(avg(x), 6) AS x FROM x GROUP BY label, bar, dim""")
+def bar_vectors(spark, sf_dir):
+    out = vector_bars(spark, sf_dir)[0].select("label", "bar", F.posexplode("vector").alias("dim", "x"))
+    return rounded(out.withColumn("dim", F.col("dim").cast("long")), "x")
+
+
+@query()
+def structural_sections(spark, sf_dir):
+    return rounded(segments.structural_sections(*vector_bars(spark, sf_dir), "label"), "start", "duration", "confidence")
+
+
+@query()
+def section_novelty(spark, sf_dir):
+    return rounded(segments.section_novelty(*vector_bars(spark, sf_dir), "label"), "mean", "max")
+
+
+@query(f"""WITH {_CONFIDENT}, s AS (SELECT user_id, which // 10 AS which, min(start) AS start, max(start) - min(start) AS len FROM d GROUP BY user_id, which // 10),
+  m AS (SELECT s.user_id, s.which, any_value(s.start) AS start, any_value(len) AS len, coalesce(avg(confidence), 0) AS c, coalesce(avg(event_id % 7 / 7), 0) AS l FROM s LEFT JOIN d ON d.user_id = s.user_id AND d.start >= s.start AND d.start < s.start + len GROUP BY s.user_id, s.which)
+  SELECT user_id, which, round(start, 6) AS start, round(len, 6) AS duration, round(CASE WHEN max(c) OVER w > min(c) OVER w THEN (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w) ELSE 0 END, 6) AS confidence, round(l, 6) AS loudness FROM m WINDOW w AS (PARTITION BY user_id)""")
+def enriched_sections(spark, sf_dir):
+    rows = confident(spark, sf_dir)
+    spans = rows.groupBy("user_id", F.floor(F.col("which") / 10).alias("which")).agg(F.min("start").alias("start"), (F.max("start") - F.min("start")).alias("duration"))
+    return rounded(segments.enriched_sections(spans, rows, "user_id"), "start", "duration", "confidence", "loudness")
+
+
+@query(f"""WITH {_EDGES}, g AS (SELECT e.*, (src + dst) % 9 = 0 AS gone FROM e) SELECT label, src, dst, round(distance, 6) AS distance FROM g WHERE NOT gone AND dst < (SELECT count(*) - 3 FROM q WHERE q.label = g.label)
+  AND src < (SELECT count(*) - 3 FROM q WHERE q.label = g.label)""")
+def valid_edges(spark, sf_dir):
+    q, n, _, _, edges = similarity_graph(spark, sf_dir)
+    known = q.join(n, "label").where("which < n - 3").select("label", "which")
+    marked = edges.select("label", "src", "dst", "distance", ((F.col("src") + F.col("dst")) % 9 == 0).alias("deleted"))
+    return rounded(graph.valid_edges(marked, known, "label").select("label", "src", "dst", "distance"), "distance")
+
+
+@query(f"""WITH {_FRAMES}, r AS (SELECT user_id, frame, sqrt(sum(x * x) / 9) AS r FROM m GROUP BY user_id, frame) SELECT user_id, frame, round(CASE WHEN max(r) OVER w > 0 THEN r / max(r) OVER w ELSE r END, 6) AS rms FROM r WINDOW w AS (PARTITION BY user_id)""")
+def spectral_rms(spark, sf_dir):
+    return rounded(frames.spectral_rms(spectra(spark, sf_dir), "user_id"), "rms")
