@@ -16,7 +16,8 @@ DICTIONARY characters.
 The margin under which a text is rejected is learned from the same labelled documents by
 ``learn``: each half of them is scored with dictionaries of the other half, once with all
 languages and once without the text's own, and the margin is the one that tells the two
-apart best. Without three languages none can be left out, and MIN_SCORE holds.
+apart best, a text of a known language rejected counting REJECTED times one of an unknown
+language accepted. Without three languages none can be left out, and MIN_SCORE holds.
 
 Defined results: a null, empty or letterless text is 'und' with score 0 and is rejected.
 Equal sizes go to the language first in code point order, score 0. Without any labelled
@@ -45,6 +46,8 @@ BETWEEN = re.compile(r"[\W\d_]+")
 FULL_MARGIN = 0.25
 #: The margin where none can be learned.
 MIN_SCORE = 0.05
+#: How many accepted texts of unknown languages one rejected text of a known one is worth.
+REJECTED = 20
 NONE = "und"
 
 
@@ -80,13 +83,13 @@ def scores(texts: dict[str, list[bytes]]) -> tuple[list[float], list[float]]:
 
 
 def margin(known: list[float], unknown: list[float]) -> float:
-    """The least score to accept: with it the shares of known texts rejected and of unknown
-    ones accepted have the least sum. It lies midway between the scores next to it."""
+    """The least score to accept: with it the share of known texts rejected, times REJECTED, and
+    that of unknown ones accepted have the least sum. It lies midway between the scores next to it."""
     if not known:
         return MIN_SCORE
     cuts = sorted({0.0, *known, *unknown, 1.0})
     known, unknown = sorted(known), sorted(unknown)
-    cost = [bisect_left(known, x) / len(known) + 1 - bisect_left(unknown, x) / len(unknown) for x in cuts]
+    cost = [REJECTED * bisect_left(known, x) / len(known) + 1 - bisect_left(unknown, x) / len(unknown) for x in cuts]
     k = cost.index(min(cost))
     return (cuts[max(k - 1, 0)] + cuts[k]) / 2
 
