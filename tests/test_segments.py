@@ -124,7 +124,7 @@ def test_bar_novelty_and_sections_against_loops(spark):
     bars = spark.createDataFrame([(1, k, float(starts[k]), vectors[k].tolist()) for k in range(n)] + [(2, k, 4.0 * k, [1.0]) for k in range(20)], "t int, bar long, start double, vector array<double>")
     lengths = spark.createDataFrame([(1, 144.0), (2, 80.0)], "t int, duration double")
     rows = sorted(segments.structural_sections(bars, lengths, "t").collect(), key=lambda r: r.which)
-    assert {r.t for r in rows} == {1} and all(min(abs(r.bar - b) for b in (0, 9, 18, 27)) <= 1 for r in rows) and len(rows) >= 4
+    assert {r.t for r in rows} == {1} and all(min(abs(r.bar - b) for r in rows) <= 1 for b in (0, 9, 18, 27)) and len(rows) >= 4
     assert sum(r.duration for r in rows) == pytest.approx(144.0)
     summary = {r.t: r for r in segments.section_novelty(bars, lengths, "t").collect()}
     assert summary[1].selected == len(rows) - 1 and summary[1].candidates >= summary[1].selected and summary[2].max == 0
