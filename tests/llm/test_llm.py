@@ -448,13 +448,14 @@ def test_host_rules_measures_and_verdicts(spark, odd, none):
 
 def test_host_rules_match_their_sql_where_hosts_differ(spark, tmp_path):
     good, short = " ".join(f"x{k}" for k in range(60)), "too short"
-    rows = [(1000 * share + k, short if k % 100 < share else good, "en", f"h{share}" if share else None, 0) for share in (0, 3, 5, 6, 8, 30) for k in range(share, 400)]
+    hosts = {f"h{k}": 3 + k % 6 for k in range(20)} | {None: 5, "bad": 40}
+    rows = [(1000 * n + k, short if k % 100 < share else good, "en", host, 0) for n, (host, share) in enumerate(hosts.items()) for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.toPandas().to_parquet(tmp_path / "documents.parquet")
     ours, theirs = both(spark, queries.QUERIES["op10_host_rules"], queries.ORACLE_SQL["op10_host_rules"], str(tmp_path))
     assert ours == theirs
     got = hostrules.judged(docs).groupBy("source").agg(F.count_if("kept").alias("n"), F.count_if(~F.col("base_failed")).alias("good")).collect()
-    assert {r.source: r.n == r.good for r in got} == {None: True, "h3": True, "h5": True, "h6": True, "h8": True, "h30": False}
+    assert {r.source for r in got if r.n != r.good} == {"bad"}
 
 
 CLASH = {"row_key": "1", "_row": "2", "_copy": "3", "shard": "4", "slot": "5", "old_shard": "6", "_hash": "7", "_bucket": "8", "lang_pred": "9", "score": "10", "rejected": "11", "node_chars": "12", "tokens_after": "13", "_shard": "14", "_key": "15", "size": "16", "copies": "17", "text_crc32": "18", "component_id": "19", "w": "20", "row": "21", "_any": "22", "part": "23"}
