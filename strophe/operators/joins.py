@@ -1,7 +1,7 @@
 """Joins on order: containment, as-of, overlap and nearest.
 
 Point-to-span and as-of joins are unions read by one window per track, linear in the rows;
-only the overlap join, whose result is pairs, joins spans with spans of the same track.
+only the overlap joins, whose result is pairs, join spans with spans, by equal stretches of time.
 """
 
 from __future__ import annotations
@@ -35,15 +35,34 @@ def asof_forward(left: DataFrame, right: DataFrame, track: str, payload: str, ou
     return rows.withColumn(out, F.first("_mark", ignorenulls=True).over(ahead)["v"]).where("_side = 0").drop("_side", "_mark")
 
 
+def overlapping(left: DataFrame, right: DataFrame, track: str) -> DataFrame:
+    """Pairs that touch, of ``left`` (track, _ls, _le, ...) and ``right`` (track, _rs, _re, ...), ends not before starts.
+
+    A track's time is cut into stretches as long as the longer of both sides' mean spans, so the
+    spans' shares of stretches are at most twice the spans. A pair comes from the stretch of its later start.
+    """
+    mean = lambda df, a, b, out: df.groupBy(track).agg(F.avg(F.col(b) - F.col(a)).alias(out))
+    width = mean(left, "_ls", "_le", "_wl").join(mean(right, "_rs", "_re", "_wr"), track).withColumn("_w", F.greatest("_wl", "_wr"))
+    width = width.select(track, F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0)).alias("_w"))
+
+    def cut(df, a, b):
+        first = F.floor(F.col(a) / F.col("_w"))
+        return df.join(width, track).withColumn("_at", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col(b) / F.col("_w"))))))
+
+    pairs = cut(left, "_ls", "_le").join(cut(right, "_rs", "_re").drop("_w"), [track, "_at"])
+    later = F.floor(F.greatest("_ls", "_rs") / F.col("_w")) == F.col("_at")
+    return pairs.where((F.col("_re") >= F.col("_ls")) & (F.col("_rs") <= F.col("_le")) & later).drop("_at", "_w")
+
+
 def cursor_overlap(quanta: DataFrame, segments: DataFrame, track: str) -> DataFrame:
     """Pairs of quanta and the segments they touch (both ends closed): track, quantum, segment.
 
     A segment before the last match of any earlier quantum is passed over, as a cursor that
     never moves back would do. Both sides have track, which, start, end.
     """
-    q = quanta.select(track, F.col("which").alias("quantum"), F.col("start").alias("_qs"), F.col("end").alias("_qe"))
-    s = segments.select(track, F.col("which").alias("segment"), F.col("start").alias("_ss"), F.col("end").alias("_se"))
-    pairs = q.join(s, track).where((F.col("_se") >= F.col("_qs")) & (F.col("_ss") <= F.col("_qe")))
+    q = quanta.select(track, F.col("which").alias("quantum"), F.col("start").alias("_ls"), F.col("end").alias("_le"))
+    s = segments.select(track, F.col("which").alias("segment"), F.col("start").alias("_rs"), F.col("end").alias("_re"))
+    pairs = overlapping(q, s, track)
     last = pairs.groupBy(track, "quantum").agg(F.max("segment").alias("_last"))
     before = F.max("_last").over(Window.partitionBy(track).orderBy("quantum").rowsBetween(Window.unboundedPreceding, -1))
     cursor = last.select(track, "quantum", F.coalesce(before, F.lit(0)).alias("_cursor"))
@@ -71,10 +90,9 @@ def nearest_within(left: DataFrame, right: DataFrame, track: str, tolerance: flo
 
 def best_overlap(spans: DataFrame, windows: DataFrame, track: str) -> DataFrame:
     """track, span, window, overlap: the window that covers most of a span; the first wins ties."""
-    s = spans.select(track, F.col("which").alias("span"), F.col("start").alias("_ss"), F.col("end").alias("_se"))
-    w = windows.select(track, F.col("which").alias("window"), F.col("start").alias("_ws"), F.col("end").alias("_we"))
-    common = F.least("_se", "_we") - F.greatest("_ss", "_ws")
-    pairs = s.join(w, track).withColumn("overlap", common).where("overlap > 0")
+    s = spans.select(track, F.col("which").alias("span"), F.col("start").alias("_ls"), F.col("end").alias("_le"))
+    w = windows.select(track, F.col("which").alias("window"), F.col("start").alias("_rs"), F.col("end").alias("_re"))
+    pairs = overlapping(s, w, track).withColumn("overlap", F.least("_le", "_re") - F.greatest("_ls", "_rs")).where("overlap > 0")
     return pairs.groupBy(track, "span").agg(F.min_by(F.struct("window", "overlap"), F.struct(-F.col("overlap"), "window")).alias("_b")).select(track, "span", "_b.window", "_b.overlap")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.functions.columns import nearest_rank
+from strophe.operators.ranks import quantiles
 from strophe.operators.timeline import exploded
 
 
@@ -24,8 +24,10 @@ def activation_summary(df: DataFrame, key: str, x: str, threshold: float) -> Dat
     """Count, range, mean, nearest-rank percentiles and share of rows at the threshold;
     values that aren't finite count as 0."""
     v = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(F.col(x))
-    held = df.withColumn("_v", v).groupBy(key).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"), F.sort_array(F.collect_list("_v")).alias("_s"), F.count_if(F.col("_v") >= threshold).alias("n_above"))
-    return held.select("*", *[nearest_rank(F.col("_s"), p / 100).alias(f"p{p}") for p in (50, 75, 90, 95, 99)]).drop("_s")
+    rows = df.withColumn("_v", v)
+    held = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"), F.count_if(F.col("_v") >= threshold).alias("n_above"))
+    tops = quantiles(rows, [key], "_v", {f"p{p}": p / 100 for p in (50, 75, 90, 95, 99)})
+    return held.join(tops.withColumnRenamed(key, "_k"), held[key].eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
 def grid_quality(beats: DataFrame, track: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.functions.columns import nearest_rank
+from strophe.operators.ranks import quantiles
 
 
 def navigation(df: DataFrame, track: str, order: list[str], start: str, fallback: float = 0.5) -> DataFrame:
@@ -104,7 +104,7 @@ def regular_grid(durations: DataFrame, track: str, bpm: float = FALLBACK_BPM) ->
 
 def window_peaks(df: DataFrame, track: str, order: str, x: str, r: int = 3, p: float = 0.75) -> DataFrame:
     """Rows that are the maximum of r rows to either side and reach the track's p-quantile."""
-    limits = df.groupBy(track).agg(nearest_rank(F.sort_array(F.collect_list(x)), p).alias("_limit"))
+    limits = quantiles(df, [track], x, {"_limit": p})
     rows = df.withColumn("_m", F.max(x).over(around(track, order, r))).join(limits, track)
     return rows.where((F.col(x) == F.col("_m")) & (F.col(x) >= F.col("_limit"))).drop("_m", "_limit")
 
