@@ -7,8 +7,8 @@
 2. Classes that share a band are compared with the band's smallest class, its leader, on
    their full sets (``stars``). This is linear in the size of a band.
 3. Classes of a leader that are not linked to it are compared with all others of that
-   leader on full sets, in blocks of ``BLOCK`` by ``BLOCK`` (``rest``), so that no link is
-   lost. Blocks report only links that join classes not joined yet: pairs are never emitted.
+   leader on full sets, in blocks of about ``BLOCK`` classes or ``SHINGLES`` shingles a side,
+   whichever is fewer (``rest``), so that no link is lost and a block's size is bounded. Blocks report only links that join classes not joined yet: pairs are never emitted.
    Joins that carry texts or sets are merge joins at every size, so a small run shows the
    shuffles of a large one.
 
@@ -34,6 +34,8 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 #: Documents whose signatures are made at once, members of a leader in one task's share.
 AT_ONCE, BLOCK = 64, 512
+#: Shingles of one side of a block of ``rest``, 8 bytes each, beyond a first text.
+SHINGLES = 2_000_000
 
 
 def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def stars(pairs: DataFrame, shingles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``pairs`` (leader, doc_id) with ``linked``: whether the two are similar enough.
+    """``pairs`` (leader, doc_id) with ``linked``, whether the two are similar enough, and ``size``, doc_id's shingles.
 
     A leader's set is sent once to each share of at most about BLOCK members, and a share
     is read as a stream: leader first, then its members.
@@ -117,15 +119,15 @@ def stars(pairs: DataFrame, shingles: DataFrame, percent: int = PERCENT) -> Data
                 if role == 0:
                     leaders.append(found.copy())
                 else:
-                    out.append((leader, doc, any(similar(x, found, percent) for x in leaders)))
+                    out.append((leader, doc, any(similar(x, found, percent) for x in leaders), len(found)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (kind, kind, pa.bool_()), strict=True)], names=["leader", "doc_id", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (kind, kind, pa.bool_(), pa.int64()), strict=True)], names=["leader", "doc_id", "linked", "size"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(pairs.schema["doc_id"].dataType)
     spark_kind = pairs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"leader {spark_kind}, doc_id {spark_kind}, linked boolean")
+    return rows.mapInArrow(run, f"leader {spark_kind}, doc_id {spark_kind}, linked boolean, size long")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -152,8 +154,11 @@ def rest(tested: DataFrame, shingles: DataFrame, percent: int = PERCENT) -> Data
     Of what links a cell finds, it reports those that join rows not joined before, the rows
     linked to the leader counting as joined.
     """
-    groups = tested.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose")).where("loose > 0 and n > 1")
-    sized = tested.join(written(groups, "loose-groups"), "leader").withColumn("_i", F.ceil(F.col("loose") / BLOCK).cast("int")).withColumn("_j", F.ceil(F.col("n") / BLOCK).cast("int"))
+    free = F.when(~F.col("linked"), F.col("size")).otherwise(F.lit(0))
+    groups = tested.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("_all"), F.count_if(~F.col("linked")).alias("loose"), F.sum(free).alias("_free")).where("loose > 0 and n > 1")
+    blocks = lambda rows, size: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(size) / SHINGLES)).cast("int")
+    groups = groups.select("leader", blocks("loose", "_free").alias("_i"), blocks("n", "_all").alias("_j"))
+    sized = tested.join(written(groups, "loose-groups"), "leader")
     sized = written(sized, "loose")
     row, col = (F.pmod(F.xxhash64("doc_id"), F.col(x)).cast("int") for x in ("_i", "_j"))
     side = lambda df, role, i, j: df.select("leader", i.alias("i"), j.alias("j"), F.lit(role).alias("role"), "doc_id", "linked")
@@ -239,7 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     pairs = written(candidates(classes), "candidates")
     wanted = pairs.select("doc_id").union(pairs.select("leader")).distinct()
     shingles = written(shingle_table(docs, wanted, width), "shingles")
-    tested = written(stars(pairs, shingles, percent).groupBy("leader", "doc_id").agg(F.max("linked").alias("linked")), "stars")
+    tested = written(stars(pairs, shingles, percent).groupBy("leader", "doc_id").agg(F.max("linked").alias("linked"), F.max("size").alias("size")), "stars")
     links = tested.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).unionByName(rest(tested, shingles, percent))
     # rows that share an id share a component: an id in several classes links them by itself
     again = usable.groupBy("doc_id").agg(F.min("class_key").alias("k"), F.max("class_key").alias("l")).where("k <> l").select(F.col("doc_id").alias("own"))

@@ -299,6 +299,27 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_blocks_by_shingles_lose_no_link(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [[f"v{k}x{i}" for i in range(80)] for k in range(3)]
+    texts = []
+    for k in range(90):
+        words = list(base[k % 3])
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(80)] = f"n{rng.randint(0, 5)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for t in texts]
+    parent = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if x in (a, b) else x for x in parent]
+    monkeypatch.setattr(neardup, "SHINGLES", 300)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == dict(enumerate(parent))
+
+
 def test_shared_counts_against_sets():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(9)]
