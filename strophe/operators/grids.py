@@ -20,6 +20,18 @@ OFFSETS = [float(x) for x in range(-250, 251, 5)]
 TOLERANCE_MS = 70.0
 FOUND = ["zero_f1", "offset_ms", "best_f1"]
 
+#: What a weak window's reason, readiness, strength and risk, and the levels of trust are called.
+REASONS = ["LegacyTempoInstability", "LegacySparseOrDenseBeats", "AdvisorMoreStableIntervals", "AdvisorStrongerLocalAgreement", "CandidateDisagreement", "InsufficientEvidence", "PhaseAlignmentUnstable"]
+READINESS = ["Blocked", "CandidateForExperimentalCorrection", "CandidateForReview", "DiagnosticOnly", "None"]
+STRENGTHS = {"VeryStrong": 0.90, "Strong": 0.75, "Moderate": 0.50, "Weak": 0.0}
+RISKS = ["Low", "Medium", "High", "Blocked"]
+LEVELS = ["None", "Low", "Medium", "High", "VeryHigh"]
+#: F1 and score that a level of agreement takes.
+LEAST_F1 = {"VeryHigh": 0.93, "High": 0.85, "Medium": 0.65, "Low": 0.40}
+LEAST_SCORE = {"VeryHigh": 0.90, "High": 0.80, "Medium": 0.60, "Low": 0.35}
+#: A weak window's limits.
+LEAST_WEAKNESS, LEAST_STRENGTH, LEAST_READINESS = 0.55, 0.60, 0.72
+
 
 def agreement(reference: np.ndarray, candidate: np.ndarray, offset: float, tolerance: float = TOLERANCE_MS) -> tuple[float, float]:
     """F1 and mean error of the candidate shifted by ``offset``; all in milliseconds.
@@ -126,9 +138,9 @@ def alignment(reference: DataFrame, candidate: DataFrame, windows: DataFrame, tr
     rows = rows.join(counts, track, "left").join(spread, track, "left").withColumn("n_windows", F.coalesce("n_windows", F.lit(0)))
     ratio, best, offset = F.col("count_ratio"), F.col("best_f1"), F.abs("offset_ms")
     stable = F.coalesce(F.col("offset_mad") <= 20.0, F.lit(False)) | (F.col("n_windows") < 2)
-    confidence = F.when((best < 0.40) | (ratio < 0.65) | (ratio > 1.35) | (offset > 180.0), "none").when((best >= 0.85) & ratio.between(0.80, 1.20) & stable, "high").when(best >= 0.65, "medium").otherwise("low")
-    rows = rows.withColumn("confidence", F.when(F.col("_lacks"), "none").otherwise(confidence))
-    none = F.col("confidence") == "none"
+    confidence = F.when((best < 0.40) | (ratio < 0.65) | (ratio > 1.35) | (offset > 180.0), "None").when((best >= 0.85) & ratio.between(0.80, 1.20) & stable, "High").when(best >= 0.65, "Medium").otherwise("Low")
+    rows = rows.withColumn("confidence", F.when(F.col("_lacks"), "None").otherwise(confidence))
+    none = F.col("confidence") == "None"
     reason = F.when(F.col("_lacks"), "missing-beats").when((ratio < 0.65) | (ratio > 1.35), "count-ratio-out-of-range").when(offset > 180.0, "offset-out-of-range").when(none, "agreement-too-low").when(F.col("n_windows") == 0, "insufficient-local-windows")
     status = F.when(F.col("_lacks"), "not-available").when(none, "unreliable").when((offset <= 10.0) & (F.col("zero_f1") >= 0.85), "aligned").when((offset > 10.0) | (best - F.col("zero_f1") > 1e-6), "offset-detected").otherwise("aligned")
     return rows.withColumns({"reason": reason, "status": status}).drop("_lacks")
@@ -136,7 +148,7 @@ def alignment(reference: DataFrame, candidate: DataFrame, windows: DataFrame, tr
 
 def weak_windows(windows: DataFrame) -> DataFrame:
     """Adds n_reference, n_candidate, weakness, strength, readiness, risk, weak, promising,
-    correctable, verdict and reasons to the rows of ``compared_windows``."""
+    correctable, strength_class, verdict and reasons to the rows of ``compared_windows``."""
     gaps = windows.withColumns({"_r": intervals(F.col("reference")), "_c": intervals(F.col("candidate")), "n_reference": F.size("reference"), "n_candidate": F.size("candidate")})
     rows = gaps.withColumns({"_rcv": variation(F.col("_r")), "_ccv": variation(F.col("_c")), "_median": median_of(F.col("_r")), "_ratio": F.abs(F.col("n_candidate") / F.col("n_reference") - 1)})
     best, offset, ratio = F.col("best_f1"), F.abs("offset_ms"), F.col("_ratio")
@@ -148,14 +160,66 @@ def weak_windows(windows: DataFrame) -> DataFrame:
     agreed = F.when(best >= 0.85, 1.0).when(best >= 0.70, 0.75).when(best >= 0.50, 0.4).otherwise(0.0)
     near = F.when(offset <= 60.0, 1.0).when(offset <= 120.0, 0.7).otherwise(0.2)
     counted = F.when(ratio <= 0.15, 1.0).when(ratio <= 0.35, 0.7).otherwise(0.0)
-    risk = F.when(ratio > 0.50, "blocked").when((offset > 180.0) | (best < 0.40) | (ratio > 0.35), "high").when((offset > 120.0) | (best < 0.65), "medium").otherwise("low")
+    risk = F.when(ratio > 0.50, "Blocked").when((offset > 180.0) | (best < 0.40) | (ratio > 0.35), "High").when((offset > 120.0) | (best < 0.65), "Medium").otherwise("Low")
     rows = rows.withColumns({"weakness": F.greatest(uneven, crowded, apart), "strength": 0.25 * even + 0.35 * agreed + 0.15 * near + 0.25 * counted, "risk": risk})
-    rows = rows.withColumns({"readiness": 0.5 * F.col("weakness") + 0.5 * F.col("strength"), "weak": F.col("weakness") >= 0.55, "promising": (F.col("strength") >= 0.60) & (F.col("risk") != "blocked")})
-    rows = rows.withColumn("correctable", F.col("weak") & F.col("promising") & (F.col("readiness") >= 0.72) & F.col("risk").isin("low", "medium"))
-    verdict = F.when(F.col("risk") == "blocked", "blocked").when(F.col("correctable"), "experimental-correction").when(F.col("weak") & F.col("promising"), "review").when(F.col("weak") | F.col("promising"), "diagnostic-only").otherwise("none")
-    told = [(F.col("_rcv") > 0.18, "tempo-instability"), (F.col("_median") < 0.25, "dense-beats"), (F.col("_ccv") < F.col("_rcv"), "steadier-candidate"), (best >= 0.70, "local-agreement"), (best < 0.65, "disagreement"), (ratio > 0.35, "insufficient-evidence"), (~F.col("reliable"), "unstable-phase")]
+    rows = rows.withColumns({"readiness": 0.5 * F.col("weakness") + 0.5 * F.col("strength"), "weak": F.col("weakness") >= LEAST_WEAKNESS, "promising": (F.col("strength") >= LEAST_STRENGTH) & (F.col("risk") != "Blocked")})
+    rows = rows.withColumn("correctable", F.col("weak") & F.col("promising") & (F.col("readiness") >= LEAST_READINESS) & F.col("risk").isin("Low", "Medium"))
+    states = [F.col("risk") == "Blocked", F.col("correctable"), F.col("weak") & F.col("promising"), F.col("weak") | F.col("promising"), F.lit(True)]
+    verdict = F.coalesce(*[F.when(test, F.lit(name)) for test, name in zip(states, READINESS, strict=True)])
+    strength_class = F.coalesce(*[F.when(F.col("strength") >= least, F.lit(name)) for name, least in STRENGTHS.items()])
+    told = zip([F.col("_rcv") > 0.18, F.col("_median") < 0.25, F.col("_ccv") < F.col("_rcv"), best >= 0.70, best < 0.65, ratio > 0.35, ~F.col("reliable")], REASONS, strict=True)
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in told]))
-    return rows.withColumns({"verdict": verdict, "reasons": reasons}).drop("_r", "_c", "_rcv", "_ccv", "_median", "_ratio")
+    return rows.withColumns({"strength_class": strength_class, "verdict": verdict, "reasons": reasons}).drop("_r", "_c", "_rcv", "_ccv", "_median", "_ratio")
+
+
+def _near(offset: Column) -> Column:
+    """Share of an offset's size in an agreement's score."""
+    return F.when(offset <= 60.0, 1.0).when(offset <= 120.0, 0.75).when(offset <= 180.0, 0.40).otherwise(0.0)
+
+
+def _first_level(tests: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(test, F.lit(name)) for name, test in tests.items()], F.lit("None"))
+
+
+def _reason(level: Column, f1: Column, counted: Column, near: Column) -> Column:
+    return F.when((level == "None") & (f1 < 0.40), "agreement-f1-too-low").when(counted <= 0, "count-ratio-out-of-range").when(near <= 0, "offset-too-large").otherwise(F.lower(level))
+
+
+def window_confidence(windows: DataFrame) -> DataFrame:
+    """Adds score, level, level_reason and fusable to the rows of ``compared_windows``: 0.75 of F1,
+    0.15 of the offset's size, 0.10 of being reliable."""
+    f1, offset = clamp(F.col("best_f1"), 0.0, 1.0), F.abs("offset_ms")
+    score = clamp(0.75 * f1 + 0.15 * _near(offset) + 0.10 * F.col("reliable").cast("double"), 0.0, 1.0)
+    extra = {"VeryHigh": F.col("reliable") & (offset <= 60.0), "High": F.col("reliable") & (offset <= 90.0), "Medium": F.col("reliable"), "Low": F.lit(True)}
+    rows = windows.withColumns({"score": score, "level": _first_level({x: (f1 >= least) & extra[x] for x, least in LEAST_F1.items()})})
+    level = F.col("level")
+    return rows.withColumns({"level_reason": _reason(level, f1, F.lit(1.0), _near(offset)), "fusable": F.col("reliable") & level.isin("High", "VeryHigh")})
+
+
+def agreement_confidence(aligned: DataFrame, windows: DataFrame, track: str) -> DataFrame:
+    """track, score, level, reliable, level_reason, n_high, n_medium, n_windows, high_ratio, readiness.
+
+    ``aligned`` is what ``alignment`` gives, ``windows`` what ``window_confidence`` gives. The score is
+    0.55 of F1, 0.20 of the count ratio, 0.15 of the offset's size, 0.10 of its stability over windows.
+    Tracks whose status is not-available have level None, score and readiness null.
+    """
+    f1, offset, apart = clamp(F.col("best_f1"), 0.0, 1.0), F.abs("offset_ms"), F.abs(F.col("count_ratio") - 1)
+    counted = F.coalesce(F.when(apart <= 0.15, 1.0).when(apart <= 0.30, 0.75).when(apart <= 0.50, 0.40), F.lit(0.0))
+    stable = F.coalesce(F.col("offset_mad") <= 20.0, F.lit(False)) | (F.col("n_windows") < 2)
+    steady = F.when(stable, 1.0).when(F.col("offset_mad") <= 50.0, 0.75).otherwise(0.45)
+    counts = windows.groupBy(track).agg(F.count_if(F.col("level").isin("High", "VeryHigh")).alias("n_high"), F.count_if(F.col("level").isin("Medium", "High", "VeryHigh")).alias("n_medium"))
+    rows = aligned.join(counts, track, "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("n_high", "n_medium")})
+    known = F.col("status") != "not-available"
+    rows = rows.withColumns({"_f1": f1, "_counted": counted, "_near": _near(offset), "score": F.when(known, clamp(0.55 * f1 + 0.20 * counted + 0.15 * _near(offset) + 0.10 * steady, 0.0, 1.0)), "high_ratio": F.when(F.col("n_windows") > 0, F.col("n_high") / F.col("n_windows")).otherwise(0.0)})
+    usable = known & (F.col("_counted") > 0) & (F.col("_near") > 0)
+    rows = rows.withColumn("level", _first_level({x: usable & (F.col("score") >= LEAST_SCORE[x]) & (F.col("_f1") >= least) for x, least in LEAST_F1.items()}))
+    rows = rows.withColumn("level_reason", F.when(known, _reason(F.col("level"), F.col("_f1"), F.col("_counted"), F.col("_near"))).otherwise(F.coalesce("reason", "status")))
+    level, high = F.col("level"), F.col("high_ratio")
+    unready = F.col("level_reason").isin("count-ratio-out-of-range", "offset-too-large") | (level.isin("None", "Low") & (high < 0.25))
+    ready = level.isin("High", "VeryHigh") & (high >= 0.55) & (F.col("_f1") >= 0.80)
+    readiness = F.when(unready, "not-ready").when(ready, "candidate-ready").otherwise("diagnostic-ready")
+    rows = rows.withColumns({"reliable": (level != "None") & (F.col("confidence") != "None"), "readiness": F.when(known, readiness)})
+    return rows.select(track, "score", "level", "reliable", "level_reason", "n_high", "n_medium", "n_windows", "high_ratio", "readiness")
 
 
 def corrected(reference: DataFrame, candidate: DataFrame, windows: DataFrame, track: str, most: int = 8, spacing: float = 0.25) -> DataFrame:
@@ -167,7 +231,7 @@ def corrected(reference: DataFrame, candidate: DataFrame, windows: DataFrame, tr
     the last one kept go. Without an accepted window, or where the result breaks a guardrail,
     corrected is null and reason names why.
     """
-    order = Window.partitionBy(track).orderBy(F.desc("readiness"), F.when(F.col("risk") == "low", 0).otherwise(1), "start")
+    order = Window.partitionBy(track).orderBy(F.desc("readiness"), F.when(F.col("risk") == "Low", 0).otherwise(1), "start")
     tried = windows.where("correctable").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
     ratio = F.abs(F.col("n_candidate") / F.col("n_reference") - 1)
     taken = tried.where((F.col("end") - F.col("start") <= 20.0) & (F.abs("offset_ms") <= 120.0) & (F.col("strength") >= 0.70) & (F.col("readiness") >= 0.72) & (ratio <= 0.25))

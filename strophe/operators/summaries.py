@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.functions.columns import finite
+from strophe.operators.joins import nearest_within
 from strophe.operators.ranks import quantiles
 from strophe.operators.timeline import exploded
 
@@ -41,10 +45,53 @@ def grid_quality(beats: DataFrame, track: str) -> DataFrame:
     return base.join(more, track).select(track, "n", "median_interval", (60.0 / F.col("median_interval")).alias("bpm"), (F.col("_s") / F.col("median_interval")).alias("std_ratio"), (F.col("_s") / F.col("_m")).alias("cv"), "mad", "n_gaps", "n_duplicates")
 
 
-def guardrails(quality: DataFrame, least: int = 8, low: float = 40.0, high: float = 220.0, spread: float = 0.65) -> DataFrame:
-    """Adds failure: the first broken rule's name, or null."""
-    failure = F.when(F.col("n") < least, "too-few-beats").when(F.col("median_interval").isNull(), "no-interval").when((F.col("bpm") < low) | (F.col("bpm") > high), "tempo-out-of-range").when(F.col("std_ratio") > spread, "unstable-intervals")
-    return quality.withColumn("failure", failure)
+@dataclass(frozen=True)
+class Limits:
+    """What a usable grid keeps to (fixed values)."""
+
+    least_beats: int = 2
+    low_bpm: float = 40.0
+    high_bpm: float = 220.0
+    least_confidence: float = 0.01
+    beats_per_second: float = 6.5
+    interval_ratio: float = 0.65
+    downbeat_distance: float = 0.03
+    least_coverage: float = 0.80
+
+
+def guardrails(beats: DataFrame, downbeats: DataFrame, tracks: DataFrame, track: str, limits: Limits = Limits()) -> DataFrame:
+    """track, n, failure of every row of ``tracks`` (track, bpm, duration, coverage): the first broken rule, or null.
+
+    ``beats`` has track, start and confidence, ``downbeats`` track and start. Coverage is null where no model
+    took part; without a positive duration neither density nor coverage is judged.
+    """
+    none = F.lit(None).cast("double")
+    step = lambda df: F.col("start") - F.lag("start").over(Window.partitionBy(track).orderBy("start"))
+    unsound = F.count_if((F.col("_g") <= 0) | F.isnan("start") | (F.abs("start") == float("inf")))
+    ratio = F.stddev_pop("_g") / F.avg("_g")
+    grid = beats.withColumn("_g", step(beats)).groupBy(track).agg(
+        F.count("*").alias("n"), F.count("confidence").alias("_told"), unsound.alias("_back"), F.count(finite(F.col("confidence"))).alias("_finite"),
+        F.avg("confidence").alias("_mean"), F.when(F.count("*") >= 3, ratio).otherwise(none).alias("_ratio"),
+    )
+    marks = beats.select(track, "start", F.lit(0).alias("which"))
+    near = nearest_within(downbeats.select(track, "start"), marks, track, limits.downbeat_distance).withColumn("_g", step(downbeats))
+    bars = near.groupBy(track).agg(unsound.alias("_bars_back"), F.count_if(F.col("gap").isNull()).alias("_far"))
+    rows = tracks.join(grid, track, "left").join(bars, track, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sized, bpm = F.col("duration") > 0, finite(F.col("bpm"))
+    rules = [
+        ("beat-count-too-low", F.col("n") < limits.least_beats),
+        ("confidence-count-mismatch", F.col("_told") < F.col("n")),
+        ("bpm-out-of-range", bpm.isNull() | (bpm < limits.low_bpm) | (bpm > limits.high_bpm)),
+        ("beat-times-not-strictly-increasing", F.col("_back") > 0),
+        ("confidences-not-finite", F.col("_finite") < F.col("n")),
+        ("confidence-too-low", F.col("_mean") < limits.least_confidence),
+        ("beat-density-too-high", sized & (F.col("n") / F.col("duration") > limits.beats_per_second)),
+        ("beat-interval-stddev-too-high", F.col("_ratio") > limits.interval_ratio),
+        ("downbeat-times-not-strictly-increasing", F.col("_bars_back") > 0),
+        ("downbeat-not-aligned-to-beat", F.col("_far") > 0),
+        ("ai-coverage-too-low", sized & (F.isnan("coverage") | (F.abs("coverage") == float("inf")) | (F.col("coverage") < limits.least_coverage))),
+    ]
+    return rows.select(track, "n", F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules]).alias("failure"))
 
 
 def histogram_names(df: DataFrame, key: str, name: str, top: int) -> DataFrame:

@@ -431,12 +431,6 @@ def interval_quality(spark, sf_dir):
     return rounded(summaries.grid_quality(beats(spark, sf_dir), "user_id"), "median_interval", "bpm", "std_ratio", "cv", "mad")
 
 
-@query(f"""WITH {_GRID} SELECT user_id, n, CASE WHEN n < 60 THEN 'too-few-beats' WHEN m IS NULL THEN 'no-interval' WHEN 60 / m < 0.001 OR 60 / m > 220 THEN 'tempo-out-of-range' WHEN s / m > 1.5 THEN 'unstable-intervals' END AS failure FROM f""")
-def guardrails(spark, sf_dir):
-    quality = summaries.grid_quality(beats(spark, sf_dir), "user_id")
-    return summaries.guardrails(quality, 60, 0.001, 220.0, 1.5).select("user_id", "n", "failure")
-
-
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY n DESC, event_type) AS names FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM
   (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE r <= 3 GROUP BY user_id""")
 def top_names(spark, sf_dir):
@@ -726,7 +720,7 @@ def two_grids(spark, sf_dir: str):
 @query()
 def grid_alignment(spark, sf_dir):
     left, right = two_grids(spark, sf_dir)
-    windows = grids.compared_windows(left, right, "user_id").persist()
+    windows = settled(grids.compared_windows(left, right, "user_id"), "windows")
     return rounded(grids.alignment(left, right, windows, "user_id"), "count_ratio", "zero_f1", "best_f1")
 
 
@@ -736,10 +730,18 @@ def weak_windows(spark, sf_dir):
     return rounded(out.drop("reference", "candidate").withColumn("reasons", F.array_join("reasons", ",")), "start", "end", "zero_f1", "best_f1", "weakness", "strength", "readiness")
 
 
+@query()
+def agreement_confidence(spark, sf_dir):
+    left, right = two_grids(spark, sf_dir)
+    windows = settled(grids.compared_windows(left, right, "user_id"), "windows")
+    out = grids.agreement_confidence(grids.alignment(left, right, windows, "user_id"), grids.window_confidence(windows), "user_id")
+    return rounded(out, "score", "high_ratio")
+
+
 @query()
 def window_correction(spark, sf_dir):
     left, right = two_grids(spark, sf_dir)
-    windows = grids.weak_windows(grids.compared_windows(left, right, "user_id")).persist()
+    windows = settled(grids.weak_windows(grids.compared_windows(left, right, "user_id")), "windows")
     out = grids.corrected(left, right, windows, "user_id")
     return out.select("user_id", "n_reference", "n_windows", F.coalesce(F.size("corrected"), F.lit(0)).alias("n_corrected"), "reason")
 
@@ -948,3 +950,18 @@ def valid_edges(spark, sf_dir):
 @query(f"""WITH {_FRAMES}, r AS (SELECT user_id, frame, sqrt(sum(x * x) / 9) AS r FROM m GROUP BY user_id, frame) SELECT user_id, frame, round(CASE WHEN max(r) OVER w > 0 THEN r / max(r) OVER w ELSE r END, 6) AS rms FROM r WINDOW w AS (PARTITION BY user_id)""")
 def spectral_rms(spark, sf_dir):
     return rounded(frames.spectral_rms(spectra(spark, sf_dir), "user_id"), "rms")
+
+
+@query(f"""WITH {_PACED}, k AS (SELECT user_id, count(*) AS n, 60 / median(nx - start) FILTER (nx > start) AS bpm, count(*) FILTER (nx <= start) AS back, avg(value / 100) AS conf,
+    max(start + duration) AS length, CASE WHEN count(*) >= 3 THEN stddev_pop(nx - start) / avg(nx - start) END AS ratio FROM b GROUP BY user_id),
+  h AS (SELECT user_id, count(*) FILTER (t <= p) AS back, count(*) FILTER (g IS NULL OR g > 0.03) AS far FROM
+    (SELECT d.user_id, d.t, g, lag(d.t) OVER (PARTITION BY d.user_id ORDER BY d.t) AS p FROM d LEFT JOIN nr USING (user_id, event_id)) GROUP BY user_id),
+  c AS (SELECT k.*, h.back AS hb, far, CASE WHEN user_id % 3 = 0 THEN (user_id % 10) / 10 END AS cover FROM k LEFT JOIN h USING (user_id))
+  SELECT user_id, n, CASE WHEN n < 2 THEN 'beat-count-too-low' WHEN bpm IS NULL OR bpm < 40 OR bpm > 220 THEN 'bpm-out-of-range' WHEN back > 0 THEN 'beat-times-not-strictly-increasing'
+    WHEN conf < 0.01 THEN 'confidence-too-low' WHEN length > 0 AND n / length > 6.5 THEN 'beat-density-too-high' WHEN ratio > 0.65 THEN 'beat-interval-stddev-too-high'
+    WHEN hb > 0 THEN 'downbeat-times-not-strictly-increasing' WHEN far > 0 THEN 'downbeat-not-aligned-to-beat' WHEN length > 0 AND cover < 0.8 THEN 'ai-coverage-too-low' END AS failure FROM c""")
+def guardrails(spark, sf_dir):
+    grid, down = paced(spark, sf_dir)
+    tracks = grid.groupBy("user_id").agg(F.max(F.col("start") + F.col("duration")).alias("duration")).join(summaries.grid_quality(grid, "user_id").select("user_id", "bpm"), "user_id")
+    tracks = tracks.withColumn("coverage", F.when(F.col("user_id") % 3 == 0, (F.col("user_id") % 10) / 10))
+    return summaries.guardrails(grid, down, tracks, "user_id")

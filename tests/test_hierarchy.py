@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.operators import grids, hierarchy
+from strophe.operators import grids, hierarchy, summaries
 from strophe.operators.folds import claim
 from strophe.sources import exports
 
@@ -18,7 +18,7 @@ def test_a_shifted_grid_is_found(spark):
     windows = grids.compared_windows(reference, candidate, "t").persist()
     assert sorted((r.window, len(r.reference), r.offset_ms, r.best_f1, r.zero_f1, r.reliable) for r in windows.collect()) == [(0, 32, -100.0, 1.0, 0.0, True), (1, 32, -100.0, pytest.approx(64 / 65), 0.0, True), (2, 16, -100.0, pytest.approx(32 / 33), 0.0, True)]
     row = grids.alignment(reference, candidate, windows, "t").first()
-    assert (row.status, row.confidence, row.offset_ms, row.best_f1, row.offset_mad, row.reason) == ("offset-detected", "high", -100.0, 1.0, 0.0, None)
+    assert (row.status, row.confidence, row.offset_ms, row.best_f1, row.offset_mad, row.reason) == ("offset-detected", "High", -100.0, 1.0, 0.0, None)
 
 
 def test_equal_missing_and_sparse_grids(spark):
@@ -34,10 +34,39 @@ def test_equal_missing_and_sparse_grids(spark):
 def test_weak_window_of_an_uneven_reference(spark):
     uneven = spark.createDataFrame([(1, k * 0.5 + (0.2 if k % 2 else 0.0)) for k in range(16)], BEATS)
     row = grids.weak_windows(grids.compared_windows(uneven, grid(spark, 1, 16, shift=0.1), "t")).where("window = 0").first()
-    assert (row.weakness, row.risk, row.n_candidate, row.promising) == (1.0, "medium" if row.best_f1 < 0.65 else "low", 16, True)
-    assert "tempo-instability" in row.reasons and "steadier-candidate" in row.reasons
+    assert (row.weakness, row.risk, row.n_candidate, row.promising) == (1.0, "Medium" if row.best_f1 < 0.65 else "Low", 16, True)
+    assert "LegacyTempoInstability" in row.reasons and "AdvisorMoreStableIntervals" in row.reasons
     even = grids.weak_windows(grids.compared_windows(grid(spark, 1, 16), grid(spark, 1, 16), "t")).where("window = 0").first()
-    assert (even.weakness, even.strength, even.verdict, even.reasons) == (0.0, 1.0, "diagnostic-only", ["local-agreement"])
+    assert (even.weakness, even.strength, even.verdict, even.reasons) == (0.0, 1.0, "DiagnosticOnly", ["AdvisorStrongerLocalAgreement"])
+
+
+def test_agreement_confidence_levels(spark):
+    reference = grid(spark, 1, 48).union(grid(spark, 2, 48)).union(grid(spark, 3, 20)).union(grid(spark, 4, 48))
+    candidate = grid(spark, 1, 48).union(grid(spark, 2, 48, shift=0.1)).union(grid(spark, 3, 5, gap=1.0))
+    windows = grids.compared_windows(reference, candidate, "t")
+    aligned = grids.alignment(reference, candidate, windows, "t")
+    got = {r.t: r for r in grids.agreement_confidence(aligned, grids.window_confidence(windows), "t").collect()}
+    assert {t: (r.level, r.reliable, r.level_reason, r.readiness) for t, r in got.items()} == {
+        1: ("VeryHigh", True, "veryhigh", "candidate-ready"), 2: ("VeryHigh", True, "veryhigh", "diagnostic-ready"),
+        3: ("None", False, "count-ratio-out-of-range", "not-ready"), 4: ("None", False, "missing-beats", None),
+    }
+    assert (got[1].score, got[1].n_high, got[1].n_windows, got[2].n_high, got[2].n_medium) == (1.0, 3, 3, 0, 3)
+    assert got[2].score == pytest.approx(0.55 + 0.20 + 0.15 * 0.75 + 0.10) and got[4].score is None
+
+
+def test_guardrails_name_the_first_broken_rule(spark):
+    even = [k * 0.5 for k in range(16)]
+    cases = {
+        1: (even, [0.0, 2.0], 0.9, 120.0, 8.0, None, None), 2: ([0.0], [], 0.9, 120.0, 8.0, None, "beat-count-too-low"), 3: (even, [], None, 120.0, 8.0, None, "confidence-count-mismatch"),
+        4: (even, [], 0.9, 230.0, 8.0, None, "bpm-out-of-range"), 5: ([*even, 0.5], [], 0.9, 120.0, 8.0, None, "beat-times-not-strictly-increasing"), 6: (even, [], float("nan"), 120.0, 8.0, None, "confidences-not-finite"),
+        7: (even, [], 0.001, 120.0, 8.0, None, "confidence-too-low"), 8: (even, [], 0.9, 120.0, 2.0, None, "beat-density-too-high"), 9: ([0.0, 0.1, 0.2, 5.0], [], 0.9, 120.0, 8.0, None, "beat-interval-stddev-too-high"),
+        10: (even, [1.0, 1.0], 0.9, 120.0, 8.0, None, "downbeat-times-not-strictly-increasing"), 11: (even, [1.2], 0.9, 120.0, 8.0, None, "downbeat-not-aligned-to-beat"), 12: (even, [], 0.9, 120.0, 8.0, 0.5, "ai-coverage-too-low"),
+        13: (even, [1.02], 0.9, 120.0, 0.0, 0.5, None), 14: ([], [], 0.9, None, 8.0, None, "beat-count-too-low"),
+    }
+    beats = spark.createDataFrame([(t, x, c[2]) for t, c in cases.items() for x in c[0]], "t int, start double, confidence double")
+    down = spark.createDataFrame([(t, x) for t, c in cases.items() for x in c[1]], BEATS)
+    tracks = spark.createDataFrame([(t, c[3], c[4], c[5]) for t, c in cases.items()], "t int, bpm double, duration double, coverage double")
+    assert {r.t: r.failure for r in summaries.guardrails(beats, down, tracks, "t").collect()} == {t: c[6] for t, c in cases.items()}
 
 
 def test_bar_phase_follows_the_accents(spark):
@@ -78,7 +107,7 @@ def test_agreement_equals_claims_in_turn():
 def test_corrected_takes_the_steadier_beats(spark):
     uneven = [k * 0.5 + (0.2 if k % 2 and k >= 20 else 0.0) for k in range(36)]
     reference, candidate = spark.createDataFrame([(1, x) for x in uneven], BEATS), grid(spark, 1, 36)
-    wanted = [(1, 0, 10.0, 17.7, "low", 0.9, 0.9, True, 16, 16, 0.0), (1, 1, 14.0, 17.7, "low", 0.8, 0.9, True, 8, 8, 40.0), (1, 2, 0.0, 9.5, "high", 0.9, 0.9, False, 16, 16, 0.0)]
+    wanted = [(1, 0, 10.0, 17.7, "Low", 0.9, 0.9, True, 16, 16, 0.0), (1, 1, 14.0, 17.7, "Low", 0.8, 0.9, True, 8, 8, 40.0), (1, 2, 0.0, 9.5, "High", 0.9, 0.9, False, 16, 16, 0.0)]
     windows = spark.createDataFrame(wanted, "t int, window int, start double, end double, risk string, readiness double, strength double, correctable boolean, n_reference int, n_candidate int, offset_ms double")
     row = grids.corrected(reference, candidate, windows, "t").first()
     want = [x for x in uneven if not 10.0 <= x <= 17.7] + [k * 0.5 for k in range(36) if 10.0 <= k * 0.5 < 14.0] + [k * 0.5 + 0.04 for k in range(36) if 14.0 <= k * 0.5 + 0.04 <= 17.7]
