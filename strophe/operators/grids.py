@@ -77,6 +77,29 @@ def offsets(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=FOUND)
 
 
+#: Offsets and tolerances of a comparison by the side, in milliseconds.
+SHADOW_OFFSETS, SHADOW_TOLERANCES = [float(x) for x in range(-120, 121, 10)], (50, 70, 100)
+SHADOW = [f"f1_{t}" for t in SHADOW_TOLERANCES] + ["best_offset_ms", "best_offset_f1"]
+
+
+def shadow_search(reference: np.ndarray, candidate: np.ndarray) -> list[float]:
+    """F1 at each tolerance unshifted, then the best of SHADOW_OFFSETS (greatest F1, then least error) and its F1."""
+    if not len(reference) or not len(candidate):
+        return [float(len(reference) == len(candidate))] * len(SHADOW_TOLERANCES) + [0.0, 0.0]
+    best, best_f1, best_error = 0.0, -1.0, float("inf")
+    for offset in SHADOW_OFFSETS:
+        f1, error = agreement(reference, candidate, offset)
+        if f1 > best_f1 or (abs(f1 - best_f1) < 1e-7 and error < best_error):
+            best, best_f1, best_error = offset, f1, error
+    return [agreement(reference, candidate, 0.0, float(t))[0] for t in SHADOW_TOLERANCES] + [best, best_f1]
+
+
+@F.pandas_udf(StructType([StructField(x, DoubleType()) for x in SHADOW]))
+def shadows(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
+    found = [shadow_search(np.asarray(a, float) * 1000, np.asarray(b, float) * 1000) for a, b in zip(reference, candidate, strict=True)]
+    return pd.DataFrame(found, columns=SHADOW)
+
+
 def over_partitions(rows: DataFrame, track: str) -> DataFrame:
     """Rows by track over all shuffle partitions: few bytes, but a long search for each."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), track)
@@ -146,6 +169,19 @@ def alignment(reference: DataFrame, candidate: DataFrame, windows: DataFrame, tr
     return rows.withColumns({"reason": reason, "status": status}).drop("_lacks")
 
 
+def shadow_comparison(reference: DataFrame, candidate: DataFrame, track: str) -> DataFrame:
+    """track, count_ratio, precision, recall and F1 within 50, 70 and 100 ms, best_offset_ms and its F1.
+
+    A track that one grid lacks has no matches; without a reference count_ratio is null.
+    """
+    left, right = (over_partitions(x.select(track, "start"), track).groupBy(track).agg(starts().alias(name)) for x, name in ((reference, "reference"), (candidate, "candidate")))
+    whole = left.join(right, track, "full").withColumns({x: F.coalesce(x, F.array().cast("array<double>")) for x in ("reference", "candidate")})
+    rows = whole.withColumn("_o", shadows("reference", "candidate")).select(track, F.size("reference").alias("_r"), F.size("candidate").alias("_c"), "_o.*")
+    matched = {t: F.col(f"f1_{t}") * (F.col("_r") + F.col("_c")) / 2 for t in SHADOW_TOLERANCES}
+    over = {f"{name}_{t}": F.when(F.col(n) > 0, m / F.col(n)).otherwise(0.0) for t, m in matched.items() for name, n in (("precision", "_c"), ("recall", "_r"))}
+    return rows.withColumns({"count_ratio": F.when(F.col("_r") > 0, F.col("_c") / F.col("_r")), **over}).drop("_r", "_c")
+
+
 def weak_windows(windows: DataFrame) -> DataFrame:
     """Adds n_reference, n_candidate, weakness, strength, readiness, risk, weak, promising,
     correctable, strength_class, verdict and reasons to the rows of ``compared_windows``."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import cache, evidence, folds, frames, graph, grids, hierarchy, joins, segments, summaries, timeline, walk
+from strophe.operators import cache, checks, evidence, folds, frames, graph, grids, hierarchy, joins, segments, summaries, timeline, walk
 from strophe.plans.tables import settled
 from strophe.sources import exports
 
@@ -730,6 +730,12 @@ def weak_windows(spark, sf_dir):
     return rounded(out.drop("reference", "candidate").withColumn("reasons", F.array_join("reasons", ",")), "start", "end", "zero_f1", "best_f1", "weakness", "strength", "readiness")
 
 
+@query()
+def shadow_comparison(spark, sf_dir):
+    out = grids.shadow_comparison(*two_grids(spark, sf_dir), "user_id")
+    return rounded(out, *[x for x in out.columns if x != "user_id"])
+
+
 @query()
 def agreement_confidence(spark, sf_dir):
     left, right = two_grids(spark, sf_dir)
@@ -965,3 +971,20 @@ def guardrails(spark, sf_dir):
     tracks = grid.groupBy("user_id").agg(F.max(F.col("start") + F.col("duration")).alias("duration")).join(summaries.grid_quality(grid, "user_id").select("user_id", "bpm"), "user_id")
     tracks = tracks.withColumn("coverage", F.when(F.col("user_id") % 3 == 0, (F.col("user_id") % 10) / 10))
     return summaries.guardrails(grid, down, tracks, "user_id")
+
+
+_LEVELS = {"beat": "true", "bar": "event_type = 'purchase'", "tatum": "event_type = 'click'", "section": "event_type = 'error'", "segment": "event_type = 'view' and value < 40"}
+_RULED = " UNION ALL ".join(
+    f"""SELECT user_id, unnest(list_filter([CASE WHEN start - 432000 < 0 THEN '{x.capitalize()} start cannot be negative.' END, CASE WHEN value - 5 <= 0 THEN '{x.capitalize()} duration must be greater than zero.' END,
+    CASE WHEN {x == "section"} AND value - 20 <= 0 THEN 'Section tempo must be greater than zero.' END], lambda y: y IS NOT NULL)) AS error FROM b WHERE {test}
+  UNION ALL SELECT DISTINCT user_id, 'Analysis must contain at least one {x}.' FROM b o WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = o.user_id AND {test})"""
+    for x, test in _LEVELS.items()
+)
+
+
+@query(f"""WITH {_BEATS}, x AS ({_RULED} UNION ALL SELECT user_id, 'Metadata tempo must be greater than zero.' FROM b GROUP BY user_id HAVING min(value) - 1 <= 0
+  UNION ALL SELECT user_id, 'Metadata file hash is required.' FROM b GROUP BY user_id HAVING max(value) < 90) SELECT user_id, error, count(*) AS n FROM x GROUP BY user_id, error""")
+def sanity_errors(spark, sf_dir):
+    rows = beats(spark, sf_dir).select("user_id", "event_type", "value", (F.col("start") - 432_000).alias("start"), (F.col("value") - 5).alias("duration"), (F.col("value") - 20).alias("tempo"))
+    tracks = rows.groupBy("user_id").agg((F.min("value") - 1).alias("tempo"), F.when(F.max("value") >= 90, F.lit("known")).alias("file_hash"))
+    return checks.sanity_errors(tracks, {x: rows.where(test) for x, test in _LEVELS.items()}, "user_id")

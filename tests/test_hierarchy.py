@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.operators import grids, hierarchy, summaries
+from strophe.operators import checks, grids, hierarchy, summaries
 from strophe.operators.folds import claim
 from strophe.sources import exports
 
@@ -54,6 +54,25 @@ def test_agreement_confidence_levels(spark):
     assert got[2].score == pytest.approx(0.55 + 0.20 + 0.15 * 0.75 + 0.10) and got[4].score is None
 
 
+def test_shadow_comparison_of_shifted_and_missing_grids(spark):
+    reference = grid(spark, 1, 48).union(grid(spark, 2, 48)).union(grid(spark, 3, 4))
+    candidate = grid(spark, 1, 48, shift=0.06).union(grid(spark, 2, 24, gap=1.0)).union(grid(spark, 4, 4))
+    got = {r.t: r for r in grids.shadow_comparison(reference, candidate, "t").collect()}
+    assert (got[1].f1_50, got[1].f1_70, got[1].precision_70, got[1].recall_100, got[1].best_offset_ms, got[1].best_offset_f1) == (0.0, 1.0, 1.0, 1.0, -60.0, 1.0)
+    assert (got[2].count_ratio, got[2].precision_50, got[2].recall_50, got[2].best_offset_ms) == (0.5, pytest.approx(1.0), pytest.approx(0.5), 0.0)
+    assert (got[3].f1_70, got[3].precision_70, got[3].count_ratio) == (0.0, 0.0, 0.0) and (got[4].count_ratio, got[4].best_offset_f1) == (None, 0.0)
+
+
+def test_sanity_errors_of_vectors_and_missing_levels(spark):
+    tracks = spark.createDataFrame([(1, 2.0, " "), (2, 0.0, "h")], "t int, duration double, file_hash string")
+    beats = spark.createDataFrame([(1, 0.0, 0.5, [], [1.0]), (1, -1.0, 0.5, None, [float("nan")]), (1, 0.5, 0.5, [float("inf")], [float("inf")])], "t int, start double, duration double, timbre array<double>, pitches array<double>")
+    got = {(r.t, r.error): r.n for r in checks.sanity_errors(tracks, {"beat": beats}, "t").collect()}
+    assert got == {
+        (1, "Metadata file hash is required."): 1, (2, "Metadata duration must be greater than zero."): 1, (1, "Beat start cannot be negative."): 1,
+        (1, "Beat timbre cannot be empty."): 2, (1, "Beat feature values must be finite."): 2, (2, "Analysis must contain at least one beat."): 1,
+    }
+
+
 def test_guardrails_name_the_first_broken_rule(spark):
     even = [k * 0.5 for k in range(16)]
     cases = {
