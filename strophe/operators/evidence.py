@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from strophe.functions.columns import clamp, finite, l2
 from strophe.operators.ranks import quantiles
 from strophe.operators.timeline import around
+from strophe.plans.tables import settled
 
 #: Fixed values.
 WEIGHTS = {"onset": 0.35, "low": 0.20, "mid": 0.15, "high": 0.0, "rms_delta": 0.10, "mfcc_delta": 0.10, "chroma_delta": 0.05, "novelty": 0.05}
 
 
 def percentile_scaled(df: DataFrame, track: str, names: list[str], p: float = 0.95) -> DataFrame:
-    """The columns ``names`` over their nearest-rank percentile in the track, within 0 and 1."""
+    """The columns ``names`` over their nearest-rank percentile in the track, within 0 and 1.
+
+    ``df`` is written once, as it is read for the percentiles and for the rows."""
+    df = settled(df, "channels")
     long = df.select(track, F.explode(F.array(*[F.struct(F.lit(x).alias("name"), finite(F.col(x).cast("double")).alias("x")) for x in names])).alias("_v")).select(track, "_v.*")
     found = quantiles(long, [track, "name"], "x", {"top": p})
-    tops = df.select(track).distinct().join(found, track, "left").groupBy(track).agg(*[F.max(F.when(F.col("name") == x, F.col("top"))).alias(f"_{x}") for x in names])
+    tops = found.groupBy(track).agg(*[F.max(F.when(F.col("name") == x, F.col("top"))).alias(f"_{x}") for x in names])
     scaled = {x: clamp(F.col(x) / F.greatest(F.lit(1e-9), F.coalesce(F.col(f"_{x}"), F.lit(1.0))), 0.0, 1.0) for x in names}
-    return df.join(tops, track).withColumns(scaled).drop(*[f"_{x}" for x in names])
+    return df.join(tops, track, "left").withColumns(scaled).drop(*[f"_{x}" for x in names])
 
 
 def composite(df: DataFrame, track: str, order: str) -> DataFrame:
