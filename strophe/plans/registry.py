@@ -988,3 +988,23 @@ def sanity_errors(spark, sf_dir):
     rows = beats(spark, sf_dir).select("user_id", "event_type", "value", (F.col("start") - 432_000).alias("start"), (F.col("value") - 5).alias("duration"), (F.col("value") - 20).alias("tempo"))
     tracks = rows.groupBy("user_id").agg((F.min("value") - 1).alias("tempo"), F.when(F.max("value") >= 90, F.lit("known")).alias("file_hash"))
     return checks.sanity_errors(tracks, {x: rows.where(test) for x, test in _LEVELS.items()}, "user_id")
+
+
+@query(f"WITH {_BEATS} SELECT event_id, round(value - 0.97 * coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY which), 0), 6) AS emphasised FROM b")
+def pre_emphasis(spark, sf_dir):
+    return rounded(frames.pre_emphasis(beats(spark, sf_dir), "user_id", "which", "value", "emphasised").select("event_id", "emphasised"), "emphasised")
+
+
+@query("""SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'purchase' AND value > 50), min(event_id)) AS event_id FROM events GROUP BY user_id""")
+def cache_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    changes = rows.where("event_type = 'purchase' and value > 50").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    return cache.upsert(rows.groupBy("user_id").agg(F.min("event_id").alias("event_id")), changes, "user_id")
+
+
+@query(f"""WITH {_FRAMES}, r AS (SELECT user_id, frame, round(sqrt(sum(x * x) / 16), 6) AS rms FROM x GROUP BY user_id, frame),
+  s AS (SELECT user_id, frame, round(sum(x) / 9, 6) AS mean FROM m WHERE frame > 0 GROUP BY user_id, frame) SELECT r.user_id, r.frame, rms, mean FROM r JOIN s ON r.user_id = s.user_id AND r.frame = s.frame""")
+def feature_matrix(spark, sf_dir):
+    loud = framed(spark, sf_dir).select("user_id", "frame", F.round(frames.rms(F.col("samples")), 6).alias("rms"))
+    mean = spectra(spark, sf_dir).where("frame > 0").select("user_id", "frame", F.round(frames.total(F.col("spectrum")) / 9, 6).alias("mean"))
+    return frames.assembled("user_id", loud, mean)
