@@ -76,7 +76,7 @@ def by_score(edges: DataFrame, track: str) -> DataFrame:
     return edges.withColumn("score_rank", F.row_number().over(order))
 
 
-def best_backward(edges: DataFrame, sizes: DataFrame, track: str, max_distance: float) -> DataFrame:
+def best_backward(edges: DataFrame, sizes: DataFrame, track: str, max_distance: float | Column) -> DataFrame:
     """The edge of a track that leads back furthest: track, src, dst, distance, percent.
 
     Ties go by distance, score, dst and src.
@@ -323,6 +323,49 @@ def late_anchor(edges: DataFrame, reach: DataFrame, costs: DataFrame, targets: D
     return chosen.select(track, "src", "dst", "distance", "hops", (F.floor(F.col("_g") / 2) + 1).alias("tier"))
 
 
+#: The way back, in percent, from which an anchor must be near, and how near with and without it.
+LONG_BACK, STRICT, RELAXED = 50.0, 55.0, 65.0
+#: What a routing decision is called, in the order in which they are tried.
+ROUTES = ["existing-preferred-anchor", "inserted-preferred-anchor", "existing-fallback-anchor", "inserted-fallback-anchor", "legacy-fallback"]
+
+
+def anchor_limits(edges: DataFrame, sizes: DataFrame, thresholds: DataFrame, track: str) -> DataFrame:
+    """track, n, applied, limit: the distance under which an edge may become an anchor."""
+    longest = edges.where("dst < src").groupBy(track).agg(F.max(F.col("src") - F.col("dst")).alias("_l"))
+    far = F.coalesce("_l", F.lit(0)) * 100.0 / F.col("n") >= LONG_BACK
+    rows = sizes.join(thresholds.select(track, "applied"), track).join(longest, track, "left")
+    return rows.select(track, "n", "applied", F.when(far, STRICT).otherwise(RELAXED).alias("limit"))
+
+
+def anchor_routing(candidates: DataFrame, edges: DataFrame, reach: DataFrame, costs: DataFrame, targets: DataFrame, limits: DataFrame, track: str, preferred_percent: int = 80, fallback_percent: int = 66, min_long: Column | None = None) -> DataFrame:
+    """track, decision, src, dst, distance, hops, earliest, inserted: how a track comes back from its end.
+
+    In this order: the late anchor among ``edges`` from ``preferred_percent`` on, the best one of
+    ``candidates`` to insert there, then the same two from ``fallback_percent`` on. To insert are
+    candidates that lead back, aren't edges, and lie over the applied threshold and under the limit
+    (fewest jumps to the target, earliest reach, distance, longest way, latest source). A track
+    without any has the candidate that leads back furthest, inserted if it is over the threshold,
+    or nulls. Every track of ``limits`` has one row.
+    """
+    ends = reach.select(track, F.col("which").alias("dst"), "earliest")
+    preferred = F.col("src") >= percent_index(F.col("n"), preferred_percent)
+    held = late_anchor(edges, reach, costs, targets, track, min_long, fallback_percent).join(ends, [track, "dst"]).join(limits, track)
+    held = held.withColumn("stage", F.when(preferred, 0).otherwise(2))
+    free = candidates.where("dst < src").select(track, "src", "dst", "distance").join(edges.select(track, "src", "dst"), [track, "src", "dst"], "left_anti").join(limits, track)
+    free = free.where((F.col("src") >= percent_index(F.col("n"), fallback_percent)) & (F.col("distance") < F.col("limit")) & (F.col("distance") > F.col("applied")))
+    free = free.join(ends, [track, "dst"]).join(costs.select(track, F.col("which").alias("dst"), "hops").where("hops is not null"), [track, "dst"])
+    order = Window.partitionBy(track).orderBy("stage", "hops", "earliest", "distance", F.desc(F.col("src") - F.col("dst")), F.desc("src"))
+    free = free.withColumn("stage", F.when(preferred, 1).otherwise(3)).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    names = [track, "stage", "src", "dst", "distance", "hops", "earliest"]
+    routed = held.select(names).unionByName(free.select(names)).withColumn("_r", F.row_number().over(Window.partitionBy(track).orderBy("stage"))).where("_r = 1").drop("_r")
+    far = best_backward(candidates.join(limits.select(track, "limit"), track), limits.select(track, "n"), track, F.col("limit"))
+    rows = limits.select(track, "applied").join(routed, track, "left").join(far.select(track, F.struct("src", "dst", "distance").alias("_far")), track, "left")
+    chosen = {x: F.when(F.col("stage").isNotNull(), F.col(x)).otherwise(F.col("_far")[x]) for x in ("src", "dst", "distance")}
+    rows = rows.withColumns(chosen).withColumn("inserted", F.when(F.col("stage").isNull(), F.coalesce(F.col("distance") > F.col("applied"), F.lit(False))).otherwise(F.col("stage").isin(1, 3)))
+    decision = F.element_at(F.array(*[F.lit(x) for x in ROUTES]), (F.coalesce("stage", F.lit(4)) + 1).cast("int"))
+    return rows.select(track, decision.alias("decision"), "src", "dst", "distance", "hops", "earliest", "inserted")
+
+
 def valid_edges(edges: DataFrame, quanta: DataFrame, track: str) -> DataFrame:
     """Edges between two different quanta that both exist, with a finite distance, not deleted."""
     ends = quanta.select(track, "which")

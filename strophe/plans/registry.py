@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import cache, checks, evidence, folds, frames, graph, grids, hierarchy, joins, segments, summaries, timeline, walk
+from strophe.operators import beatgrids, cache, checks, evidence, folds, frames, graph, grids, hierarchy, joins, segments, summaries, timeline, walk
 from strophe.plans.tables import settled
 from strophe.sources import exports
 
@@ -372,7 +372,7 @@ def branch_counts(spark, sf_dir):
     return rounded(graph.branch_counts(pruned.join(n, "label"), "label"), "longest_back")
 
 
-@query(f"""WITH RECURSIVE {_STEP}, {_TARGET},
+_LATE = """
   z AS (SELECT e.label, src, dst, distance, hops, earliest, r.n, target, src - dst AS back, greatest(1, floor(r.n / 5)) AS lng, least(floor(r.n * 0.66), r.n - 1) AS lo66, least(floor(r.n * 0.8), r.n - 1) AS lo80
     FROM e JOIN r ON r.label = e.label AND r.which = e.dst JOIN hp ON hp.label = e.label AND hp.which = e.dst JOIN tg ON tg.label = e.label WHERE dst < src AND hops IS NOT NULL),
   o AS (SELECT *, CASE WHEN src >= greatest(lo66, lo80) THEN 0 ELSE 1 END AS range FROM (SELECT *, row_number() OVER (PARTITION BY label, src ORDER BY hops, earliest, distance, back DESC) AS i FROM z) WHERE i = 1 AND src >= lo66),
@@ -383,8 +383,11 @@ def branch_counts(spark, sf_dir):
   be AS (SELECT label, hops AS bh, earliest AS bea, back AS bb, src AS bs FROM fi WHERE q = 1),
   la AS (SELECT fi.*, bh, bb, bs, row_number() OVER (PARTITION BY label ORDER BY src DESC) AS v FROM fi JOIN be USING (label) WHERE q = 1 OR tier < 4 AND hops <= bh + 1 AND earliest <= bea + greatest(4, floor(n * 0.02))
     AND back >= greatest(need, floor(bb * 0.6)) AND (hops <= bh OR dst <= floor(n * 0.5))),
-  ch AS (SELECT *, bool_or(v = 1 AND abs(src - bs) <= 4 AND hops > bh AND back < bb * 0.8) OVER (PARTITION BY label) AS home FROM la)
-  SELECT label, src, dst, round(distance, 6) AS distance, hops, CAST(tier AS BIGINT) AS tier FROM ch WHERE CASE WHEN home THEN q = 1 ELSE v = 1 END""")
+  ch AS (SELECT *, bool_or(v = 1 AND abs(src - bs) <= 4 AND hops > bh AND back < bb * 0.8) OVER (PARTITION BY label) AS home FROM la),
+  an AS (SELECT * FROM ch WHERE CASE WHEN home THEN q = 1 ELSE v = 1 END)"""
+
+
+@query(f"""WITH RECURSIVE {_STEP}, {_TARGET}, {_LATE} SELECT label, src, dst, round(distance, 6) AS distance, hops, CAST(tier AS BIGINT) AS tier FROM an""")
 def late_anchor(spark, sf_dir):
     q, n, edges, reach, _ = _routed(spark, sf_dir)
     targets = settled(graph.early_target(edges, n, "label"), "targets")
@@ -393,6 +396,27 @@ def late_anchor(spark, sf_dir):
     return rounded(out.withColumns({x: F.col(x).cast("long") for x in ("hops", "tier")}), "distance")
 
 
+@query(f"""WITH RECURSIVE {_STEP}, {_TARGET}, {_LATE},
+  li AS (SELECT s.label, s.n, t.applied, CASE WHEN coalesce(max(src - dst), 0) * 100.0 / s.n >= 50 THEN 55 ELSE 65 END AS lim, least(floor(s.n * 0.66), s.n - 1) AS p66, least(floor(s.n * 0.8), s.n - 1) AS p80
+    FROM s JOIN t ON t.label = s.label LEFT JOIN (SELECT * FROM e WHERE dst < src) b ON b.label = s.label GROUP BY s.label, s.n, t.applied),
+  fr AS (SELECT k.label, k.src, k.dst, k.distance, hops, earliest, CASE WHEN k.src >= p80 THEN 1 ELSE 3 END AS stage FROM k JOIN li ON li.label = k.label AND k.src >= p66 AND k.distance < lim AND k.distance > applied
+    JOIN r ON r.label = k.label AND r.which = k.dst JOIN hp ON hp.label = k.label AND hp.which = k.dst WHERE k.dst < k.src AND hops IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.label = k.label AND e.src = k.src AND e.dst = k.dst)),
+  ro AS (SELECT an.label, src, dst, distance, hops, earliest, CASE WHEN src >= p80 THEN 0 ELSE 2 END AS stage FROM an JOIN li USING (label) UNION ALL SELECT * FROM fr),
+  pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY stage, hops, earliest, distance, src - dst DESC, src DESC) AS i FROM ro) WHERE i = 1),
+  lg AS (SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY k.label ORDER BY src - dst DESC, distance, score, dst, src) AS i FROM k JOIN li ON li.label = k.label WHERE dst < src AND distance < lim) WHERE i = 1)
+  SELECT li.label, CASE stage WHEN 0 THEN 'existing-preferred-anchor' WHEN 1 THEN 'inserted-preferred-anchor' WHEN 2 THEN 'existing-fallback-anchor' WHEN 3 THEN 'inserted-fallback-anchor' ELSE 'legacy-fallback' END AS decision,
+    CASE WHEN stage IS NULL THEN lg.src ELSE pk.src END AS src, CASE WHEN stage IS NULL THEN lg.dst ELSE pk.dst END AS dst, round(CASE WHEN stage IS NULL THEN lg.distance ELSE pk.distance END, 6) AS distance,
+    hops, earliest, CASE WHEN stage IS NULL THEN coalesce(lg.distance > applied, false) ELSE stage IN (1, 3) END AS inserted FROM li LEFT JOIN pk ON pk.label = li.label LEFT JOIN lg ON lg.label = li.label""")
+def anchor_routing(spark, sf_dir):
+    q, n, near, thresholds, edges = similarity_graph(spark, sf_dir)
+    edges = settled(edges, "edges")
+    reach = settled(graph.reachability(q, edges, "label"), "reach")
+    targets = settled(graph.early_target(edges, n, "label"), "targets")
+    costs = settled(graph.hop_cost(q, edges, targets, "label"), "costs")
+    out = graph.anchor_routing(near, edges, reach, costs, targets, graph.anchor_limits(edges, n, thresholds, "label"), "label")
+    return rounded(out.withColumn("hops", F.col("hops").cast("long")), "distance")
+
+
 @query(f"""WITH {_EDGES} SELECT label, src, dst, round(1 / (1 + distance), 6) AS weight, round(sum(1 / (1 + distance)) OVER (PARTITION BY label, src ORDER BY distance, dst) / sum(1 / (1 + distance)) OVER (PARTITION BY label, src), 6) AS cdf FROM e""")
 def weighted_choice_cdf(spark, sf_dir):
     edges = similarity_graph(spark, sf_dir)[4]
@@ -912,6 +936,31 @@ def adaptive_tatums(spark, sf_dir):
     return rounded(folds.adaptive_tatums(grid, onsets, "user_id", 2.5), "start", "duration", "confidence")
 
 
+def timed_onsets(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Onsets of a track, every fourth frame as its beats, and a period of four frames."""
+    onsets = feature_frames(spark, sf_dir).select("user_id", "frame", "onset")
+    periods = onsets.groupBy("user_id").agg((F.count("*") / 50.0).alias("duration")).withColumn("period", F.lit(4.0))
+    return onsets, onsets.where("frame % 4 = 1 and onset > 0.2").select("user_id", "frame"), periods
+
+
+@query()
+def dense_beats(spark, sf_dir):
+    onsets, _, periods = timed_onsets(spark, sf_dir)
+    return beatgrids.dense_beats(onsets, periods, "user_id", "onset", 1.0)
+
+
+@query()
+def usable_grid(spark, sf_dir):
+    onsets, own, periods = timed_onsets(spark, sf_dir)
+    return beatgrids.usable_grid(onsets, own, periods, "user_id", "onset", 50.0, beatgrids.MICRO_SNAP)
+
+
+@query()
+def composite_beats(spark, sf_dir):
+    onsets, own, periods = timed_onsets(spark, sf_dir)
+    return beatgrids.composite_beats(onsets, own, periods, "user_id", "onset", 1.0)
+
+
 def vector_bars(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Bars of the embeddings, two seconds a bar, and their tracks' durations."""
     bars_ = segments.bar_vectors(quanta(spark, sf_dir).select("label", "which", "v"), "label", "v", 2)
