@@ -1,4 +1,4 @@
-"""Beats of a track from its onset strengths: the dense chain, its gate, the cascade of usable grids.
+"""Beats of a track from its onset strengths: the dense chain, its gate, usable and elastic grids, the tempo that fits.
 
 Frames are rows of track, frame (from 0 on, without holes) and a strength; a track has one period,
 in frames. What depends on the beat before is a fold over one track in pandas, which a track's
@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from strophe.operators.folds import renewed
 
@@ -26,6 +27,16 @@ SNAP, MICRO_SNAP, KEEPS, STANDS_OUT = 0.15, 0.10, (0.85, 1.15), 1.05
 #: Fixed values of the gate: share of the tightness, gain of evidence, change of count, and growth of the deviation.
 LOOSER, GAIN, COUNT_CHANGE, GROWTH, SLACK = 0.65, 1.03, 0.02, 1.35, 0.025
 
+#: Fixed values of the elastic grid: reach in periods and in milliseconds; bounds of a step in periods and its weight; what a
+#: shift by a period and a step out of bounds cost; gain of evidence; growth of the deviation.
+REACH, REACH_MS, STEP, STEP_COST, SHIFT_COST, BREAK_COST, ELASTIC_GAIN, ELASTIC_GROWTH, ELASTIC_SLACK = 0.18, 130.0, (0.70, 1.30), 2.0, 0.20, 5.0, 1.01, 1.8, 0.04
+#: Fixed values of a tempo's score: weights of the candidate's own score, beats at peaks, strength, coverage, evenness and bar phase.
+WEIGHTS = (0.30, 0.25, 0.15, 0.12, 0.10, 0.08)
+#: Least tempo and most candidates scored; a peak's share of the top and reach in periods; deviation without
+#: evenness; what a refined period loses; tempo under which the double counts, from which one does and how near; share of the
+#: best that the first autocorrelation needs.
+SLOWEST, MOST, PEAK, PEAK_REACH, UNEVEN, REFINED_LOSS, SLOW, FAST, NEAR_DOUBLE, NEAR_BEST = 85.0, 30, 0.20, 0.12, 0.25, 0.04, 100.0, 150.0, 0.03, 0.98
+
 
 def steps(length: int, period: float, first: int = 0) -> np.ndarray:
     return np.arange(first, length, max(1, int(np.rint(period))))
@@ -135,6 +146,66 @@ def gated(x: np.ndarray, grid: np.ndarray, period: float, tightness: float) -> t
     return (found, "composite-dp") if good else (grid, "rejected")
 
 
+def places(x: np.ndarray, frame: int, reach: int) -> np.ndarray:
+    """Where a beat may go: itself, the peaks and the top around it, and the middle of their strength."""
+    frame = min(max(frame, 0), len(x) - 1)
+    low, high, top = around(x, frame, reach)
+    near, up = x[low:high], np.maximum(0.0, x[low:high])
+    peaks = low + 1 + np.flatnonzero((near[1:-1] >= near[:-2]) & (near[1:-1] > near[2:]))
+    middle = [int(np.rint((np.arange(low, high) * up).sum() / up.sum()))] if up.sum() > 0 else []
+    return np.unique([frame, *([top] if x[top] > x[frame] else []), *peaks.tolist(), *middle])
+
+
+def elastic(x: np.ndarray, grid: np.ndarray, period: float, per_second: float) -> tuple[np.ndarray, str]:
+    if len(grid) < LEAST:
+        return grid, "not-enough-data"
+    reach = max(1, int(np.rint(min(period * REACH, per_second * REACH_MS / 1000))))
+    options = [places(x, frame, reach) for frame in grid.tolist()]
+    total, back = [], []
+    for frame, own in zip(grid.tolist(), options, strict=True):
+        worth = x[own] - np.abs(own - frame) / max(1.0, period) * SHIFT_COST
+        if total:
+            step = own[:, None] - options[len(total) - 1][None, :]
+            ways = total[-1] - STEP_COST * ((step - period) / period) ** 2
+            ways[(step <= period * STEP[0]) | (step >= period * STEP[1])] = -np.inf
+            best = ways.argmax(axis=1)
+            reached = np.isfinite(ways.max(axis=1))
+            back.append(np.where(reached, best, 0))
+            worth = worth + np.where(reached, ways.max(axis=1), -BREAK_COST)
+        total.append(worth)
+    at, path = int(total[-1].argmax()), []
+    for k in range(len(options) - 1, -1, -1):
+        path.append(options[k][at])
+        at = int(back[k - 1][at]) if k else 0
+    found = np.unique(path)
+    (spread, missing, _), (spread1, missing1, doubled1) = regularity(grid, period), regularity(found, period)
+    even = not doubled1 and missing1 <= missing and spread1 <= max(spread * ELASTIC_GROWTH, spread + ELASTIC_SLACK)
+    gains = x[found].mean() > x[np.clip(grid, 0, len(x) - 1)].mean() * ELASTIC_GAIN
+    return (found, "elastic-local-onset") if len(found) == len(grid) and even and gains else (grid, "rejected")
+
+
+def tempo_score(x: np.ndarray, bpm: float, share: float, refined: bool, per_second: float, tightness: float) -> float:
+    """How well the beats that a tempo gives fit the strengths; ``share`` is its own score over the best one's."""
+    period, top = per_second * 60.0 / bpm, max(ENERGY, x.max())
+    found = dense_chain(x, period, tightness)
+    found = found if len(found) >= 4 else steps(len(x), period)
+    peaks = np.flatnonzero((x[1:-1] >= PEAK * top) & (x[1:-1] >= x[:-2]) & (x[1:-1] > x[2:])) + 1
+    strength = x[found] / top
+    hits = (np.abs(found[:, None] - _nearest(peaks, found)).min(axis=1) <= max(1, int(np.rint(period * PEAK_REACH)))).mean() if len(peaks) else 0.0
+    cover = min(1.0, (found[-1] - found[0]) / len(x)) if len(found) > 1 else 0.0
+    evenness = min(1.0, max(0.0, 1.0 - regularity(found, period)[0] / UNEVEN))
+    first = np.arange(len(found)) % 4 == 0
+    phase = min(1.0, max(0.0, 0.5 + strength[first].mean() - strength[~first].mean())) if len(found) >= 8 else 0.0
+    terms = (share, hits, strength.mean(), cover, evenness, phase)
+    return float(sum(w * t for w, t in zip(WEIGHTS, terms, strict=True)) - (REFINED_LOSS if refined else 0.0))
+
+
+def _nearest(peaks: np.ndarray, frames: np.ndarray) -> np.ndarray:
+    """The peaks before and after each frame."""
+    after = np.searchsorted(peaks, frames)
+    return np.stack([peaks[np.maximum(after - 1, 0)], peaks[np.minimum(after, len(peaks) - 1)]], axis=1)
+
+
 def _strengths(frames: DataFrame, periods: DataFrame, track: str, x: str, *more: str) -> DataFrame:
     return frames.select(track, "frame", x).join(periods.select(track, "period", *more).where("period > 0 and period < double('inf')"), track)
 
@@ -185,3 +256,49 @@ def composite_beats(frames: DataFrame, beats: DataFrame, periods: DataFrame, tra
     """track, frame, mode: the dense chain over the evidence ``x`` where it gains by it and is as
     even as the given beats (mode composite-dp), else these, with the reason as mode."""
     return _by_track(_strengths(frames, periods, track, x), beats, track, x, lambda own, at, first: gated(own, at, float(first["period"]), tightness))
+
+
+def elastic_beats(frames: DataFrame, beats: DataFrame, periods: DataFrame, track: str, x: str, per_second: float) -> DataFrame:
+    """track, frame, mode: beats moved together to peaks nearby, in order and near the period (mode
+    elastic-local-onset), where the strengths gain by it and the grid stays even; else the given beats."""
+    return _by_track(_strengths(frames, periods, track, x), beats, track, x, lambda own, at, first: elastic(own, at, float(first["period"]), per_second))
+
+
+def tempo_scores(frames: DataFrame, candidates: DataFrame, track: str, x: str, per_second: float, tightness: float = 100.0) -> DataFrame:
+    """candidates (track, place, bpm, score, origin) with grid_score: how well a tempo's own beats fit
+    the strengths. Only the first MOST of a track from SLOWEST on have one."""
+    whole = Window.partitionBy(track)
+    fast = F.col("bpm") >= SLOWEST
+    rows = candidates.withColumns({"_top": F.greatest(F.lit(ENERGY), F.max("score").over(whole)), "_turn": F.sum(fast.cast("int")).over(whole.orderBy("place"))})
+    scored = rows.where(fast & (F.col("_turn") <= MOST) & (F.col("bpm") < float("inf"))).select(track, "place", "bpm", (F.col("score") / F.col("_top")).alias("share"), (F.col("origin") == "refined-peak").alias("refined"))
+
+    def fold(key: tuple, own: pd.DataFrame, tempos: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or tempos.empty:
+            return pd.DataFrame([], columns=["k", "place", "grid_score"])
+        values = own.sort_values("frame")[x].to_numpy(float)
+        found = [tempo_score(values, t.bpm, t.share, bool(t.refined), per_second, tightness) for t in tempos.itertuples()]
+        return pd.DataFrame({"k": [key[0]] * len(found), "place": tempos["place"], "grid_score": found})
+
+    kind = frames.schema[track].dataType.simpleString()
+    both = frames.select(track, "frame", x).groupBy(track).cogroup(renewed(scored).groupBy(track))
+    found = both.applyInPandas(fold, f"k {kind}, place long, grid_score double").withColumnRenamed("k", track)
+    return candidates.join(found, [track, "place"], "left")
+
+
+def selected_tempo(scored: DataFrame, track: str) -> DataFrame:
+    """track, bpm, score, origin: the candidate of greatest grid_score (the first one, where none has any).
+
+    Under SLOW, a candidate from FAST on that is about its double goes before it; so does the best
+    autocorrelation whose own score comes near its own.
+    """
+    what = F.struct("bpm", "score", "origin")
+    first = lambda order: F.min_by(what, F.struct(*order))
+    best = scored.groupBy(track).agg(first([F.when(F.col("grid_score").isNull(), float("inf")).otherwise(-F.col("grid_score")), F.col("place")]).alias("best"))
+    rows = scored.join(best, track)
+    double = F.col("best.bpm") * 2
+    doubled = (F.col("best.bpm") < SLOW) & (F.col("bpm") >= FAST) & (F.abs(F.col("bpm") - double) / F.greatest(F.lit(1.0), double) <= NEAR_DOUBLE)
+    primary = (F.col("bpm") >= SLOWEST) & (F.col("origin") == "autocorrelation")
+    order = F.struct(-F.col("score"), F.col("place"))
+    rows = rows.groupBy(track).agg(F.first("best").alias("best"), F.min_by(F.when(doubled, what), F.when(doubled, order)).alias("double"), F.min_by(F.when(primary, what), F.when(primary, order)).alias("primary"))
+    chosen = F.coalesce("double", F.when(F.col("primary.score") >= F.col("best.score") * NEAR_BEST, F.col("primary")), "best")
+    return rows.select(track, chosen.alias("_c")).select(track, "_c.*")

@@ -961,6 +961,31 @@ def composite_beats(spark, sf_dir):
     return beatgrids.composite_beats(onsets, own, periods, "user_id", "onset", 1.0)
 
 
+@query()
+def elastic_beats(spark, sf_dir):
+    onsets, _, periods = timed_onsets(spark, sf_dir)
+    return beatgrids.elastic_beats(onsets, onsets.where("frame % 4 = 1").select("user_id", "frame"), periods, "user_id", "onset", 50.0)
+
+
+def scored_tempos(spark, sf_dir: str) -> DataFrame:
+    """A user's frames with four tempi whose own scores come from the user's number."""
+    onsets, _, _ = timed_onsets(spark, sf_dir)
+    tempo = F.posexplode(F.array(*[F.struct(F.lit(b).alias("bpm"), F.lit(o).alias("origin")) for b, o in ((90.0, "autocorrelation"), (180.0, "double"), (60.0, "half"), (120.0, "refined-peak"))]))
+    own = onsets.select("user_id").distinct().select("user_id", tempo.alias("place", "t"))
+    candidates = own.select("user_id", F.col("place").cast("long").alias("place"), "t.*", ((F.col("user_id") * (F.col("place") + 3)) % 7 / 7.0).alias("score"))
+    return settled(beatgrids.tempo_scores(onsets, candidates, "user_id", "onset", 8.0, 1.0), "tempos")
+
+
+@query()
+def tempo_scores(spark, sf_dir):
+    return rounded(scored_tempos(spark, sf_dir), "score", "grid_score")
+
+
+@query()
+def selected_tempo(spark, sf_dir):
+    return rounded(beatgrids.selected_tempo(scored_tempos(spark, sf_dir), "user_id"), "score")
+
+
 def vector_bars(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Bars of the embeddings, two seconds a bar, and their tracks' durations."""
     bars_ = segments.bar_vectors(quanta(spark, sf_dir).select("label", "which", "v"), "label", "v", 2)

@@ -109,6 +109,77 @@ def test_composite_beats_pass_a_gate(spark):
     assert {t: sorted(r.frame for r in out if r.t == t) for t in (1, 2, 3)} == {1: list(right), 2: list(right), 3: [4, 14]}
 
 
+def plain_elastic(x, grid, period, reach):
+    """Every choice of places in turn, without numpy."""
+    states = {}
+    for k, frame in enumerate(grid):
+        span = range(max(0, frame - reach), min(len(x), frame + reach + 1))
+        own = {frame} | {j for j in span if span[0] < j < span[-1] and x[j] >= x[j - 1] and x[j] > x[j + 1]}
+        top = max(span, key=lambda j: (x[j], -j))
+        own |= {top} if x[top] > x[frame] else set()
+        own |= {round(sum(j * x[j] for j in span) / sum(x[j] for j in span))}
+        after = {}
+        for j in sorted(own):
+            worth = x[j] - abs(j - frame) / period * 0.2
+            ways = [(total - 2 * ((j - i - period) / period) ** 2, -i) for i, (total, _) in states.items() if 0.7 * period < j - i < 1.3 * period]
+            if k == 0:
+                after[j] = (worth, [j])
+            elif ways:
+                best = max(ways)
+                after[j] = (worth + best[0], [*states[-best[1]][1], j])
+            else:
+                after[j] = (worth - 5.0, [*states[min(states)][1], j])
+        states = after
+    return max(states.items(), key=lambda s: (s[1][0], -s[0]))[1][1]
+
+
+def test_elastic_beats_are_the_plain_best_path(spark):
+    rng = np.random.default_rng(9)
+    tracks = {t: np.where(rng.random(120) < 0.25, 1.0, 0.1) * (0.5 + rng.random(120)) for t in range(8)}
+    given = {t: [5 + 10 * k + int(j) for k, j in enumerate(rng.integers(-1, 2, 12))] if t % 4 else list(range(5, 120, 10)) for t in tracks}
+    out = beatgrids.elastic_beats(strengths(spark, tracks), grid(spark, given), periods(spark, dict.fromkeys(tracks, (10, 2.4))), "t", "x", 50.0).collect()
+    modes = {r.t: r.mode for r in out}
+    assert set(modes.values()) == {"elastic-local-onset", "rejected"}
+    for t, x in tracks.items():
+        nominal = given[t]
+        path = plain_elastic(x.tolist(), nominal, 10.0, 2)
+        frames = sorted(r.frame for r in out if r.t == t)
+        assert frames == (path if modes[t] == "elastic-local-onset" else nominal)
+        before, after = (float(np.mean([x[k] for k in g])) for g in (nominal, path))
+        spread = [np.std(np.diff(g)) / np.median(np.diff(g)) for g in (nominal, path)]
+        assert (modes[t] == "elastic-local-onset") == (after > before * 1.01 and spread[1] <= max(spread[0] * 1.8, spread[0] + 0.04))
+
+
+def test_elastic_beats_need_eight(spark):
+    x = np.ones(60)
+    out = beatgrids.elastic_beats(strengths(spark, {1: x}), grid(spark, {1: [5, 15, 25]}), periods(spark, {1: (10, 1.2)}), "t", "x", 50.0).collect()
+    assert [(r.frame, r.mode) for r in sorted(out)] == [(5, "not-enough-data"), (15, "not-enough-data"), (25, "not-enough-data")]
+
+
+def test_the_tempo_of_a_pulse_scores_best(spark):
+    x = [1.0 if k % 25 == 5 else 0.0 for k in range(1000)]
+    tempos = [(1, 0, 95.0, 1.0, "autocorrelation"), (1, 1, 120.0, 0.9, "peak"), (1, 2, 150.0, 1.0, "peak"), (1, 3, 60.0, 1.0, "half"), (1, 4, 120.0, 0.9, "refined-peak"), (2, 0, 120.0, 1.0, "peak")]
+    candidates = spark.createDataFrame(tempos, "t int, place long, bpm double, score double, origin string")
+    found = {(r.t, r.place): r.grid_score for r in beatgrids.tempo_scores(strengths(spark, {1: x}), candidates, "t", "x", 50.0).collect()}
+    # every beat on a peak at full strength: 39 gaps of 25 frames, evenly, bar phase without preference
+    right = 0.30 * 0.9 + 0.25 + 0.15 + 0.12 * 39 * 25 / 1000 + 0.10 + 0.08 * 0.5
+    assert found[1, 1] == pytest.approx(right) and found[1, 4] == pytest.approx(right - 0.04)
+    assert found[1, 3] is None and found[2, 0] is None and max(found[1, 0], found[1, 2]) < right
+
+
+def test_what_goes_before_the_best_tempo(spark):
+    rows = [
+        (1, 0, 120.0, 0.5, "peak", 0.7), (1, 1, 100.0, 0.9, "peak", 0.6),
+        (2, 0, 90.0, 0.9, "peak", 0.8), (2, 1, 178.0, 0.2, "double", 0.1), (2, 2, 182.0, 0.3, "double", 0.1), (2, 3, 200.0, 0.9, "double", 0.2),
+        (3, 0, 120.0, 0.5, "peak", 0.7), (3, 1, 110.0, 0.49, "autocorrelation", 0.1), (3, 2, 84.0, 0.9, "autocorrelation", None),
+        (4, 0, 120.0, 0.5, "peak", 0.7), (4, 1, 110.0, 0.48, "autocorrelation", 0.1),
+        (5, 0, 70.0, 0.1, "peak", None), (5, 1, 60.0, 0.5, "peak", None),
+        (6, 0, 120.0, 0.5, "peak", 0.7), (6, 1, 130.0, 0.5, "peak", 0.7),
+    ]
+    scored = spark.createDataFrame(rows, "t int, place long, bpm double, score double, origin string, grid_score double")
+    assert {r.t: r.bpm for r in beatgrids.selected_tempo(scored, "t").collect()} == {1: 120.0, 2: 182.0, 3: 110.0, 4: 120.0, 5: 70.0, 6: 120.0}
+
+
 def test_every_way_of_routing(spark):
     edge = "t int, src long, dst long, distance double, score double"
     edges = spark.createDataFrame([(1, 9, 0, 10.0, 10.0), (3, 7, 0, 10.0, 10.0)], edge)
