@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import beatgrids, cache, checks, evidence, folds, frames, graph, grids, hierarchy, joins, segments, summaries, timeline, walk
+from strophe.operators import beatgrids, cache, checks, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, segments, summaries, timeline, walk
 from strophe.plans.tables import settled
 from strophe.sources import exports
 
@@ -776,6 +776,39 @@ def window_correction(spark, sf_dir):
     return out.select("user_id", "n_reference", "n_windows", F.coalesce(F.size("corrected"), F.lit(0)).alias("n_corrected"), "reason")
 
 
+_SETS = """m AS (SELECT event_id AS id, event_id % 3 AS a, event_id % 5 AS b, event_id % 7 AS c, event_id % 11 AS d, event_id % 13 AS e, event_id % 17 AS f, event_id % 19 AS g, event_id % 23 AS h, value FROM events),
+st AS (SELECT id, CASE WHEN h > 1 THEN 100 WHEN h = 1 THEN 0 END AS legacy_count, CASE WHEN g > 0 THEN g <> 1 END AS advisor_plausible, CASE WHEN f = 0 THEN 'odd' END AS advisor_rejection, f = 1 AS advisor_dense,
+  CASE WHEN e > 0 THEN 70 + 5 * e END AS corrected_count, d = 0 AS dense, d <> 1 AS plausible, CASE WHEN id % 2 = 0 THEN 'corrected-interval-cv-too-high' END AS rejection, 100 + value AS bpm, 0.2 + 0.02 * c AS median_gap, 3 + 0.2 * b AS density,
+  CASE WHEN f <> 2 THEN f <> 3 END AS created, a AS accepted, g = 2 AS modifies, g = 3 AS applies, CASE WHEN h = 5 THEN 'claimed' ELSE 'not-evaluated' END AS claim, CASE WHEN id % 4 = 0 THEN 'no-correction-windows-accepted' END AS correction_reason, CASE WHEN g <> 4 THEN a + b END AS planned FROM m),
+rs AS (SELECT *, CASE WHEN legacy_count IS NULL THEN 'legacy-candidate-missing' WHEN corrected_count IS NULL THEN 'corrected-experimental-candidate-missing' WHEN created IS NULL THEN 'weak-window-corrections-missing' WHEN planned IS NULL THEN 'weak-window-correction-plan-missing'
+  WHEN NOT created THEN 'corrected-candidate-not-created' WHEN accepted < 1 THEN 'accepted-correction-window-count-too-low' WHEN modifies THEN 'hbg07-should-modify-final-grid-unsafe' WHEN applies THEN 'hbg07-should-apply-correction-unsafe'
+  WHEN claim <> 'not-evaluated' THEN 'external-benchmark-claim-status-not-evaluated' WHEN planned < 1 THEN 'plan-accepted-correction-window-count-too-low' WHEN dense THEN 'corrected-candidate-dense-grid' WHEN NOT plausible THEN coalesce(rejection, 'corrected-candidate-implausible')
+  WHEN bpm > 210 THEN 'corrected-bpm-too-high' WHEN median_gap < 0.22 THEN 'corrected-median-interval-too-low' WHEN density > 4.5 THEN 'corrected-beat-density-too-high' WHEN legacy_count = 0 THEN 'legacy-beat-count-zero'
+  WHEN abs(corrected_count / legacy_count - 1) > 0.35 THEN 'corrected-vs-legacy-count-ratio-out-of-range' END AS reason FROM st),
+kd AS (SELECT *, CASE WHEN reason IS NULL THEN 'None' WHEN advisor_plausible IS NULL THEN 'AdvisorUnavailable' WHEN advisor_rejection IS NOT NULL OR advisor_dense OR NOT advisor_plausible THEN 'AdvisorRejected'
+  WHEN corrected_count IS NULL AND created IS NULL THEN 'CorrectionDiagnosticsMissing' WHEN corrected_count IS NULL AND correction_reason IS NOT NULL THEN 'NoCorrectionWindowsAccepted'
+  WHEN corrected_count IS NULL AND (reason LIKE 'corrected-exp%' OR created) THEN 'CorrectedCandidateMissing' WHEN corrected_count IS NULL THEN 'CorrectedCandidateNotCreated'
+  WHEN reason LIKE '%dense%' THEN 'CorrectedCandidateDense' WHEN reason LIKE '%count-ratio%' THEN 'CorrectedCandidateCountRatioOutOfRange' WHEN regexp_matches(reason, 'implausible|beat-count-zero|bpm|median-interval|density') THEN 'CorrectedCandidateImplausible'
+  WHEN regexp_matches(reason, 'unsafe|accepted-correction-window-count-too-low') THEN 'CorrectedCandidateUnsafe' ELSE 'Unknown' END AS category FROM rs)"""
+
+
+@query(f"""WITH {_SETS} SELECT id, CASE WHEN reason IS NULL THEN 'selected-corrected-experimental' ELSE 'fallback-to-legacy' END AS status,
+  CASE WHEN reason IS NULL THEN 'SelectedCorrectedExperimental' WHEN corrected_count IS NULL THEN 'NotAvailable' ELSE 'FallbackToLegacy' END AS decision,
+  CASE WHEN reason IS NULL THEN 'corrected-experimental' WHEN legacy_count IS NOT NULL THEN 'legacy' END AS source, reason, category,
+  starts_with(category, 'CorrectedCandidate') OR category IN ('NoCorrectionWindowsAccepted', 'WeakWindowsNotReady') AS safe_noop,
+  category IN ('RuntimeFailure', 'AdvisorUnavailable', 'AdvisorRejected', 'CorrectionDiagnosticsMissing') AS failure FROM kd""")
+def hybrid_choice(spark, sf_dir):
+    at = {x: F.col("event_id") % n for x, n in zip("abcdefgh", (3, 5, 7, 11, 13, 17, 19, 23), strict=True)}
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "value", *[c.alias(x) for x, c in at.items()])
+    sets = rows.selectExpr(
+        "id", "if(h > 0, if(h > 1, 100, 0), null) AS legacy_count", "if(g > 0, g <> 1, null) AS advisor_plausible", "if(f = 0, 'odd', null) AS advisor_rejection", "f = 1 AS advisor_dense",
+        "if(e > 0, 70 + 5 * e, null) AS corrected_count", "d = 0 AS dense", "d <> 1 AS plausible", "if(id % 2 = 0, 'corrected-interval-cv-too-high', null) AS rejection", "100 + value AS bpm",
+        "0.2 + 0.02 * c AS median_gap", "3 + 0.2 * b AS density", "if(f <> 2, f <> 3, null) AS created", "a AS accepted", "g = 2 AS modifies", "g = 3 AS applies", "if(h = 5, 'claimed', 'not-evaluated') AS claim",
+        "if(id % 4 = 0, 'no-correction-windows-accepted', null) AS correction_reason", "'built' AS correction_status", "if(g <> 4, a + b, null) AS planned",
+    )
+    return hybrid.hybrid_choice(sets, "id", "balanced-probe")
+
+
 #: Days squeezed into beats: a hundred thousand seconds count as one.
 SQUEEZE = 100_000.0
 
