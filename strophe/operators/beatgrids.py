@@ -1,4 +1,5 @@
-"""Beats of a track from its onset strengths: the dense chain, its gate, usable and elastic grids, the tempo that fits.
+"""Beats of a track from its onset strengths: the dense chain, its gate, usable, elastic and
+piecewise grids, the tempo that fits.
 
 Frames are rows of track, frame (from 0 on, without holes) and a strength; a track has one period,
 in frames. What depends on the beat before is a fold over one track in pandas, which a track's
@@ -37,6 +38,13 @@ WEIGHTS = (0.30, 0.25, 0.15, 0.12, 0.10, 0.08)
 #: best that the first autocorrelation needs.
 SLOWEST, MOST, PEAK, PEAK_REACH, UNEVEN, REFINED_LOSS, SLOW, FAST, NEAR_DOUBLE, NEAR_BEST = 85.0, 30, 0.20, 0.12, 0.25, 0.04, 100.0, 150.0, 0.03, 0.98
 
+#: Fixed values of the piecewise grid: beats of a window, hop and least beats; offsets in beats; reach of a hit in periods; weights
+#: of hits, strength, nearness, bar phase and coverage; what a beat of offset and its change cost; gain; greatest middle and single shift
+#: in milliseconds; growth of the deviation.
+WINDOW, HOP, LEAST_WINDOW, OFFSETS, HIT_REACH = 32, 16, 8, [round(0.05 * k, 4) for k in range(-9, 10)], 0.12
+WINDOW_WEIGHTS, OFFSET_COST, CHANGE_COST = (0.45, 0.25, 0.15, 0.10, 0.05), 0.20, 0.35
+PIECE_GAIN, MIDDLE_SHIFT_MS, SINGLE_SHIFT_MS, PIECE_GROWTH, PIECE_SLACK = 0.015, 180.0, 260.0, 1.6, 0.035
+
 
 def steps(length: int, period: float, first: int = 0) -> np.ndarray:
     return np.arange(first, length, max(1, int(np.rint(period))))
@@ -206,6 +214,66 @@ def _nearest(peaks: np.ndarray, frames: np.ndarray) -> np.ndarray:
     return np.stack([peaks[np.maximum(after - 1, 0)], peaks[np.minimum(after, len(peaks) - 1)]], axis=1)
 
 
+def spans(count: int) -> list[tuple[int, int]]:
+    """First and past-the-last beats of hopping windows, up to the one that holds the last beat."""
+    firsts = range(0, max(1, count - WINDOW + HOP), HOP)
+    return [(a, min(count, a + WINDOW)) for a in firsts if min(count, a + WINDOW) - a >= LEAST_WINDOW]
+
+
+def window_scores(x: np.ndarray, grid: np.ndarray, period: float) -> np.ndarray:
+    """A row per window, a column per offset: how well its beats, moved by the offset, meet the peaks."""
+    reach, top = max(1, int(np.rint(period * HIT_REACH))), max(ENERGY, x.max())
+    best, gap = x.copy(), np.full(len(x), reach + 1)
+    padded = np.pad(x, reach, constant_values=-np.inf)
+    for d in range(-reach, reach + 1):
+        there = padded[reach + d : reach + d + len(x)]
+        better = there > best
+        best, gap = np.where(better, there, best), np.where(better, abs(d), gap)
+    at = np.clip(np.rint(grid[None, :] + np.array(OFFSETS)[:, None] * period).astype(int), 0, len(x) - 1)
+    rows = []
+    for a, b in spans(len(grid)):
+        own = at[:, a:b]
+        first = np.arange(b - a) % 4 == 0
+        phase = np.clip(0.5 + x[own[:, first]].mean(axis=1) / top - x[own[:, ~first]].mean(axis=1) / top, 0, 1)
+        cover = np.full(len(OFFSETS), min(1.0, (b - a) / 32))
+        terms = ((gap[own] <= reach).mean(axis=1), best[own].mean(axis=1) / top, (1 - gap[own] / (reach + 1)).mean(axis=1), phase, cover)
+        rows.append(sum(w * t for w, t in zip(WINDOW_WEIGHTS, terms, strict=True)) - OFFSET_COST * np.abs(OFFSETS))
+    return np.array(rows)
+
+
+def smooth_offsets(scores: np.ndarray) -> np.ndarray:
+    """The offsets, one a window, of greatest score less the cost of their changes."""
+    values = np.array(OFFSETS)
+    change = CHANGE_COST * (values[:, None] - values[None, :]) ** 2
+    total, back = scores[0], []
+    for own in scores[1:]:
+        ways = total[None, :] + own[:, None] - change
+        back.append(ways.argmax(axis=1))
+        total = ways.max(axis=1)
+    path = [int(total.argmax())]
+    for row in reversed(back):
+        path.append(int(row[path[-1]]))
+    return values[path[::-1]]
+
+
+def piecewise(x: np.ndarray, grid: np.ndarray, period: float, per_second: float) -> tuple[np.ndarray, str]:
+    if len(grid) < WINDOW:
+        return grid, "not-enough-data"
+    moved, weight = np.zeros(len(grid)), np.zeros(len(grid))
+    for (a, b), offset in zip(spans(len(grid)), smooth_offsets(window_scores(x, grid, period)), strict=True):
+        near = np.maximum(0.05, 1 - np.abs(np.arange(a, b) - (a + b - 1) / 2) / max(1.0, (b - a) / 2))
+        moved[a:b] += offset * period * near
+        weight[a:b] += near
+    order = np.arange(len(grid))
+    found = np.maximum.accumulate(np.rint(grid + np.where(weight > 0, moved / np.where(weight > 0, weight, 1), 0)).astype(int) - order) + order
+    shifts = np.sort(np.abs(found - grid)) / per_second * 1000
+    before, after = (x[np.clip(g, 0, len(x) - 1)].mean() / max(ENERGY, x.max()) for g in (grid, found))
+    (spread, missing, _), (spread1, missing1, doubled1) = regularity(grid, period), regularity(found, period)
+    even = not doubled1 and missing1 <= missing + 1 and spread1 <= max(spread * PIECE_GROWTH, spread + PIECE_SLACK)
+    small = shifts[int(np.rint((len(shifts) - 1) * 0.5))] <= MIDDLE_SHIFT_MS and shifts[-1] <= SINGLE_SHIFT_MS
+    return (found, "piecewise-window-offset") if after >= before + PIECE_GAIN and even and small else (grid, "rejected")
+
+
 def _strengths(frames: DataFrame, periods: DataFrame, track: str, x: str, *more: str) -> DataFrame:
     return frames.select(track, "frame", x).join(periods.select(track, "period", *more).where("period > 0 and period < double('inf')"), track)
 
@@ -264,6 +332,13 @@ def elastic_beats(frames: DataFrame, beats: DataFrame, periods: DataFrame, track
     return _by_track(_strengths(frames, periods, track, x), beats, track, x, lambda own, at, first: elastic(own, at, float(first["period"]), per_second))
 
 
+def piecewise_beats(frames: DataFrame, beats: DataFrame, periods: DataFrame, track: str, x: str, per_second: float) -> DataFrame:
+    """track, frame, mode: beats moved by offsets that change smoothly from window to window (mode
+    piecewise-window-offset), where the strengths gain by it, shifts are small and the grid stays
+    even; else the given beats."""
+    return _by_track(_strengths(frames, periods, track, x), beats, track, x, lambda own, at, first: piecewise(own, at, float(first["period"]), per_second))
+
+
 def tempo_scores(frames: DataFrame, candidates: DataFrame, track: str, x: str, per_second: float, tightness: float = 100.0) -> DataFrame:
     """candidates (track, place, bpm, score, origin) with grid_score: how well a tempo's own beats fit
     the strengths. Only the first MOST of a track from SLOWEST on have one."""

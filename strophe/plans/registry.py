@@ -1000,6 +1000,13 @@ def elastic_beats(spark, sf_dir):
     return beatgrids.elastic_beats(onsets, onsets.where("frame % 4 = 1").select("user_id", "frame"), periods, "user_id", "onset", 50.0)
 
 
+@query()
+def piecewise_beats(spark, sf_dir):
+    onsets, _, periods = timed_onsets(spark, sf_dir)
+    own = onsets.where("frame % 2 = 1").select("user_id", "frame")
+    return beatgrids.piecewise_beats(onsets, own, periods.withColumn("period", F.lit(2.0)), "user_id", "onset", 50.0)
+
+
 def scored_tempos(spark, sf_dir: str) -> DataFrame:
     """A user's frames with four tempi whose own scores come from the user's number."""
     onsets, _, _ = timed_onsets(spark, sf_dir)

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -156,6 +157,44 @@ def test_elastic_beats_need_eight(spark):
     assert [(r.frame, r.mode) for r in sorted(out)] == [(5, "not-enough-data"), (15, "not-enough-data"), (25, "not-enough-data")]
 
 
+def plain_window_score(x, beats, offset, period, reach):
+    hits = strength = near = 0.0
+    frames = [min(max(round(b + offset * period), 0), len(x) - 1) for b in beats]
+    for frame in frames:
+        span = range(max(0, frame - reach), min(len(x), frame + reach + 1))
+        top = max(span, key=lambda j: (x[j], -j))
+        gap = abs(top - frame) if x[top] > x[frame] else reach + 1
+        hits, strength, near = hits + (gap <= reach), strength + x[top] / max(x), near + 1 - gap / (reach + 1)
+    bar = [np.mean([x[f] / max(x) for k, f in enumerate(frames) if (k % 4 == 0) == first]) for first in (True, False)]
+    n = len(beats)
+    return 0.45 * hits / n + 0.25 * strength / n + 0.15 * near / n + 0.10 * min(1, max(0, 0.5 + bar[0] - bar[1])) + 0.05 * min(1, n / 32) - 0.20 * abs(offset)
+
+
+def test_window_offsets_are_the_best_of_all():
+    rng = np.random.default_rng(3)
+    x = rng.random(640) ** 4
+    beats = 4 + 10 * np.arange(60)
+    scores = beatgrids.window_scores(x, beats, 10.0)
+    assert beatgrids.spans(60) == [(0, 32), (16, 48), (32, 60)] and beatgrids.spans(32) == [(0, 32)] and beatgrids.spans(33) == [(0, 32), (16, 33)]
+    plain = [[plain_window_score(x.tolist(), beats[a:b].tolist(), o, 10.0, 1) for o in beatgrids.OFFSETS] for a, b in beatgrids.spans(60)]
+    assert scores == pytest.approx(np.array(plain))
+    picks = itertools.product(range(len(beatgrids.OFFSETS)), repeat=3)
+    value = lambda p: sum(scores[i][k] for i, k in enumerate(p)) - 0.35 * sum((beatgrids.OFFSETS[a] - beatgrids.OFFSETS[b]) ** 2 for a, b in itertools.pairwise(p))
+    assert beatgrids.smooth_offsets(scores).tolist() == [beatgrids.OFFSETS[k] for k in max(picks, key=value)]
+
+
+def test_piecewise_beats(spark):
+    x = [{8: 0.3, 9: 0.6, 10: 1.0, 11: 0.6, 12: 0.3}.get(k % 20, 0.0) for k in range(1300)]
+    early, right = [10 + 20 * k - 4 for k in range(64)], [10 + 20 * k for k in range(64)]
+    spans = periods(spark, dict.fromkeys((1, 2, 3, 4), (20, 26)))
+    out = beatgrids.piecewise_beats(strengths(spark, dict.fromkeys((1, 2, 3, 4), x)), grid(spark, {1: early, 2: right, 3: early[:31], 5: early}), spans, "t", "x", 50.0).collect()
+    assert {(r.t, r.mode) for r in out} == {(1, "piecewise-window-offset"), (2, "rejected"), (3, "not-enough-data")}
+    moved, kept = (sorted(r.frame for r in out if r.t == t) for t in (1, 2))
+    assert kept == right
+    # a beat hits a greater frame beside it, not its own: of the steps of a frame, three come nearest
+    assert moved == [k + 3 for k in early]
+
+
 def test_the_tempo_of_a_pulse_scores_best(spark):
     x = [1.0 if k % 25 == 5 else 0.0 for k in range(1000)]
     tempos = [(1, 0, 95.0, 1.0, "autocorrelation"), (1, 1, 120.0, 0.9, "peak"), (1, 2, 150.0, 1.0, "peak"), (1, 3, 60.0, 1.0, "half"), (1, 4, 120.0, 0.9, "refined-peak"), (2, 0, 120.0, 1.0, "peak")]
