@@ -29,8 +29,12 @@ LEVELS = ["None", "Low", "Medium", "High", "VeryHigh"]
 #: F1 and score that a level of agreement takes.
 LEAST_F1 = {"VeryHigh": 0.93, "High": 0.85, "Medium": 0.65, "Low": 0.40}
 LEAST_SCORE = {"VeryHigh": 0.90, "High": 0.80, "Medium": 0.60, "Low": 0.35}
-#: A weak window's limits.
-LEAST_WEAKNESS, LEAST_STRENGTH, LEAST_READINESS = 0.55, 0.60, 0.72
+#: A weak window's limits by profile: least weakness, strength and readiness, F1 of an agreement, greatest change of count.
+WINDOW_PROFILES = {
+    "strict-production": {"weakness": 0.55, "strength": 0.60, "readiness": 0.72, "f1": 0.70, "count": 0.35},
+    "balanced-probe": {"weakness": 0.45, "strength": 0.50, "readiness": 0.60, "f1": 0.55, "count": 0.45},
+    "exploratory-probe": {"weakness": 0.35, "strength": 0.40, "readiness": 0.48, "f1": 0.45, "count": 0.60},
+}
 
 
 def agreement(reference: np.ndarray, candidate: np.ndarray, offset: float, tolerance: float = TOLERANCE_MS) -> tuple[float, float]:
@@ -182,9 +186,10 @@ def shadow_comparison(reference: DataFrame, candidate: DataFrame, track: str) ->
     return rows.withColumns({"count_ratio": F.when(F.col("_r") > 0, F.col("_c") / F.col("_r")), **over}).drop("_r", "_c")
 
 
-def weak_windows(windows: DataFrame) -> DataFrame:
+def weak_windows(windows: DataFrame, profile: str = "strict-production") -> DataFrame:
     """Adds n_reference, n_candidate, weakness, strength, readiness, risk, weak, promising,
-    correctable, strength_class, verdict and reasons to the rows of ``compared_windows``."""
+    correctable, strength_class, verdict and reasons to the rows of ``compared_windows``, by the limits of a profile."""
+    limit = WINDOW_PROFILES[profile]
     gaps = windows.withColumns({"_r": intervals(F.col("reference")), "_c": intervals(F.col("candidate")), "n_reference": F.size("reference"), "n_candidate": F.size("candidate")})
     rows = gaps.withColumns({"_rcv": variation(F.col("_r")), "_ccv": variation(F.col("_c")), "_median": median_of(F.col("_r")), "_ratio": F.abs(F.col("n_candidate") / F.col("n_reference") - 1)})
     best, offset, ratio = F.col("best_f1"), F.abs("offset_ms"), F.col("_ratio")
@@ -195,15 +200,15 @@ def weak_windows(windows: DataFrame) -> DataFrame:
     even = F.when(F.col("_ccv") <= 0.10, 1.0).when(F.col("_ccv") <= 0.18, 0.7).when(F.col("_ccv") > 0.30, 0.0).otherwise(0.4)
     agreed = F.when(best >= 0.85, 1.0).when(best >= 0.70, 0.75).when(best >= 0.50, 0.4).otherwise(0.0)
     near = F.when(offset <= 60.0, 1.0).when(offset <= 120.0, 0.7).otherwise(0.2)
-    counted = F.when(ratio <= 0.15, 1.0).when(ratio <= 0.35, 0.7).otherwise(0.0)
-    risk = F.when(ratio > 0.50, "Blocked").when((offset > 180.0) | (best < 0.40) | (ratio > 0.35), "High").when((offset > 120.0) | (best < 0.65), "Medium").otherwise("Low")
+    counted = F.when(ratio <= 0.15, 1.0).when(ratio <= limit["count"], 0.7).otherwise(0.0)
+    risk = F.when(ratio > 0.50, "Blocked").when((offset > 180.0) | (best < 0.40) | (ratio > limit["count"]), "High").when((offset > 120.0) | (best < 0.65), "Medium").otherwise("Low")
     rows = rows.withColumns({"weakness": F.greatest(uneven, crowded, apart), "strength": 0.25 * even + 0.35 * agreed + 0.15 * near + 0.25 * counted, "risk": risk})
-    rows = rows.withColumns({"readiness": 0.5 * F.col("weakness") + 0.5 * F.col("strength"), "weak": F.col("weakness") >= LEAST_WEAKNESS, "promising": (F.col("strength") >= LEAST_STRENGTH) & (F.col("risk") != "Blocked")})
-    rows = rows.withColumn("correctable", F.col("weak") & F.col("promising") & (F.col("readiness") >= LEAST_READINESS) & F.col("risk").isin("Low", "Medium"))
+    rows = rows.withColumns({"readiness": 0.5 * F.col("weakness") + 0.5 * F.col("strength"), "weak": F.col("weakness") >= limit["weakness"], "promising": (F.col("strength") >= limit["strength"]) & (F.col("risk") != "Blocked")})
+    rows = rows.withColumn("correctable", F.col("weak") & F.col("promising") & (F.col("readiness") >= limit["readiness"]) & F.col("risk").isin("Low", "Medium"))
     states = [F.col("risk") == "Blocked", F.col("correctable"), F.col("weak") & F.col("promising"), F.col("weak") | F.col("promising"), F.lit(True)]
     verdict = F.coalesce(*[F.when(test, F.lit(name)) for test, name in zip(states, READINESS, strict=True)])
     strength_class = F.coalesce(*[F.when(F.col("strength") >= least, F.lit(name)) for name, least in STRENGTHS.items()])
-    told = zip([F.col("_rcv") > 0.18, F.col("_median") < 0.25, F.col("_ccv") < F.col("_rcv"), best >= 0.70, best < 0.65, ratio > 0.35, ~F.col("reliable")], REASONS, strict=True)
+    told = zip([F.col("_rcv") > 0.18, F.col("_median") < 0.25, F.col("_ccv") < F.col("_rcv"), best >= limit["f1"], best < 0.65, ratio > limit["count"], ~F.col("reliable")], REASONS, strict=True)
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in told]))
     return rows.withColumns({"strength_class": strength_class, "verdict": verdict, "reasons": reasons}).drop("_r", "_c", "_rcv", "_ccv", "_median", "_ratio")
 

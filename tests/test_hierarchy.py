@@ -40,6 +40,19 @@ def test_weak_window_of_an_uneven_reference(spark):
     assert (even.weakness, even.strength, even.verdict, even.reasons) == (0.0, 1.0, "DiagnosticOnly", ["AdvisorStrongerLocalAgreement"])
 
 
+def test_weak_windows_by_profile(spark):
+    # 16 beats against 22: the counts differ by 0.375, over the strict limit and under the others
+    held = [k * 0.5 for k in range(16)]
+    windows = spark.createDataFrame([(1, 0, 0.0, 7.5, held, [k * 7.5 / 21 for k in range(22)], 0.6, 0.0, 0.6, True)], "t int, window int, start double, end double, reference array<double>, candidate array<double>, zero_f1 double, offset_ms double, best_f1 double, reliable boolean")
+    found = {p: grids.weak_windows(windows, p).first() for p in grids.WINDOW_PROFILES}
+    assert [r.risk for r in found.values()] == ["High", "Medium", "Medium"]
+    assert [r.strength for r in found.values()] == [pytest.approx(0.25 + 0.35 * 0.4 + 0.15), pytest.approx(0.25 + 0.35 * 0.4 + 0.15 + 0.25 * 0.7), pytest.approx(0.25 + 0.35 * 0.4 + 0.15 + 0.25 * 0.7)]
+    # weakness 0.7 * 0.6 = 0.42, readiness (0.42 + 0.715) / 2 = 0.5675
+    assert [(r.weak, r.promising, r.correctable) for r in found.values()] == [(False, False, False), (False, True, False), (True, True, True)]
+    assert ["AdvisorStrongerLocalAgreement" in r.reasons for r in found.values()] == [False, True, True]
+    assert ["InsufficientEvidence" in r.reasons for r in found.values()] == [True, False, False]
+
+
 def test_agreement_confidence_levels(spark):
     reference = grid(spark, 1, 48).union(grid(spark, 2, 48)).union(grid(spark, 3, 20)).union(grid(spark, 4, 48))
     candidate = grid(spark, 1, 48).union(grid(spark, 2, 48, shift=0.1)).union(grid(spark, 3, 5, gap=1.0))
