@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import decontam, hostrules, langid, linededup, mixing, neardup, ordering, resharding, tokencounts, warc
+from strophe.llm import decontam, hostrules, langid, linededup, mixing, neardup, ordering, pieces, resharding, runs, tokencounts, trie, warc
 
 OLD_SHARDS, NEW_SHARDS = 6, 8
 
@@ -67,7 +67,30 @@ def op10_host_rules(spark, sf_dir):
     return hostrules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_warc, op4_resharding, op5_token_counts, op6_near_duplicates, op7_training_order, op8_language_id, op9_decontamination, op10_host_rules)}
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r.length).alias("a"), r.start.alias("start"), r.period.alias("period"), r.length.alias("length")))), 1)
+    found = runs.periodic_runs(docs).withColumn("_longest", F.when(F.size("runs") > 0, longest))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_longest.start", "_longest.length", "_longest.period", F.floor(F.col("_longest.length") * 1000 / F.col("_longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return trie.shared_opening_trie(table(spark, sf_dir, "conversations")).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_piece_encoding(spark, sf_dir):
+    found = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    covered = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    found = pieces.decoded(found.select("doc_id", "ids", covered.alias("covered_bytes")))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "covered_bytes")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_warc, op4_resharding, op5_token_counts, op6_near_duplicates, op7_training_order, op8_language_id, op9_decontamination, op10_host_rules, op11_periodic_runs, op12_prefix_trie, op13_piece_encoding)}
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -152,4 +175,43 @@ j AS (SELECT source, round((bad + m * weight) / (n + weight), 9) AS host_rate, r
 SELECT f.*, host_rate, host_limit, NOT base_failed AND NOT host_rate > host_limit AS kept FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
 """
 
-ORACLE_SQL = {"op2_line_dedup": _OP2, "op3_warc": _OP3, "op6_near_duplicates": _OP6, "op9_decontamination": _OP9, "op10_host_rules": _OP10}
+#: CRC-32 of a number's decimal digits, by the table of 256 remainders.
+_CRC = """t AS (SELECT list(list_reduce([k] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS tab FROM (SELECT unnest(range(0, 256)) AS k)),
+crc AS (SELECT id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT) AS h FROM ids, t)"""
+
+#: Runs as islands of places whose words agree a period apart; only stretches of six equal words can be in one.
+_OP11 = rf"""
+WITH ids AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL), {_CRC},
+d0 AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+d1 AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d0 LEFT JOIN crc ON id = doc_id),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM d1),
+v AS (SELECT doc_id, n, w, unnest(range(0, greatest(n, 0))) AS i FROM d),
+x AS (SELECT doc_id, n, i, w[i + 1] AS word, CASE WHEN i + 6 <= n THEN array_to_string(w[i + 1:i + 6], ' ') END AS six FROM v),
+p AS (SELECT b.doc_id, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.six = b.six AND a.i < b.i AND 2 * (b.i - a.i) <= a.n),
+l AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 + q AS e FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, s, e - s AS len, min(q) AS q FROM l WHERE e - s >= greatest(12, 2 * q) GROUP BY doc_id, s, e),
+b AS (SELECT doc_id, count(*) AS n_runs, first(s ORDER BY len DESC, s, q) AS start, max(len) AS length, first(q ORDER BY len DESC, s, q) AS period, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+k AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+c AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN k ON k.doc_id = x.doc_id AND k.i = x.i WHERE k.i IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+_OP12 = f"""
+WITH ids AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IS NOT NULL), {_CRC},
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+z AS (SELECT conv_id, place, role, text FROM o JOIN crc ON id = conv_id WHERE place > h % 6
+      UNION ALL SELECT id, place, role, text FROM crc JOIN o ON o.conv_id = id - id % 100 WHERE place <= h % 6),
+s AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY place) AS path, list(length(text) ORDER BY place) AS chars FROM z GROUP BY conv_id),
+f AS (SELECT id AS conv_id, coalesce(path, []) AS path, chars FROM crc LEFT JOIN s ON s.conv_id = id),
+m AS (SELECT conv_id, d AS depth, array_to_string(path[1:d], '') AS key, CASE WHEN d > 0 THEN array_to_string(path[1:d - 1], '') END AS parent, CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars, len(path) = d AS ended
+      FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM f)),
+n AS (SELECT key, any_value(depth) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256 FROM m GROUP BY key),
+c AS (SELECT parent AS key, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+u AS (SELECT substr(key, 1, 64 * k) AS key, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * chars AS saved FROM (SELECT n.*, n_children, unnest(range(0, depth + 1)) AS k FROM n LEFT JOIN c USING (key))),
+g AS (SELECT key, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM u GROUP BY key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n LEFT JOIN c USING (key) JOIN g USING (key) LEFT JOIN n p ON n.parent = p.key
+"""
+
+ORACLE_SQL = {"op2_line_dedup": _OP2, "op3_warc": _OP3, "op6_near_duplicates": _OP6, "op9_decontamination": _OP9, "op10_host_rules": _OP10, "op11_periodic_runs": _OP11, "op12_prefix_trie": _OP12}
