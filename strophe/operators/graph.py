@@ -7,6 +7,7 @@ keyed by track, so work spreads by track and no join leaves it.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -112,15 +113,13 @@ def edges_at_threshold(pairs: DataFrame, thresholds: DataFrame, track: str) -> D
 
 
 def look_ahead(pairs: DataFrame, thresholds: DataFrame, track: str, depth: int = 3) -> DataFrame:
-    """Pairs of which every (src + o, dst + o), o below ``depth``, is within the threshold too."""
+    """Pairs of which every (src + o, dst + o), o below ``depth``, is within the threshold too.
+
+    Pairs of one jump stand in a row by src, so one window looks ahead; (src, dst) is unique."""
     near = pairs.join(thresholds, track).where(F.col("distance") <= F.col("applied")).select(track, "src", "dst", "distance")
-    if depth < 2:
-        return near
-    ahead = near.select(track, "src", "dst", F.explode(F.sequence(F.lit(1), F.lit(depth - 1))).alias("o"))
-    shifted = near.select(track, F.col("src").alias("_s"), F.col("dst").alias("_d"))
-    met = ahead.withColumn("_s", F.col("src") + F.col("o")).withColumn("_d", F.col("dst") + F.col("o")).join(shifted, [track, "_s", "_d"])
-    good = met.groupBy(track, "src", "dst").agg(F.count("*").alias("c")).where(F.col("c") == depth - 1).drop("c")
-    return near.join(good, [track, "src", "dst"], "left_semi")
+    along = Window.partitionBy(track, F.col("dst") - F.col("src")).orderBy("src")
+    follow = reduce(lambda a, b: a & b, (F.lead("src", o).over(along) == F.col("src") + o for o in range(1, depth)), F.lit(True))
+    return near.withColumn("_follow", follow).where("_follow").drop("_follow")
 
 
 def structural_score(edges: DataFrame, sizes: DataFrame, track: str, beats_per_bar: int = 4, section_bars: int = 8, very_short_bars: int = 1, short_bars: int = 4, phrase_bars: int = 8, boundary_bars: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import beatgrids, cache, checks, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, segments, summaries, timeline, walk
+from strophe.operators import beatgrids, cache, checks, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, neighbours, segments, summaries, timeline, walk
 from strophe.plans.tables import settled
 from strophe.sources import exports
 
@@ -88,9 +88,8 @@ def similarity_graph(spark, sf_dir: str):
     """quanta, sizes, neighbours, thresholds and edges of the embeddings."""
     q = quanta(spark, sf_dir)
     n = sizes(q)
-    pairs = graph.candidate_pairs(q, "label", "v", 50.0, 80.0)
-    ahead = graph.look_ahead(pairs, n.select("label", F.lit(80.0).alias("applied")), "label", 2).select("label", "src", "dst")
-    scored = graph.structural_score(pairs, n, "label").join(ahead, ["label", "src", "dst"], "left_semi")
+    found = neighbours.nearest(q, n, "label", "v", 50.0, 80.0, 4)
+    scored = graph.structural_score(found, n, "label")
     near = settled(graph.top_neighbours(scored, "label", 4), "neighbours")
     thresholds = settled(graph.threshold_sweep(near, n, "label"), "thresholds")
     return q, n, near, thresholds, graph.edges_at_threshold(near, thresholds, "label")
@@ -234,7 +233,7 @@ def autocorrelation_tempo(spark, sf_dir):
     return rounded(found.withColumn("lag", F.col("lag").cast("long")), "r", "weighted")
 
 
-@query(f"""WITH {_BEATS} SELECT user_id, w AS "window", count(*) AS n, round(avg(value), 8) AS mean FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM b) b, (SELECT unnest(range(0, 1000)) AS w)
+@query(f"""WITH {_BEATS} SELECT user_id, w AS "window", count(*) AS n, round(avg(value), 8) AS mean FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM b) b, (SELECT unnest(range(0, (SELECT count(*) // 16 + 1 FROM events))) AS w)
   WHERE which >= w * 16 AND which < w * 16 + 32 AND w * 16 + 12 <= n GROUP BY user_id, w""")
 def hopping_windows(spark, sf_dir):
     rows = timeline.hopping_windows(beats(spark, sf_dir), "user_id", "which")
