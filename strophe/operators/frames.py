@@ -1,8 +1,9 @@
 """Frame features: samples of a track to one row per (track, frame) and columns on it.
 
-A sample is a row (track, which, x), which counting from 0 without gaps. A frame holds
-``size`` samples, so a group never grows with the track; what compares frames are windows
-in frame order, and transforms work on Arrow batches of frames.
+A sample is a row (track, which, x), which counting from 0 without gaps. Frames are cut from blocks
+of FRAMES frames' samples, each sample in its block and as halo in those it reaches into; what
+compares many frames gets blocks of BLOCK frames with a halo of frames from both neighbours. So a
+group never grows with the track. Transforms work on Arrow batches of frames.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ VECTOR = ArrayType(DoubleType())
 SILENCE = 1e-12
 TINY = 1e-10
 TOP_DB = 80.0
+FRAMES, BLOCK = 64, 256
 LOWEST_HZ, HIGHEST_HZ, CONCERT_A_HZ = 50.0, 5000.0, 440.0
 
 
@@ -31,15 +33,16 @@ def cut(samples: DataFrame, track: str, which: str, x: str, size: int, hop: int)
     a null sample counts as 0.
     """
     counts = samples.groupBy(F.col(track).alias("_track")).agg(F.count("*").alias("_n"))
-    at, n = F.col(which), F.col("_n")
+    at, n, span = F.col(which), F.col("_n"), FRAMES * hop
     last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / hop)).cast("long")
-    first = F.greatest(F.floor((at - size + hop) / hop), F.lit(0)).cast("long")
-    final = F.least(F.floor(at / hop).cast("long"), last)
-    rows = samples.join(counts, samples[track].eqNullSafe(counts["_track"])).where(first <= final)
-    rows = rows.select(track, F.explode(F.sequence(first, final)).alias("frame"), F.struct(at.alias("i"), F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias("x")).alias("_s"))
-    held = F.transform(F.array_sort("_s"), lambda s: s["x"])
-    framed = rows.groupBy(track, "frame").agg(F.collect_list("_s").alias("_s"))
-    return framed.select(track, "frame", F.concat(held, F.array_repeat(F.lit(0.0), F.lit(size) - F.size("_s"))).alias("samples"))
+    first = F.greatest(F.floor((at - size + hop) / span), F.lit(0)).cast("long")
+    final = F.least(F.floor(at / span), F.floor(F.col("_last") / FRAMES)).cast("long")
+    rows = samples.join(counts, samples[track].eqNullSafe(counts["_track"])).withColumn("_last", last).where(first <= final)
+    rows = rows.select(track, "_last", F.explode(F.sequence(first, final)).alias("_block"), F.struct(at.alias("i"), F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias("x")).alias("_s"))
+    blocks = rows.groupBy(track, "_block").agg(F.max("_last").alias("_last"), F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["x"]).alias("_x"))
+    here = F.sequence(F.lit(0), F.least(F.lit(FRAMES - 1), F.col("_last") - F.col("_block") * FRAMES).cast("int"))
+    held = blocks.select(track, "_block", F.posexplode(F.transform(here, lambda k: F.slice("_x", k * hop + 1, size))).alias("_k", "_x"))
+    return held.select(track, (F.col("_block") * FRAMES + F.col("_k")).alias("frame"), F.concat("_x", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("_x"))).alias("samples"))
 
 
 def pre_emphasis(samples: DataFrame, track: str, which: str, x: str, out: str, weight: float = 0.97) -> DataFrame:
@@ -161,23 +164,86 @@ def chroma(df: DataFrame, track: str, rate: float, size: int, spectrum: str = "s
     return rows.withColumn(out, scaled(F.col("_m"))).drop("_c", "_near", "_m")
 
 
+def sliding_median(m: np.ndarray, r: int) -> np.ndarray:
+    """Along the first axis the median of r rows to either side, as many as there are."""
+    n = len(m)
+    if not n:
+        return m
+    out = np.empty(m.shape)
+    edge = min(r, n)
+    for k in [*range(edge), *range(max(edge, n - r), n)]:
+        out[k] = np.median(m[max(0, k - r) : k + r + 1], axis=0)
+    if n > 2 * r:
+        out[r : n - r] = np.median(np.lib.stride_tricks.sliding_window_view(m, 2 * r + 1, axis=0), axis=-1)
+    return out
+
+
+def separated(df: DataFrame, track: str, spectrum: str = "spectrum", r: int = 8, bins: int | None = None, harmonic_margin: float = 1.0, percussive_margin: float = 4.0, power: float = 1.0) -> DataFrame:
+    """track, frame, spectrum, harmonic, percussive: spectra split by soft masks of each bin's median
+    over ``r`` frames to either side against its median over ``bins`` (r) bins to either side.
+
+    Medians over their margins are raised to ``power``; a mask is its share of both. Frames are
+    numbered without gaps and have spectra of one length; magnitudes below 0 count as 0 there.
+    """
+    bins = r if bins is None else bins
+    at, block = F.col("frame"), F.floor(F.col("frame") / BLOCK)
+    ends = (F.floor((at - r) / BLOCK), F.floor((at + r) / BLOCK))
+    rows = df.select(track, at.cast("long").alias("frame"), F.col(spectrum).alias("spectrum"), F.explode(F.sequence(F.greatest(ends[0], F.lit(0)), ends[1])).alias("_block"), block.alias("_own"))
+
+    def run(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("frame", kind="stable")
+        own = (held["_own"] == held["_block"]).to_numpy()
+        if not own.any():
+            return held.iloc[:0].assign(harmonic=None, percussive=None)[[track, "frame", "spectrum", "harmonic", "percussive"]]
+        m = np.stack(held["spectrum"].to_numpy())
+        kept = m[own]
+        h, p = np.maximum(sliding_median(m, r)[own] / harmonic_margin, 0), np.maximum(sliding_median(kept.T, bins).T / percussive_margin, 0)
+        h, p = h**power, p**power
+        whole, kept = h + p + SILENCE, np.maximum(kept, 0)
+        out = held.loc[own, [track, "frame", "spectrum"]]
+        return out.assign(harmonic=list(kept * h / whole), percussive=list(kept * p / whole))
+
+    kind = rows.select(track, "frame", "spectrum").schema.simpleString().removeprefix("struct<").removesuffix(">")
+    return rows.groupBy(track, "_block").applyInPandas(run, f"{kind},harmonic:array<double>,percussive:array<double>")
+
+
 def separate(df: DataFrame, track: str, spectrum: str = "spectrum", r: int = 8, harmonic_margin: float = 1.0, percussive_margin: float = 4.0) -> DataFrame:
-    """(track, frame, dim, x, harmonic, percussive): each bin split by soft masks of its median
-    over r frames to either side against its median over r bins to either side."""
-    bins = timeline.exploded(df, [track, "frame"], spectrum)
-    bins = timeline.windowed_median(bins, [track, "frame"], "dim", "x", r, "_p")
-    bins = timeline.windowed_median(bins, [track, "dim"], "frame", "x", r, "_h")
-    h, p = F.col("_h") / harmonic_margin, F.col("_p") / percussive_margin
-    whole = h + p + SILENCE
-    return bins.select(track, "frame", "dim", "x", (F.col("x") * h / whole).alias("harmonic"), (F.col("x") * p / whole).alias("percussive"))
+    """(track, frame, dim, x, harmonic, percussive): a row for each bin of ``separated``."""
+    out = separated(df, track, spectrum, r, None, harmonic_margin, percussive_margin)
+    return out.select(track, "frame", F.posexplode(F.arrays_zip(F.col("spectrum").alias("x"), "harmonic", "percussive")).alias("dim", "_b")).select(track, "frame", "dim", "_b.x", "_b.harmonic", "_b.percussive")
+
+
+def energy_ratios(split: DataFrame, track: str) -> DataFrame:
+    """track, harmonic_ratio, percussive_ratio: the parts' share of the energy of ``separated`` spectra,
+    0 without any."""
+    energy = lambda v: F.sum(total(F.transform(v, lambda x: F.greatest(x, F.lit(0.0)) * F.greatest(x, F.lit(0.0)))))
+    rows = split.groupBy(track).agg(*(energy(x).alias(f"_{x}") for x in ("spectrum", "harmonic", "percussive")))
+    share = lambda x: F.when(F.col("_spectrum") > SILENCE, F.col(f"_{x}") / F.col("_spectrum")).otherwise(0.0).alias(f"{x}_ratio")
+    return rows.select(track, share("harmonic"), share("percussive"))
+
+
+def part_features(split: DataFrame, track: str, rate: float, size: int, bands: int = 128) -> DataFrame:
+    """Of ``separated`` spectra, for each frame: harmonic_flux, harmonic_onset, harmonic_rms and the same of the
+    percussive part."""
+    rows = split
+    for part in ("harmonic", "percussive"):
+        rows = spectral_flux(rows, track, part, f"{part}_flux")
+        rows = onset_envelope(rows, track, rate, size, part, bands, f"{part}_onset")
+        rows = loudness(rows, track, part, f"{part}_rms")
+    return rows.drop("spectrum", "harmonic", "percussive")
+
+
+def loudness(rows: DataFrame, track: str, spectrum: str, out: str) -> DataFrame:
+    """Adds the root of a spectrum's mean power over the track's greatest."""
+    power = total(F.transform(spectrum, lambda x: x * x))
+    rows = rows.withColumn(out, F.sqrt(power / F.greatest(F.lit(1), F.size(spectrum))))
+    top = F.max(out).over(Window.partitionBy(track))
+    return rows.withColumn(out, F.when((top > 0) & (top < float("inf")), F.least(F.lit(1.0), F.col(out) / top)).otherwise(F.col(out)))
 
 
 def spectral_rms(rows: DataFrame, track: str) -> DataFrame:
-    """track, frame, rms: the root of a spectrum's mean power over the track's greatest."""
-    power = F.aggregate(F.transform("spectrum", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
-    own = rows.select(track, "frame", F.sqrt(power / F.greatest(F.lit(1), F.size("spectrum"))).alias("_r"))
-    top = F.max("_r").over(Window.partitionBy(track))
-    return own.select(track, "frame", F.when((top > 0) & (top < float("inf")), F.least(F.lit(1.0), F.col("_r") / top)).otherwise(F.col("_r")).alias("rms"))
+    """track, frame, rms: ``loudness`` of the column ``spectrum``."""
+    return loudness(rows.select(track, "frame", "spectrum"), track, "spectrum", "rms").drop("spectrum")
 
 
 def assembled(track: str, *parts: DataFrame) -> DataFrame:

@@ -583,6 +583,35 @@ def harmonic_separation(spark, sf_dir):
     return out.select("user_id", "frame", "dim", F.round("harmonic", 6).alias("harmonic"), F.round("percussive", 6).alias("percussive"))
 
 
+_SPLIT = _FRAMES + """,
+h AS (SELECT *, median(x) OVER (PARTITION BY user_id, dim ORDER BY frame ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS h,
+  median(x) OVER (PARTITION BY user_id, frame ORDER BY dim ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) / 4 AS p FROM m),
+z AS (SELECT user_id, frame, dim, x, x * h / (h + p + 1e-12) AS har, x * p / (h + p + 1e-12) AS per FROM h)"""
+
+
+def _flux_sql(part: str) -> str:
+    return f"""(SELECT user_id, frame, CASE WHEN max(g) OVER (PARTITION BY user_id) > 0 THEN g / max(g) OVER (PARTITION BY user_id) ELSE 0 END AS v FROM
+    (SELECT user_id, frame, sum(g) AS g FROM (SELECT user_id, frame, greatest(x - coalesce(lag(x) OVER (PARTITION BY user_id, dim ORDER BY frame), x), 0) AS g FROM
+    (SELECT user_id, frame, dim, CASE WHEN sum({part}) OVER (PARTITION BY user_id, frame) > 1e-12 THEN {part} / sum({part}) OVER (PARTITION BY user_id, frame) ELSE 0 END AS x FROM z)) GROUP BY user_id, frame))"""
+
+
+def _rms_sql(part: str) -> str:
+    return f"(SELECT user_id, frame, CASE WHEN max(r) OVER (PARTITION BY user_id) > 0 THEN r / max(r) OVER (PARTITION BY user_id) ELSE r END AS v FROM (SELECT user_id, frame, sqrt(sum({part} * {part}) / 9) AS r FROM z GROUP BY user_id, frame))"
+
+
+@query(f"""WITH {_SPLIT} SELECT hf.user_id, hf.frame, round(hf.v, 5) AS harmonic_flux, round(hr.v, 5) AS harmonic_rms, round(pf.v, 5) AS percussive_flux, round(pr.v, 5) AS percussive_rms FROM {_flux_sql("har")} hf
+  JOIN {_rms_sql("har")} hr USING (user_id, frame) JOIN {_flux_sql("per")} pf USING (user_id, frame) JOIN {_rms_sql("per")} pr USING (user_id, frame)""")
+def part_features(spark, sf_dir):
+    out = frames.part_features(frames.separated(spectra(spark, sf_dir), "user_id"), "user_id", RATE, FRAME)
+    return out.select("user_id", "frame", *(F.round(x, 5).alias(x) for x in ("harmonic_flux", "harmonic_rms", "percussive_flux", "percussive_rms")))
+
+
+@query(f"""WITH {_SPLIT} SELECT user_id, round(CASE WHEN sum(x * x) > 1e-12 THEN sum(har * har) / sum(x * x) ELSE 0 END, 6) AS harmonic_ratio,
+  round(CASE WHEN sum(x * x) > 1e-12 THEN sum(per * per) / sum(x * x) ELSE 0 END, 6) AS percussive_ratio FROM z GROUP BY user_id""")
+def energy_ratios(spark, sf_dir):
+    return rounded(frames.energy_ratios(frames.separated(spectra(spark, sf_dir), "user_id"), "user_id"), "harmonic_ratio", "percussive_ratio")
+
+
 @query()
 def onset_envelope(spark, sf_dir):
     return frames.onset_envelope(spectra(spark, sf_dir), "user_id", RATE, FRAME).select("user_id", "frame", F.round("onset", 6).alias("onset"))
@@ -707,6 +736,29 @@ def composite_evidence(spark, sf_dir):
     return rounded(evidence.composite(rows, "label", "which").select("label", "which", "low", "mid", "high", "novelty", "evidence"), "low", "mid", "high", "novelty", "evidence")
 
 
+_PARTS = (*_FIRST, "percussive_onset", "percussive_flux", "percussive_rms_delta", "harmonic_onset")
+_MIX = {"onset": "(0.5 * onset + percussive_onset + 0.25 * harmonic_onset) / 1.75", "flux": "(0.5 * flux + percussive_flux + 0.25 * harmonic_onset) / 1.75"}
+
+
+@query(f"""WITH {_QUANTA},
+  d AS (SELECT label, which, abs(v[26]) AS onset, abs(v[27]) AS flux, coalesce(greatest(0, abs(v[28]) - lag(abs(v[28])) OVER w), 0) AS rms_delta,
+    coalesce(list_distance(v[1:13], lag(v[1:13]) OVER w), 0) AS mfcc_delta, coalesce(list_distance(v[14:25], lag(v[14:25]) OVER w), 0) AS chroma_delta,
+    abs(v[29]) AS percussive_onset, abs(v[30]) AS percussive_flux, coalesce(greatest(0, abs(v[31]) - lag(abs(v[31])) OVER w), 0) AS percussive_rms_delta, abs(v[32]) AS harmonic_onset FROM q WINDOW w AS (PARTITION BY label ORDER BY which)),
+  p AS (SELECT label, {_top(*_PARTS)} FROM d GROUP BY label), n0 AS (SELECT label, which, {_scaled(*_PARTS)} FROM d JOIN p USING (label)),
+  n1 AS (SELECT * REPLACE ({_MIX["onset"]} AS onset, {_MIX["flux"]} AS flux) FROM n0),
+  p1 AS (SELECT label, {_top("onset", "flux")} FROM n1 GROUP BY label), n AS (SELECT n1.* REPLACE (least(onset / t_onset, 1) AS onset, least(flux / t_flux, 1) AS flux) FROM n1 JOIN p1 USING (label)),
+  g AS (SELECT *, (mfcc_delta + chroma_delta + rms_delta) / 3 AS novelty, avg((flux + percussive_flux) / 2) OVER (PARTITION BY label ORDER BY which ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS low,
+    avg((flux + mfcc_delta) / 2) OVER (PARTITION BY label ORDER BY which ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS mid, greatest(0, onset - 0.35 * flux) AS high FROM n),
+  r AS (SELECT label, {_top(*_SECOND)} FROM g GROUP BY label), o AS (SELECT label, which, onset, rms_delta, percussive_rms_delta, mfcc_delta, chroma_delta, {_scaled(*_SECOND)} FROM g JOIN r USING (label))
+  SELECT label, which, round(onset, 6) AS onset, round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high,
+    round(least(0.35 * onset + 0.20 * low + 0.15 * mid + 0.10 * greatest(rms_delta, percussive_rms_delta) + 0.10 * mfcc_delta + 0.05 * chroma_delta + 0.05 * novelty, 1), 6) AS evidence FROM o""")
+def part_evidence(spark, sf_dir):
+    at = {x: F.abs(F.element_at("v", k)) for x, k in (("onset", 26), ("flux", 27), ("rms", 28), ("percussive_onset", 29), ("percussive_flux", 30), ("percussive_rms", 31), ("harmonic_onset", 32))}
+    rows = quanta(spark, sf_dir).select("label", "which", *[c.alias(x) for x, c in at.items()], F.slice("v", 1, 13).alias("mfcc"), F.slice("v", 14, 12).alias("chroma"))
+    out = evidence.composite(rows, "label", "which", {"full": 0.5, "percussive": 1.0, "harmonic": 0.25})
+    return rounded(out.select("label", "which", "onset", "low", "mid", "high", "evidence"), "onset", "low", "mid", "high", "evidence")
+
+
 _WAY = "src || ':' || dst || ':' || CASE WHEN dst < src THEN 'backward' ELSE 'forward' END, ',' ORDER BY src, dst"
 
 

@@ -101,3 +101,32 @@ def test_progress_never_falls(spark, tmp_path):
     for r in spark.table("progress").collect():
         got.setdefault(r.track, []).append(r.percent)
     assert sorted(got["a"])[-1] == 50.0 and len(got["a"]) == 3 and got["b"] == [100.0] and got["c"] == [0.0]
+
+
+def test_blocks_with_halo_give_what_whole_tracks_give(spark, monkeypatch):
+    """Frames and medians over block borders, with blocks of a few frames."""
+    rng = np.random.default_rng(8)
+    signal = {"long": rng.normal(0, 1, 1500), "short": rng.normal(0, 1, 3), None: rng.normal(0, 1, 200)}
+    rows = spark.createDataFrame([(k, i, float(x)) for k, v in signal.items() for i, x in enumerate(v)], "t string, i long, x double")
+    monkeypatch.setattr(frames, "FRAMES", 3)
+    monkeypatch.setattr(frames, "BLOCK", 5)
+    for size, hop in ((SIZE, HOP), (SIZE, 5)):
+        cut = by_frame(frames.cut(rows, "t", "i", "x", size, hop), "samples")
+        for k, x in signal.items():
+            n = 1 if len(x) <= size else 1 + -(-(len(x) - size) // hop)
+            padded = np.concatenate([x, np.zeros(size)])
+            assert np.allclose(cut[k], [padded[hop * i : hop * i + size] for i in range(n)])
+    spectra = frames.cut(rows, "t", "i", "x", SIZE, HOP).withColumn("spectrum", frames.magnitudes("samples"))
+    split = frames.separated(spectra, "t", r=4, bins=2, percussive_margin=2.0, power=2.0)
+    got = {name: by_frame(split, name) for name in ("spectrum", "harmonic", "percussive")}
+    ratios = {r.t: r for r in frames.energy_ratios(split, "t").collect()}
+    for k, m in got["spectrum"].items():
+        h = np.array([[np.median(m[max(0, i - 4) : i + 5, b]) for b in range(m.shape[1])] for i in range(len(m))]) ** 2
+        p = (np.array([[np.median(m[i, max(0, b - 2) : b + 3]) for b in range(m.shape[1])] for i in range(len(m))]) / 2) ** 2
+        assert np.allclose(got["harmonic"][k], m * h / (h + p + 1e-12)) and np.allclose(got["percussive"][k], m * p / (h + p + 1e-12))
+        assert ratios[k].harmonic_ratio == pytest.approx((got["harmonic"][k] ** 2).sum() / (m**2).sum())
+    parts = frames.part_features(split, "t", RATE, SIZE)
+    onset = by_frame(parts, "percussive_onset")
+    alone = by_frame(frames.onset_envelope(split, "t", RATE, SIZE, "percussive"), "onset")
+    assert all(np.allclose(onset[k], alone[k]) for k in onset)
+    assert not frames.separated(spectra.limit(0), "t").collect()
