@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import beatgrids, cache, checks, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, neighbours, segments, summaries, timeline, walk
+from strophe.operators import beatgrids, cache, checks, contracts, escape, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, neighbours, resample, segments, summaries, timeline, walk
 from strophe.plans.tables import settled
 from strophe.sources import exports
 
@@ -1173,3 +1173,58 @@ def feature_matrix(spark, sf_dir):
     loud = framed(spark, sf_dir).select("user_id", "frame", F.round(frames.rms(F.col("samples")), 6).alias("rms"))
     mean = spectra(spark, sf_dir).where("frame > 0").select("user_id", "frame", F.round(frames.total(F.col("spectrum")) / 9, 6).alias("mean"))
     return frames.assembled("user_id", loud, mean)
+
+
+@query(f"""WITH {_EDGES}, z AS (SELECT label, which, which >= floor(n * 0.85) OR n - which <= 16 AS zone FROM q JOIN s USING (label)),
+  o AS (SELECT e.label, src, dst, distance, zone FROM e JOIN z ON z.label = e.label AND z.which = e.dst),
+  e1 AS (SELECT DISTINCT q.label, q.which FROM q JOIN o ON o.label = q.label AND o.src BETWEEN q.which AND q.which + 23 WHERE NOT zone),
+  e2 AS (SELECT * FROM e1 UNION SELECT q.label, q.which FROM q JOIN o ON o.label = q.label AND o.src BETWEEN q.which AND q.which + 23 JOIN e1 ON e1.label = o.label AND e1.which = o.dst),
+  e3 AS (SELECT * FROM e1 UNION SELECT q.label, q.which FROM q JOIN o ON o.label = q.label AND o.src BETWEEN q.which AND q.which + 23 JOIN e2 ON e2.label = o.label AND e2.which = o.dst)
+  SELECT o.label, o.src, o.dst, zone AS end_zone, NOT zone OR e3.which IS NOT NULL AS safe,
+    CASE WHEN NOT zone THEN 'Destination outside end zone' WHEN e3.which IS NOT NULL THEN 'Destination has future escape' ELSE 'Destination has no terminal escape' END AS reason
+  FROM o LEFT JOIN e3 ON e3.label = o.label AND e3.which = o.dst""")
+def escape_guard(spark, sf_dir):
+    q, _, _, _, edges = similarity_graph(spark, sf_dir)
+    edges = settled(edges, "edges")
+    return escape.escape_guard(q, edges, "label").select("label", "src", "dst", "end_zone", "safe", "reason")
+
+
+@query(f"""WITH {_BEATS}, n AS (SELECT user_id, count(*) AS n FROM b GROUP BY user_id),
+  k AS (SELECT user_id, unnest(range(0, CAST(ceil(n * 2 / 3.0) AS BIGINT))) AS which FROM n),
+  w AS (SELECT k.user_id, k.which, (3 * k.which) // 2 + d AS i, ((3 * k.which) % 2) / 2.0 - d AS t FROM k, (SELECT unnest(range(-23, 25)) AS d)),
+  g AS (SELECT *, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t * 2 / 3) / (pi() * t * 2 / 3) END * power(cos(pi() * t / 48), 2) AS g FROM w)
+  SELECT g.user_id, g.which, round(sum(g * coalesce(value, 0)) / sum(g), 6) AS x FROM g LEFT JOIN b ON b.user_id = g.user_id AND b.which = g.i GROUP BY g.user_id, g.which""")
+def resampled_values(spark, sf_dir):
+    rows = beats(spark, sf_dir).select("user_id", "which", F.col("value").alias("x"), F.lit(3).alias("rate"))
+    return rounded(resample.resampled(rows, "user_id", "which", "x", "rate", 2), "x")
+
+
+def analysis_texts(spark, sf_dir: str) -> DataFrame:
+    """A JSON analysis for each user, its beats and segments the user's events; some break the contract."""
+    odd = lambda column, n, bad, good: F.when(F.pmod(F.col(column), F.lit(n)) == 0, F.lit(bad)).otherwise(F.lit(good))
+    rows = beats(spark, sf_dir).select("user_id", "event_id", "event_type", "which")
+    quantum = F.concat(F.lit('{"start": '), F.col("which").cast("string"), odd("event_id", 11, ', "duration": null', ', "duration": 1.5'), F.lit(', "confidence": '), F.when(F.col("event_type") == "click", '"high"').otherwise("0.5"))
+    beat = F.when(F.pmod(F.col("event_id"), F.lit(17)) == 0, "3").otherwise(F.concat(quantum, F.lit("}")))
+    segment = F.concat(F.lit('{"start": 1, "duration": 1e400, "confidence": 1, "loudness_start": -1.5'), odd("event_id", 5, ', "loudness_max": true', ', "loudness_max": 2'), F.lit(', "loudness_max_time": 0'), odd("event_id", 13, ', "pitches": [1, "x", 2, [3]]', ', "pitches": [1, 2]'), odd("event_id", 7, "", ', "timbre": []'), F.lit("}"))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("which", c.alias("t")))), lambda s: s["t"]), ","), F.lit("]"))
+    held = rows.groupBy("user_id").agg(listed(beat).alias("beats"), listed(segment).alias("segments"))
+    text = F.concat(F.lit("{"), odd("user_id", 7, "", '"info": {"title": "t"}, '), odd("user_id", 4, '"audio_summary": 5', '"audio_summary": {"duration": 9}'), F.lit(', "analysis": {"sections": [], "bars": [{}]'), odd("user_id", 5, ', "tatums": {}', ', "tatums": []'), F.lit(', "beats": '), F.col("beats"), F.lit(', "segments": '), F.col("segments"), F.lit("}}"))
+    return held.select("user_id", F.when(F.pmod(F.col("user_id"), F.lit(29)) == 0, "{").otherwise(text).alias("document"))
+
+
+@query(f"""WITH {_BEATS}, u AS (SELECT DISTINCT user_id FROM events), g AS (SELECT * FROM b WHERE user_id % 29 <> 0),
+  v AS (SELECT user_id, 'Analysis root' AS path, NULL AS place, 'object' AS kind FROM u WHERE user_id % 29 = 0
+    UNION ALL SELECT user_id, 'info', NULL, 'object' FROM u WHERE user_id % 7 = 0 AND user_id % 29 <> 0
+    UNION ALL SELECT user_id, 'audio_summary', NULL, 'object' FROM u WHERE user_id % 4 = 0 AND user_id % 29 <> 0
+    UNION ALL SELECT user_id, 'analysis.tatums', NULL, 'array' FROM u WHERE user_id % 5 = 0 AND user_id % 29 <> 0
+    UNION ALL SELECT user_id, 'analysis.bars[0].' || f, 0, 'number' FROM u, (SELECT unnest(['start', 'duration', 'confidence']) AS f) WHERE user_id % 29 <> 0
+    UNION ALL SELECT user_id, 'analysis.beats[' || which || ']', which, 'object' FROM g WHERE event_id % 17 = 0
+    UNION ALL SELECT user_id, 'analysis.beats[' || which || '].duration', which, 'number' FROM g WHERE event_id % 17 <> 0 AND event_id % 11 = 0
+    UNION ALL SELECT user_id, 'analysis.beats[' || which || '].confidence', which, 'number' FROM g WHERE event_id % 17 <> 0 AND event_type = 'click'
+    UNION ALL SELECT user_id, 'analysis.segments[' || which || '].duration', which, 'number' FROM g
+    UNION ALL SELECT user_id, 'analysis.segments[' || which || '].loudness_max', which, 'number' FROM g WHERE event_id % 5 = 0
+    UNION ALL SELECT user_id, 'analysis.segments[' || which || '].pitches[' || k || ']', k, 'number' FROM g, (SELECT unnest([1, 3]) AS k) WHERE event_id % 13 = 0
+    UNION ALL SELECT user_id, 'analysis.segments[' || which || '].timbre', which, 'array' FROM g WHERE event_id % 7 = 0)
+  SELECT user_id, path, CAST(place AS INTEGER) AS place, path || CASE kind WHEN 'object' THEN ' must be an object.' WHEN 'array' THEN ' must be an array.' ELSE ' must be a finite number.' END AS message FROM v""")
+def analysis_violations(spark, sf_dir):
+    return contracts.violation_rows(analysis_texts(spark, sf_dir), "user_id", "document")

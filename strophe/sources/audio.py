@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.operators.resample import resampled
+
 EXTENSIONS = ["wav", "mp3", "m4a", "aac", "mp4"]
 MOST_SECONDS = 1_800
 BLOCK = 65_536
@@ -37,7 +39,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def wav_blocks(rows: DataFrame) -> DataFrame:
     """path, rate, first, samples, error of ``files`` of 16-bit WAV: channels averaged to -1..1, a
     row for each block of samples from ``first`` on. A file that can't be read, or of over
-    30 minutes, is one row with ``error``. The rate stays the file's own."""
+    30 minutes, is one row with ``error``. The rate stays the file's own; ``samples`` changes it."""
 
     def decode(path: str, content: bytes):
         try:
@@ -60,6 +62,7 @@ def wav_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("path", "content").mapInPandas(run, "path string, rate int, first long, samples array<double>, error string")
 
 
-def samples(blocks: DataFrame) -> DataFrame:
-    """(path, which, x): the rows that frames are cut from."""
-    return blocks.where("error IS NULL").select("path", "first", F.posexplode("samples").alias("_i", "x")).select("path", (F.col("first") + F.col("_i")).alias("which"), "x")
+def samples(blocks: DataFrame, target: int | None = None) -> DataFrame:
+    """(path, which, x): the rows that frames are cut from, at ``target`` samples a second if given."""
+    rows = blocks.where("error IS NULL").select("path", "rate", "first", F.posexplode("samples").alias("_i", "x")).select("path", "rate", (F.col("first") + F.col("_i")).alias("which"), "x")
+    return rows.drop("rate") if target is None else resampled(rows, "path", "which", "x", "rate", target)
