@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strophe.functions.columns import clamp
+from strophe.operators import corrections
 from strophe.operators.folds import claim
 from strophe.operators.timeline import hopping_windows
 
@@ -263,19 +264,19 @@ def agreement_confidence(aligned: DataFrame, windows: DataFrame, track: str) ->
     return rows.select(track, "score", "level", "reliable", "level_reason", "n_high", "n_medium", "n_windows", "high_ratio", "readiness")
 
 
-def corrected(reference: DataFrame, candidate: DataFrame, windows: DataFrame, track: str, most: int = 8, spacing: float = 0.25) -> DataFrame:
+def corrected(reference: DataFrame, candidate: DataFrame, windows: DataFrame, track: str, profile: str = "strict-production", most: int = corrections.MOST_WINDOWS) -> DataFrame:
     """track, n_reference, n_windows, corrected (array), reason: the reference with the beats of
     its correctable windows replaced by the candidate's, shifted by the window's offset.
 
-    ``windows`` comes from ``weak_windows``. The ``most`` readiest of a track are tried in turn; a
-    later one replaces what an earlier one put into its span. Beats nearer than ``spacing`` to
-    the last one kept go. Without an accepted window, or where the result breaks a guardrail,
+    ``windows`` comes from ``weak_windows``. The ``most`` readiest of a track are tried in turn, by the limits of a
+    profile (``corrections.decisions``); a later one replaces what an earlier one put into its span. Beats
+    nearer than ``corrections.SPACING`` to the last one kept go. Without an accepted window, or where the result breaks a guardrail,
     corrected is null and reason names why.
     """
-    order = Window.partitionBy(track).orderBy(F.desc("readiness"), F.when(F.col("risk") == "Low", 0).otherwise(1), "start")
-    tried = windows.where("correctable").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
-    ratio = F.abs(F.col("n_candidate") / F.col("n_reference") - 1)
-    taken = tried.where((F.col("end") - F.col("start") <= 20.0) & (F.abs("offset_ms") <= 120.0) & (F.col("strength") >= 0.70) & (F.col("readiness") >= 0.72) & (ratio <= 0.25))
+    limit = corrections.PROFILES[profile]
+    told = {"weak": F.col("correctable"), "promising": F.col("correctable"), "verdict": F.when(F.col("correctable"), READINESS[1])}
+    windows = windows.withColumns({x: c for x, c in told.items() if x not in windows.columns})
+    taken = corrections.decisions(windows, track, profile, most).where(F.col("decision") == corrections.CREATED)
     spans = taken.select(F.col(track).alias("_t"), F.col("start").alias("_a"), F.col("end").alias("_b"), "turn", "offset_ms")
     later = spans.select("_t", "_a", "_b", F.col("turn").alias("_later"))
     own = reference.select(track, "start", F.lit(0).alias("turn"))
@@ -283,9 +284,8 @@ def corrected(reference: DataFrame, candidate: DataFrame, windows: DataFrame, tr
     put = candidate.select(track, "start").join(spans, (F.col(track) == F.col("_t")) & shifted.between(F.col("_a"), F.col("_b"))).select(track, shifted.alias("start"), "turn")
     over = (F.col(track) == F.col("_t")) & (F.col("_later") > F.col("turn")) & F.col("start").between(F.col("_a"), F.col("_b"))
     beats = own.unionByName(put).join(later, over, "left_anti").groupBy(track).agg(starts().alias("_all"))
-    apart = F.aggregate("_all", F.array().cast("array<double>"), lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= spacing), F.concat(kept, F.array(x))).otherwise(kept))
     counts = reference.groupBy(track).agg(F.count("*").alias("n_reference"))
-    rows = counts.join(taken.groupBy(track).agg(F.count("*").alias("n_windows")), track, "left").join(beats.select(track, apart.alias("corrected")), track, "left")
+    rows = counts.join(taken.groupBy(track).agg(F.count("*").alias("n_windows")), track, "left").join(beats.select(track, corrections.spaced("_all").alias("corrected")), track, "left")
     rows = rows.withColumn("n_windows", F.coalesce("n_windows", F.lit(0))).withColumn("_gaps", intervals(F.col("corrected")))
     rows = rows.withColumns({"_n": F.coalesce(F.size("corrected"), F.lit(0)), "_median": median_of(F.col("_gaps")), "_cv": variation(F.col("_gaps"))})
     length = F.element_at("corrected", -1) - F.element_at("corrected", 1)
@@ -293,7 +293,7 @@ def corrected(reference: DataFrame, candidate: DataFrame, windows: DataFrame, tr
     reason = (
         F.when(F.col("n_windows") == 0, "no-correction-windows-accepted").when(F.col("_n") < 1, "corrected-beat-count-zero").when(dense > 4.0, "corrected-density-too-high")
         .when(F.col("_median") < 0.25, "corrected-median-interval-too-low").when(60 / F.col("_median") > 200.0, "corrected-bpm-too-high")
-        .when(F.abs(F.col("_n") / F.col("n_reference") - 1) > 0.25, "corrected-count-ratio-out-of-range").when(F.col("_cv") > 0.25, "corrected-interval-cv-too-high")
+        .when(F.abs(F.col("_n") / F.col("n_reference") - 1) > limit["count"], "corrected-count-ratio-out-of-range").when(F.col("_cv") > 0.25, "corrected-interval-cv-too-high")
     )
     rows = rows.withColumn("reason", reason)
     return rows.select(track, "n_reference", "n_windows", F.when(F.col("reason").isNull(), F.col("corrected")).alias("corrected"), "reason")

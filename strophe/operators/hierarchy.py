@@ -183,8 +183,8 @@ def half_time(scores: DataFrame, track: str, rows_per_second: float, ratio: floa
     """track, lag, bpm, halved: the lag of greatest score, or twice it where a tempo of 170 or
     more has a half in 75 to 135 bpm that scores near it. ``scores`` has track, lag, score."""
     best = scores.groupBy(track).agg(F.max(F.struct("score", (-F.col("lag")).alias("m"))).alias("b")).select(track, (-F.col("b.m")).alias("lag"), F.col("b.score").alias("score"))
-    slower = scores.select(track, F.col("lag").alias("_slow"), F.col("score").alias("_score"))
-    rows = best.join(slower, (best[track] == slower[track]) & (F.col("_slow") == 2 * F.col("lag")), "left").drop(slower[track])
+    slower = scores.select(F.col(track).alias("_t"), F.col("lag").alias("_slow"), F.col("score").alias("_score"))
+    rows = best.join(slower, (F.col(track) == F.col("_t")) & (F.col("_slow") == 2 * F.col("lag")), "left").drop("_t")
     bpm, slow = 60.0 * rows_per_second / F.col("lag"), 60.0 * rows_per_second / F.col("_slow")
     needed = F.when(slow.between(90.0, 120.0), min(0.45, ratio)).otherwise(ratio)
     halved = F.coalesce((bpm >= 170.0) & slow.between(75.0, 135.0) & (F.col("_score") >= F.col("score") * needed), F.lit(False))
@@ -192,20 +192,26 @@ def half_time(scores: DataFrame, track: str, rows_per_second: float, ratio: floa
     return rows.select(track, "lag", (60.0 * rows_per_second / F.col("lag")).alias("bpm"), "halved")
 
 
+#: Origin, role and ratio of the tempi made from a candidate, which keeps its own origin.
+HARMONICS = [(None, "primary", 1.0), ("half-time", "half", 0.5), ("double-time", "double", 2.0), ("three-quarter", "three-quarter", 0.75), ("four-third", "four-third", 4.0 / 3.0)]
+
+
 def harmonic_tempos(candidates: DataFrame, track: str, top: int, low: float = 60.0, high: float = 200.0) -> DataFrame:
-    """track, rank, bpm, lag, score, origin: candidates and their halves, doubles, 3/4 and 4/3.
+    """track, rank, bpm, lag, score, origin, harmonic: candidates and their halves, doubles, 3/4 and 4/3.
 
     A harmonic in ``low`` to ``high`` scores 0.92 of its source; of equal tempos, to three
-    places, the best stays. ``candidates`` has track, bpm, lag, score.
+    places, the best stays; of equal scores the candidates come first, autocorrelations by lag before others, and
+    what is made of them in that order. ``candidates`` has track, bpm, lag, score and, if not all are autocorrelation, origin.
     """
-    ratios = [("own", 1.0), ("half", 0.5), ("double", 2.0), ("three-quarter", 0.75), ("four-third", 4.0 / 3.0)]
-    made = []
-    for k, (name, ratio) in enumerate(ratios):
+    made, given = [], F.col("origin") if "origin" in candidates.columns else F.lit("autocorrelation")
+    source = [(given != "autocorrelation").alias("_late"), F.col("lag").alias("_from")]
+    for k, (name, role, ratio) in enumerate(HARMONICS):
         bpm = F.col("bpm") * ratio
         lag = F.col("lag") if k == 0 else F.when(F.col("lag") > 0, F.greatest(F.lit(1), F.bround(F.col("lag") * F.col("bpm") / bpm))).otherwise(0)
-        made.append(candidates.select(track, bpm.alias("bpm"), lag.cast("long").alias("lag"), (F.col("score") * (1.0 if k == 0 else 0.92)).alias("score"), F.lit(name).alias("origin"), F.lit(k).alias("_k")).where((F.lit(k) == 0) | F.col("bpm").between(low, high)))
+        origin = F.lit(name) if name else given
+        made.append(candidates.select(track, bpm.alias("bpm"), lag.cast("long").alias("lag"), (F.col("score") * (1.0 if k == 0 else 0.92)).alias("score"), origin.alias("origin"), F.lit(role).alias("harmonic"), F.lit(k).alias("_k"), *source).where((F.lit(k) == 0) | F.col("bpm").between(low, high)))
     rows = reduce(DataFrame.unionByName, made)
-    order = [F.desc("score"), F.col("_k"), F.col("lag")]
+    order = [F.desc("score"), F.col("_k") > 0, F.col("_late"), F.col("_from"), F.col("_k")]
     same = Window.partitionBy(track, F.bround("bpm", 3)).orderBy(*order)
     rows = rows.withColumn("_same", F.row_number().over(same)).where("_same = 1")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(track).orderBy(*order))).where(F.col("rank") <= top).select(track, "rank", "bpm", "lag", "score", "origin")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(track).orderBy(*order))).where(F.col("rank") <= top).select(track, "rank", "bpm", "lag", "score", "origin", "harmonic")

@@ -68,15 +68,16 @@ def plateau_peaks(df: DataFrame, track: str, order: str, x: str, threshold: floa
     return rows.where((F.col(x) >= F.col("_m")) & (F.lit(True) if threshold is None else F.col(x) >= threshold)).drop("_m")
 
 
-def refined_period(df: DataFrame, track: str, order: str, x: str, lag: float, energy: float = 1e-9) -> DataFrame:
+def refined_period(df: DataFrame, track: str, order: str, x: str, lag: float | str, energy: float = 1e-9) -> DataFrame:
     """track, period: the mean distance of peaks of half the maximum, of those within 0.75 to 1.5
-    of ``lag``; null with fewer than three peaks or none in range."""
+    of ``lag``, a number or a column with the track's own; null with fewer than three peaks or none in range."""
+    lag = F.col(lag) if isinstance(lag, str) else F.lit(lag)
     w = Window.partitionBy(track).orderBy(order)
     low = F.lit(float("-inf"))
     rows = df.withColumns({"_p": F.coalesce(F.lag(x).over(w), low), "_n": F.coalesce(F.lead(x).over(w), low), "_top": F.max(x).over(Window.partitionBy(track))})
     peak = (F.col("_top") > energy) & (F.col(x) >= 0.5 * F.col("_top")) & (F.col(x) >= F.col("_p")) & (F.col(x) > F.col("_n"))
-    held = rows.where(peak).select(track, (F.col(order) - F.lag(order).over(w)).alias("_g"))
-    found = held.groupBy(track).agg(F.count("*").alias("_k"), F.avg(F.when(F.col("_g").between(0.75 * lag, 1.5 * lag), F.col("_g"))).alias("_m"))
+    held = rows.where(peak).select(track, (F.col(order) - F.lag(order).over(w)).alias("_g"), lag.alias("_lag"))
+    found = held.groupBy(track).agg(F.count("*").alias("_k"), F.avg(F.when(F.col("_g").between(0.75 * F.col("_lag"), 1.5 * F.col("_lag")), F.col("_g"))).alias("_m"))
     return df.select(track).distinct().join(found, track, "left").select(track, F.when(F.col("_k") >= 3, F.col("_m")).alias("period"))
 
 

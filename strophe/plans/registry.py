@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import beatgrids, cache, checks, contracts, escape, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, neighbours, resample, segments, summaries, timeline, walk
+from strophe.operators import beatgrids, cache, checks, contracts, corrections, escape, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, neighbours, resample, segments, summaries, timeline, tracker, walk
 from strophe.plans.tables import settled
 from strophe.sources import exports
 
@@ -700,10 +700,10 @@ def half_time_tempo(spark, sf_dir):
 
 
 @query(f"""WITH {_LAGS}, c AS (SELECT *, 720.0 / lag AS bpm FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, lag) AS i FROM p) WHERE i <= 3),
-  t AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest(['own', 'half', 'double', 'three-quarter', 'four-third']) AS origin, unnest([1.0::DOUBLE, 0.5, 2.0, 0.75, 4.0::DOUBLE / 3.0]) AS f),
-  x AS (SELECT event_type, bpm * f AS bpm, CASE WHEN k = 0 THEN lag ELSE greatest(1, CAST(round_even(lag * bpm / (bpm * f), 0) AS BIGINT)) END AS lag, score * CASE WHEN k = 0 THEN 1.0 ELSE 0.92 END AS score, origin, k FROM c, t WHERE k = 0 OR bpm * f BETWEEN 60 AND 200),
+  t AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest(['autocorrelation', 'half-time', 'double-time', 'three-quarter', 'four-third']) AS origin, unnest(['primary', 'half', 'double', 'three-quarter', 'four-third']) AS harmonic, unnest([1.0::DOUBLE, 0.5, 2.0, 0.75, 4.0::DOUBLE / 3.0]) AS f),
+  x AS (SELECT event_type, bpm * f AS bpm, CASE WHEN k = 0 THEN lag ELSE greatest(1, CAST(round_even(lag * bpm / (bpm * f), 0) AS BIGINT)) END AS lag, score * CASE WHEN k = 0 THEN 1.0 ELSE 0.92 END AS score, origin, harmonic, k FROM c, t WHERE k = 0 OR bpm * f BETWEEN 60 AND 200),
   y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type, round_even(bpm, 3) ORDER BY score DESC, k, lag) AS i FROM x) WHERE i = 1)
-  SELECT event_type, rank, round(bpm, 6) AS bpm, lag, round(score, 6) AS score, origin FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, k, lag) AS rank FROM y) WHERE rank <= 5""")
+  SELECT event_type, rank, round(bpm, 6) AS bpm, lag, round(score, 6) AS score, origin, harmonic FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, k, lag) AS rank FROM y) WHERE rank <= 5""")
 def harmonic_tempos(spark, sf_dir):
     best = F.row_number().over(timeline.Window.partitionBy("event_type").orderBy(F.desc("score"), "lag"))
     top = lag_scores(spark, sf_dir).withColumn("_i", best).where("_i <= 3").withColumn("bpm", 720.0 / F.col("lag"))
@@ -1061,7 +1061,7 @@ def piecewise_beats(spark, sf_dir):
 def scored_tempos(spark, sf_dir: str) -> DataFrame:
     """A user's frames with four tempi whose own scores come from the user's number."""
     onsets, _, _ = timed_onsets(spark, sf_dir)
-    tempo = F.posexplode(F.array(*[F.struct(F.lit(b).alias("bpm"), F.lit(o).alias("origin")) for b, o in ((90.0, "autocorrelation"), (180.0, "double"), (60.0, "half"), (120.0, "refined-peak"))]))
+    tempo = F.posexplode(F.array(*[F.struct(F.lit(b).alias("bpm"), F.lit(o).alias("origin")) for b, o in ((90.0, "autocorrelation"), (180.0, "double-time"), (60.0, "half-time"), (120.0, "refined-peak"))]))
     own = onsets.select("user_id").distinct().select("user_id", tempo.alias("place", "t"))
     candidates = own.select("user_id", F.col("place").cast("long").alias("place"), "t.*", ((F.col("user_id") * (F.col("place") + 3)) % 7 / 7.0).alias("score"))
     return settled(beatgrids.tempo_scores(onsets, candidates, "user_id", "onset", 8.0, 1.0), "tempos")
@@ -1228,3 +1228,90 @@ def analysis_texts(spark, sf_dir: str) -> DataFrame:
   SELECT user_id, path, CAST(place AS INTEGER) AS place, path || CASE kind WHEN 'object' THEN ' must be an object.' WHEN 'array' THEN ' must be an array.' ELSE ' must be a finite number.' END AS message FROM v""")
 def analysis_violations(spark, sf_dir):
     return contracts.violation_rows(analysis_texts(spark, sf_dir), "user_id", "document")
+
+
+def _made_windows(name: str) -> str:
+    return f"""{name} AS (SELECT user_id, event_id AS "window", event_id * 10.0 AS start, event_id * 10.0 + event_id % 23 AS "end", CASE WHEN event_id % 19 > 0 THEN (event_id % 17) * 20.0 - 160 END AS offset_ms,
+    (event_id % 11) / 10.0 AS strength, (event_id % 13) / 12.0 AS readiness, CASE event_id % 7 WHEN 0 THEN 'Blocked' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS risk, event_id % 5 > 0 AS weak, event_id % 6 > 0 AS promising,
+    event_id % 4 > 0 AS correctable, CASE WHEN event_id % 8 > 0 THEN 'CandidateForExperimentalCorrection' ELSE 'DiagnosticOnly' END AS verdict, event_id % 9 AS n_reference, event_id % 9 + event_id % 3 AS n_candidate FROM events)"""
+
+
+_TRIED = f"""{_made_windows("w")},
+  j AS (SELECT *, coalesce(abs(n_candidate / nullif(n_reference, 0) - 1), 998) > 0.45 AS bad, coalesce(abs(offset_ms), 999) > 160 AS off, strength < 0.5 AS soft, readiness < 0.6 AS raw,
+    correctable AND promising AND risk IN ('Low', 'Medium') AND verdict = 'CandidateForExperimentalCorrection' AS asked FROM w),
+  x AS (SELECT *, CASE WHEN risk IN ('High', 'Blocked') THEN 'high-risk-window' WHEN "end" - start > 20 THEN 'window-duration-too-long' WHEN off THEN 'offset-too-large' WHEN soft THEN 'advisor-strength-too-low' WHEN raw THEN 'correction-readiness-too-low' WHEN bad THEN 'bad-count-ratio' END AS broken,
+    CASE WHEN asked THEN row_number() OVER (PARTITION BY user_id, asked ORDER BY readiness DESC, CASE WHEN risk = 'Low' THEN 0 ELSE 1 END, start) END AS place FROM j),
+  r AS (SELECT *, CASE WHEN place <= 8 THEN place END AS turn, CASE WHEN place <= 8 THEN broken END AS rejection, CASE WHEN place <= 8 THEN CASE WHEN broken IS NULL THEN 'CandidateCreated' ELSE 'Rejected' END END AS decision,
+    CASE WHEN NOT weak THEN 'not-weak-window' WHEN NOT promising THEN 'advisor-not-promising' WHEN NOT correctable AND risk = 'Blocked' THEN 'risk-blocked' WHEN NOT correctable AND risk = 'High' THEN 'risk-high' WHEN NOT correctable AND raw THEN 'correction-readiness-too-low'
+      WHEN NOT correctable AND soft THEN 'advisor-strength-too-low' WHEN NOT correctable AND bad THEN 'bad-count-ratio' WHEN NOT correctable AND off THEN 'offset-too-large' WHEN NOT correctable THEN 'future-correction-candidate-false' ELSE coalesce(broken, 'candidate-window') END AS blocker FROM x)"""
+
+
+def decided_windows(spark, sf_dir: str) -> DataFrame:
+    """Windows made from the events, so that every decision and blocker occurs, under the balanced profile."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        "user_id", e.alias("window"), (e * 10.0).alias("start"), (e * 10.0 + e % 23).alias("end"), F.when(e % 19 > 0, (e % 17) * 20.0 - 160).alias("offset_ms"), ((e % 11) / 10.0).alias("strength"), ((e % 13) / 12.0).alias("readiness"),
+        F.when(e % 7 == 0, "Blocked").when(e % 7 == 1, "High").when(e % 7 == 2, "Medium").otherwise("Low").alias("risk"), (e % 5 > 0).alias("weak"), (e % 6 > 0).alias("promising"), (e % 4 > 0).alias("correctable"),
+        F.when(e % 8 > 0, "CandidateForExperimentalCorrection").otherwise("DiagnosticOnly").alias("verdict"), (e % 9).alias("n_reference"), (e % 9 + e % 3).alias("n_candidate"),
+    )
+    return corrections.decisions(rows, "user_id", "balanced-probe")
+
+
+@query(f'WITH {_TRIED} SELECT user_id, "window", turn, decision, rejection, blocker FROM r')
+def correction_decisions(spark, sf_dir):
+    return decided_windows(spark, sf_dir).select("user_id", "window", F.col("turn").cast("long").alias("turn"), "decision", "rejection", "blocker")
+
+
+@query(f"""WITH {_TRIED}, b AS (SELECT user_id, blocker, count(*) AS n FROM r GROUP BY user_id, blocker),
+  t AS (SELECT user_id, string_agg(blocker || '=' || n, ',' ORDER BY blocker) AS blockers, array_to_string(list(blocker ORDER BY n DESC, blocker)[1:12], ',') AS top_blockers FROM b GROUP BY user_id)
+  SELECT user_id, count(*) AS n_windows, count(*) FILTER (weak) AS n_weak, count(turn) AS n_candidates, count(*) FILTER (decision = 'CandidateCreated') AS n_accepted, count(*) FILTER (decision = 'Rejected') AS n_rejected,
+    least(12, count(*) FILTER (weak OR promising OR readiness > 0)) AS n_shown, any_value(blockers) AS blockers, any_value(top_blockers) AS top_blockers FROM r JOIN t USING (user_id) GROUP BY user_id""")
+def correction_summary(spark, sf_dir):
+    out = corrections.correction_summary(decided_windows(spark, sf_dir), "user_id")
+    listed = F.array_join(F.transform(F.map_entries("blockers"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return out.withColumns({"blockers": listed, "top_blockers": F.array_join("top_blockers", ","), "n_shown": F.col("n_shown").cast("long")})
+
+
+@query()
+def tempo_candidates(spark, sf_dir):
+    rows = beats(spark, sf_dir).select("event_type", F.floor(F.col("start") / 1800).alias("hour"), "value").groupBy("event_type", "hour").agg(F.sum("value").alias("x"))
+    which = F.row_number().over(timeline.Window.partitionBy("event_type").orderBy("hour")) - 1
+    odf = timeline.onset_detection(rows.withColumn("frame", which), "event_type", "frame", "x")
+    return rounded(tracker.tempo_candidates(odf.select("event_type", "frame", "odf"), "event_type", "odf", 20.0), "bpm", "score")
+
+
+def tracked(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Beats of the users' feature frames; some users' durations are missing, some have a broken strength."""
+    rows = feature_frames(spark, sf_dir).select("user_id", "frame", F.when((F.pmod("user_id", F.lit(31)) == 3) & (F.col("frame") == 1), float("nan")).otherwise(F.col("onset")).alias("flux"), "onset")
+    tracks = rows.groupBy("user_id").agg((F.count("*") / 8.0).alias("duration")).withColumn("duration", F.when(F.pmod("user_id", F.lit(17)) > 0, F.col("duration")))
+    return tracker.track_beats(rows, tracks, "user_id", 8.0, tightness=1.0)
+
+
+@query()
+def tracked_beats(spark, sf_dir):
+    return rounded(tracked(spark, sf_dir)[0], "start", "confidence")
+
+
+@query()
+def tracked_summary(spark, sf_dir):
+    return rounded(tracked(spark, sf_dir)[1], "bpm")
+
+
+@query(f"""WITH {_BEATS}, u AS (SELECT DISTINCT user_id FROM events),
+  t AS (SELECT user_id, CASE user_id % 7 WHEN 0 THEN 'BuiltIn' WHEN 1 THEN 'Auto' WHEN 2 THEN 'Shadow' WHEN 3 THEN 'Hybrid' WHEN 4 THEN 'other' ELSE 'BeatThis' END AS provider, user_id % 2 = 0 AS fallback, CASE WHEN user_id % 3 = 0 THEN 'bpm-out-of-range' END AS failure,
+    EXISTS (SELECT 1 FROM b WHERE b.user_id = u.user_id AND event_type = 'click' AND b.user_id % 11 > 0) AS advised, EXISTS (SELECT 1 FROM b WHERE b.user_id = u.user_id AND event_type = 'purchase' AND b.user_id % 4 > 0) AS corrected FROM u),
+  r AS (SELECT *, CASE WHEN provider = 'BeatThis' AND NOT advised THEN 'beat-this-provider-not-configured' WHEN provider = 'BeatThis' AND failure IS NOT NULL THEN 'beat-this-guardrail-rejected:' || failure END AS reason FROM t),
+  c AS (SELECT *, CASE WHEN provider = 'other' THEN 'unsupported-provider' WHEN reason IS NOT NULL AND NOT fallback THEN 'provider-rejected' END AS code FROM r),
+  s AS (SELECT *, CASE WHEN code IS NOT NULL THEN NULL WHEN provider = 'BeatThis' AND reason IS NULL THEN 'advisor' WHEN provider = 'Hybrid' AND corrected THEN 'corrected' ELSE 'built-in' END AS source FROM c)
+  SELECT s.user_id, source, reason, code, count(start) AS n, round(coalesce(sum(start), 0), 3) AS total FROM s LEFT JOIN b ON b.user_id = s.user_id
+    AND (source = 'built-in' AND event_type = 'view' OR source = 'advisor' AND event_type = 'click' AND b.user_id % 11 > 0 OR source = 'corrected' AND event_type = 'purchase' AND b.user_id % 4 > 0) GROUP BY s.user_id, source, reason, code""")
+def provided_beats(spark, sf_dir):
+    rows = beats(spark, sf_dir).select("user_id", "start", F.lit(0.5).alias("confidence"), "event_type")
+    grid = lambda kind, n: rows.where((F.col("event_type") == kind) & (F.pmod("user_id", F.lit(n)) > 0 if n else F.lit(True)))
+    users = rows.select("user_id").distinct()
+    names = F.array(*map(F.lit, ("BuiltIn", "Auto", "Shadow", "Hybrid", "other", "BeatThis", "BeatThis")))
+    tracks = users.select("user_id", F.get(names, F.pmod("user_id", F.lit(7)).cast("int")).alias("provider"), (F.pmod("user_id", F.lit(2)) == 0).alias("fallback"))
+    failures = users.select("user_id", F.when(F.pmod("user_id", F.lit(3)) == 0, "bpm-out-of-range").alias("failure"))
+    final, told = tracker.provided(tracks, grid("view", 0), grid("click", 11), failures, grid("purchase", 4), "user_id")
+    sums = final.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("start").alias("total"))
+    return told.join(sums, "user_id", "left").select("user_id", "source", "reason", "code", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 3).alias("total"))
