@@ -24,10 +24,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import written
+from strophe.llm.common import free_name, written
 from strophe.llm.shingles import PLACES, WIDTH, WordHashes, circulant_signatures, mix, shingle_set, similar
 
 BANDS, ROWS = 32, 4
@@ -257,13 +257,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def versions(docs: DataFrame) -> Column:
+    """What tells the rows of ``docs`` with an id apart: the id, or where rows of one id have unlike texts,
+    a text that starts with the id and sorts like it, and ends with the digest of the row's text."""
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    own = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    if own.where("low <> high").isEmpty():
+        return F.col("doc_id")
+    place = (F.col("doc_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string")
+    return F.concat(F.lpad(place, 20, "0"), digest)
+
+
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that represent their component, one for each.
 
-    Rows that share a doc_id are versions of one document: of them the one with the least text,
-    null before all, stays (of equal texts any), on every run the same. Rows with a null doc_id all stay.
+    A row is told apart by its doc_id and text: rows with unlike texts stand for themselves even where they share
+    an id, and are dropped only for a link of their own text; of rows with equal id and text one stays. Of a
+    component the row with the least doc_id stays. Rows with a null doc_id all stay.
     """
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(written(kept, "kept"), "doc_id", "left_semi")
-    first = once.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("_row"))
+    row, known = free_name(docs, "_version"), docs.where("doc_id is not null")
+    mine = versions(docs)
+    kept = near_duplicates(known.select(mine.alias("doc_id"), "text"), percent).where("kept").select(F.col("doc_id").alias(row)).distinct()
+    once = known.withColumn(row, mine).join(written(kept, "kept"), row, "left_semi")
+    first = once.groupBy(row).agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("_row"))
     return first.select("_row.*").unionByName(docs.where("doc_id is null"))

@@ -294,7 +294,10 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows}
     assert len(rows) == len(ODD) and got[1] == (0, 1, True) and got[4] == (1, 3, False) and got[7][1] == 6 and got[None][1:] == (None, True)
     texts = spark.createDataFrame([(1, "b b b"), (1, "a a a"), (1, None), (2, "c"), (2, "c")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.text or "") for r in neardup.one_of_each(texts).collect()) == [(1, ""), (2, "c")]
+    assert sorted((r.doc_id, r.text or "") for r in neardup.one_of_each(texts).collect()) == [(1, ""), (1, "a a a"), (1, "b b b"), (2, "c")]
+    # a version goes only for a link of its own text, to the least id of the component
+    shared = spark.createDataFrame([(-5, "q r s t u"), (7, "one two three four five six"), (7, "q r s t u"), (9, "one two three four five six"), (9, "else"), (9, "else"), (None, "else")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.one_of_each(shared).collect()) == [(-5, "q r s t u"), (0, "else"), (7, "one two three four five six"), (9, "else")]
     assert sorted(x.doc_id for x in neardup.one_of_each(odd).where("doc_id is not null").collect()) == [1, 2, 3, 6, 8, 9]
     assert neardup.near_duplicates(none).count() == 0
 
@@ -536,3 +539,61 @@ def test_pipeline(spark):
     dirty = {r.doc_id for r in queries.op9_decontamination(spark, SF).where("contaminated").collect()}
     ids = {r.doc_id for r in rows.select("doc_id").distinct().collect()}
     assert ids and not ids & dirty
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Each stage's rows on its own input, against brute force or the query of its operator."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda rows: sorted((r.doc_id, r.text or "", r.lang or "", r.source or "", r.n_chars or 0) for r in rows)
+    held = docs.collect()
+    rejected = {r.doc_id for r in queries.op8_language_id(spark, SF).collect() if r.rejected}
+    known = common.written(stages["language"](spark, docs, SF), "known")
+    assert key(known.collect()) == key(r for r in held if r.doc_id not in rejected) and rejected
+
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows, sets = known.collect(), {}
+    for r in rows:
+        w = [x.decode() for x in (r.text or "").translate(fold).encode().split()]
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    least = {d: d for d in sets}
+
+    def top(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for a, b in ((a, b) for a in sets for b in sets if a < b):
+        both = len(sets[a] & sets[b])
+        if sets[a] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((top(a), top(b)))
+            least[y] = x
+    once = common.written(stages["near_duplicates"](spark, known, SF), "once")
+    assert key(once.collect()) == key(r for r in rows if top(r.doc_id) == r.doc_id) and once.count() < len(rows)
+
+    cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = cut.findall((r.text or "").translate(fold))
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+
+    def leaks(text):
+        w = cut.findall((text or "").translate(fold))
+        return any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    clean = common.written(stages["decontaminate"](spark, once, SF), "clean")
+    assert key(clean.collect()) == key(r for r in once.collect() if not leaks(r.text)) and clean.count() < once.count()
+
+    mixed = common.written(stages["mix"](spark, clean, SF), "mixed")
+    copies = {r.doc_id: r.copies for r in mixing.mix(clean).collect()}
+    assert key(mixed.collect()) == key(r for r in clean.collect() for _ in range(copies[r.doc_id]))
+
+    sharded = stages["shard"](spark, mixed, SF).collect()
+    assert key(sharded) == key(mixed.collect())
+    slots, loads = {}, {}
+    for r in sharded:
+        slots.setdefault(r.shard, []).append(r.slot)
+        loads[r.shard] = loads.get(r.shard, 0) + len((r.text or "").encode()) + 1
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) == set(range(8))
+    assert max(loads.values()) - min(loads.values()) <= 2 * max(len((r.text or "").encode()) + 1 for r in sharded)
