@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,11 +38,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
-def nearest_rank(ordered: Column, p: float) -> Column:
-    """The element of a sorted array at index bround((n - 1) * p): half goes to even."""
-    return F.element_at(ordered, (F.bround((F.size(ordered) - 1) * F.lit(p), 0) + 1).cast("int"))
-
-
 def similarity_threshold(similarity: Column) -> Column:
     """Distance threshold of a similarity: straight lines through (0.78, 95), (0.86, 80) and
     (0.92, 70), carried on past the ends; input held to 0.65..0.95, result to 1..100."""
@@ -49,13 +47,26 @@ def similarity_threshold(similarity: Column) -> Column:
     return clamp(F.bround(F.when(s <= 0.86, low).otherwise(high), 0), 1.0, 100.0)
 
 
+@cache
+def plain_letters() -> tuple[str, str]:
+    """Characters that are one character with marks, and that character, by the canonical
+    decomposition of each code point up to U+FFFF."""
+    bare = {}
+    for k in range(0x80, 0x10000):
+        parts = [c for c in unicodedata.normalize("NFD", chr(k)) if unicodedata.category(c)[0] != "M"]
+        if len(parts) == 1 and parts[0] != chr(k):
+            bare[chr(k)] = parts[0]
+    return "".join(bare), "".join(bare.values())
+
+
 def slug(x: Column, fallback: str = "local-audio") -> Column:
-    """Lower-case id: runs of blanks and of - _ . become one dash, other signs go.
+    """Lower-case id of letters and digits without their marks: runs of blanks and of - _ . become one
+    dash, other signs and characters beyond U+FFFF go.
 
-    Accents on Latin letters are folded with a fixed table, so no Python runs.
+    Precomposed letters are mapped by the Unicode tables, as a literal in the plan, so no Python runs. Hangul
+    syllables, which come apart to several letters, stay whole.
     """
-    accented, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    text = F.translate(F.lower(F.trim(x)), accented, plain)
-    text = F.regexp_replace(F.regexp_replace(text, r"[\s\-_.]+", "-"), r"[^a-z0-9\-]", "")
+    text = F.lower(F.regexp_replace(F.translate(x, *plain_letters()), r"[\p{Mn}\x{10000}-\x{10FFFF}]", ""))
+    text = F.regexp_replace(F.regexp_replace(text, r"[\s\p{Z}\x{85}\-_.]+", "-"), r"[^\p{L}\p{Nd}\-]", "")
     text = F.regexp_replace(F.regexp_replace(text, r"-{2,}", "-"), r"^-+|-+$", "")
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(fallback)).otherwise(text)

@@ -496,8 +496,8 @@ def recents_topn(spark, sf_dir):
     return cache.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), F.lower("event_type"), [F.desc("event_id")], 3, "user_id")
 
 
-@query("""SELECT page_id, CASE WHEN s = '' THEN 'local-audio' ELSE s END AS slug FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(trim(regexp_extract(coalesce(html, ''), '<title>(.*?)</title>', 1))),
-  'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\s\\-_.]+', '-', 'g'), '[^a-z0-9\\-]', '', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM pages)""")
+@query("""SELECT page_id, CASE WHEN s = '' THEN 'local-audio' ELSE s END AS slug FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(regexp_extract(coalesce(html, ''), '<title>(.*?)</title>', 1))),
+  '[\\s\\pZ\\-_.]+', '-', 'g'), '[^\\pL\\p{Nd}\\-]', '', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM pages)""")
 def title_slug(spark, sf_dir):
     title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>(.*?)</title>", 1)
     return table(spark, sf_dir, "pages").select("page_id", C.slug(title).alias("slug"))
