@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.functions.columns import clamp, similarity_threshold
+
 
 def cache_keys(df: DataFrame, identity: list[str], analysis: list[str], branch: list[str], runtime: list[str]) -> DataFrame:
     """Adds analysis_key, branch_key and runtime_key, each the hash of the key above it and
@@ -38,6 +42,36 @@ def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return changes.unionByName(table.join(changes.select(key).distinct(), key, "left_anti"))
 
 
-def misses(inputs: DataFrame, cached: DataFrame, key: str) -> DataFrame:
-    """Inputs whose key isn't cached: what has to be computed."""
-    return inputs.join(cached.select(key).distinct(), key, "left_anti")
+#: Bounds of the options of a runtime, and what an empty preset or quantum stands for.
+BOUNDS = {"similarity": (0.65, 0.95), "look_ahead": (1, 5), "min_jump": (4, 64), "max_branches": (1, 12), "jump_probability": (0.0, 1.0), "jump_cooldown": (0, 64), "first_pass": (0.0, 1.0)}
+DEFAULTS = {"preset": "Balanced", "quantum": "beats"}
+EXACT, COMPATIBLE, MISS = "exact", "compatible", "miss"
+
+
+def runtime_options(df: DataFrame) -> DataFrame:
+    """The options of BOUNDS and DEFAULTS as a runtime takes them, and max_threshold from the similarity."""
+    held = {x: clamp(F.col(x), low, high) for x, (low, high) in BOUNDS.items()}
+    named = {x: F.when(F.trim(F.coalesce(F.col(x), F.lit(""))) == "", F.lit(default)).otherwise(F.col(x)) for x, default in DEFAULTS.items()}
+    return df.withColumns({**held, **named, "max_threshold": similarity_threshold(held["similarity"])})
+
+
+def lookup(inputs: DataFrame, index: DataFrame, key: str, identity: list[str], created: str) -> DataFrame:
+    """``inputs`` with outcome and item: the cached item of ``index`` that an input may use.
+
+    Both have branch_key, runtime_key and the columns ``identity`` of the file; ``index`` has item, ``created`` and
+    available (whether its files are there). The newest item of the input's runtime key is exact if it is of the same
+    file and available. Else the newest item of the same file and branch key with another runtime key is compatible, if
+    available: its options have to be built anew (``runtime_options``). Else it is a miss. Keys match whatever
+    their case. A runtime key hangs on its branch key, so one join by branch key finds both, and each input keeps
+    the best of its items as they come, not a list of them. ``key`` names an input.
+    """
+    names = [*identity, "runtime_key", "item", "available"]
+    items = index.select(F.lower("branch_key").alias("_branch"), F.struct(*names).alias("_item"), F.col(created).alias("_created"))
+    rows = inputs.withColumn("_branch", F.lower("branch_key")).join(items, "_branch", "left")
+    match = F.lower("_item.runtime_key") == F.lower("runtime_key")
+    same = reduce(lambda a, b: a & b, (F.col(f"_item.{x}").eqNullSafe(F.col(x)) for x in identity))
+    newest = lambda test: F.max_by(F.struct(F.col("_item.item").alias("item"), (F.col("_item.available") & same).alias("fine")), F.when(test, F.struct(F.col("_created"), F.col("_item.item"))))
+    best = rows.groupBy(key).agg(newest(match).alias("_exact"), newest(~match & same).alias("_near"))
+    exact, near = F.coalesce(F.col("_exact.fine"), F.lit(False)), F.coalesce(F.col("_near.fine"), F.lit(False))
+    found = best.select(key, F.when(exact, EXACT).when(near, COMPATIBLE).otherwise(MISS).alias("outcome"), F.when(exact, F.col("_exact.item")).when(near, F.col("_near.item")).alias("item"))
+    return inputs.join(found, key)

@@ -1315,3 +1315,22 @@ def provided_beats(spark, sf_dir):
     final, told = tracker.provided(tracks, grid("view", 0), grid("click", 11), failures, grid("purchase", 4), "user_id")
     sums = final.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("start").alias("total"))
     return told.join(sums, "user_id", "left").select("user_id", "source", "reason", "code", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 3).alias("total"))
+
+
+@query("""WITH i AS (SELECT user_id, event_id AS item, user_id % 7 AS size, 'b' || event_id % 5 || '-' || user_id AS branch_key, 'r' || event_id % 20 || '-' || user_id AS runtime_key, event_id % 3 > 0 AS available FROM events WHERE event_type = 'view'),
+  n AS (SELECT user_id, event_id, user_id % 7 + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS size, 'b' || event_id % 5 || '-' || user_id AS branch_key, 'r' || event_id % 20 || '-' || user_id AS runtime_key, value / 100 AS similarity, event_id % 9 AS look_ahead, event_id % 100 AS min_jump FROM events WHERE event_type = 'click'),
+  x AS (SELECT n.*, (SELECT max(item) FROM i WHERE i.branch_key = n.branch_key AND i.runtime_key = n.runtime_key) AS e, (SELECT max(item) FROM i WHERE i.branch_key = n.branch_key AND i.runtime_key <> n.runtime_key AND i.user_id = n.user_id AND i.size = n.size) AS c FROM n),
+  y AS (SELECT x.*, coalesce(ie.available AND ie.size = x.size, false) AS exact, coalesce(ic.available, false) AS near FROM x LEFT JOIN i ie ON ie.item = e LEFT JOIN i ic ON ic.item = c),
+  z AS (SELECT *, least(greatest(similarity, 0.65), 0.95) AS s FROM y)
+  SELECT event_id, CASE WHEN exact THEN 'exact' WHEN near THEN 'compatible' ELSE 'miss' END AS outcome, CASE WHEN exact THEN e WHEN near THEN c END AS item,
+    CASE WHEN NOT exact AND near THEN least(greatest(look_ahead, 1), 5) END AS look_ahead, CASE WHEN NOT exact AND near THEN least(greatest(min_jump, 4), 64) END AS min_jump,
+    CASE WHEN NOT exact AND near THEN least(greatest(round_even(CASE WHEN s <= 0.86 THEN 95 + (s - 0.78) / 0.08 * -15 ELSE 80 + (s - 0.86) / 0.06 * -10 END, 0), 1), 100) END AS max_threshold FROM z""")
+def cache_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    keys = lambda letter: [F.concat(F.lit(letter), (F.col("event_id") % 5).cast("string"), F.lit("-"), F.col("user_id").cast("string")).alias("branch_key"), F.concat(F.lit("R" if letter == "B" else "r"), (F.col("event_id") % 20).cast("string"), F.lit("-"), F.col("user_id").cast("string")).alias("runtime_key")]
+    index = rows.where("event_type = 'view'").select("user_id", (F.col("user_id") % 7).alias("size"), *keys("b"), F.col("event_id").alias("item"), F.col("event_id").alias("created"), (F.col("event_id") % 3 > 0).alias("available"))
+    options = {"similarity": F.col("value") / 100, "look_ahead": F.col("event_id") % 9, "min_jump": F.col("event_id") % 100, "max_branches": F.lit(4), "jump_probability": F.lit(0.5), "jump_cooldown": F.lit(8), "first_pass": F.lit(0.0), "preset": F.lit(""), "quantum": F.lit(None).cast("string")}
+    inputs = rows.where("event_type = 'click'").select("event_id", "user_id", (F.col("user_id") % 7 + F.when(F.col("event_id") % 13 == 0, 1).otherwise(0)).alias("size"), *keys("B"), *[c.alias(x) for x, c in options.items()])
+    found = cache.runtime_options(cache.lookup(inputs, index, "event_id", ["user_id", "size"], "created"))
+    rebuilt = lambda x, kind: F.when(F.col("outcome") == cache.COMPATIBLE, F.col(x)).cast(kind).alias(x)
+    return found.select("event_id", "outcome", "item", rebuilt("look_ahead", "long"), rebuilt("min_jump", "long"), rebuilt("max_threshold", "double"))
