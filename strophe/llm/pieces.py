@@ -33,7 +33,7 @@ from strophe.llm.common import with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, AT_ONCE, SQUARE = 600_000, 1_000_000, 8_000
+CACHE, AT_ONCE, SQUARE = 500_000, 250_000, 8_000
 #: Characters up to which a stretch is merged without a heap; the cost of no pair.
 SHORT, NONE = 64, float("inf")
 #: Types of pieces in a model file (fixed values of the format).
