@@ -33,7 +33,7 @@ from strophe.llm.common import with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, AT_ONCE, SQUARE = 500_000, 250_000, 8_000
+CACHE, AT_ONCE, SQUARE = 600_000, 250_000, 8_000
 #: Characters up to which a stretch is merged without a heap; the cost of no pair.
 SHORT, NONE = 64, float("inf")
 #: Types of pieces in a model file (fixed values of the format).
@@ -142,35 +142,26 @@ class Model:
         self.known = Merged(self)
 
     @cached_property
-    def _neighbours(self) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each character of a piece (0: none), and the neighbours inside pieces as
-        sorted products of these numbers."""
+    def _neighbours(self) -> tuple[np.ndarray, int, np.ndarray]:
+        """A number for each character of a piece (0: none), how many there are, and the neighbours inside pieces:
+        up to SQUARE characters a table at first * many + second, else these places, sorted."""
         chars = sorted(set().union(*self.ids))
-        number = np.zeros(0x110000, np.int64)
-        number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        number, many = np.zeros(0x110000, np.int32), len(chars) + 1
+        number[[ord(c) for c in chars]] = np.arange(1, many)
         inside = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        pairs = np.array(sorted(number[ord(a)] << 21 | number[ord(b)] for a, b in inside) or [-1])
-        return number, pairs
-
-    @cached_property
-    def _near(self) -> np.ndarray | None:
-        """The neighbours as a square table, for alphabets of up to SQUARE characters."""
-        number, pairs = self._neighbours
-        size = int(number.max()) + 1
-        if size > SQUARE:
-            return None
-        table = np.zeros((size, size), bool)
-        table[pairs >> 21, pairs & (1 << 21) - 1] = pairs >= 0
-        return table
+        places = np.array(sorted(int(number[ord(a)]) * many + int(number[ord(b)]) for a, b in inside), np.int64)
+        if many > SQUARE:
+            return number, many, places
+        table = np.zeros(many * many, bool)
+        table[places] = True
+        return number, many, table
 
     def stretches(self, text: str) -> list[str]:
         """A normalised text cut between all characters that are neighbours in no piece."""
-        number, pairs = self._neighbours
-        codes = number[np.frombuffer(text.encode("utf-32-le"), "<u4")]
-        if self._near is not None:
-            near = self._near[codes[:-1], codes[1:]]
-        else:
-            near = np.isin(codes[:-1] << 21 | codes[1:], pairs)
+        number, many, known = self._neighbours
+        codes = number.take(np.frombuffer(text.encode("utf-32-le"), np.int32))
+        places = codes[:-1] * (many if known.dtype == bool else np.int64(many)) + codes[1:]
+        near = known.take(places) if known.dtype == bool else np.isin(places, known)
         cuts = (np.flatnonzero(~near) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 

@@ -177,10 +177,13 @@ def test_long_stretches_merge_as_short_ones():
     for _ in range(300):
         part = [rnd.choice("▁aenrstio") for _ in range(rnd.randrange(40))]
         assert own.joined(list(part)) == own.joined_long(list(part))
-    table, own.__dict__["_near"] = own._near, None
-    assert own.stretches("▁the▁end,.\n日x") and (cut := own.stretches("▁the▁end,.\n日x"))
-    own.__dict__["_near"] = table
-    assert own.stretches("▁the▁end,.\n日x") == cut
+    text, number_of = "▁the▁end,.\n日x▁▁ß", own._neighbours
+    cut = own.stretches(text)
+    with open(pieces.MODEL, "rb") as f:
+        large = pieces.Model(f.read())
+    number, many, table = number_of
+    large.__dict__["_neighbours"] = number, many, np.flatnonzero(table)
+    assert large.stretches(text) == cut and "".join(cut) == text and len(cut) > 4
 
 
 def test_other_models_are_refused():
