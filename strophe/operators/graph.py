@@ -397,6 +397,36 @@ def branch_counts(edges: DataFrame, track: str, short: int = 16, very_short: int
     )
 
 
+def short_pairs(quanta: DataFrame, track: str, vector: str, scale: float, short: int = 16) -> DataFrame:
+    """track, src, dst, distance of all pairs that jump less than ``short``, whatever their distance.
+
+    Joined by track and place, so the work is linear in a track's quanta and no task holds a track.
+    """
+    steps = F.array(*[F.lit(k) for k in range(1 - short, short) if k])
+    left = quanta.select(track, F.col("which").alias("src"), F.col("index_in_parent").alias("_i"), F.col(vector).alias("_a"), F.explode(steps).alias("_step")).withColumn("dst", F.col("src") + F.col("_step"))
+    right = quanta.select(track, F.col("which").alias("dst"), F.col("index_in_parent").alias("_j"), F.col(vector).alias("_b"))
+    penalty = F.when(F.col("_i") == F.col("_j"), 0.0).otherwise(MISSING_PENALTY)
+    return left.join(right, [track, "dst"]).select(track, "src", "dst", (scale * l2(F.col("_a"), F.col("_b")) + penalty).alias("distance"))
+
+
+def branch_diagnostics(short: DataFrame, candidates: DataFrame, pruned: DataFrame, sizes: DataFrame, track: str) -> DataFrame:
+    """Per track of ``sizes``: n_candidates, n_active, n_removed, n_risk and n_rejected, 0 where it has none.
+
+    ``short`` is ``short_pairs`` with the scores of ``structural_score``: only short jumps are ever rejected,
+    and they are counted before the look at their distance. ``candidates`` are a source's neighbours, ``pruned``
+    the edges with the mark of ``prune_clusters``; risk counts the active ones that may loop in place.
+    """
+    live = ~F.col("deleted")
+    found = [
+        candidates.groupBy(track).agg(F.count("*").alias("n_candidates")), short.where("decision = 'rejected'").groupBy(track).agg(F.count("*").alias("n_rejected")),
+        pruned.groupBy(track).agg(F.count_if(live).alias("n_active"), F.count_if("deleted").alias("n_removed"), F.count_if(live & F.col("local_loop")).alias("n_risk")),
+    ]
+    rows = sizes.select(track)
+    for counts in found:
+        rows = rows.join(counts, track, "left")
+    return rows.na.fill(0, ["n_candidates", "n_active", "n_removed", "n_risk", "n_rejected"])
+
+
 def self_similarity_novelty(quanta: DataFrame, track: str, vector: str, r: int = 4) -> DataFrame:
     """track, which, novelty: a checkerboard with Gaussian taper run down the diagonal of the
     track's cosine self-similarity. Only pairs inside the kernel are made."""

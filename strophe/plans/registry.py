@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import columns as C
-from strophe.operators import beatgrids, cache, checks, contracts, corrections, escape, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, neighbours, resample, segments, summaries, timeline, tracker, walk
+from strophe.operators import beatgrids, cache, checks, contracts, corrections, escape, evidence, folds, frames, graph, grids, hierarchy, hybrid, joins, neighbours, resample, segments, settings, summaries, timeline, tracker, walk
 from strophe.plans.tables import settled
-from strophe.sources import exports
+from strophe.sources import audio, exports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1334,3 +1334,67 @@ def cache_lookup(spark, sf_dir):
     found = cache.runtime_options(cache.lookup(inputs, index, "event_id", ["user_id", "size"], "created"))
     rebuilt = lambda x, kind: F.when(F.col("outcome") == cache.COMPATIBLE, F.col(x)).cast(kind).alias(x)
     return found.select("event_id", "outcome", "item", rebuilt("look_ahead", "long"), rebuilt("min_jump", "long"), rebuilt("max_threshold", "double"))
+
+
+#: The short pairs of a track, scored, with no limit of distance.
+_SHORT = _SCORED.replace(_RAW, _QUANTA + """,
+p AS (SELECT a.label, a.which AS src, b.which AS dst, 50 * list_distance(a.v, b.v) + CASE WHEN a.which % 4 = b.which % 4 THEN 0 ELSE 100 END AS distance
+  FROM q a JOIN q b ON a.label = b.label AND a.which <> b.which AND abs(a.which - b.which) < 16)""")
+
+
+@query(f"""SELECT label, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_active, 0) AS n_active, coalesce(n_removed, 0) AS n_removed, coalesce(n_risk, 0) AS n_risk, n_rejected
+  FROM (WITH {_SHORT} SELECT label, count_if(rejected) AS n_rejected FROM sc GROUP BY label) LEFT JOIN (WITH {_PAIRS} SELECT label, count(*) AS n_candidates FROM k GROUP BY label) USING (label)
+  LEFT JOIN (WITH {_EDGES}, {_PRUNED.replace("distance, n, loc", "distance, n, lp, loc")} SELECT label, count_if(NOT deleted) AS n_active, count_if(deleted) AS n_removed, count_if(NOT deleted AND lp) AS n_risk FROM d GROUP BY label) USING (label)""")
+def branch_diagnostics(spark, sf_dir):
+    q, n, near, _, edges = similarity_graph(spark, sf_dir)
+    short = graph.structural_score(graph.short_pairs(q, "label", "v", 50.0), n, "label")
+    return graph.branch_diagnostics(short, near, graph.prune_clusters(edges, "label"), n, "label")
+
+
+#: The settings document of an event: former presets, own values, a cut text, a wrong type, none.
+_OWN_TUNING = """'{"SettingsSchemaVersion": ' || event_id % 8 || ', "Tuning": {"Preset": "wild", "SimilarityThreshold": 0.' || (60 + event_id % 40) || ', "LookaheadDepth": ' || event_id % 9 || ', "MinJumpDistance": ' || event_id % 90 || ', "JumpCooldown": ' || event_id % 80 || ', "AnalysisBeatProvider": "CLASSIC"}}'"""
+_SETTINGS_TEXT = f"""CASE event_id % 9
+  WHEN 0 THEN '{{"SettingsSchemaVersion": ' || user_id % 7 || ', "Tuning": {{"Preset": "balanced", "SimilarityThreshold": 0.86, "LookaheadDepth": 4, "MinJumpDistance": 20, "MaxBranchesPerBeat": 4, "BranchMaxThreshold": 80}}}}'
+  WHEN 1 THEN '{{"SettingsSchemaVersion": ' || user_id % 7 || ', "Tuning": {{"Preset": "Conservative", "SimilarityThreshold": 0.92, "LookaheadDepth": 2, "MinJumpDistance": 16, "MaxBranchesPerBeat": 2, "JumpProbability": 0.14, "JumpCooldown": 16, "FirstPassLinearPlaybackRatio": 0.82}}}}'
+  WHEN 2 THEN '{{"SettingsSchemaVersion": ' || user_id % 7 || ', "Tuning": {{"Preset": "Balanced", "MaxBranchesPerBeat": 4, "JumpProbability": 0.22, "JumpCooldown": 12, "FirstPassLinearPlaybackRatio": 0.78}}}}'
+  WHEN 3 THEN '{{"SettingsSchemaVersion": ' || user_id % 7 || ', "Theme": "Light", "Tuning": {{"Preset": "WILD", "SimilarityThreshold": 0.78, "MaxBranchesPerBeat": 6, "JumpProbability": 0.42, "JumpCooldown": 6, "FirstPassLinearPlaybackRatio": 0.7}}}}'
+  WHEN 4 THEN {_OWN_TUNING} WHEN 5 THEN substr({_OWN_TUNING}, 1, 40) WHEN 6 THEN '{{"Tuning": {{"LookaheadDepth": "' || event_id % 5 || '"}}}}' WHEN 7 THEN '{{"Theme": "' || event_type || '", "Tuning": null}}' END"""
+
+
+@query(f"""WITH t AS (SELECT event_id, {_SETTINGS_TEXT} AS text FROM events),
+  j AS (SELECT event_id, text, CASE WHEN json_valid(text) THEN CAST(text AS JSON) END AS j FROM t),
+  f AS (SELECT event_id, text, text IS NOT NULL AND (j IS NULL OR coalesce(json_type(j, '$.Tuning.LookaheadDepth') = 'VARCHAR', false)) AS corrupt, j FROM j),
+  v AS (SELECT event_id, CASE WHEN corrupt THEN text END AS corrupt, CASE WHEN NOT corrupt THEN j END AS j FROM f),
+  w AS (SELECT event_id, corrupt, coalesce(CAST(json_extract(j, '$.SettingsSchemaVersion') AS INT), 6) AS version, coalesce(json_extract_string(j, '$.Theme'), 'Dark') AS theme,
+    coalesce(json_extract_string(j, '$.Tuning.Preset'), 'Balanced') AS preset, coalesce(CAST(json_extract(j, '$.Tuning.SimilarityThreshold') AS DOUBLE), 0.86) AS similarity,
+    coalesce(CAST(json_extract(j, '$.Tuning.LookaheadDepth') AS INT), 1) AS look_ahead, coalesce(CAST(json_extract(j, '$.Tuning.MinJumpDistance') AS INT), 4) AS min_jump,
+    coalesce(CAST(json_extract(j, '$.Tuning.MaxBranchesPerBeat') AS INT), 6) AS max_branches, coalesce(CAST(json_extract(j, '$.Tuning.JumpProbability') AS DOUBLE), 0.85) AS jump_probability,
+    coalesce(CAST(json_extract(j, '$.Tuning.JumpCooldown') AS INT), 4) AS jump_cooldown, coalesce(CAST(json_extract(j, '$.Tuning.FirstPassLinearPlaybackRatio') AS DOUBLE), 0.1) AS first_pass,
+    coalesce(json_extract_string(j, '$.Tuning.AnalysisBeatProvider'), 'Enhanced') AS provider FROM v),
+  x AS (SELECT *, CASE
+    WHEN version < 4 AND lower(preset) = 'balanced' AND look_ahead = 4 AND min_jump = 20 AND max_branches = 4 AND abs(similarity - 0.86) < 1e-4 THEN 'Balanced'
+    WHEN version < 5 AND lower(preset) = 'conservative' AND (look_ahead, min_jump, max_branches, jump_cooldown) = (2, 16, 2, 16) AND abs(jump_probability - 0.14) < 1e-4 AND abs(first_pass - 0.82) < 1e-4 THEN 'Conservative'
+    WHEN version < 5 AND lower(preset) = 'balanced' AND (look_ahead, min_jump, max_branches, jump_cooldown) = (1, 4, 4, 12) AND abs(jump_probability - 0.22) < 1e-4 AND abs(first_pass - 0.78) < 1e-4 THEN 'Balanced'
+    WHEN version < 5 AND lower(preset) = 'wild' AND (look_ahead, min_jump, max_branches, jump_cooldown) = (1, 4, 6, 6) AND abs(jump_probability - 0.42) < 1e-4 AND abs(first_pass - 0.7) < 1e-4 THEN 'Wild' END AS new FROM w),
+  presets(name, s, l, m, b, p, c, r) AS (VALUES ('Conservative', 0.92, 2, 16, 2, 0.35, 12, 0.5), ('Balanced', 0.86, 1, 4, 6, 0.85, 4, 0.1), ('Wild', 0.78, 1, 4, 8, 1.0, 0, 0.0)),
+  y AS (SELECT event_id, corrupt, greatest(version, 6) AS schema_version, theme, CASE lower(coalesce(new, preset)) WHEN 'conservative' THEN 'Conservative' WHEN 'wild' THEN 'Wild' ELSE 'Balanced' END AS preset,
+    CAST(coalesce(s, least(greatest(similarity, 0.65), 0.95)) AS DOUBLE) AS similarity, coalesce(l, least(greatest(look_ahead, 1), 5)) AS look_ahead, coalesce(m, least(greatest(min_jump, 4), 64)) AS min_jump,
+    coalesce(b, max_branches) AS max_branches, CAST(coalesce(p, jump_probability) AS DOUBLE) AS jump_probability, coalesce(c, least(jump_cooldown, 64)) AS jump_cooldown, CAST(coalesce(r, first_pass) AS DOUBLE) AS first_pass,
+    CASE WHEN new IS NOT NULL OR lower(provider) <> 'classic' THEN 'Enhanced' ELSE 'Classic' END AS provider FROM x LEFT JOIN presets ON name = new)
+  SELECT *, CAST(least(greatest(round_even(CASE WHEN similarity <= 0.86 THEN 95 + (similarity - 0.78) / 0.08 * -15 ELSE 80 + (similarity - 0.86) / 0.06 * -10 END, 0), 1), 100) AS INT) AS max_threshold FROM
+    (SELECT * REPLACE (least(greatest(similarity, 0.65), 0.95) AS similarity) FROM y)""")
+def settings_migration(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_SETTINGS_TEXT).alias("text"))
+    return settings.migrated(settings.read_settings(rows, "text")).drop("text", "quantum", "musical_quality")
+
+
+_INPUT_PATHS = "CASE doc_id % 8 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE '/music.d/' || source || '/' || doc_id || CASE doc_id % 8 WHEN 2 THEN '.flac' WHEN 3 THEN '' WHEN 4 THEN '.MP3' ELSE '.wav' END END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_INPUT_PATHS} AS path, doc_id % 5 > 0 AS there, n_chars * least(doc_id % 3, 1) AS size FROM documents)
+  SELECT doc_id, CASE WHEN coalesce(trim(path), '') = '' THEN 'input_invalid' WHEN NOT regexp_matches(lower(path), '[.](mp3|wav|m4a|aac)$') THEN 'unsupported_audio_format'
+    WHEN NOT there THEN 'input_not_found' WHEN size = 0 THEN 'input_empty_file' WHEN doc_id % 11 = 0 THEN 'input_access_denied' END AS code FROM d""")
+def checked_inputs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("path", F.expr(_INPUT_PATHS))
+    found = rows.where("doc_id % 5 > 0 AND path IS NOT NULL").select("path", F.expr("n_chars * least(doc_id % 3, 1)").alias("size"), F.when(F.col("doc_id") % 11 == 0, audio.DENIED).alias("failure"))
+    return audio.checked_inputs(rows.select("doc_id", "path"), found).select("doc_id", "code")
