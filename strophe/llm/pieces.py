@@ -7,8 +7,9 @@ scores (best score first, then leftmost), and every piece is projected to the by
 original text it stands for. A character that is no piece becomes its bytes, of which the last
 one has the character's span.
 
-Cuts repeat, so a task merges each distinct one once (``CACHE`` of them are kept) and looks up
-the rest. Texts are encoded about ``AT_ONCE`` characters at a time.
+Cuts repeat, so a task keeps about ``CACHE`` of them merged. Texts are encoded about ``AT_ONCE``
+characters at a time, and the cuts of these that aren't known are merged together: as rows of a table, where each
+step merges the best pair of every row.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text. The model is a
 byte-pair model with byte fallback and without user-defined symbols; another one is refused. Rows
@@ -22,7 +23,6 @@ import codecs
 import heapq
 import re
 from functools import cache, cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from strophe.llm.common import with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, AT_ONCE, SQUARE = 600_000, 1_000_000, 8_000
+CACHE, AT_ONCE, SQUARE, ROWS, FEW = 500_000, 1_000_000, 8_000, 4_096, 64
 #: Characters up to which a stretch is merged without a heap; the cost of no pair.
 SHORT, NONE = 64, float("inf")
 #: Types of pieces in a model file (fixed values of the format).
@@ -110,19 +110,14 @@ class CharacterMap:
 
 
 class Merged(dict):
-    """The pieces of each stretch seen; emptied when it holds CACHE of them."""
+    """The pieces of stretches that were learnt; others are merged as they are asked for."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.merged = model.merged
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        found = self.merged(stretch)
-        if len(stretch) <= SHORT:
-            self[stretch] = found
-        return found
+    def __missing__(self, stretch: str) -> bytes:
+        return self.merged(stretch)
 
 
 class Model:
@@ -225,8 +220,8 @@ class Model:
             offer(left, after[left])
         return [x for x in part if x]
 
-    def merged(self, stretch: str) -> tuple[int, ...]:
-        """The pieces of a stretch, each as its id and its characters << SHIFT."""
+    def merged(self, stretch: str) -> bytes:
+        """The pieces of a stretch, each as its id and its characters << SHIFT in eight bytes."""
         out = []
         for p in (self.joined if len(stretch) <= SHORT else self.joined_long)(list(stretch)):
             if (known := self.ids.get(p)) is not None:
@@ -234,15 +229,97 @@ class Model:
             else:
                 own = [self.bytes[b] for b in p.encode()]
                 out += [*own[:-1], own[-1] | len(p) << SHIFT]
-        return tuple(out)
+        return np.array(out, np.int64).tobytes()
+
+    @cached_property
+    def _symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols are pieces and the characters in them, numbered from 1: that of each character (0: none), the sorted
+        pairs first * many + second that make a piece and that piece, and for each symbol its cost and packed form."""
+        names = [*self.ids, *sorted(set().union(*self.ids) - self.ids.keys())]
+        symbol, many = {x: k for k, x in enumerate(names, 1)}, len(names) + 1
+        pairs = sorted((symbol[p[:k]] * many + symbol[p[k:]], symbol[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol)
+        of_char = np.zeros(0x110000, np.int32)
+        single = [x for x in names if len(x) == 1]
+        of_char[[ord(x) for x in single]] = [symbol[x] for x in single]
+        costs, packed = np.full(many, NONE, np.float32), np.full(many, -1, np.int64)
+        costs[1 : len(self.ids) + 1] = [self.cost[x] for x in self.ids]
+        packed[1 : len(self.ids) + 1] = [k | len(x) << SHIFT for x, k in self.ids.items()]
+        keys, makes = np.array([*pairs, (many * many, 0)], np.int64).T
+        return of_char, np.ascontiguousarray(keys), makes.astype(np.int32), costs, packed
+
+    def _made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbol that two make, 0 if none."""
+        _, keys, makes, costs, _ = self._symbols
+        wanted = left.astype(np.int64) * len(costs) + right
+        at = np.searchsorted(keys, wanted)
+        return np.where(keys.take(at) == wanted, makes.take(at), 0)
+
+    def _merged_rows(self, stretches: list[str]) -> list[bytes]:
+        """``merged`` of stretches, all at once. Columns stand for their characters, with an empty one on either side;
+        a pair is held in the column of its first symbol, and a symbol in that of its first character."""
+        of_char, _, _, costs, packed = self._symbols
+        sizes = np.array([len(x) for x in stretches])
+        n, width = len(stretches), int(sizes.max())
+        place = np.arange(1, width + 1)
+        alive = np.zeros((n, width + 2), bool)
+        alive[:, 1:-1] = place <= sizes[:, None]
+        symbols = np.zeros((n, width + 2), np.int32)
+        symbols[alive] = of_char.take(np.frombuffer("".join(stretches).encode("utf-32-le"), np.int32))
+        made = np.zeros_like(symbols)
+        inner = alive[:, :-1] & alive[:, 1:]
+        made[:, :-1][inner] = self._made(symbols[:, :-1][inner], symbols[:, 1:][inner])
+        cost = costs.take(made)
+        after, before = (np.tile(np.arange(width + 2, dtype=np.int16) + k, (n, 1)) for k in (1, -1))
+        after[:, -1], before[:, 0] = width + 1, 0
+        rows = np.arange(n)
+        while len(rows):
+            best = cost[rows].argmin(1)
+            found = cost[rows, best] < NONE
+            rows, best = rows[found], best[found]
+            gone = after[rows, best]
+            beyond, ahead = after[rows, gone], before[rows, best]
+            symbols[rows, best] = made[rows, best]
+            symbols[rows, gone], cost[rows, gone], alive[rows, gone] = 0, NONE, False
+            after[rows, best], before[rows, beyond] = beyond, best
+            for left, right in ((best, beyond), (ahead, best)):
+                new = self._made(symbols[rows, left], symbols[rows, right])
+                made[rows, left], cost[rows, left] = new, costs.take(new)
+        flat, ends = packed.take(symbols[alive]), np.cumsum(alive.sum(1))
+        known = np.minimum.reduceat(flat, np.append(0, ends[:-1])) >= 0
+        out, flat, at = [], flat.tobytes(), 0
+        for stretch, end, fine in zip(stretches, (8 * ends).tolist(), known.tolist(), strict=True):
+            out.append(flat[at:end] if fine else self.merged(stretch))
+            at = end
+        return out
+
+    def learn(self, cuts: list[list[str]]) -> None:
+        """Merges the stretches of ``cuts`` that aren't known, those of similar lengths together; FEW of them, each for itself."""
+        fresh = set().union(*cuts)
+        missing = fresh - self.known.keys()
+        if len(self.known) + len(missing) > CACHE:
+            self.known.clear()
+            missing = fresh
+        missing = sorted((x for x in missing if len(x) <= SHORT), key=len)
+        for start in range(0, len(missing), ROWS):
+            part = missing[start : start + ROWS]
+            self.known.update(zip(part, map(self.merged, part) if len(part) < FEW else self._merged_rows(part), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the ids of its pieces and the bytes of it where each begins and ends."""
+        normal = [self.normalised(x) for x in texts]
+        cuts = [self.stretches(x) if x else [] for x, _ in normal]
+        self.learn(cuts)
+        out = []
+        for (_, origin), stretches in zip(normal, cuts, strict=True):
+            packed = np.frombuffer(b"".join(map(self.known.__getitem__, stretches)), np.int64)
+            stop = np.cumsum(packed >> SHIFT)
+            start = stop - (packed >> SHIFT)
+            out.append(((packed & (1 << SHIFT) - 1).astype(np.int32), origin[start].astype(np.int32), origin[stop].astype(np.int32)))
+        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the pieces of a text and the bytes of it where each begins and ends."""
-        text, origin = self.normalised(text)
-        packed = np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.stretches(text))) if text else (), np.int64)
-        stop = np.cumsum(packed >> SHIFT)
-        start = stop - (packed >> SHIFT)
-        return (packed & (1 << SHIFT) - 1).astype(np.int32), origin[start].astype(np.int32), origin[stop].astype(np.int32)
+        """``encode_all`` of one text."""
+        return self.encode_all([text])[0]
 
     @cached_property
     def _surface(self) -> list[str]:
@@ -299,11 +376,11 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     place, names = docs.columns.index("text"), [*docs.columns, *added]
 
     def run(batches):
-        encode = model(path).encode
+        encode_all = model(path).encode_all
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for start, stop in _shares([len(x or "") + 1 for x in texts], AT_ONCE):
-                made = list(zip(*(encode(x or "") for x in texts[start:stop]), strict=True)) or [(), (), ()]
+                made = list(zip(*encode_all([x or "" for x in texts[start:stop]]), strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, *(_lists(list(x)) for x in made)], names=names)
 
     return docs.mapInArrow(run, with_fields(docs, SPANS))

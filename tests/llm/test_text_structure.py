@@ -193,3 +193,15 @@ def test_other_models_are_refused():
     file.trainer_spec.byte_fallback = False
     with pytest.raises(ValueError, match="byte fallback"):
         pieces.Model(file.SerializeToString())
+
+
+def test_stretches_merged_together_as_one_by_one():
+    """Rows of a table, each stretch for itself, and the library's pieces; sizes differ, some characters are no piece."""
+    own = pieces.model(pieces.MODEL)
+    texts = ["the international cooperation of überraschende Zusammenhänge", "aaaaaaaaaaaaaaaaabababab", "schschschßß éèê ñandú", "日本語 한국어 \U0001f600 x", "a" * 200, "", " "] + ["word%dling" % k * (k % 4) for k in range(300)]
+    cuts = [own.stretches(own.normalised(x)[0]) if own.normalised(x)[0] else [] for x in texts]
+    each = sorted({y for x in cuts for y in x if len(y) <= pieces.SHORT} | {x[:60] for x in texts if x.strip()}, key=len)
+    assert own._merged_rows(each) == [own.merged(x) for x in each] and len(each) > pieces.FEW
+    own.known.clear()
+    together = [x[0].tolist() for x in own.encode_all(texts)]
+    assert together == [own.encode(x)[0].tolist() for x in texts] == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(texts)
