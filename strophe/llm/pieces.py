@@ -8,7 +8,8 @@ original text it stands for. A character that is no piece becomes its bytes, of
 one has the character's span.
 
 Cuts repeat, so a task keeps about ``CACHE`` of them merged. Texts are encoded about ``AT_ONCE``
-characters at a time, and the cuts of these that aren't known are merged together: as rows of a table, where each
+characters at a time, as one array of characters: all its cuts are looked up at once, by hashes, and compared with what
+they were found as. Those that aren't known are merged together: as rows of a table, where each
 step merges the best pair of every row.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text. The model is a
@@ -109,15 +110,62 @@ class CharacterMap:
         return "".join([*out, text[done:]]), np.concatenate([*origin, starts[done:-1]])
 
 
-class Merged(dict):
-    """The pieces of stretches that were learnt; others are merged as they are asked for."""
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.int32)
 
-    def __init__(self, model: Model):
-        super().__init__()
-        self.merged = model.merged
 
-    def __missing__(self, stretch: str) -> bytes:
-        return self.merged(stretch)
+class Known:
+    """Stretches that were merged, numbered from 1: their characters and their pieces, each behind those of the one before,
+    and a hash table with open slots. A stretch found by its hash is to be compared."""
+
+    def __init__(self):
+        self.weights = np.random.default_rng(13).integers(0, 2**64, 1024, np.uint64) | np.uint64(1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots, self.hashes = np.zeros(1 << 16, np.int32), np.zeros(1, np.uint64)
+        self.chars, self.pieces = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.char_at, self.piece_at = np.zeros(2, np.int64), np.zeros(2, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.hashes) - 1
+
+    def hashed(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The hashes of the stretches of ``codes`` that begin at ``starts``."""
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        return np.add.reduceat((codes + 1).astype(np.uint64) * self.weights.take(place & 1023), starts)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of the stretches with these hashes, 0 if none."""
+        at = self._slot(hashes)
+        found = self.slots.take(at)
+        other = np.flatnonzero((found > 0) & (self.hashes.take(found) != hashes))
+        while len(other):
+            at[other] = at[other] + 1 & len(self.slots) - 1
+            found[other] = now = self.slots.take(at[other])
+            other = other[(now > 0) & (self.hashes.take(now) != hashes[other])]
+        return found
+
+    def add(self, hashes: np.ndarray, stretches: list[str], pieces: list[bytes]) -> None:
+        """Adds stretches with hashes that are not there yet and differ."""
+        first = len(self.hashes)
+        self.hashes = np.append(self.hashes, hashes)
+        self.chars = np.append(self.chars, characters("".join(stretches)))
+        self.pieces = np.append(self.pieces, np.frombuffer(b"".join(pieces), np.int64))
+        self.char_at = np.append(self.char_at, self.char_at[-1] + np.cumsum([len(x) for x in stretches]))
+        self.piece_at = np.append(self.piece_at, self.piece_at[-1] + np.cumsum([len(x) // 8 for x in pieces]))
+        if 3 * len(self.hashes) > len(self.slots):
+            self.slots, first = np.zeros(1 << (4 * len(self.hashes)).bit_length(), np.int32), 1
+        number = np.arange(first, len(self.hashes), dtype=np.int32)
+        at = self._slot(self.hashes[first:])
+        while len(number):
+            free = self.slots.take(at) == 0
+            self.slots[at[free]] = number[free]
+            left = self.slots.take(at) != number
+            number, at = number[left], at[left] + 1 & len(self.slots) - 1
 
 
 class Model:
@@ -134,7 +182,7 @@ class Model:
         self.ids = {p.piece: k for k, p in enumerate(self.pieces) if p.type == NORMAL}
         self.cost = {p.piece: -p.score for p in self.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:-1], 16): k for k, p in enumerate(self.pieces) if p.type == BYTE}
-        self.known = Merged(self)
+        self.known = Known()
 
     @cached_property
     def _neighbours(self) -> tuple[np.ndarray, int, np.ndarray]:
@@ -151,13 +199,16 @@ class Model:
         table[places] = True
         return number, many, table
 
-    def stretches(self, text: str) -> list[str]:
-        """A normalised text cut between all characters that are neighbours in no piece."""
+    def _apart(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a character and the next one are neighbours in no piece."""
         number, many, known = self._neighbours
-        codes = number.take(np.frombuffer(text.encode("utf-32-le"), np.int32))
+        codes = number.take(codes)
         places = codes[:-1] * (many if known.dtype == bool else np.int64(many)) + codes[1:]
-        near = known.take(places) if known.dtype == bool else np.isin(places, known)
-        cuts = (np.flatnonzero(~near) + 1).tolist()
+        return ~(known.take(places) if known.dtype == bool else np.isin(places, known))
+
+    def stretches(self, text: str) -> list[str]:
+        """A normalised text cut between all characters that are neighbours in no piece."""
+        cuts = (np.flatnonzero(self._apart(characters(text))) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
@@ -292,30 +343,75 @@ class Model:
             at = end
         return out
 
-    def learn(self, cuts: list[list[str]]) -> None:
-        """Merges the stretches of ``cuts`` that aren't known, those of similar lengths together; FEW of them, each for itself."""
-        fresh = set().union(*cuts)
-        missing = fresh - self.known.keys()
-        if len(self.known) + len(missing) > CACHE:
-            self.known.clear()
-            missing = fresh
-        missing = sorted((x for x in missing if len(x) <= SHORT), key=len)
-        for start in range(0, len(missing), ROWS):
-            part = missing[start : start + ROWS]
-            self.known.update(zip(part, map(self.merged, part) if len(part) < FEW else self._merged_rows(part), strict=True))
+    def _merged_all(self, stretches: list[str]) -> list[bytes]:
+        """``merged`` of stretches, short ones of similar lengths together; FEW of them, each for itself."""
+        out, order = [b""] * len(stretches), sorted(range(len(stretches)), key=lambda k: len(stretches[k]))
+        for start in range(0, len(order), ROWS):
+            places = order[start : start + ROWS]
+            part = [stretches[k] for k in places]
+            for k, made in zip(places, map(self.merged, part) if len(part) < FEW or len(part[-1]) > SHORT else self._merged_rows(part), strict=True):
+                out[k] = made
+        return out
+
+    def _pieces(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The packed pieces of the stretches of ``text`` that begin at ``starts``, and how many each has."""
+        known, codes = self.known, characters(text)
+        stops = np.append(starts[1:], len(codes))
+        sizes = stops - starts
+
+        def cut(places: np.ndarray) -> list[str]:
+            return [text[a:b] for a, b in zip(starts[places].tolist(), stops[places].tolist(), strict=True)]
+
+        hashes = known.hashed(codes, starts, sizes)
+        found = known.find(hashes)
+        missing = np.flatnonzero(found == 0)
+        if len(missing):
+            fresh, first = np.unique(hashes[missing], return_index=True)
+            if len(known) + len(fresh) > CACHE or len(known.chars) > 16 * CACHE:
+                known.clear()
+                missing = np.arange(len(starts))
+                fresh, first = np.unique(hashes, return_index=True)
+            new = cut(missing[first])
+            known.add(fresh, new, self._merged_all(new))
+            found[missing] = known.find(hashes[missing])
+        begin = known.char_at.take(found)
+        other = known.chars.take(np.repeat(begin - starts, sizes) + np.arange(len(codes)), mode="clip") != codes
+        other = np.flatnonzero((known.char_at.take(found + 1) - begin != sizes) | (np.logical_or.reduceat(other, starts) if other.any() else False))
+        pool, begin = known.pieces, known.piece_at.take(found)
+        count = known.piece_at.take(found + 1) - begin
+        if len(other):
+            own = self._merged_all(cut(other))
+            count[other] = [len(x) // 8 for x in own]
+            begin[other] = len(pool) + np.cumsum(count[other]) - count[other]
+            pool = np.append(pool, np.frombuffer(b"".join(own), np.int64))
+        stop = np.cumsum(count)
+        return pool.take(np.repeat(begin - stop + count, count) + np.arange(stop[-1])), count
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all texts, behind each other, the ids of their pieces and the bytes of the own text where each begins and ends;
+        before these, the places where each text's pieces start, and the end."""
+        normal = [self.normalised(x) for x in texts]
+        text = "".join(x for x, _ in normal)
+        if not text:
+            return np.zeros(len(texts) + 1, np.int32), *np.zeros((3, 0), np.int32)
+        borders = np.cumsum([0, *(len(x) for x, _ in normal)])
+        first = np.append(True, self._apart(characters(text)))
+        first[borders[borders < len(text)]] = True
+        starts = np.flatnonzero(first)
+        parts = np.unique(np.searchsorted(starts, [*range(0, len(text), AT_ONCE), len(text)]))
+        made = [self._pieces(text[starts[a] : starts[b] if b < len(starts) else None], starts[a:b] - starts[a]) for a, b in zip(parts, parts[1:], strict=False)]
+        packed, count = (np.concatenate(x) for x in zip(*made, strict=True))
+        offsets = np.append(0, np.cumsum(count))[np.searchsorted(starts, borders)]
+        # The places of a text's characters end with one more, that of its end.
+        origin = np.concatenate([x for _, x in normal])
+        stop = np.cumsum(packed >> SHIFT) + np.repeat(np.arange(len(texts)), np.diff(offsets))
+        ids, begins, ends = packed & (1 << SHIFT) - 1, origin.take(stop - (packed >> SHIFT)), origin.take(stop)
+        return tuple(x.astype(np.int32) for x in (offsets, ids, begins, ends))
 
     def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text the ids of its pieces and the bytes of it where each begins and ends."""
-        normal = [self.normalised(x) for x in texts]
-        cuts = [self.stretches(x) if x else [] for x, _ in normal]
-        self.learn(cuts)
-        out = []
-        for (_, origin), stretches in zip(normal, cuts, strict=True):
-            packed = np.frombuffer(b"".join(map(self.known.__getitem__, stretches)), np.int64)
-            stop = np.cumsum(packed >> SHIFT)
-            start = stop - (packed >> SHIFT)
-            out.append(((packed & (1 << SHIFT) - 1).astype(np.int32), origin[start].astype(np.int32), origin[stop].astype(np.int32)))
-        return out
+        offsets, *made = self.encode_flat(texts)
+        return [tuple(x[a:b] for x in made) for a, b in zip(offsets, offsets[1:], strict=False)]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``encode_all`` of one text."""
@@ -360,30 +456,30 @@ def _shares(sizes: list[int], most: int):
     yield start, len(sizes)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.append(0, np.cumsum([len(x) for x in arrays])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32()))
-
-
-def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
+def encoded(docs: DataFrame, path: str = MODEL, back: str | None = None) -> DataFrame:
     """Adds to ``docs`` the pieces of ``text``: ids, and begins and ends, the first byte of each in the
-    text's UTF-8 and the byte behind its last.
+    text's UTF-8 and the byte behind its last; with ``back`` also this column, the text that the ids decode to,
+    as ``decoded`` adds it, but in the same pass.
 
     The file ``path`` must lie there on every executor.
     """
-    added = [x.split()[0] for x in SPANS.split(", ")]
-    docs = docs.drop(*added)
-    place, names = docs.columns.index("text"), [*docs.columns, *added]
+    fields = SPANS + (f", `{back}` string" if back else "")
+    docs = docs.drop(*(x.split()[0] for x in SPANS.split(", ")), *([back] if back else []))
+    schema, place = with_fields(docs, fields), docs.columns.index("text")
 
     def run(batches):
-        encode_all = model(path).encode_all
+        own = model(path)
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for start, stop in _shares([len(x or "") + 1 for x in texts], AT_ONCE):
-                made = list(zip(*encode_all([x or "" for x in texts[start:stop]]), strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, *(_lists(list(x)) for x in made)], names=names)
-
-    return docs.mapInArrow(run, with_fields(docs, SPANS))
+                offsets, *made = own.encode_flat([x or "" for x in texts[start:stop]])
+                added = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in made]
+                if back:
+                    ids, ends = made[0].tolist(), offsets.tolist()
+                    added.append(pa.array([own.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, *added], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def decoded(pieces: DataFrame, path: str = MODEL, out: str = "decoded") -> DataFrame:

@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from strophe.llm import pieces, runs, trie
+from strophe.llm import pieces, queries, runs, trie
 
 DOC = "doc_id long, text string, ids string, runs string"
 
@@ -205,3 +205,38 @@ def test_stretches_merged_together_as_one_by_one():
     own.known.clear()
     together = [x[0].tolist() for x in own.encode_all(texts)]
     assert together == [own.encode(x)[0].tolist() for x in texts] == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(texts)
+
+
+def test_piece_encoding_is_one_pass(spark):
+    docs = spark.createDataFrame([(1, "über das  Wort 🎉", "x", "y"), (2, None, "x", "y"), (3, "", "x", "y"), (4, "a" * 90, "x", "y")], DOC)
+    for back in ("decoded", "text_back", "runs"):
+        got = pieces.encoded(docs, back=back)
+        assert got.columns[-1] == back and got.sort("doc_id").collect() == pieces.decoded(pieces.encoded(docs.drop(back)), out=back).sort("doc_id").select(got.columns).collect()
+    plan = queries.op13_piece_encoding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize(("equal_hashes", "kept", "at_once"), [(True, 500_000, 1_000_000), (False, 40, 1_000_000), (False, 500_000, 50), (True, 3, 50)])
+def test_stretches_found_by_hash_are_compared(library, monkeypatch, equal_hashes, kept, at_once):
+    """Also where all hashes are equal, hardly any stretch is kept, or a text is longer than what is encoded at once."""
+    with open(pieces.MODEL, "rb") as f:
+        own, rnd = pieces.Model(f.read()), random.Random(6)
+    monkeypatch.setattr(pieces, "CACHE", kept)
+    monkeypatch.setattr(pieces, "AT_ONCE", at_once)
+    if equal_hashes:
+        own.known.weights[:] = 0
+    texts = ["", " ", "🎉🎉 日本", "\0\0", "\0", "a" * 500, *("".join(rnd.choice("▁ aenrstio,\n日\0🎉") for _ in range(rnd.randrange(200))) for _ in range(120)), ""]
+    for some in (texts, [], texts[:2], texts[::-1], ["word and " * 300]):
+        want = [[(x.id, x.begin, x.end) for x in library.encode(y, return_type="proto").pieces] for y in some]
+        assert [list(zip(*(x.tolist() for x in made), strict=True)) for made in own.encode_all(some)] == want
+    assert len(own.known) == 1 if equal_hashes else len(own.known) > 1
+
+
+def test_known_stretches_survive_growth():
+    known, rnd = pieces.Known(), np.random.default_rng(7)
+    hashes = np.unique(np.append(rnd.integers(1, 2**64, 60_000, np.uint64), np.arange(2**64 - 200, 2**64, dtype=np.uint64)))
+    for part in np.array_split(hashes, 7):
+        assert not known.find(part).any()
+        known.add(part, ["ab"] * len(part), [b"12345678" * 2] * len(part))
+    assert known.find(hashes).tolist() == list(range(1, len(hashes) + 1)) and len(known) == len(hashes)
+    assert (np.diff(known.char_at)[1:] == 2).all() and (np.diff(known.piece_at)[1:] == 2).all()
