@@ -122,34 +122,25 @@ def look_ahead(pairs: DataFrame, thresholds: DataFrame, track: str, depth: int =
     return near.withColumn("_follow", follow).where("_follow").drop("_follow")
 
 
-def structural_score(edges: DataFrame, sizes: DataFrame, track: str, beats_per_bar: int = 4, section_bars: int = 8, very_short_bars: int = 1, short_bars: int = 4, phrase_bars: int = 8, boundary_bars: int = 1) -> DataFrame:
-    """Adds penalty, bonus, score, reasons, decision and the flags short_local, local_loop,
-    section_change and boundary to edges (track, src, dst, distance).
+#: What the structural score of a jump hangs on, true or false, and whether its distance is exceptional (1), not (0) or null (2).
+MARKS = ("very", "short", "far", "same", "phase4", "phase8", "phase16", "change", "boundary", "gain", "together")
 
-    Bars, phrases and sections follow from the beat's number. The bonus pays off the penalty
-    and no more; short jumps without structural evidence are rejected.
-    """
-    rows = edges.join(sizes, track)
-    bar = {x: F.floor(F.col(x) / beats_per_bar) for x in ("src", "dst")}
-    section = {x: F.floor(bar[x] / section_bars) for x in bar}
-    in_section = {x: F.pmod(bar[x], F.lit(section_bars)) for x in bar}
-    jump = F.abs(F.col("dst") - F.col("src"))
-    very, short, phrase = (beats_per_bar * x for x in (very_short_bars, short_bars, phrase_bars))
-    is_short, same = jump < short, F.pmod(F.col("src"), F.lit(beats_per_bar)) == F.pmod(F.col("dst"), F.lit(beats_per_bar))
-    phase = {n: F.pmod(bar["src"], F.lit(n)) == F.pmod(bar["dst"], F.lit(n)) for n in (4, 8, 16)}
-    change = section["src"] != section["dst"]
-    edge_of = lambda x: (in_section[x] < boundary_bars) | (in_section[x] >= section_bars - boundary_bars)
-    boundary = edge_of("src") | edge_of("dst")
-    gain = jump >= F.greatest(F.lit(short), F.floor(F.col("n") / 2))
+
+def structural_marks(spark, separator: str | None = None) -> DataFrame:
+    """A row for each way in which a jump can be marked: _code, penalty, bonus, reasons, decision and the flags."""
+    codes = spark.range(0, 3 << len(MARKS), 1, 1)
+    mark = {name: F.getbit("id", F.lit(k)) == 1 for k, name in enumerate(MARKS)}
+    state = F.shiftright("id", len(MARKS))
+    very, is_short, far, same, change, boundary, gain = (mark[x] for x in ("very", "short", "far", "same", "change", "boundary", "gain"))
+    phase, close = {n: mark[f"phase{n}"] for n in (4, 8, 16)}, F.when(state < 2, state == 1)
     local = is_short & ~change & ~boundary & ~gain
-    loop = local & ((F.floor(bar["src"] / 4) == F.floor(bar["dst"] / 4)) | (F.floor(bar["src"] / 8) == F.floor(bar["dst"] / 8)))
-    close = F.col("distance") <= EXCEPTIONAL
+    loop = local & mark["together"]
     # condition, reason, penalty, bonus - in the order in which reasons are listed
     rules = [
-        (jump < very, "very-short-jump", PENALTY["very-short-jump"], 0),
-        ((jump >= very) & is_short, "short-jump", PENALTY["short-jump"], 0),
-        (~is_short & (jump >= phrase), "long-jump", 0, BONUS["long-jump"]),
-        (~is_short & (jump < phrase), "medium-jump", 0, 0),
+        (very, "very-short-jump", PENALTY["very-short-jump"], 0),
+        (~very & is_short, "short-jump", PENALTY["short-jump"], 0),
+        (~is_short & far, "long-jump", 0, BONUS["long-jump"]),
+        (~is_short & ~far, "medium-jump", 0, 0),
         (same & is_short, "same-bar-phase", 0, BONUS["same-phase-short"]),
         (same & ~is_short, "same-bar-phase", 0, BONUS["same-phase"]),
         (~same & is_short, "bar-phase-mismatch", PENALTY["short-phase"], 0),
@@ -157,7 +148,7 @@ def structural_score(edges: DataFrame, sizes: DataFrame, track: str, beats_per_b
         (phase[4], "same-phrase4-phase", 0, BONUS["phrase"]),
         (~phase[4] & is_short, "phrase4-phase-mismatch", PENALTY["phrase4-phase"], 0),
         (phase[8], "same-phrase8-phase", 0, BONUS["phrase"]),
-        (phase[16] & (jump >= phrase), "same-phrase16-phase", 0, BONUS["phrase"]),
+        (phase[16] & far, "same-phrase16-phase", 0, BONUS["phrase"]),
         (change, "section-change", 0, BONUS["section-change"]),
         (boundary, "structural-boundary", 0, BONUS["boundary"]),
         (gain, "reach-gain", 0, BONUS["reach-gain"]),
@@ -166,13 +157,43 @@ def structural_score(edges: DataFrame, sizes: DataFrame, track: str, beats_per_b
         (close, "exceptional-acoustic-match", 0, BONUS["exceptional"]),
     ]
     evidence = (change | boundary | gain) & same & ~loop
-    bad_very = (jump < very) & ~(evidence & close)
+    bad_very = very & ~(evidence & close)
     bad_short = ~bad_very & is_short & local & ~evidence
     names = [F.when(c, F.lit(name)) for c, name, _, _ in rules] + [F.when(bad_very, F.lit("rejected-very-short-local")), F.when(bad_short, F.lit("rejected-short-local"))]
     total = lambda k: sum((F.when(r[0], float(r[k])).otherwise(0.0) for r in rules if r[k]), F.lit(0.0))
-    rows = rows.select("*", local.alias("short_local"), loop.alias("local_loop"), change.alias("section_change"), boundary.alias("boundary"), total(2).alias("_p"), total(3).alias("bonus"), F.array_compact(F.array(*names)).alias("reasons"), F.when(bad_very | bad_short, "rejected").otherwise("accepted").alias("decision"))
-    penalty = F.greatest(F.lit(0.0), F.col("_p") - F.least("_p", "bonus"))
-    return rows.withColumn("penalty", penalty).withColumn("score", F.col("distance") + penalty).drop("_p", "n")
+    reasons = F.array_compact(F.array(*names)) if separator is None else F.concat_ws(separator, *names)
+    rows = codes.select(F.col("id").alias("_code"), local.alias("short_local"), loop.alias("local_loop"), change.alias("section_change"), boundary.alias("boundary"), total(2).alias("_p"), total(3).alias("bonus"), reasons.alias("reasons"), F.when(bad_very | bad_short, "rejected").otherwise("accepted").alias("decision"))
+    return rows.withColumn("penalty", F.greatest(F.lit(0.0), F.col("_p") - F.least("_p", "bonus"))).drop("_p")
+
+
+def structural_score(edges: DataFrame, sizes: DataFrame | None, track: str, beats_per_bar: int = 4, section_bars: int = 8, very_short_bars: int = 1, short_bars: int = 4, phrase_bars: int = 8, boundary_bars: int = 1, separator: str | None = None) -> DataFrame:
+    """Adds penalty, bonus, score, reasons, decision and the flags short_local, local_loop,
+    section_change and boundary to edges (track, src, dst, distance).
+
+    Bars, phrases and sections follow from the beat's number. The bonus pays off the penalty
+    and no more; short jumps without structural evidence are rejected. Without ``sizes`` the edges have
+    their track's n. With a ``separator`` reasons are one text.
+
+    An edge is marked by a number, and what that stands for is looked up in a small table: rules and texts are
+    worked out once for each way to be marked, not for each edge.
+    """
+    rows = edges if sizes is None else edges.join(sizes, track)
+    bar = {x: F.floor(F.col(x) / beats_per_bar) for x in ("src", "dst")}
+    section = {x: F.floor(bar[x] / section_bars) for x in bar}
+    in_section = {x: F.pmod(bar[x], F.lit(section_bars)) for x in bar}
+    jump = F.abs(F.col("dst") - F.col("src"))
+    very, short, phrase = (beats_per_bar * x for x in (very_short_bars, short_bars, phrase_bars))
+    edge_of = lambda x: (in_section[x] < boundary_bars) | (in_section[x] >= section_bars - boundary_bars)
+    found = {
+        "very": jump < very, "short": jump < short, "far": jump >= phrase, "same": F.pmod(F.col("src"), F.lit(beats_per_bar)) == F.pmod(F.col("dst"), F.lit(beats_per_bar)),
+        **{f"phase{n}": F.pmod(bar["src"], F.lit(n)) == F.pmod(bar["dst"], F.lit(n)) for n in (4, 8, 16)}, "change": section["src"] != section["dst"], "boundary": edge_of("src") | edge_of("dst"),
+        "gain": jump >= F.greatest(F.lit(short), F.floor(F.col("n") / 2)), "together": (F.floor(bar["src"] / 4) == F.floor(bar["dst"] / 4)) | (F.floor(bar["src"] / 8) == F.floor(bar["dst"] / 8)),
+    }
+    state = F.when(F.col("distance") <= EXCEPTIONAL, 1).when(F.col("distance").isNull(), 2).otherwise(0)
+    code = sum((F.when(found[name], 1 << k).otherwise(0) for k, name in enumerate(MARKS)), state * (1 << len(MARKS)))
+    marks = F.broadcast(structural_marks(edges.sparkSession, separator))
+    rows = rows.withColumn("_code", code.cast("long")).join(marks, "_code").drop("_code", "n")
+    return rows.select("*", (F.col("distance") + F.col("penalty")).alias("score")).select(*[x for x in rows.columns if x not in ("penalty", "score")], "penalty", "score")
 
 
 def reachability(quanta: DataFrame, edges: DataFrame, track: str) -> DataFrame:

@@ -8,15 +8,19 @@ time, and gives back each source's k best; only these are shuffled again.
 
 Distances that a product of matrices puts near a limit, or among the k best, are computed anew as
 the root of summed squares, so rows equal those of a join of all pairs.
+
+``all_pairs`` gives every pair: blocks are stretches of a track there, and a task compares two of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.operators.graph import BONUS, MISSING_PENALTY, PENALTY
@@ -24,6 +28,8 @@ from strophe.operators.graph import BONUS, MISSING_PENALTY, PENALTY
 BLOCK, STRIP, EXACT = 4096, 256, 50_000
 #: Share of the squared norms by which a product of matrices may be wrong.
 SLACK = 1e-12
+#: Quanta of a stretch of a track, and how many sources are compared with one at a time.
+STRETCH, NARROW = 4096, 64
 
 
 def long_jump_penalty(beats_per_bar: int = 4, section_bars: int = 8, short_bars: int = 4, phrase_bars: int = 8, boundary_bars: int = 1) -> Callable[..., np.ndarray]:
@@ -145,3 +151,131 @@ def nearest(quanta: DataFrame, sizes: DataFrame, track: str, vector: str, scale:
 
     found = sources.unionByName(targets).groupBy("_track", "_index", "_from", "_to").applyInPandas(run, f"track {kind}, src long, dst long, distance double")
     return found.withColumnRenamed("track", track)
+
+
+class _Vectors:
+    """The vectors of a block by dimension; ``held`` tells which elements there are, None if all."""
+
+    def __init__(self, lists: pa.Array, width: int):
+        values, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        if not values.null_count and len(values) == len(lists) * width and (np.diff(ends) == width).all():
+            self.by_dim, self.held = np.ascontiguousarray(values.to_numpy().reshape(-1, width).T), None
+            return
+        self.by_dim, self.held = np.zeros((width, len(lists))), np.zeros((width, len(lists)), bool)
+        row = np.repeat(np.arange(len(lists)), np.diff(ends))
+        place, there = np.arange(len(values)) - ends[row], values.is_valid().to_numpy(zero_copy_only=False)
+        self.held[place[there], row[there]] = True
+        self.by_dim[place[there], row[there]] = values.drop_null().to_numpy()
+
+
+def _squares(a: _Vectors, b: _Vectors, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Summed squares of differences, dimension by dimension as ``columns.l2`` adds them; an element that one side lacks counts 0."""
+    total = np.zeros(np.broadcast_shapes(rows.shape, columns.shape))
+    for k, (x, y) in enumerate(zip(a.by_dim, b.by_dim, strict=True)):
+        gap = x[rows] - y[columns]
+        if a.held is not None or b.held is not None:
+            there = np.logical_and(True if a.held is None else a.held[k][rows], True if b.held is None else b.held[k][columns])
+            gap = np.where(there, gap, 0.0)
+        gap *= gap
+        total += gap
+    return total
+
+
+def _near(a: _Vectors, b: _Vectors, rows: np.ndarray, columns: np.ndarray, scale: float, under: Callable[[np.ndarray], np.ndarray], limit: float) -> np.ndarray:
+    """Which pairs of rows and columns are ``under``: by a product of matrices, and where that could be wrong about
+    ``limit`` (or isn't a number) by the exact distance."""
+    if a.held is not None or b.held is not None:
+        return np.concatenate([under(scale * np.sqrt(_squares(a, b, rows[k : k + NARROW, None], columns[None]))) for k in range(0, len(rows), NARROW)])
+    out = np.empty((len(rows), len(columns)), bool)
+    right = b.by_dim[:, columns]
+    wide, square = (right * right).sum(axis=0)[None], (limit / scale) ** 2
+    for k in range(0, len(rows), STRIP):
+        left = a.by_dim[:, rows[k : k + STRIP]]
+        high = (left * left).sum(axis=0)[:, None]
+        slack = SLACK * (high + wide + square) * len(left)
+        rough = high + wide - 2 * (left.T @ right)
+        own = out[k : k + STRIP] = rough < square - slack
+        r, c = np.nonzero(~own & ~(rough >= square + slack))
+        for low in range(0, len(r), EXACT):
+            at, to = r[low : low + EXACT], c[low : low + EXACT]
+            out[k + at, to] = under(scale * np.sqrt(_squares(a, b, rows[k + at], columns[to])))
+    return out
+
+
+def stretch_pairs(sources: pa.Table, targets: pa.Table, low: tuple[int, int], scale: float, limit: float, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of sources and targets and distances of the pairs of two stretches that begin at ``low``, some at a time."""
+    width = max([0, *(int(v.value_lengths().to_numpy().max()) for v in (t["v"].combine_chunks() for t in (sources, targets)) if len(v))])
+    a, b = (_Vectors(t["v"].combine_chunks(), width) for t in (sources, targets))
+    src, dst = (t["which"].to_numpy() for t in (sources, targets))
+    applied = float(sources["applied"][0].as_py())
+    under = lambda d: (d < limit) & (d <= applied)
+    own, other = (t["_index"].to_numpy() for t in (sources, targets))
+    same = [(np.flatnonzero(own == x), np.flatnonzero(other == x)) for x in np.intersect1d(own, other)]
+    if depth == 1:
+        for rows, columns in same:
+            for k in range(0, len(rows), NARROW):
+                at = rows[k : k + NARROW]
+                distance = scale * np.sqrt(_squares(a, b, at[:, None], columns[None]))
+                r, c = np.nonzero(under(distance) & (src[at][:, None] != dst[columns][None]))
+                yield at[r], columns[c], distance[r, c]
+        return
+    at_a, at_b = src - low[0], dst - low[1]
+    high, wide = (min(STRETCH, int(at.max()) + 1) for at in (at_a, at_b))
+    near = np.zeros((high + depth - 1, wide + depth - 1), bool)
+    for rows, columns in same:
+        near[np.ix_(at_a[rows], at_b[columns])] = _near(a, b, rows, columns, scale, under, min(limit, applied))
+    if low[0] == low[1]:
+        np.fill_diagonal(near, False)
+    follow = near[:high, :wide].copy()
+    for o in range(1, depth):
+        follow &= near[o : high + o, o : wide + o]
+    row_of, column_of = (np.zeros(n, int) for n in near.shape)
+    row_of[at_a], column_of[at_b] = np.arange(len(src)), np.arange(len(dst))
+    for k in range(0, high, STRIP):
+        r, c = np.nonzero(follow[k : k + STRIP])
+        for first in range(0, len(r), EXACT):
+            rows, columns = row_of[k + r[first : first + EXACT]], column_of[c[first : first + EXACT]]
+            yield rows, columns, scale * np.sqrt(_squares(a, b, rows, columns))
+
+
+def all_pairs(quanta: DataFrame, track: str, vector: str, scale: float, limit: float, depth: int = 1, applied: Column | float = float("inf"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """track, src, dst, distance and the columns ``keep`` of all pairs of quanta of one index in their parent under
+    ``limit`` and up to ``applied``: what ``graph.candidate_pairs`` joins, and with a ``depth`` what ``graph.look_ahead``
+    leaves of it.
+
+    ``quanta`` has track, which, index_in_parent and the vector; (track, which) is unique, ``applied`` and ``keep``
+    are the track's own. A track is cut into stretches of ``STRETCH`` places; a task compares two of them (with
+    the ``depth`` - 1 places that follow) in pieces and gives pairs away as it finds them, so it holds no pair list.
+    """
+    if limit > MISSING_PENALTY:
+        raise ValueError("beyond the penalty for another index, indexes don't keep pairs apart")
+    kept = [F.col(x).alias(f"_keep{k}") for k, x in enumerate(keep)]
+    applied = applied if isinstance(applied, Column) else F.lit(float(applied))
+    rows = quanta.where(F.col(track).isNotNull() & F.col("index_in_parent").isNotNull()).select(
+        F.col(track).alias("_track"), F.col("which").cast("long").alias("which"), F.col("index_in_parent").cast("long").alias("_index"), F.col(vector).cast("array<double>").alias("v"), applied.cast("double").alias("applied"), *kept,
+        F.floor(F.max("which").over(Window.partitionBy(track)) / STRETCH).cast("int").alias("_last"),
+    )
+    own = F.floor(F.col("which") / STRETCH).cast("int")
+    before = (F.col("which") % STRETCH < depth - 1) & (F.col("which") >= STRETCH)
+    rows = rows.where("v IS NOT NULL AND applied IS NOT NULL").withColumn("_own", F.explode(F.when(before, F.array(own, own - 1)).otherwise(F.array(own))))
+    dealt = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), "_last"))).withColumn("_source", F.explode(F.array(F.lit(True), F.lit(False))))
+    ends = {"_from": F.when(F.col("_source"), F.col("_own")).otherwise(F.col("_other")), "_to": F.when(F.col("_source"), F.col("_other")).otherwise(F.col("_own"))}
+    dealt = dealt.withColumns(ends).drop("_own", "_other", "_last")
+    types = [quanta.schema[x].dataType.simpleString() for x in (track, *keep)]
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in zip(("_track", "src", "dst", "distance", *(f"_keep{k}" for k in range(len(keep)))), (types[0], "long", "long", "double", *types[1:]), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(batches)
+        marked = both["_source"].combine_chunks()
+        sources, targets = (x.combine_chunks() for x in (both.filter(marked), both.filter(pc.invert(marked))))
+        if not len(sources) or not len(targets):
+            return
+        src, dst = (t["which"].to_numpy() for t in (sources, targets))
+        low = tuple(both[x][0].as_py() * STRETCH for x in ("_from", "_to"))
+        for at, to, distance in stretch_pairs(sources, targets, low, scale, limit, depth):
+            constant = lambda name: pa.repeat(sources[name][0], len(at))  # noqa: B023, E731
+            yield pa.record_batch([constant("_track"), pa.array(src[at]), pa.array(dst[to]), pa.array(distance), *(constant(f"_keep{k}") for k in range(len(keep)))], names=["_track", "src", "dst", "distance", *(f"_keep{k}" for k in range(len(keep)))])
+
+    # dealt out by both stretches, else all of a track's stay where its window put them; not merged again by size, as work isn't in proportion to it
+    found = dealt.repartition(int(quanta.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_track", "_from", "_to").groupBy("_track", "_from", "_to").applyInArrow(run, schema)
+    return found.withColumnsRenamed({"_track": track} | {f"_keep{k}": x for k, x in enumerate(keep)})

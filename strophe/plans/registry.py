@@ -270,9 +270,9 @@ def look_ahead_gate(spark, sf_dir):
     CASE WHEN lo THEN 'short-local-risk' END, CASE WHEN lp THEN 'local-loop-risk' END, CASE WHEN distance <= 8 THEN 'exceptional-acoustic-match' END,
     CASE WHEN rejected AND j < 4 THEN 'rejected-very-short-local' WHEN rejected THEN 'rejected-short-local' END], lambda y: y IS NOT NULL), ',') AS reasons FROM sc""")
 def structural_score(spark, sf_dir):
-    q = quanta(spark, sf_dir)
-    scored = graph.structural_score(graph.candidate_pairs(q, "label", "v", 50.0, 80.0), sizes(q), "label")
-    return rounded(scored.withColumn("reasons", F.array_join("reasons", ",")).select("label", "src", "dst", "bonus", "penalty", "score", "decision", "reasons"), "score")
+    q = quanta(spark, sf_dir).withColumn("n", F.count("*").over(timeline.Window.partitionBy("label")))
+    scored = graph.structural_score(neighbours.all_pairs(q, "label", "v", 50.0, 80.0, keep=("n",)), None, "label", separator=",")
+    return rounded(scored.select("label", "src", "dst", "bonus", "penalty", "score", "decision", "reasons"), "score")
 
 
 @query(f"WITH {_PAIRS} SELECT label, src, dst, round(score, 6) AS score, row_number() OVER (PARTITION BY label, src ORDER BY score, distance, j DESC, dst) AS score_rank FROM k")
