@@ -257,10 +257,7 @@ def adaptive_threshold(spark, sf_dir):
     WHERE 50 * list_distance(a.v, b.v) <= 70)
   SELECT p.label, p.src, p.dst, round(p.distance, 6) AS distance FROM p JOIN p x ON x.label = p.label AND x.src = p.src + 1 AND x.dst = p.dst + 1 JOIN p y ON y.label = p.label AND y.src = p.src + 2 AND y.dst = p.dst + 2""")
 def look_ahead_gate(spark, sf_dir):
-    q = quanta(spark, sf_dir)
-    pairs = graph.candidate_pairs(q, "label", "v", 50.0, 80.0)
-    fixed = sizes(q).select("label", F.lit(70).alias("applied"))
-    return rounded(graph.look_ahead(pairs, fixed, "label"), "distance")
+    return rounded(neighbours.all_pairs(quanta(spark, sf_dir), "label", "v", 50.0, 80.0, depth=3, applied=70.0), "distance")
 
 
 @query(f"""WITH {_SCORED} SELECT label, src, dst, CAST(b0 AS DOUBLE) AS bonus, CAST(penalty AS DOUBLE) AS penalty, round(score, 6) AS score, CASE WHEN rejected THEN 'rejected' ELSE 'accepted' END AS decision,

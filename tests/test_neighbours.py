@@ -105,6 +105,15 @@ def test_scores_of_all_pairs_join_no_track_with_itself(spark):
     assert not wide_exchanges(found) and "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_look_ahead_over_all_pairs_makes_no_pair_list(spark):
+    """Pairs aren't joined, shuffled or sorted to look ahead; the rows are those of the window over all pairs."""
+    found, q = registry.look_ahead_gate(spark, "/root/testdata/sf0.001"), registry.quanta(spark, "/root/testdata/sf0.001")
+    assert not wide_exchanges(found) and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    limits = q.select("label").distinct().withColumn("applied", F.lit(70))
+    want = graph.look_ahead(graph.candidate_pairs(q, "label", "v", 50.0, 80.0), limits, "label")
+    assert rows_of(found) == rows_of(registry.rounded(want, "distance")) != []
+
+
 def test_marks_are_the_rules_of_an_edge(spark):
     """Scores of edges at random by the rules, spelt out; a null distance is no exceptional match."""
     rnd = np.random.default_rng(5)
