@@ -87,6 +87,86 @@ def dense_chain(x: np.ndarray, period: float, tightness: float) -> np.ndarray:
     return chain
 
 
+#: Most strengths that chains are sought over at once.
+CELLS = 1_000_000
+
+
+def _smoothed_like(scaled: np.ndarray, period: float, held: dict) -> np.ndarray:
+    """``smoothed`` of strengths that are over their deviation already; ``held`` keeps what hangs on length and period."""
+    if (len(scaled), period) not in held:
+        reach = max(1, int(np.rint(period)))
+        bell = np.exp(-0.5 * (np.arange(-reach, reach + 1) * SMOOTHING / period) ** 2)
+        inside = slice(reach, reach + len(scaled))
+        held[len(scaled), period] = bell, inside, np.convolve(np.ones(len(scaled)), bell)[inside]
+    bell, inside, weight = held[len(scaled), period]
+    return np.convolve(scaled, bell)[inside] / weight
+
+
+def dense_chains(own: list[np.ndarray], which: np.ndarray, periods: np.ndarray, tightness: float) -> list[np.ndarray]:
+    """``dense_chain`` of many pairs of strengths (``own[k]`` for k in ``which``) and periods together, a frame of all at a time."""
+    size = np.array([len(own[k]) for k in which], int)
+    scaled = [x / max(1e-9, x.std()) for x in own]
+    found: list[np.ndarray] = [np.empty(0, int)] * len(which)
+    order, low = np.argsort(size, kind="stable"), 0
+    while low < len(order):
+        ends = size[order[low:]] * np.arange(1, len(order) - low + 1)
+        high = low + max(1, int(np.searchsorted(ends, CELLS, "right")))
+        part, held = order[low:high], {}
+        local = np.zeros((len(part), int(size[part[-1]])))
+        for row, k in enumerate(part.tolist()):
+            local[row, : size[k]] = _smoothed_like(scaled[which[k]], float(periods[k]), held)
+        for k, chain in zip(part.tolist(), _chains(np.ascontiguousarray(local.T), size[part], periods[part], tightness), strict=True):
+            found[k] = steps(int(size[k]), float(periods[k])) if chain is None else chain
+        low = high
+    return found
+
+
+def _chains(local: np.ndarray, size: np.ndarray, periods: np.ndarray, tightness: float) -> list[np.ndarray | None]:
+    """The chains over columns of smoothed strengths, as long as ``size`` says; None where there is nothing to follow."""
+    near = np.maximum(1, np.rint(periods * SHORTEST).astype(int))
+    far = np.maximum(near + 1, np.rint(periods * LONGEST).astype(int))
+    least, most, (length, count) = int(near.min()), int(far.max()), local.shape
+    gaps = np.arange(least, most + 1)[:, None]
+    cost = tightness * np.log(gaps / periods) ** 2
+    cost[(gaps < near) | (gaps > far)] = np.inf
+    padded = np.full((most + length, count), -np.inf)
+    padded[most:] = local
+    backward = np.ascontiguousarray(cost[::-1])
+    for k in range(least, length):
+        padded[most + k] += np.maximum(0.0, (padded[k : k + len(gaps)] - backward).max(axis=0))
+    total, tops = padded[most:], np.zeros(local.shape, bool)
+    tops[1:-1] = (total[1:-1] >= total[:-2]) & (total[1:-1] > total[2:]) & (np.arange(1, length - 1)[:, None] < size - 1)
+    number, sorted_tops = tops.sum(axis=0), np.sort(np.where(tops, total, np.inf), axis=0)
+    at = lambda k: np.take_along_axis(sorted_tops, np.minimum(np.maximum(k, 0), length - 1)[None], axis=0)[0]
+    middle = (at((number - 1) // 2) + at(number // 2)) / 2
+    high = tops & (total >= 0.5 * middle)
+    last = lambda mask: length - 1 - mask[::-1].argmax(axis=0)
+    place = np.where(high.any(axis=0), last(high), last(tops))
+    live = np.flatnonzero((number > 0) & (local.max(axis=0) > ENERGY))
+    path, columns, place = [], live, place[live]
+    while len(columns):
+        path.append((columns, place))
+        going = place >= near[columns]
+        columns, place = columns[going], place[going]
+        if len(columns):
+            place = place - least - (padded[most + place - gaps, columns] - cost[:, columns]).argmax(axis=0)
+    chains: list[np.ndarray | None] = [None] * count
+    if not path:
+        return chains
+    owner, frame = (np.concatenate(x)[::-1] for x in zip(*path, strict=True))
+    order = np.argsort(owner, kind="stable")
+    owner, frame = owner[order], frame[order]
+    ends = np.searchsorted(owner, np.append(live, count))
+    strength = local[frame, owner]
+    for k, a, b in zip(live.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if b - a > 2:
+            own = strength[a:b]
+            strong = np.flatnonzero(own > WEAK * np.sqrt((own**2).mean()))
+            a, b = (a + int(strong[0]), a + int(strong[-1]) + 1) if len(strong) else (a, a)
+        chains[k] = frame[a:b]
+    return chains
+
+
 def regularity(grid: np.ndarray, period: float) -> tuple[float, int, int]:
     """Deviation of the gaps over their median, and how many gaps are missing a beat or doubled."""
     gaps = np.diff(grid)
@@ -208,6 +288,43 @@ def tempo_score(x: np.ndarray, bpm: float, share: float, refined: bool, per_seco
     return float(sum(w * t for w, t in zip(WEIGHTS, terms, strict=True)) - (REFINED_LOSS if refined else 0.0))
 
 
+def tempo_scores_of(own: list[np.ndarray], which: np.ndarray, bpm: np.ndarray, share: np.ndarray, refined: np.ndarray, per_second: float, tightness: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``tempo_score`` of many tempos together, and the beats that they give; ``which`` tells whose strengths a tempo is for."""
+    if not len(which):
+        return np.empty(0), []
+    periods = per_second * 60.0 / bpm
+    chains = dense_chains(own, which, periods, tightness)
+    length = np.array([len(x) for x in own])
+    beats = [x if len(x) >= 4 else steps(int(length[k]), float(p)) for x, k, p in zip(chains, which, periods, strict=True)]
+    size, flat = np.array([len(x) for x in beats]), np.concatenate(beats)
+    first = np.append(0, size.cumsum()[:-1])
+    job = np.repeat(np.arange(len(size)), size)
+    turn = np.arange(len(flat)) - first[job]
+    mean = lambda x, keep=None: np.add.reduceat(x if keep is None else np.where(keep, x, 0.0), first) / np.maximum(1, size if keep is None else np.add.reduceat(keep.astype(int), first))
+    tops = np.array([max(ENERGY, x.max()) for x in own])
+    reach = np.maximum(1, np.rint(periods * PEAK_REACH).astype(int))
+    start = np.append(0, (length + int(reach.max()) + 2).cumsum()[:-1])  # further apart than a hit may be
+    peaks = np.concatenate([a + 1 + np.flatnonzero((x[1:-1] >= PEAK * top) & (x[1:-1] >= x[:-2]) & (x[1:-1] > x[2:])) for a, x, top in zip(start, own, tops, strict=True)])
+    strength = np.concatenate(own)[np.append(0, length.cumsum()[:-1])[which][job] + flat] / tops[which][job]
+    there = start[which][job] + flat
+    hits = mean((np.abs(there[:, None] - _nearest(peaks, there)).min(axis=1) <= reach[job]).astype(float)) if len(peaks) else np.zeros(len(size))
+    end = flat[first + size - 1]
+    cover = np.where(size > 1, np.minimum(1.0, (end - flat[first]) / length[which]), 0.0)
+    spread = np.zeros(len(size))
+    if (inner := turn > 0).any():
+        gaps, gap_of, many = np.diff(flat, prepend=0)[inner], job[inner], np.maximum(size - 1, 1)
+        middle = (end - flat[first]) / many
+        spread = np.sqrt(np.bincount(gap_of, (gaps - middle[gap_of]) ** 2, len(size)) / many)
+        gaps = gaps[np.lexsort((gaps, gap_of))]
+        at = np.append(0, (size - 1).cumsum()[:-1])
+        median = (gaps[np.minimum(at + (many - 1) // 2, len(gaps) - 1)] + gaps[np.minimum(at + many // 2, len(gaps) - 1)]) / 2
+        spread = np.where(size > 1, spread / np.maximum(1.0, median), 0.0)
+    evenness = np.clip(1.0 - spread / UNEVEN, 0.0, 1.0)
+    phase = np.where(size >= 8, np.clip(0.5 + mean(strength, turn % 4 == 0) - mean(strength, turn % 4 != 0), 0.0, 1.0), 0.0)
+    terms = (share, hits, mean(strength), cover, evenness, phase)
+    return sum(w * t for w, t in zip(WEIGHTS, terms, strict=True)) - np.where(refined, REFINED_LOSS, 0.0), chains
+
+
 def _nearest(peaks: np.ndarray, frames: np.ndarray) -> np.ndarray:
     """The peaks before and after each frame."""
     after = np.searchsorted(peaks, frames)

@@ -2,26 +2,31 @@
 and its refinements, the grid that a provider's rules choose, and a row for each track that can't be
 tracked.
 
-Each step takes rows of all tracks and gives rows of all tracks, so a track that ends early (no
-energy, a broken input, a rejected grid) takes another branch of the plan while the others go on.
+A track's strengths are packed into a row, and a task goes through a batch of tracks at once; a track that ends
+early (no energy, a broken input, a rejected grid) gets its row while the others go on.
 """
 
 from __future__ import annotations
 
-from math import ceil, floor
+from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
+from functools import lru_cache
+from itertools import groupby, pairwise
+from math import ceil, exp, floor, inf, log, nan
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophe.functions.columns import clamp
 from strophe.operators import beatgrids, hierarchy, timeline
 from strophe.plans.tables import settled
 
 #: Tempo bounds, centre and spread of the prior, candidates kept, width of the smoothing, how near tempi count as one.
 LOW_BPM, HIGH_BPM, CENTRE, OCTAVES, MOST, WIDTH, SAME = 60.0, 200.0, 120.0, 1.4, 30, 7, 0.001
 ENERGY = 1e-9
+#: Frames of the tracks that a task takes up at once.
+FRAMES = 100_000
 #: What the steps of a grid are called.
 REFINED, REGULAR = "audio-refined", "regular"
 STEPS = {"composite-dp": "composite-dp", "elastic-local-onset": "elastic", "piecewise-window-offset": "piecewise"}
@@ -32,23 +37,87 @@ NOT_CONFIGURED, REJECTED = "beat-this-provider-not-configured", "beat-this-guard
 NO_DURATION, NO_FRAMES, NOT_FINITE, UNKNOWN_PROVIDER, NO_GRID = "invalid-duration", "no-frames", "strength-not-finite", "unsupported-provider", "provider-rejected"
 
 
-def extreme_penalty(bpm: Column) -> Column:
-    """What a tempo far from the middle loses."""
-    return F.when(bpm.between(85.0, 150.0), 1.0).when((bpm < 70.0) | (bpm > 190.0), 0.85).otherwise(0.95)
+def tempo_score(lag: int, per_second: float) -> float:
+    """The prior of a lag's tempo and its penalty, the prior as ``timeline.tempo_weight`` has it."""
+    bpm = 60.0 * per_second / lag
+    return exp(-0.5 * ((log(bpm / CENTRE) / log(2.0)) / OCTAVES) ** 2.0) * (1.0 if 85.0 <= bpm <= 150.0 else 0.85 if bpm < 70.0 or bpm > 190.0 else 0.95)
 
 
-def lag_products(df: DataFrame, track: str, order: str, x: str, low: int, high: int) -> DataFrame:
-    """track, lag, r: a series' mean product with itself ``lag`` rows later, for each lag that it is
-    longer than. A track's series is one vector in a task, so lags cost a product each, not a row a pair."""
+@lru_cache(10_000)
+def thousandths(bpm: float) -> int:
+    """A tempo to three places as it is written, halves to even."""
+    return int(Decimal(repr(bpm)).scaleb(3).to_integral_value(ROUND_HALF_EVEN))
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        values = own.sort_values(order)[x].to_numpy(float)
-        lags = np.arange(low, min(high, len(values) - 1) + 1)
-        found = [float(values[:-k] @ values[k:]) / (len(values) - k) for k in lags.tolist()]
-        return pd.DataFrame({"k": [own[track].iloc[0]] * len(lags), "lag": lags, "r": found})
 
-    kind = df.schema[track].dataType.simpleString()
-    return df.select(track, order, x).groupBy(track).applyInPandas(run, f"k {kind}, lag long, r double").withColumnRenamed("k", track)
+def refined_period(frames: np.ndarray, x: np.ndarray, lag: int) -> float | None:
+    """``timeline.refined_period`` of one track."""
+    top = x.max()
+    padded = np.concatenate([[-np.inf], x, [-np.inf]])
+    peaks = frames[(top > ENERGY) & (x >= 0.5 * top) & (x >= padded[:-2]) & (x > padded[2:])]
+    gaps = np.diff(peaks)
+    gaps = gaps[(gaps >= 0.75 * lag) & (gaps <= 1.5 * lag)]
+    return float(gaps.sum()) / len(gaps) if len(peaks) >= 3 and len(gaps) else None
+
+
+def tempi(frames: np.ndarray, x: np.ndarray, per_second: float, low: float, high: float, most: int) -> list[tuple]:
+    """The candidates of one track, as ``tempo_candidates`` describes them: bpm, lag, score, origin, harmonic, selected."""
+    first = max(1, floor(per_second * 60.0 / high))
+    last = max(first + 1, ceil(per_second * 60.0 / low))
+    if not len(x) > first or not x.max() > ENERGY:
+        return [(min(max(timeline.FALLBACK_BPM, low), high), 0, 0.0, "fallback", "unknown", True)]
+    scores = {lag: float(x[:-lag] @ x[lag:]) / (len(x) - lag) * tempo_score(lag, per_second) for lag in range(first, min(last, len(x) - 1) + 1)}
+    best = max(scores, key=lambda lag: (scores[lag], -lag))
+    slow = 60.0 * per_second / (2 * best)
+    if 60.0 * per_second / best >= 170.0 and 75.0 <= slow <= 135.0 and scores.get(2 * best, -1.0) >= scores[best] * (0.45 if 90.0 <= slow <= 120.0 else 0.60):
+        best *= 2
+    period = refined_period(frames, x, best)
+    chosen = min(max(60.0 * per_second / (best if period is None else period), low), high)
+    own = [(60.0 * per_second / lag, lag, score, "autocorrelation", False) for lag, score in scores.items()]
+    if min(abs(r[0] - chosen) for r in own) > SAME:
+        own.append((chosen, best, scores[best], "refined-peak", True))
+    rows = []
+    for k, (name, role, ratio) in enumerate(hierarchy.HARMONICS):
+        for bpm, lag, score, origin, late in own:
+            other = bpm * ratio
+            if k == 0 or low <= other <= high:
+                rows.append((-score if k == 0 else -(score * 0.92), k > 0, late, lag, k, other, lag if k == 0 else max(1, round(lag * bpm / other)), name or origin, role))
+    rows.sort()
+    seen, kept = set(), []
+    for r in rows:
+        if (same := thousandths(r[5])) not in seen:
+            seen.add(same)
+            kept.append(r)
+    kept = kept[:most]
+    gap, nearest = min((abs(r[5] - chosen), k) for k, r in enumerate(kept))
+    return [(r[5], r[6], -r[0], r[7], r[8], k == nearest and gap <= SAME) for k, r in enumerate(kept)]
+
+
+def packed(df: DataFrame, track: str, *names: str) -> DataFrame:
+    """track, _s: the rows of a track as one array of structs of ``names``."""
+    return df.groupBy(track).agg(F.collect_list(F.struct(*names)).alias("_s"))
+
+
+def unpacked(column: pa.Array) -> list[dict[str, np.ndarray]]:
+    """The arrays of structs of ``packed``, a dictionary of arrays each, in the order of their first name; empty ones for null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = column.value_lengths().fill_null(0).to_numpy()
+    rows, ends = column.flatten(), np.append(0, lengths.cumsum())
+    names = [field.name for field in rows.type]
+    fields = [x.to_numpy(zero_copy_only=False) for x in rows.flatten()]
+    out = []
+    for low, high in pairwise(ends.tolist()):
+        own = [x[low:high] for x in fields]
+        if (np.diff(own[0]) < 0).any():
+            order = np.argsort(own[0], kind="stable")
+            own = [x[order] for x in own]
+        out.append(dict(zip(names, own, strict=True)))
+    return out
+
+
+def shares(tracks: list[int], sizes: list[int]) -> list[list[int]]:
+    """Tracks in turn, as many together as have FRAMES frames, one at least."""
+    ends = np.cumsum(sizes) // FRAMES if sizes else []
+    return [[k for k, _ in own] for _, own in groupby(zip(tracks, ends, strict=True), key=lambda x: x[1])]
 
 
 def tempo_candidates(odf: DataFrame, track: str, x: str, per_second: float, low: float = LOW_BPM, high: float = HIGH_BPM, most: int = MOST) -> DataFrame:
@@ -56,40 +125,71 @@ def tempo_candidates(odf: DataFrame, track: str, x: str, per_second: float, low:
 
     A lag's score is its mean product under the prior and the penalty of extreme tempi. The best lag, or
     twice it (``hierarchy.half_time``), refined by the distances of the track's own peaks, is selected; where no
-    candidate has its tempo it becomes one (refined-peak). Then come halves, doubles, 3/4 and 4/3. A series
-    without energy or too short for any lag has one candidate, the fallback.
+    candidate has its tempo it becomes one (refined-peak). Then come halves, doubles, 3/4 and 4/3
+    (``hierarchy.harmonic_tempos``). A series without energy or too short for any lag has one candidate, the fallback.
+    A track's series is a row, and a task goes through many.
     """
-    first = max(1, floor(per_second * 60.0 / high))
-    last = max(first + 1, ceil(per_second * 60.0 / low))
-    bpm = 60.0 * per_second / F.col("lag")
-    score = F.col("r") * timeline.tempo_weight(F.col("lag"), per_second, CENTRE, OCTAVES) * extreme_penalty(bpm)
-    alive = odf.groupBy(track).agg(F.max(x).alias("_top"), F.count("*").alias("_n")).where((F.col("_top") > ENERGY) & (F.col("_n") > first))
-    scores = settled(lag_products(odf.join(alive.select(track), track, "left_semi"), track, "frame", x, first, last).select(track, "lag", bpm.alias("bpm"), score.alias("score")), "lags")
-    best = settled(hierarchy.half_time(scores.select(track, "lag", "score"), track, per_second).select(track, "lag"), "lag")
-    periods = timeline.refined_period(odf.join(best, track), track, "frame", x, "lag", ENERGY)
-    chosen = best.join(periods, track, "left").select(track, "lag", clamp(60.0 * per_second / F.coalesce("period", "lag"), low, high).alias("_bpm"))
-    known = scores.select(track, "bpm").join(chosen, track).groupBy(track).agg(F.min(F.abs(F.col("bpm") - F.col("_bpm"))).alias("_gap"))
-    refined = chosen.join(known.where(F.col("_gap") > SAME), track, "left_semi").join(scores.select(track, "lag", "score"), [track, "lag"])
-    own = scores.withColumn("origin", F.lit("autocorrelation")).unionByName(refined.select(track, "lag", F.col("_bpm").alias("bpm"), "score", F.lit("refined-peak").alias("origin")))
-    found = hierarchy.harmonic_tempos(own, track, most, low, high).join(chosen.select(track, "_bpm"), track)
-    gap = F.abs(F.col("bpm") - F.col("_bpm"))
-    nearest = F.row_number().over(Window.partitionBy(track).orderBy(gap, "rank")) == 1
-    found = found.select(track, (F.col("rank") - 1).cast("long").alias("place"), "bpm", "lag", "score", "origin", "harmonic", (nearest & (gap <= SAME)).alias("selected"))
-    silent = odf.select(track).distinct().join(alive.select(track), track, "left_anti")
-    none = silent.select(track, F.lit(0).cast("long").alias("place"), F.lit(min(max(timeline.FALLBACK_BPM, low), high)).alias("bpm"), F.lit(0).cast("long").alias("lag"), F.lit(0.0).alias("score"), F.lit("fallback").alias("origin"), F.lit("unknown").alias("harmonic"), F.lit(True).alias("selected"))
-    return found.unionByName(none)
-
-
-def input_errors(frames: DataFrame, tracks: DataFrame, track: str, *strengths: str) -> DataFrame:
-    """track, code, message of tracks that can't be tracked, a row each: no positive duration, no frames, or
-    a strength that is null or not finite."""
-    broken = sum((F.count_if(F.col(x).isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) for x in strengths), F.lit(0))
-    held = frames.groupBy(track).agg(F.count("*").alias("_n"), broken.alias("_broken"))
-    rows = tracks.select(track, "duration").join(held, track, "left")
+    kind = odf.schema[track].dataType.simpleString()
+    schema = f"`{track}` {kind}, place long, bpm double, lag long, score double, origin string, harmonic string, selected boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(k, *t) for k, t in enumerate(tempi(own["frame"], own["x"].astype(float), per_second, low, high, most))] for own in unpacked(batch.column(1))]
+            tracks = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+            columns = list(zip(*(t for f in found for t in f), strict=True)) or [[]] * 7
+            yield pa.record_batch([tracks, *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.string(), pa.string(), pa.bool_()), strict=True))], names=[track, "place", "bpm", "lag", "score", "origin", "harmonic", "selected"])
+
+    return packed(odf.select(track, "frame", F.col(x).cast("double").alias("x")), track, "frame", "x").mapInArrow(run, schema)
+
+
+def chosen_tempo(candidates: list[tuple], fits: list[float]) -> float:
+    """``beatgrids.selected_tempo`` of one track; NaN in ``fits`` where a candidate has no score."""
+    score = lambda k: (-candidates[k][2], k)
+    best = min(range(len(candidates)), key=lambda k: (inf if fits[k] != fits[k] else -fits[k], k))
+    bpm = candidates[best][0]
+    double = [k for k, c in enumerate(candidates) if bpm < beatgrids.SLOW and c[0] >= beatgrids.FAST and abs(c[0] - 2 * bpm) / max(1.0, 2 * bpm) <= beatgrids.NEAR_DOUBLE]
+    primary = [k for k, c in enumerate(candidates) if c[0] >= beatgrids.SLOWEST and c[3] == "autocorrelation"]
+    if double:
+        return candidates[min(double, key=score)][0]
+    if primary and candidates[k := min(primary, key=score)][2] >= candidates[best][2] * beatgrids.NEAR_BEST:
+        return candidates[k][0]
+    return bpm
+
+
+def chosen_tempi(tracks: list[dict], candidates: list[list[tuple]], per_second: float, tightness: float) -> list[tuple[float, np.ndarray | None]]:
+    """A track's tempo whose own beats fit best, and the beats of its chain (None if that tempo wasn't tried)."""
+    jobs, tops = [], []
+    for t, own in enumerate(candidates):
+        tops.append(max(beatgrids.ENERGY, *(c[2] for c in own)))
+        jobs += [(t, k) for k in [k for k, c in enumerate(own) if c[0] >= beatgrids.SLOWEST][: beatgrids.MOST] if own[k][0] < inf]
+    tried = [candidates[t][k] for t, k in jobs]
+    which = np.array([t for t, _ in jobs], int)
+    fits, chains = beatgrids.tempo_scores_of(
+        [own["_odf"] for own in tracks], which, np.array([c[0] for c in tried], float), np.array([c[2] / tops[t] for c, t in zip(tried, which, strict=True)], float), np.array([c[3] == "refined-peak" for c in tried], bool), per_second, tightness
+    )
+    found = [[nan] * len(own) for own in candidates]
+    chain_of = {}
+    for (t, k), fit, chain in zip(jobs, fits.tolist(), chains, strict=True):
+        found[t][k] = fit
+        chain_of.setdefault((t, candidates[t][k][0]), chain)
+    chosen = [chosen_tempo(own, fit) for own, fit in zip(candidates, found, strict=True)]
+    return [(bpm, chain_of.get((t, bpm))) for t, bpm in enumerate(chosen)]
+
+
+def strength_at(frames: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The confidence of ``timeline.frame_times`` at the frames ``at``."""
+    low, high, place = np.searchsorted(frames, at - 2), np.searchsorted(frames, at + 2, "right"), np.searchsorted(frames, at)
+    there = (place < len(frames)) & (frames[np.minimum(place, len(frames) - 1)] == at)
+    local = np.array([x[a:b].max() if b > a else 0.0 for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+    return np.where(there, np.clip(np.maximum(0.0, local) / max(ENERGY, x.max()), 0.0, 1.0), timeline.FALLBACK_CONFIDENCE)
+
+
+def errors_of(broken: Column) -> tuple[Column, Column]:
+    """code and message of a track (duration, _n frames) that can't be tracked, null for one that can."""
     sound = F.coalesce((F.col("duration") > 0) & ~F.isnan("duration") & (F.col("duration") < float("inf")), F.lit(False))
-    code = F.when(~sound, NO_DURATION).when(F.col("_n").isNull(), NO_FRAMES).when(F.col("_broken") > 0, NOT_FINITE)
-    message = F.when(code == NO_DURATION, F.concat(F.lit("duration is "), F.coalesce(F.col("duration").cast("string"), F.lit("null")))).when(code == NO_FRAMES, "the track has no frames").otherwise(F.concat(F.col("_broken").cast("string"), F.lit(" strengths are null or not finite")))
-    return rows.select(track, code.alias("code"), message.alias("message")).where("code IS NOT NULL")
+    code = F.when(~sound, NO_DURATION).when(F.col("_n").isNull(), NO_FRAMES).when(broken > 0, NOT_FINITE)
+    message = F.when(code == NO_DURATION, F.concat(F.lit("duration is "), F.coalesce(F.col("duration").cast("string"), F.lit("null")))).when(code == NO_FRAMES, "the track has no frames")
+    return code, message.when(code == NOT_FINITE, F.concat(broken.cast("string"), F.lit(" strengths are null or not finite")))
 
 
 def track_beats(frames: DataFrame, tracks: DataFrame, track: str, per_second: float, evidence: str | None = None, grid_tempo: bool = True, elastic: bool = True, piecewise: bool = True, tightness: float = 100.0) -> tuple[DataFrame, DataFrame]:
@@ -97,43 +197,72 @@ def track_beats(frames: DataFrame, tracks: DataFrame, track: str, per_second: fl
 
     ``frames`` has track, frame, flux and onset and, if named, ``evidence``; ``tracks`` track and duration in seconds.
     With ``grid_tempo`` the tempo is the one whose own beats fit best, else the selected candidate. The mode names the
-    first usable grid and each refinement that was taken. Tracks with a broken input have a code and no beats;
-    those without energy, or whose beats all lie outside, an even grid.
+    first usable grid and each refinement that was taken. Tracks with a broken input have a code and no beats: no positive
+    duration, no frames, or a strength that is null or not finite. Those without energy, or whose beats all lie outside, have
+    an even grid.
+
+    A track's strengths become one row; a task goes through the whole chain with many of them, tempos tried
+    together, and only the finished grids are written.
     """
-    errors = settled(input_errors(frames, tracks, track, "flux", "onset", *([evidence] if evidence else [])), "errors")
-    fine = tracks.select(track, "duration").join(errors, track, "left_anti")
-    frames = settled(frames.join(fine.select(track), track, "left_semi"), "frames")
-    energy = frames.groupBy(track).agg(F.max("flux").alias("_top")).where(F.col("_top") > ENERGY).select(track)
-    odf = timeline.onset_detection(frames.join(energy, track, "left_semi"), track, "frame", "flux", WIDTH, "_tempo")
-    odf = settled(timeline.onset_detection(odf, track, "frame", "onset", WIDTH, "_odf"), "odf")
-    candidates = settled(tempo_candidates(odf, track, "_tempo", per_second), "tempi")
-    if grid_tempo:
-        chosen = beatgrids.selected_tempo(beatgrids.tempo_scores(odf, candidates, track, "_odf", per_second, tightness), track)
-    else:
-        chosen = candidates.where("selected")
-    period = (60.0 * per_second / F.col("bpm")).alias("period")
-    periods = settled(chosen.select(track, "bpm", period).join(fine, track), "periods")
-    grid = beatgrids.usable_grid(odf, beatgrids.dense_beats(odf, periods, track, "_odf", tightness), periods, track, "_odf", per_second, beatgrids.MICRO_SNAP)
-    grid = settled(grid.withColumn("mode", F.when(F.col("mode") == "aligned", REFINED).otherwise(F.col("mode"))), "grid")
-    refinements = [] if evidence is None else [lambda at: beatgrids.composite_beats(frames, at, periods, track, evidence, tightness)]
-    refinements += [lambda at: beatgrids.elastic_beats(odf, at, periods, track, "_odf", per_second)] * elastic + [lambda at: beatgrids.piecewise_beats(odf, at, periods, track, "_odf", per_second)] * piecewise
-    names = F.create_map(*[F.lit(y) for x in STEPS.items() for y in x])
-    for refine in refinements:
-        modes = grid.groupBy(track).agg(F.first("mode").alias("_mode"))
-        step = F.try_element_at(names, F.col("mode"))
-        grid = settled(refine(grid.select(track, "frame")).join(modes, track).select(track, "frame", F.concat_ws("+", "_mode", step).alias("mode")), "grid")
-    timed = settled(timeline.frame_times(grid, odf.select(track, "frame", "_odf"), fine, track, "_odf", 1.0 / per_second, ENERGY), "timed")
-    modes = grid.groupBy(track).agg(F.first("mode").alias("mode"))
-    held = timed.select(track).distinct()
-    even = fine.join(held, track, "left_anti").join(periods.select(track, "bpm"), track, "left").withColumn("bpm", F.coalesce("bpm", F.lit(timeline.FALLBACK_BPM)))
-    step = 60.0 / F.col("bpm")
-    regular = even.select(track, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("duration") / step))).alias("which"), step.alias("_s")).select(track, "which", (F.col("which") * F.col("_s")).alias("start"), F.lit(timeline.FALLBACK_CONFIDENCE).alias("confidence"))
-    order = F.row_number().over(Window.partitionBy(track).orderBy("time")) - 1
-    beats = settled(timed.select(track, order.cast("long").alias("which"), F.col("time").alias("start"), "confidence").unionByName(regular), "beats")
-    told = periods.join(held, track, "left_semi").join(modes, track).select(track, "bpm", "mode").unionByName(even.select(track, "bpm", F.lit(REGULAR).alias("mode")))
-    counts = beats.groupBy(track).agg(F.count("*").alias("n_beats"))
-    summary = tracks.select(track).join(errors, track, "left").join(told, track, "left").join(counts, track, "left")
-    return beats, summary.select(track, "code", "message", "bpm", "mode", F.coalesce("n_beats", F.lit(0)).cast("long").alias("n_beats"))
+    strengths = ["flux", "onset", *([evidence] if evidence else [])]
+    broken = sum((F.count_if(F.col(x).isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) for x in strengths), F.lit(0))
+    odf = timeline.onset_detection(frames, track, "frame", "flux", WIDTH, "_tempo")
+    odf = timeline.onset_detection(odf, track, "frame", "onset", WIDTH, "_odf")
+    names = ["frame", "_tempo", "_odf", *([F.col(evidence).cast("double").alias("_evidence")] if evidence else [])]
+    held = odf.groupBy(track).agg(F.count("*").alias("_n"), broken.alias("_broken"), F.max("flux").alias("_top"), F.collect_list(F.struct(*names)).alias("_s"))
+    code, message = errors_of(F.col("_broken"))
+    rows = tracks.select(track, "duration").join(held, track, "left").select(track, "duration", code.alias("code"), message.alias("message"), "_top", "_s")
+    rows = rows.withColumn("_s", F.when(F.col("code").isNull() & (F.col("_top") > ENERGY), F.col("_s"))).drop("_top")
+
+    def grids(own: list[dict], durations: list[float]) -> list[tuple[float, str, np.ndarray, np.ndarray]]:
+        candidates = [tempi(x["frame"], x["_tempo"], per_second, LOW_BPM, HIGH_BPM, MOST) for x in own]
+        if grid_tempo:
+            chosen = chosen_tempi(own, candidates, per_second, tightness)
+        else:
+            chosen = [(next((c[0] for c in x if c[5]), None), None) for x in candidates]
+        out = []
+        for x, (bpm, chain), duration in zip(own, chosen, durations, strict=True):
+            if bpm is None:
+                out.append(even(None, duration))
+                continue
+            period, odf = 60.0 * per_second / bpm, x["_odf"]
+            chain = beatgrids.dense_chain(odf, period, tightness) if chain is None else chain
+            grid, mode = beatgrids.usable(odf, np.unique(chain), period, duration * per_second, beatgrids.MICRO_SNAP)
+            mode = REFINED if mode == "aligned" else mode
+            steps = [lambda at, x=x, p=period: beatgrids.gated(x["_evidence"], at, p, tightness)] if evidence else []
+            steps += [lambda at, x=odf, p=period: beatgrids.elastic(x, at, p, per_second)] * elastic + [lambda at, x=odf, p=period: beatgrids.piecewise(x, at, p, per_second)] * piecewise
+            for step in steps:
+                grid, name = step(np.unique(grid))
+                mode = "+".join([mode, *([STEPS[name]] if name in STEPS else [])])
+            grid = np.unique(grid)
+            start = grid * (1.0 / per_second)
+            inside = (start >= 0) & (start <= duration)
+            out.append((bpm, mode, start[inside], strength_at(x["frame"], odf, grid[inside])) if inside.any() else even(bpm, duration))
+        return out
+
+    def even(bpm: float | None, duration: float) -> tuple[float, str, np.ndarray, np.ndarray]:
+        bpm = timeline.FALLBACK_BPM if bpm is None else bpm
+        start = np.arange(floor(duration / (60.0 / bpm)) + 1) * (60.0 / bpm)
+        return bpm, REGULAR, start, np.full(len(start), timeline.FALLBACK_CONFIDENCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, durations = unpacked(batch.column(4)), batch.column(1).to_pylist()
+            sound = [k for k, x in enumerate(batch.column(2).to_pylist()) if x is None]
+            live = [k for k in sound if len(own[k]["frame"])]
+            found = {k: even(None, durations[k]) for k in sound}
+            for part in shares(live, [len(own[k]["frame"]) for k in live]):
+                found |= dict(zip(part, grids([own[k] for k in part], [durations[k] for k in part]), strict=True))
+            none = (None, None, np.empty(0), np.empty(0))
+            bpm, mode, start, confidence = zip(*(found.get(k, none) for k in range(len(own))), strict=True) if len(own) else ((),) * 4
+            ends = pa.array(np.append(0, np.cumsum([len(x) for x in start])), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0))) for x in (start, confidence)]
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(bpm, pa.float64()), pa.array(mode, pa.string()), *lists], names=[track, "code", "message", "bpm", "mode", "start", "confidence"])
+
+    kind = tracks.schema[track].dataType.simpleString()
+    told = settled(rows.mapInArrow(run, f"`{track}` {kind}, code string, message string, bpm double, mode string, start array<double>, confidence array<double>"), "tracked")
+    beats = told.select(track, F.posexplode(F.arrays_zip("start", "confidence")).alias("which", "_b")).select(track, F.col("which").cast("long").alias("which"), "_b.start", "_b.confidence")
+    return beats, told.select(track, "code", "message", "bpm", "mode", F.size("start").cast("long").alias("n_beats"))
 
 
 def provided(tracks: DataFrame, built_in: DataFrame, advisor: DataFrame, failures: DataFrame, corrected: DataFrame, track: str) -> tuple[DataFrame, DataFrame]:

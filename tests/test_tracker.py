@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.operators import tracker
+from strophe.operators import beatgrids, timeline, tracker
 
 FPS = 50.0
 
@@ -97,3 +97,61 @@ def test_providers(spark):
         5: ("built-in", "beat-this-provider-not-configured", None), 6: ("corrected", None, None), 7: ("built-in", None, None), 8: (None, None, "unsupported-provider"), 9: ("built-in", None, None),
     }
     assert {r.t: (r.n, r.c) for r in beats.groupBy("t").agg(F.count("*").alias("n"), F.max("confidence").alias("c")).collect()} == {1: (2, 0.1), 2: (2, 0.2), 3: (2, 0.1), 5: (2, 0.1), 6: (2, 0.3), 7: (2, 0.1), 9: (2, 0.1)}
+
+
+def strengths(rnd, length):
+    x = rnd.random(length) * rnd.choice([0.0, 0.3, 1.0])
+    if rnd.random() < 0.6:
+        x[:: int(rnd.integers(2, 30))] = 1.0
+    return np.round(x, 1) if rnd.random() < 0.3 else x
+
+
+@pytest.mark.parametrize(("per_second", "tightness", "count", "low", "high"), [(8.0, 1.0, 80, 1, 110), (50.0, 100.0, 6, 200, 900)])
+def test_chains_and_scores_together_are_those_one_by_one(monkeypatch, per_second, tightness, count, low, high):
+    rnd = np.random.default_rng(count)
+    own = [strengths(rnd, int(rnd.integers(low, high))) for _ in range(count)]
+    which, bpm = np.repeat(np.arange(count), 6), np.tile([85.0, 96.0, 120.0, 133.3, 180.0, 240.0], count)
+    share, refined = rnd.random(len(which)), rnd.random(len(which)) < 0.2
+    want = [beatgrids.dense_chain(own[k], per_second * 60 / b, tightness) for k, b in zip(which, bpm, strict=True)]
+    scores = [beatgrids.tempo_score(own[k], b, s, bool(r), per_second, tightness) for k, b, s, r in zip(which, bpm, share, refined, strict=True)]
+    for cells in (1, 3000, 1_000_000):
+        monkeypatch.setattr(beatgrids, "CELLS", cells)
+        got, chains = beatgrids.tempo_scores_of(own, which, bpm, share, refined, per_second, tightness)
+        assert all(np.array_equal(a, b) for a, b in zip(chains, want, strict=True)) and np.allclose(got, scores, rtol=0, atol=1e-12)
+
+
+def step_by_step(rows, tracks, per_second, tightness):
+    """The chain by its operators, a table each."""
+    odf = timeline.onset_detection(timeline.onset_detection(rows, "t", "frame", "flux", tracker.WIDTH, "_tempo"), "t", "frame", "onset", tracker.WIDTH, "_odf").cache()
+    candidates = tracker.tempo_candidates(odf, "t", "_tempo", per_second).cache()
+    chosen = beatgrids.selected_tempo(beatgrids.tempo_scores(odf, candidates, "t", "_odf", per_second, tightness), "t")
+    periods = chosen.select("t", "bpm", (60.0 * per_second / F.col("bpm")).alias("period")).join(tracks, "t").cache()
+    grid = beatgrids.usable_grid(odf, beatgrids.dense_beats(odf, periods, "t", "_odf", tightness), periods, "t", "_odf", per_second, beatgrids.MICRO_SNAP)
+    grid = beatgrids.composite_beats(rows, grid.select("t", "frame"), periods, "t", "evidence", tightness)
+    grid = beatgrids.elastic_beats(odf, grid.select("t", "frame"), periods, "t", "_odf", per_second)
+    grid = beatgrids.piecewise_beats(odf, grid.select("t", "frame"), periods, "t", "_odf", per_second)
+    return periods, timeline.frame_times(grid, odf.select("t", "frame", "_odf"), tracks, "t", "_odf", 1.0 / per_second)
+
+
+def test_tracks_together_are_the_chain_step_by_step(spark, monkeypatch):
+    """Many tracks in one pass, taken up a few at a time, have the tempi and beats of the operators one after another."""
+    rnd = np.random.default_rng(4)
+    held = {f"t{k}": x for k in range(40) if (x := strengths(rnd, int(rnd.integers(3, 420)))).max() > 0}
+    rows = spark.createDataFrame([(t, k, float(v), float(v) ** 2, float(u)) for t, x in held.items() for k, (v, u) in enumerate(zip(x, rnd.random(len(x)), strict=True))], FRAME)
+    tracks = spark.createDataFrame([(t, len(x) / 9.0) for t, x in held.items()], "t string, duration double")
+    monkeypatch.setattr(tracker, "FRAMES", 500)
+    beats, summary = tracker.track_beats(rows, tracks, "t", 8.0, evidence="evidence", tightness=1.0)
+    periods, timed = step_by_step(rows, tracks, 8.0, 1.0)
+    assert {r.t: r.bpm for r in summary.collect()} == {r.t: r.bpm for r in periods.collect()}
+    assert sorted((r.t, r.start, r.confidence) for r in beats.collect()) == sorted((r.t, r.time, r.confidence) for r in timed.collect())
+    assert {r.t: r.n_beats for r in summary.collect()} == {r.t: r.c for r in timed.groupBy("t").agg(F.count("*").alias("c")).collect()}
+
+
+def test_the_chain_writes_one_table_and_keeps_its_plan_small(spark, monkeypatch):
+    """A table a step, and tables joined with each other, were what filled the driver."""
+    written = []
+    monkeypatch.setattr(tracker, "settled", lambda df, name: written.append(df) or df)
+    rows = spark.createDataFrame(frames({"a": np.ones(30)}), FRAME)
+    beats, summary = tracker.track_beats(rows, spark.createDataFrame([("a", 3.0)], "t string, duration double"), "t", FPS)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (beats, summary)]
+    assert len(written) == 1 and all(plan.count("Join") == 1 and plan.count("InPandas") == 0 and plan.count("MapInArrow") == 1 for plan in plans)
