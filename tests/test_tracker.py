@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strophe.operators import beatgrids, timeline, tracker
+from strophe.plans import registry
 
 FPS = 50.0
 
@@ -155,3 +156,14 @@ def test_the_chain_writes_one_table_and_keeps_its_plan_small(spark, monkeypatch)
     beats, summary = tracker.track_beats(rows, spark.createDataFrame([("a", 3.0)], "t string, duration double"), "t", FPS)
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (beats, summary)]
     assert len(written) == 1 and all(plan.count("Join") == 1 and plan.count("InPandas") == 0 and plan.count("MapInArrow") == 1 for plan in plans)
+
+
+def test_the_summary_reads_a_written_table_only(spark):
+    """Nothing is joined, shuffled or sent to the driver for it, however many tracks there are; it tells of the beats there are."""
+    sf = "/root/testdata/sf0.001"
+    found = registry.tracked_summary(spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Join", "Exchange", "Aggregate", "InPandas") if x in plan]
+    told, beats = found.collect(), registry.tracked_beats(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.max("which").alias("last")).collect()
+    assert {r.user_id: r.n_beats for r in told if r.n_beats} == {r.user_id: r.n for r in beats} and all(r.last == r.n - 1 for r in beats)
+    assert {r.user_id for r in told} == {r.user_id for r in registry.beats(spark, sf).select("user_id").distinct().collect()}
